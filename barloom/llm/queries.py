@@ -6,11 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from barloom.common import table
 from barloom.llm.leakage import leaks
+from barloom.llm.residue import residue
 
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p9_found,)}
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return residue(table(spark, sf, "documents")).select("doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p9_found, p10_found)}
 SQL: dict[str, str] = {}
