@@ -60,7 +60,7 @@ STRONG = re.compile(
     r"|\[\.{3}[^\W\d_][^\[\]\n]{0,40}\.{3}\]|\[[●•○■□]+\]|(?<![\w_])_{5,}(?![\w_])|(?<![\w?])\?{4,}|\bXX[./-]XX[./-]XX(?:XX)?\b|(?i:\bx{5,}\b)|\b[A-Z]{2,}(?:_[A-Z]{2,})+\b|\bTODO\b"
 )
 WEAK = re.compile(r"\{([^\W\d_][\w.]{1,40})\}|<([^\W\d_][\w.]{1,40})>|\[([^\W\d_][\w.]{1,40}(?: [^\W\d_]\w{1,20})?)\]")
-BREAK = re.compile(r"(?<=[.!?:…])\s+|\s*\n\s*|\s+[-–—]\s+")
+BREAK = re.compile(r"(?<=[.!?:…])\s+|\s*\n\s*|\s+[-–—]\s+|(?<=[.:])[-–—]+\s*|\s*[\[\]()]+\s*")
 TOKEN = re.compile(rf"{FIELD}|\d+|[^\W\d_]+|#REF!|#N/A")
 known_names = {re.sub(r"[^a-z]", "", n) for n in FIELD_NAMES.split()}
 tags = set(TAGS.split())
