@@ -15,7 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def trimmed(c: Column) -> Column:
     """The text without surrounding white space (also tabs and line ends)."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(" \t\n\r"))
 
 
 def symbol_of(c: Column | str) -> Column:
@@ -24,30 +24,30 @@ def symbol_of(c: Column | str) -> Column:
     return F.nullif(F.upper(trimmed(c)), F.lit(""))
 
 
+def leading_day(text: Column) -> Column:
+    dashes = (text.substr(5, 1) == "-") & (text.substr(8, 1) == "-")
+    return F.when(dashes & (F.length(text) >= 10) & text.substr(11, 1).isin("", "T", " "), text.substr(1, 10).try_cast("date"))
+
+
 def day_of(c: Column | str) -> Column:
     """Date of a day or stamp string (its first ten characters); null where there is none."""
     c = F.col(c) if isinstance(c, str) else c
-    text = trimmed(c.cast("string"))
-    return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}($|[T ])"), text.substr(1, 10).try_cast("date"))
-
-
-STAMP = r"^(\d{4}-\d{2}-\d{2})(?:[T ](\d{2}):(\d{2})(?::(\d{2})(?:\.\d+)?)?\s*(Z|[+-]\d{2}:?\d{2})?)?$"
+    return leading_day(trimmed(c.cast("string")))
 
 
 def epoch_of(c: Column | str) -> Column:
     """Seconds since 1970 UTC of a day or stamp string, whatever the session's time zone.
 
-    ``YYYY-MM-DD``, ``YYYY-MM-DD[T ]HH:MM[:SS]`` with ``Z``, an offset or nothing (UTC); anything else is null.
+    ``YYYY-MM-DD``, ``YYYY-MM-DD[T ]HH:MM[:SS]`` with ``Z``, an offset ``+HH:MM`` or nothing (UTC); anything else is null.
+    The notations are made one by places, and that is cast: regular expressions took nine tenths of a scan's time, and a
+    longer expression outgrows generated code.
     """
     c = F.col(c) if isinstance(c, str) else c
     text = trimmed(c.cast("string"))
-    part = lambda i: F.regexp_extract(text, STAMP, i)
-    number = lambda x: F.coalesce(F.nullif(x, F.lit("")).try_cast("bigint"), F.lit(0).cast("bigint"))
-    zone = F.regexp_replace(part(5), ":", "")
-    sign = F.when(zone.startswith("-"), F.lit(-1)).otherwise(F.lit(1)).cast("bigint")
-    offset = F.when(zone.rlike(r"^[+-]"), sign * (number(zone.substr(2, 2)) * 3600 + number(zone.substr(4, 2)) * 60)).otherwise(F.lit(0).cast("bigint"))
-    day = F.nullif(part(1), F.lit("")).try_cast("date")
-    return F.unix_date(day).cast("bigint") * 86400 + number(part(2)) * 3600 + number(part(3)) * 60 + number(part(4)) - offset
+    seconds = F.when(text.substr(17, 1) == ":", "").otherwise(":00")
+    zone = F.when(text.endswith("Z") | text.substr(-6, 1).isin("+", "-"), "").otherwise("Z")
+    whole = F.when(F.length(text) == 10, F.concat(text, F.lit("T00:00:00Z"))).otherwise(F.concat(text.substr(1, 16), seconds, F.substring(text, 17, 40), zone))
+    return F.unix_seconds(whole.try_cast("timestamp"))
 
 
 def cut(df: DataFrame) -> DataFrame:

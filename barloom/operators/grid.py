@@ -78,7 +78,7 @@ def regular_grid(readings: DataFrame, windows: DataFrame, max_gap: int | Column
     )
     gains = increments(readings.where("entity is not null and ts is not null")).withColumn("_day", F.floor(F.col("ts") / DAY))
     inside = F.exists("_spans", lambda x: (x["from_s"] <= F.col("ts")) & (F.col("ts") < x["to_s"]))
-    near = gains.join(spans, ["entity", "_day"]).where(inside)
+    near = gains.join(spans.hint("merge"), ["entity", "_day"]).where(inside)
     slot_of = lambda t: F.floor(t / DAY) * DAY + F.floor(F.pmod(t, F.lit(DAY)) / F.col("step")) * F.col("step")
     gap = max_gap if isinstance(max_gap, Column) else F.lit(max_gap)
     close = F.col("prev_ts").isNotNull() & (F.col("ts") - F.col("prev_ts") <= gap)
@@ -99,7 +99,7 @@ def regular_grid(readings: DataFrame, windows: DataFrame, max_gap: int | Column
             F.sum(F.when(F.col("slot") == F.col("_own"), 1).otherwise(0)).alias("n_readings"),
         )
     )
-    laid = grid.join(filled, ["entity", "step", "slot"], "left")
+    laid = grid.join(filled.hint("merge"), ["entity", "step", "slot"], "left")
     laid = laid.withColumns({"covered_s": F.coalesce("covered_s", F.lit(0)), "n_readings": F.coalesce("n_readings", F.lit(0))})
     mark = F.when(F.col("n_readings") > 0, "reading").when(F.col("covered_s") > 0, "covered").otherwise("missing")
     return laid.select("entity", "step", "slot", "value", "covered_s", "n_readings", mark.alias("mark"))
