@@ -248,15 +248,6 @@ def wilder_of(xs: Column, n: int) -> Column:
     return F.when(F.size(xs) >= n, F.aggregate(F.slice(xs, n + 1, 1_000_000), start, lambda s, x: (s * (n - 1) + x) / n))
 
 
-def rsi(n: int = 14, x: str = "c") -> Column:
-    """Look-back 4n + 5; 100 without losses, 50 without any change."""
-    xs = history(x, 4 * n + 5)
-    changes = F.transform(F.slice(xs, 2, 1_000_000), lambda v, i: v - F.element_at(xs, i + 1))
-    gain = wilder_of(F.transform(changes, lambda d: F.greatest(d, F.lit(0.0))), n)
-    loss = wilder_of(F.transform(changes, lambda d: F.greatest(-d, F.lit(0.0))), n)
-    return F.when((loss == 0) & (gain == 0), 50.0).when(loss == 0, 100.0).otherwise(100 - 100 / (1 + gain / loss))
-
-
 def atr(n: int = 14, lookback: int | None = None) -> Column:
     """Wilder average of the true range; look-back 4n + 5 bars, whose first has no true range."""
     return wilder_of(history("tr", (lookback or 4 * n + 5) - 1), n)

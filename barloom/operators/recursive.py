@@ -39,14 +39,18 @@ class Average:
 
     def __init__(self, n: int, rows: int, weight: float | None = None) -> None:
         self.n, self.a = n, weight or 2 / (n + 1)
-        self.seen, self.sum, self.value = np.zeros(rows, int), np.zeros(rows), np.full(rows, np.nan)
+        self.seen, self.sum, self.value, self.full = np.zeros(rows, int), np.zeros(rows), np.full(rows, np.nan), False
 
     def step(self, x: np.ndarray) -> np.ndarray:
+        if self.full and not np.isnan(x).any():
+            self.value = x * self.a + self.value * (1 - self.a)
+            return self.value
         ok = ~np.isnan(x)
         self.seen = self.seen + ok
         self.sum = np.where(ok, self.sum + x, self.sum)
         new = np.where(self.seen < self.n, np.nan, np.where(self.seen == self.n, self.sum / self.n, x * self.a + self.value * (1 - self.a)))
         self.value = np.where(ok, new, self.value)
+        self.full = bool((self.seen >= self.n).all())
         return self.value
 
 
@@ -155,8 +159,25 @@ def psar(step: float, most: float) -> Step:
     return run
 
 
+def rsi(n: int) -> Step:
+    """100 without losses, 50 without any change."""
+
+    def run(fields: list[np.ndarray]) -> Iterator[dict[str, np.ndarray]]:
+        (c,) = fields
+        up, down = Average(n, len(c), 1 / n), Average(n, len(c), 1 / n)
+        yield {"value": np.full(len(c), np.nan)}
+        for j in range(1, c.shape[1]):
+            change = c[:, j] - c[:, j - 1]
+            gain, loss = up.step(np.maximum(change, 0)), down.step(np.maximum(-change, 0))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                yield {"value": np.where((loss == 0) & (gain == 0), 50, np.where(loss == 0, 100, 100 - 100 / (1 + gain / loss)))}
+
+    return run
+
+
 #: fields, look-back, recursion, names of the results
 KINDS: dict[str, tuple[list[str], int, Step, list[str]]] = {
+    "rsi": (["c"], 4 * 14 + 5, rsi(14), ["value"]),
     "macd": (["c"], 4 * 26 + 3 * 9 + 10, macd(12, 26, 9), ["line", "signal", "histogram"]),
     "trix": (["c"], 4 * 15 + 10, trix(15), ["value"]),
     "adx": (["h", "l", "c"], 4 * 14 + 10, adx(14), ["adx", "plus_di", "minus_di"]),

@@ -75,31 +75,34 @@ class Market:
     """Bars of a run's symbols on their union calendar, as matrices (days x symbols)."""
 
     def __init__(self, bars: pd.DataFrame) -> None:
-        self.days = np.sort(bars["bar_date"].unique())
+        number = bars["day"].to_numpy() if "day" in bars else pd.to_datetime(bars["bar_date"]).to_numpy("datetime64[D]").astype(np.int64)
+        self.days = np.unique(number)  # days since 1970
         self.symbols = sorted(bars["symbol"].unique())
-        at = np.searchsorted(self.days, bars["bar_date"].to_numpy())
+        at = np.searchsorted(self.days, number)
         col = np.searchsorted(np.array(self.symbols), bars["symbol"].to_numpy())
         self.index = {s: i for i, s in enumerate(self.symbols)}
         self.o, self.h, self.l, self.c, self.v, self.raw = (self.matrix(at, col, bars[f].to_numpy(float)) for f in ("o", "h", "l", "c", "v", "close"))
         self.has = ~np.isnan(self.c)
         self.asof = pd.DataFrame(self.c).ffill().to_numpy()
         self.raw_asof = pd.DataFrame(self.raw).ffill().to_numpy()
-        day = pd.DatetimeIndex(self.days)
-        self.month, self.week, self.year = (np.asarray(x) for x in (day.year * 12 + day.month, (day - pd.to_timedelta(day.dayofweek, unit="D")).asi8, day.year))
-        self.cache: dict[tuple, np.ndarray] = {}
+        date = self.days.astype("datetime64[D]")
+        self.year, self.month = (date.astype(f"datetime64[{u}]").astype(np.int64) for u in "YM")
+        self.week = (self.days + 3) // 7  # Mondays begin weeks
+        self.cache: dict[tuple, list[float]] = {}
+        self.now: list[list[float]] = self.asof.tolist()  # plain floats: the loop reads single values
 
     def matrix(self, at: np.ndarray, col: np.ndarray, v: np.ndarray) -> np.ndarray:
         m = np.full((len(self.days), len(self.symbols)), np.nan)
         m[at, col] = v
         return m
 
-    def series(self, symbol: str, kind: str, n: int, f: Callable[[pd.Series], pd.Series]) -> np.ndarray:
+    def series(self, symbol: str, kind: str, n: int, f: Callable[[pd.Series], pd.Series]) -> list[float]:
         """An indicator of a symbol's own bars, carried forward over days on which it has none."""
         key = (symbol, kind, n)
         if key not in self.cache:
             i = self.index[symbol]
             own = pd.Series(self.c[:, i]).dropna()
-            self.cache[key] = f(own).reindex(range(len(self.days))).ffill().to_numpy()
+            self.cache[key] = f(own).reindex(range(len(self.days))).ffill().tolist()
         return self.cache[key]
 
 
@@ -124,15 +127,21 @@ class Context:
     # -- data --
 
     def price(self, s: str) -> float | None:
-        x = self.market.asof[self.t, self.market.index[s]] if s in self.market.index else np.nan
-        return None if np.isnan(x) else float(x)
+        i = self.market.index.get(s)
+        x = math.nan if i is None else self.market.now[self.t][i]
+        return None if x != x else x
 
     def symbols(self) -> list[str]:
-        return [s for s in self.market.symbols if self.price(s) is not None]
+        return [s for s, x in zip(self.market.symbols, self.market.now[self.t]) if x == x]
 
     def value(self, s: str, kind: str, n: int, f: Callable[[pd.Series], pd.Series]) -> float | None:
-        x = self.market.series(s, kind, n, f)[self.t] if s in self.market.index else np.nan
-        return None if np.isnan(x) else float(x)
+        known = self.market.cache.get((s, kind, n))
+        if known is None:
+            if s not in self.market.index:
+                return None
+            known = self.market.series(s, kind, n, f)
+        x = known[self.t]
+        return None if x != x else x
 
     def sma(self, s: str, n: int) -> float | None:
         return self.value(s, "sma", n, lambda c: c.rolling(n).mean())
@@ -371,19 +380,9 @@ class Context:
 
 def rsi_series(c: np.ndarray, n: int) -> np.ndarray:
     """RSI with its look-back of 4n + 5 bars at each bar."""
-    from barloom.operators.recursive import Average, rolled
+    from barloom.operators.recursive import rolled, rsi
 
-    def run(f: list[np.ndarray]):
-        x = f[0]
-        up, down = Average(n, len(x), 1 / n), Average(n, len(x), 1 / n)
-        yield {"v": np.full(len(x), np.nan)}
-        for j in range(1, x.shape[1]):
-            d = x[:, j] - x[:, j - 1]
-            g, l = up.step(np.maximum(d, 0)), down.step(np.maximum(-d, 0))
-            with np.errstate(divide="ignore", invalid="ignore"):
-                yield {"v": np.where((l == 0) & (g == 0), 50, np.where(l == 0, 100, 100 - 100 / (1 + g / l)))}
-
-    return rolled([c], 4 * n + 5, run, ["v"])["v"] if len(c) else np.empty(0)
+    return rolled([c], 4 * n + 5, rsi(n), ["value"])["value"] if len(c) else np.empty(0)
 
 
 class Strategy:
@@ -408,24 +407,27 @@ def simulate(bars: pd.DataFrame, strategy: Strategy, spec: Spec, params: dict, s
     market = Market(bars)
     ctx = Context(market, spec, params)
     strategy.setup(ctx)
-    first = int(np.searchsorted(market.days, np.datetime64(start))) if start is not None else 0
-    last = int(np.searchsorted(market.days, np.datetime64(end), side="right")) if end is not None else len(market.days)
+    number = lambda d: np.datetime64(d, "D").astype(np.int64)
+    first = int(np.searchsorted(market.days, number(start))) if start is not None else 0
+    last = int(np.searchsorted(market.days, number(end), side="right")) if end is not None else len(market.days)
     ctx.start = max(first, ctx.spec.warmup)
+    months, weeks = (np.r_[True, np.diff(x) != 0].tolist() for x in (market.month, market.week))
     curve, errors = [], 0
     for t in range(ctx.start, last):
         ctx.t, ctx.fresh = t, []
         hits: list[tuple] = []
         queued, ctx.pending = ctx.pending, []
         if spec.fill == "next_open":
-            hits += ctx.run_stops()
-            ctx.execute(queued, market.o[t])
-            queued = []
-        ctx.finance()
-        ctx.mark()
+            hits += ctx.run_stops() if ctx.stops else []
+            if queued:
+                ctx.execute(queued, market.o[t])
+        if ctx.book or spec.costs.cash_pct:
+            ctx.finance()
+            ctx.mark()
         try:
-            if ctx.first_of("month"):
+            if months[t] or t == ctx.start:
                 strategy.on_month(ctx)
-            if ctx.first_of("week"):
+            if weeks[t] or t == ctx.start:
                 strategy.on_week(ctx)
             strategy.on_day(ctx)
         except Exception as e:  # a strategy's error is part of the record of the run
@@ -439,14 +441,18 @@ def simulate(bars: pd.DataFrame, strategy: Strategy, spec: Spec, params: dict, s
             strategy.on_stop(ctx, s, kind)
         for fill in ctx.fresh:
             strategy.on_fill(ctx, fill)
-        value = ctx.equity()
-        curve.append((market.days[t], value, ctx.cash, ctx.gross() / value if value else 0.0))
-    return {"curve": curve, "fills": [(market.days[f[0]], *f[1:]) for f in ctx.fills], "errors": errors, "logs": ctx.logs, **ctx.paid, "refused": len(ctx.refused)}
+        if ctx.book:
+            value = ctx.equity()
+            curve.append((t, value, ctx.cash, ctx.gross() / value if value else 0.0))
+        else:
+            curve.append((t, ctx.cash, ctx.cash, 0.0))
+    path = np.array(curve).reshape(-1, 4)
+    return {"days": market.days[path[:, 0].astype(int)], "value": path[:, 1], "cash": path[:, 2], "exposure": path[:, 3], "fills": [(int(market.days[f[0]]), *f[1:]) for f in ctx.fills], "errors": errors, "logs": ctx.logs, **ctx.paid, "refused": len(ctx.refused)}
 
 
 RUN = (
-    "run_id string, curve array<struct<bar_date:date,value:double,cash:double,exposure:double>>, "
-    "fills array<struct<bar_date:date,symbol:string,side:string,shares:double,price:double,commission:double,slippage:double,realised:double,reason:string>>, "
+    "run_id string, days array<int>, value array<double>, cash array<double>, exposure array<double>, "
+    "fills array<struct<day:int,symbol:string,side:string,shares:double,price:double,commission:double,slippage:double,realised:double,reason:string>>, "
     "errors long, borrow double, commission double, slippage double, refused long, logs array<string>"
 )
 
@@ -456,30 +462,30 @@ def backtests(bars: DataFrame, runs: DataFrame) -> DataFrame:
 
     ``runs``: run_id, strategy (a name of :mod:`barloom.plans.strategies`), symbols (array), params (JSON), options (JSON of
     :class:`Spec`), start, end (dates or null). ``bars``: adjusted, with raw close. Each run gets the bars of its symbols by an equi-join;
-    runs are spread over the cluster by run_id, and a task holds one run's universe at a time. A run without bars gives no row.
+    runs are spread over the cluster by run_id, and a task holds one run's universe at a time. A run without bars has an empty curve.
     """
     from barloom.plans.strategies import STRATEGIES
 
-    head = ["run_id", "strategy", "params", "options", "start", "end"]
-    fed = runs.select(*head, F.explode(F.array_distinct("symbols")).alias("symbol")).join(bars.select("symbol", "bar_date", *"ohlcv", "close"), "symbol")
+    wanted = runs.select(F.col("run_id").alias("of_run"), F.explode(F.array_distinct("symbols")).alias("symbol"))
+    fed = wanted.join(bars.select("symbol", F.unix_date("bar_date").alias("day"), *"ohlcv", "close"), "symbol")
+    names = [c.split()[0] for c in ("run_id", "days", "value", "cash", "exposure", "fills", "errors", "borrow", "commission", "slippage", "refused", "logs")]
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        h = pdf.iloc[0]
+    def one(run: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
+        h = run.iloc[0]
         params, options = json.loads(h["params"] or "{}"), json.loads(h["options"] or "{}")
-        pdf = pdf.assign(bar_date=pd.to_datetime(pdf["bar_date"]))
-        day = lambda x: None if x is None or pd.isna(x) else pd.Timestamp(x)
+        day = lambda x: None if x is None or pd.isna(x) else x
         r = simulate(pdf, STRATEGIES[h["strategy"]](), Spec.of(options), params, day(h["start"]), day(h["end"]))
-        date = lambda x: pd.Timestamp(x).date()
-        row = {"run_id": h["run_id"], "curve": [(date(d), *x) for d, *x in r["curve"]], "fills": [(date(d), *x) for d, *x in r["fills"]], **{k: r[k] for k in ("errors", "borrow", "commission", "slippage", "refused", "logs")}}
-        return pd.DataFrame([row])[[c.split()[0] for c in ("run_id", "curve", "fills", "errors", "borrow", "commission", "slippage", "refused", "logs")]]
+        return pd.DataFrame([{"run_id": h["run_id"], **{k: r[k] for k in names[1:]}}])[names]
 
-    return fed.groupBy("run_id").applyInPandas(one, RUN)
+    return runs.groupBy("run_id").cogroup(fed.groupBy("of_run")).applyInPandas(one, RUN)
 
 
 def curves(results: DataFrame) -> DataFrame:
-    return results.select("run_id", F.inline("curve"))
+    days = F.transform("days", lambda d: F.date_from_unix_date(d))
+    return results.select("run_id", F.inline(F.arrays_zip(days.alias("bar_date"), "value", "cash", "exposure")))
 
 
 def fills(results: DataFrame) -> DataFrame:
     """With seq, the order of execution inside a run."""
-    return results.select("run_id", F.posexplode("fills").alias("seq", "f")).select("run_id", "seq", "f.*")
+    rows = results.select("run_id", F.posexplode("fills").alias("seq", "f")).select("run_id", "seq", "f.*")
+    return rows.withColumn("bar_date", F.date_from_unix_date("day")).drop("day")

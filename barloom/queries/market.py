@@ -107,10 +107,10 @@ indicator("linreg", lambda: I.linreg(20), f"{BARS}, z as (select *, cast(row_num
 fold = lambda xs, n, step, alias: f"case when len({xs}) >= {n} then list_reduce(list_concat([list_avg({xs}[1:{n}])], {xs}[{n + 1}:]), lambda a, e: {step}) end as {alias}"
 indicator("ema", one(lambda: I.ema(10)), f"{BARS}, z as (select symbol, bar_date, list(c) over {frame(35)} as xs from y), q as (select *, {fold('xs', 10, 'e * (2.0 / 11) + a * (1 - 2.0 / 11)', 'value')} from z) select symbol, cast(bar_date as varchar) as bar_date, round(value, 6) as value from q")
 indicator("atr", one(lambda: I.atr(14)), f"{BARS}, z as (select symbol, bar_date, list(tr) filter (where tr is not null) over {frame(60)} as xs from y), q as (select *, {fold('xs', 14, '(a * 13 + e) / 14', 'value')} from z) select symbol, cast(bar_date as varchar) as bar_date, round(value, 6) as value from q")
-indicator("rsi", one(lambda: I.rsi(14)), f"{BARS}, z as (select symbol, bar_date, list(c) over {frame(61)} as xs from y), d as (select *, list_transform(xs[2:], lambda e, i: e - xs[i]) as ds from z), g as (select *, list_transform(ds, lambda e: greatest(e, 0.0)) as ups, list_transform(ds, lambda e: greatest(-e, 0.0)) as downs from d), q as (select symbol, bar_date, {fold('ups', 14, '(a * 13 + e) / 14', 'gain')}, {fold('downs', 14, '(a * 13 + e) / 14', 'loss')} from g) select symbol, cast(bar_date as varchar) as bar_date, round(case when loss = 0 and gain = 0 then 50 when loss = 0 then 100 else 100 - 100 / (1 + gain / loss) end, 6) as value from q")
+RSI = f"{BARS}, z as (select symbol, bar_date, list(c) over {frame(61)} as xs from y), d as (select *, list_transform(xs[2:], lambda e, i: e - xs[i]) as ds from z), g as (select *, list_transform(ds, lambda e: greatest(e, 0.0)) as ups, list_transform(ds, lambda e: greatest(-e, 0.0)) as downs from d), q as (select symbol, bar_date, {fold('ups', 14, '(a * 13 + e) / 14', 'gain')}, {fold('downs', 14, '(a * 13 + e) / 14', 'loss')} from g) select symbol, cast(bar_date as varchar) as bar_date, round(case when loss = 0 and gain = 0 then 50 when loss = 0 then 100 else 100 - 100 / (1 + gain / loss) end, 6) as value from q"
 indicator("keltner", lambda: I.keltner(20, 2.0))
 for kind in R.KINDS:
-    add(f"ind_{kind}", lambda s, d, k=kind: R.recursive(B.adjusted(B.counting_bars(s, d)), k).withColumn("bar_date", F.col("bar_date").cast("string")).withColumns({n: F.round(n, 6) for n in R.KINDS[k][3]}))
+    add(f"ind_{kind}", lambda s, d, k=kind: R.recursive(B.adjusted(B.counting_bars(s, d)), k).withColumn("bar_date", F.col("bar_date").cast("string")).withColumns({n: F.round(n, 6) for n in R.KINDS[k][3]}), RSI if kind == "rsi" else None)
 
 
 def with_market(spark: SparkSession, sf: str) -> DataFrame:
