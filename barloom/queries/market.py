@@ -51,13 +51,13 @@ def indicator(name: str, columns: Callable[[], dict], sql: str | None = None, pr
             df = df.withColumns(pre())
         cols = columns()
         out = df.withColumns({f"_{k}": c for k, c in cols.items()})
-        return out.select("symbol", F.col("bar_date").cast("string").alias("bar_date"), *(F.round(f"_{k}", digits).alias(k) if k != "up" else F.col(f"_{k}").alias(k) for k in cols))
+        return out.select("symbol", F.col("bar_date").cast("string").alias("bar_date"), *((F.round(f"_{k}", digits) + F.lit(0.0)).alias(k) for k in cols))
 
     add(f"ind_{name}", query, None if sql is None else sql if sql.startswith(BARS) else f"{BARS} select symbol, cast(bar_date as varchar) as bar_date, {sql} from y")
 
 
 def rounded(**cols: str) -> str:
-    return ", ".join(f"round({e}, 6) as {k}" for k, e in cols.items())
+    return ", ".join(f"round({e}, 6) + 0 as {k}" for k, e in cols.items())
 
 
 def when_full(n: int, e: str, x: str = "c") -> str:
@@ -85,12 +85,12 @@ indicator("volatility", one(lambda: I.volatility(20)), rounded(value=when_full(2
 indicator("drawdown", one(lambda: I.drawdown(252)), rounded(value=f"c / max(c) over {frame(252)} - 1"))
 weighted_sql = lambda n, x="c": f"list_sum(list_transform({hist(x, n)}, lambda e, i: e * i)) / {n * (n + 1) / 2}"
 indicator("wma", one(lambda: I.wma(20)), rounded(value=when_full(20, weighted_sql(20))))
-indicator("hma", one(lambda: I.hma(20)), f"{BARS}, z as (select *, 2 * ({when_full(10, weighted_sql(10))}) - ({when_full(20, weighted_sql(20))}) as hi from y) select symbol, cast(bar_date as varchar) as bar_date, round({when_full(4, weighted_sql(4, 'hi'), 'hi')}, 6) as value from z", pre=lambda: {"hma_input": I.hma_input(20)})
+indicator("hma", one(lambda: I.hma(20)), f"{BARS}, z as (select *, 2 * ({when_full(10, weighted_sql(10))}) - ({when_full(20, weighted_sql(20))}) as hi from y) select symbol, cast(bar_date as varchar) as bar_date, round({when_full(4, weighted_sql(4, 'hi'), 'hi')}, 6) + 0 as value from z", pre=lambda: {"hma_input": I.hma_input(20)})
 kk = when_full(14, f"case when {mx('h', 14)} = {mn('l', 14)} then 50 else 100 * (c - {mn('l', 14)}) / ({mx('h', 14)} - {mn('l', 14)}) end")
-indicator("stochastic", lambda: {"k": F.col("k"), "d": I.sma(3, "k")}, f"{BARS}, z as (select *, {kk} as k from y) select symbol, cast(bar_date as varchar) as bar_date, round(k, 6) as k, round({when_full(3, f'avg(k) over {frame(3)}', 'k')}, 6) as d from z", pre=lambda: {"k": I.stochastic_k(14)})
+indicator("stochastic", lambda: {"k": F.col("k"), "d": I.sma(3, "k")}, f"{BARS}, z as (select *, {kk} as k from y) select symbol, cast(bar_date as varchar) as bar_date, round(k, 6) + 0 as k, round({when_full(3, f'avg(k) over {frame(3)}', 'k')}, 6) + 0 as d from z", pre=lambda: {"k": I.stochastic_k(14)})
 indicator("williams_r", one(lambda: I.williams_r(14)), rounded(value=when_full(14, f"case when {mx('h', 14)} <> {mn('l', 14)} then -100 * ({mx('h', 14)} - c) / ({mx('h', 14)} - {mn('l', 14)}) end")))
-indicator("cci", one(lambda: I.cci(20)), f"{BARS}, z as (select *, list(tp) over {frame(20)} as xs, avg(tp) over {frame(20)} as m from y), q as (select *, list_avg(list_transform(xs, lambda e: abs(e - m))) as dev from z) select symbol, cast(bar_date as varchar) as bar_date, round(case when len(xs) = 20 then case when dev = 0 then 0 else (tp - m) / (0.015 * dev) end end, 6) as value from q")
-indicator("obv", one(lambda: I.obv(60)), f"{BARS}, z as (select *, case when pc is not null then sign(c - pc) * v end as sv from y) select symbol, cast(bar_date as varchar) as bar_date, round({when_full(60, f'sum(sv) over {frame(59)}')}, 2) as value from z", digits=2)
+indicator("cci", one(lambda: I.cci(20)), f"{BARS}, z as (select *, list(tp) over {frame(20)} as xs, avg(tp) over {frame(20)} as m from y), q as (select *, list_avg(list_transform(xs, lambda e: abs(e - m))) as dev from z) select symbol, cast(bar_date as varchar) as bar_date, round(case when len(xs) = 20 then case when dev = 0 then 0 else (tp - m) / (0.015 * dev) end end, 6) + 0 as value from q")
+indicator("obv", one(lambda: I.obv(60)), f"{BARS}, z as (select *, case when pc is not null then sign(c - pc) * v end as sv from y) select symbol, cast(bar_date as varchar) as bar_date, round({when_full(60, f'sum(sv) over {frame(59)}')}, 2) + 0 as value from z", digits=2)
 up, down = (f"sum(case when tp {o} ptp then tp * v else 0 end) over {frame(14)}" for o in "><")
 indicator("mfi", one(lambda: I.mfi(14)), rounded(value=f"case when count(ptp) over {frame(14)} = 14 then case when {down} = 0 and {up} = 0 then null when {down} = 0 then 100 else 100 - 100 / (1 + {up} / {down}) end end"))
 indicator("vwap", one(lambda: I.vwap(20)), rounded(value=when_full(20, f"sum(tp * v) over {frame(20)} / nullif(sum(v) over {frame(20)}, 0)")))
@@ -103,14 +103,14 @@ mid = lambda n: when_full(n, f"({mx('h', n)} + {mn('l', n)}) / 2", "h")  # noqa:
 indicator("ichimoku", lambda: I.ichimoku(), rounded(conversion=mid(9), base=mid(26), span_a=f"(({mid(9)}) + ({mid(26)})) / 2", span_b=mid(52)))
 rng, trs = f"({mx('h', 14)} - {mn('l', 14)})", f"sum(tr) over {frame(14)}"
 indicator("choppiness", one(lambda: I.choppiness(14)), rounded(value=f"case when count(tr) over {frame(14)} = 14 and {rng} > 0 and {trs} > 0 then 100 * log10({trs} / {rng}) / log10(14) end"))
-indicator("linreg", lambda: I.linreg(20), f"{BARS}, z as (select *, cast(row_number() over {ORDER} as double) as i from y), q as (select symbol, bar_date, i, count(c) over {frame(20)} as n, regr_slope(c, i) over {frame(20)} as s, avg(c) over {frame(20)} as m, avg(i) over {frame(20)} as mi, regr_r2(c, i) over {frame(20)} as r2 from z) select symbol, cast(bar_date as varchar) as bar_date, case when n = 20 then round(s, 6) end as slope, case when n = 20 then round(m - s * (mi - (i - 19)), 6) end as intercept, case when n = 20 then round(r2, 6) end as r2, case when n = 20 then round(m - s * (mi - (i - 19)) + s * 20, 6) end as forecast from q")
+indicator("linreg", lambda: I.linreg(20), f"{BARS}, z as (select *, cast(row_number() over {ORDER} as double) as i from y), q as (select symbol, bar_date, i, count(c) over {frame(20)} as n, regr_slope(c, i) over {frame(20)} as s, avg(c) over {frame(20)} as m, avg(i) over {frame(20)} as mi, regr_r2(c, i) over {frame(20)} as r2 from z) select symbol, cast(bar_date as varchar) as bar_date, case when n = 20 then round(s, 6) + 0 end as slope, case when n = 20 then round(m - s * (mi - (i - 19)), 6) + 0 end as intercept, case when n = 20 then round(r2, 6) + 0 end as r2, case when n = 20 then round(m - s * (mi - (i - 19)) + s * 20, 6) + 0 end as forecast from q")
 fold = lambda xs, n, step, alias: f"case when len({xs}) >= {n} then list_reduce(list_concat([list_avg({xs}[1:{n}])], {xs}[{n + 1}:]), lambda a, e: {step}) end as {alias}"
-indicator("ema", one(lambda: I.ema(10)), f"{BARS}, z as (select symbol, bar_date, list(c) over {frame(35)} as xs from y), q as (select *, {fold('xs', 10, 'e * (2.0 / 11) + a * (1 - 2.0 / 11)', 'value')} from z) select symbol, cast(bar_date as varchar) as bar_date, round(value, 6) as value from q")
-indicator("atr", one(lambda: I.atr(14)), f"{BARS}, z as (select symbol, bar_date, list(tr) filter (where tr is not null) over {frame(60)} as xs from y), q as (select *, {fold('xs', 14, '(a * 13 + e) / 14', 'value')} from z) select symbol, cast(bar_date as varchar) as bar_date, round(value, 6) as value from q")
-RSI = f"{BARS}, z as (select symbol, bar_date, list(c) over {frame(61)} as xs from y), d as (select *, list_transform(xs[2:], lambda e, i: e - xs[i]) as ds from z), g as (select *, list_transform(ds, lambda e: greatest(e, 0.0)) as ups, list_transform(ds, lambda e: greatest(-e, 0.0)) as downs from d), q as (select symbol, bar_date, {fold('ups', 14, '(a * 13 + e) / 14', 'gain')}, {fold('downs', 14, '(a * 13 + e) / 14', 'loss')} from g) select symbol, cast(bar_date as varchar) as bar_date, round(case when loss = 0 and gain = 0 then 50 when loss = 0 then 100 else 100 - 100 / (1 + gain / loss) end, 6) as value from q"
+indicator("ema", one(lambda: I.ema(10)), f"{BARS}, z as (select symbol, bar_date, list(c) over {frame(35)} as xs from y), q as (select *, {fold('xs', 10, 'e * (2.0 / 11) + a * (1 - 2.0 / 11)', 'value')} from z) select symbol, cast(bar_date as varchar) as bar_date, round(value, 6) + 0 as value from q")
+indicator("atr", one(lambda: I.atr(14)), f"{BARS}, z as (select symbol, bar_date, list(tr) filter (where tr is not null) over {frame(60)} as xs from y), q as (select *, {fold('xs', 14, '(a * 13 + e) / 14', 'value')} from z) select symbol, cast(bar_date as varchar) as bar_date, round(value, 6) + 0 as value from q")
+RSI = f"{BARS}, z as (select symbol, bar_date, list(c) over {frame(61)} as xs from y), d as (select *, list_transform(xs[2:], lambda e, i: e - xs[i]) as ds from z), g as (select *, list_transform(ds, lambda e: greatest(e, 0.0)) as ups, list_transform(ds, lambda e: greatest(-e, 0.0)) as downs from d), q as (select symbol, bar_date, {fold('ups', 14, '(a * 13 + e) / 14', 'gain')}, {fold('downs', 14, '(a * 13 + e) / 14', 'loss')} from g) select symbol, cast(bar_date as varchar) as bar_date, round(case when loss = 0 and gain = 0 then 50 when loss = 0 then 100 else 100 - 100 / (1 + gain / loss) end, 6) + 0 as value from q"
 indicator("keltner", lambda: I.keltner(20, 2.0))
 for kind in R.KINDS:
-    add(f"ind_{kind}", lambda s, d, k=kind: R.recursive(B.adjusted(B.counting_bars(s, d)), k).withColumn("bar_date", F.col("bar_date").cast("string")).withColumns({n: F.round(n, 6) for n in R.KINDS[k][3]}), RSI if kind == "rsi" else None)
+    add(f"ind_{kind}", lambda s, d, k=kind: R.recursive(B.adjusted(B.counting_bars(s, d)), k).withColumn("bar_date", F.col("bar_date").cast("string")).withColumns({n: F.round(n, 6) + F.lit(0.0) for n in R.KINDS[k][3]}), RSI if kind == "rsi" else None)
 
 
 def with_market(spark: SparkSession, sf: str) -> DataFrame:
@@ -120,10 +120,10 @@ def with_market(spark: SparkSession, sf: str) -> DataFrame:
     return df.join(mean, "bar_date")
 
 
-PAIR = BARS + ", m as (select bar_date, avg(r) as rb from y group by bar_date), z as (select y.symbol, y.bar_date, r, rb from y join m on y.bar_date = m.bar_date) select symbol, cast(bar_date as varchar) as bar_date, round({e}, 6) as value from z"
+PAIR = BARS + ", m as (select bar_date, avg(r) as rb from y group by bar_date), z as (select y.symbol, y.bar_date, r, rb from y join m on y.bar_date = m.bar_date) select symbol, cast(bar_date as varchar) as bar_date, round({e}, 6) + 0 as value from z"
 both = f"count(case when r is not null and rb is not null then 1 end) over {frame(60)} = 60"
-add("ind_correlation", lambda s, d: with_market(s, d).select("symbol", F.col("bar_date").cast("string").alias("bar_date"), F.round(I.correlation(60), 6).alias("value")), PAIR.format(e=f"case when {both} and min(r) over {frame(60)} <> max(r) over {frame(60)} then corr(r, rb) over {frame(60)} end"))
-add("ind_beta", lambda s, d: with_market(s, d).select("symbol", F.col("bar_date").cast("string").alias("bar_date"), F.round(I.beta(60), 6).alias("value")), PAIR.format(e=f"case when {both} then covar_pop(r, rb) over {frame(60)} / var_pop(rb) over {frame(60)} end"))
+add("ind_correlation", lambda s, d: with_market(s, d).select("symbol", F.col("bar_date").cast("string").alias("bar_date"), (F.round(I.correlation(60), 6) + F.lit(0.0)).alias("value")), PAIR.format(e=f"case when {both} and min(r) over {frame(60)} <> max(r) over {frame(60)} then corr(r, rb) over {frame(60)} end"))
+add("ind_beta", lambda s, d: with_market(s, d).select("symbol", F.col("bar_date").cast("string").alias("bar_date"), (F.round(I.beta(60), 6) + F.lit(0.0)).alias("value")), PAIR.format(e=f"case when {both} then covar_pop(r, rb) over {frame(60)} / var_pop(rb) over {frame(60)} end"))
 
 # -- lookups, resampling, calendar -------------------------------------------------------------------------------------------
 
