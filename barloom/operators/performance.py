@@ -142,3 +142,20 @@ def episodes(curve: DataFrame, exposure: str = "exposure") -> DataFrame:
     on = (F.coalesce(F.col(exposure), F.lit(0.0)) > 0).cast("int")
     c = curve.withColumn("on", on).withColumn("start", ((F.col("on") == 1) & (F.coalesce(F.lag("on").over(w), F.lit(0)) == 0)).cast("int")).withColumn("episode", F.sum("start").over(w))
     return c.where("on = 1").groupBy("run_id", "episode").agg(F.min("bar_date").alias("first_day"), F.max("bar_date").alias("last_day"), F.count("*").alias("bars"))
+
+
+def regimes(curve: DataFrame, benchmark: DataFrame, window: int = 63) -> DataFrame:
+    """Per run and regime of the benchmark (bar_date, value): compounded return and bars.
+
+    A bar is ``bear`` where the benchmark is 10 % or more under its peak, else ``calm``, ``normal`` or ``high`` by the third in which its
+    volatility of ``window`` bars lies; bars before the first volatility are left out. The benchmark is one series, a row per day.
+    """
+    w = W.orderBy("bar_date")
+    b = benchmark.withColumn("_r", F.col("value") / F.lag("value").over(w) - 1)
+    span = w.rowsBetween(-(window - 1), 0)
+    b = b.withColumns({"_n": F.count("_r").over(span), "_v": F.stddev_samp("_r").over(span), "_d": F.col("value") / F.max("value").over(w.rowsBetween(W.unboundedPreceding, 0)) - 1}).where(F.col("_n") == window)
+    third = b.agg(F.percentile("_v", F.lit(1 / 3)).alias("lo"), F.percentile("_v", F.lit(2 / 3)).alias("hi"))
+    label = F.when(F.col("_d") <= -0.1, "bear").when(F.col("_v") <= F.col("lo"), "calm").when(F.col("_v") <= F.col("hi"), "normal").otherwise("high")
+    kinds = b.join(F.broadcast(third)).select("bar_date", label.alias("regime"))  # one row of thirds
+    c = with_returns(curve).where("r is not null and r > -1").join(kinds, "bar_date")
+    return c.groupBy("run_id", "regime").agg((F.exp(F.sum(F.log1p("r"))) - 1).alias("compounded"), F.count("*").alias("bars"))

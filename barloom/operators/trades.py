@@ -25,23 +25,24 @@ def fills_of(books: DataFrame) -> DataFrame:
     return changed.unionByName(closed).where("shares != 0")
 
 
-def round_trips(fills: DataFrame) -> DataFrame:
+def round_trips(fills: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
     """Match sales to purchases first in, first out, for long books: run_id, symbol, entry and exit day and price, shares, open, pnl.
 
     Purchases and sales of a symbol are laid end to end by cumulative shares. Every end of a purchase or sale is a cut;
     each piece between two cuts belongs to the purchase and the sale that end at or after it, which are carried back from the
     later cuts. So n fills give at most n pieces, without joining purchases with sales. What is left at the end is open.
+    Columns named in ``carried`` (as reason) are kept from both fills as entry_<name> and exit_<name>.
     """
     order = W.partitionBy("run_id", "symbol", "side").orderBy("seq", "bar_date", "price").rowsBetween(W.unboundedPreceding, 0)
     f = fills.where("shares != 0").withColumn("side", F.when(F.col("shares") > 0, "buy").otherwise("sell")).withColumn("upto", F.round(F.sum(F.abs("shares")).over(order), 6))
-    lot = lambda s: F.when(F.col("side") == s, F.struct("bar_date", "price", "seq"))
+    lot = lambda s: F.when(F.col("side") == s, F.struct("bar_date", "price", "seq", *carried))
     cuts = f.groupBy("run_id", "symbol", "upto").agg(F.max(lot("buy")).alias("b"), F.max(lot("sell")).alias("s"))
     later = W.partitionBy("run_id", "symbol").orderBy("upto").rowsBetween(W.currentRow, W.unboundedFollowing)
     prior = F.coalesce(F.lag("upto").over(W.partitionBy("run_id", "symbol").orderBy("upto")), F.lit(0.0))
     pieces = cuts.select("run_id", "symbol", (F.col("upto") - prior).alias("shares"), F.first("b", ignorenulls=True).over(later).alias("b"), F.first("s", ignorenulls=True).over(later).alias("s"))
-    t = pieces.where("b is not null").select("run_id", "symbol", F.col("b.bar_date").alias("entry_day"), F.col("b.price").alias("entry_price"), F.col("s.bar_date").alias("exit_day"), F.col("s.price").alias("exit_price"), "shares", F.col("b.seq").alias("entry_seq"), F.col("s.seq").alias("exit_seq"))
+    t = pieces.where("b is not null").select("run_id", "symbol", F.col("b.bar_date").alias("entry_day"), F.col("b.price").alias("entry_price"), F.col("s.bar_date").alias("exit_day"), F.col("s.price").alias("exit_price"), "shares", F.col("b.seq").alias("entry_seq"), F.col("s.seq").alias("exit_seq"), *(F.col(f"b.{c}").alias(f"entry_{c}") for c in carried), *(F.col(f"s.{c}").alias(f"exit_{c}") for c in carried))
     # pieces of one purchase and one sale belong together
-    t = t.groupBy("run_id", "symbol", "entry_seq", "exit_seq", "entry_day", "exit_day", "entry_price", "exit_price").agg(F.sum("shares").alias("shares"))
+    t = t.groupBy("run_id", "symbol", "entry_seq", "exit_seq", "entry_day", "exit_day", "entry_price", "exit_price", *(f"{e}_{c}" for c in carried for e in ("entry", "exit"))).agg(F.sum("shares").alias("shares"))
     return t.withColumns({"open": F.col("exit_day").isNull(), "pnl": (F.col("exit_price") - F.col("entry_price")) * F.col("shares"), "ret": F.col("exit_price") / F.when(F.col("entry_price") != 0, F.col("entry_price")) - 1})
 
 
@@ -97,3 +98,11 @@ def decay(trades: DataFrame, bars: DataFrame, horizons: tuple[int, ...] = (1, 2,
     at = entries.withColumn("horizon", F.explode(F.array(*map(F.lit, horizons)))).withColumn("to", F.least(F.col("no") + F.col("horizon"), F.col("n")))
     later = b.select("symbol", F.col("no").alias("to"), F.col("c").alias("c1"))
     return at.join(later, ["symbol", "to"]).groupBy("horizon").agg(F.avg(F.col("c1") / F.col("c0") - 1).alias("mean_return"), F.count("*").alias("trades"))
+
+
+def by_reason(trades: DataFrame, column: str) -> DataFrame:
+    """Per run and reason (compared without case; shown as first spelt): trades, wins, net result, share of the sum of absolute results."""
+    t = trades.where("not open").withColumn("_key", F.lower(F.coalesce(column, F.lit(""))))
+    g = t.groupBy("run_id", "_key").agg(F.min_by(F.coalesce(column, F.lit("")), F.struct("entry_seq", "symbol", column)).alias("reason"), F.count("*").alias("trades"), F.count(F.when(F.col("pnl") > 0, 1)).alias("wins"), F.sum("pnl").alias("net"))
+    whole = F.sum(F.abs("net")).over(W.partitionBy("run_id"))
+    return g.withColumn("share", F.col("net") / F.when(whole != 0, whole)).drop("_key")

@@ -189,13 +189,16 @@ select symbol, cast(bar_date as varchar) as after_day, cast(nd as varchar) as be
 
 
 def month_ends(s: SparkSession, d: str) -> DataFrame:
-    """All symbols at the last session of each month of the calendar."""
+    """Each symbol at the last session of each month of the calendar, from two months before its first bar to two after its last."""
     b = B.counting_bars(s, d)
-    ends = b.groupBy(F.date_trunc("month", "bar_date").alias("m")).agg(F.max("bar_date").alias("bar_date")).select("bar_date")
-    return b.select("symbol").distinct().join(F.broadcast(ends))  # the month ends of a calendar: some 12 a year
+    ends = b.groupBy(F.trunc("bar_date", "month").alias("m")).agg(F.max("bar_date").alias("bar_date"))
+    month = lambda c, n: F.add_months(F.trunc(c, "month"), n)
+    spans = b.groupBy("symbol").agg(F.min("bar_date").alias("a"), F.max("bar_date").alias("z"))
+    wanted = spans.select("symbol", F.explode(F.sequence(month("a", -2), month("z", 2), F.expr("interval 1 month"))).alias("m"))
+    return wanted.join(ends, "m").select("symbol", "bar_date")
 
 
-ENDS = f"{BARS}, e as (select max(bar_date) as bar_date from b group by date_trunc('month', bar_date)), l as (select s.symbol, e.bar_date from (select distinct symbol from b) s cross join e)"
+ENDS = f"{BARS}, e as (select max(bar_date) as bar_date, date_trunc('month', bar_date) as m from b group by date_trunc('month', bar_date)), l as (select s.symbol, e.bar_date from (select symbol, date_trunc('month', min(bar_date)) - interval 2 month as a, date_trunc('month', max(bar_date)) + interval 2 month as z from b group by symbol) s join e on e.m between s.a and s.z)"
 add("join_asof", lambda s, d: dated(B.asof(month_ends(s, d), B.counting_bars(s, d), ["symbol"], "bar_date", ["close"]), "bar_date"), f"{ENDS} select l.symbol, cast(l.bar_date as varchar) as bar_date, b.close from l asof left join b on l.symbol = b.symbol and l.bar_date >= b.bar_date")
 add("join_asof_lagged", lambda s, d: dated(B.asof(month_ends(s, d), B.counting_bars(s, d), ["symbol"], "bar_date", ["close"], lag_days=F.lit(30)), "bar_date"), f"{ENDS} select l.symbol, cast(l.bar_date as varchar) as bar_date, b.close from l asof left join b on l.symbol = b.symbol and l.bar_date - 30 >= b.bar_date")
 add("join_asof_back_filled", lambda s, d: dated(B.asof(month_ends(s, d), B.counting_bars(s, d), ["symbol"], "bar_date", ["close"], back_fill=True), "bar_date"), f"{ENDS}, f as (select symbol, arg_min(close, bar_date) as first_close from b group by symbol), j as (select l.symbol, l.bar_date, b.close from l asof left join b on l.symbol = b.symbol and l.bar_date >= b.bar_date) select j.symbol, cast(j.bar_date as varchar) as bar_date, coalesce(j.close, first_close) as close from j join f on j.symbol = f.symbol")
