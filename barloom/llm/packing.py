@@ -156,6 +156,8 @@ def packed(documents: DataFrame, capacities: DataFrame, vocabulary: str = VOCABU
     kinds = [(r["container"], int(r["capacity_tokens"])) for r in capacities.where("capacity_tokens > 0 and container is not null").select("container", "capacity_tokens").distinct().limit(1001).collect()]
     if len(kinds) > 1000:
         raise ValueError("capacities is to be a short list")
+    if not kinds:
+        return spark.createDataFrame([], "container string, bin string, doc_id long, part long, start_token long, tokens long, bin_tokens long")
     numbered = documents.select(F.monotonically_increasing_id().alias("row_no"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     sized = cut(numbered.mapInPandas(sizes(vocabulary), "row_no long, doc_id long, tokens long, terms array<int>, counts array<int>"))
     docs, total = sized.agg(F.count("*"), F.sum(F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, x: a + x))).first()
@@ -163,8 +165,8 @@ def packed(documents: DataFrame, capacities: DataFrame, vocabulary: str = VOCABU
     for r in sized.select(F.explode("terms").alias("t")).groupBy("t").count().toLocalIterator():  # at most BINS rows
         held[r["t"]] = r["count"]
     shared = spark.sparkContext.broadcast(held)
-    kind = spark.createDataFrame(kinds, "container string, capacity long")
-    each = sized.join(F.broadcast(kind))  # a fixed number of rows a text, one for each capacity
+    kind = F.array(*(F.struct(F.lit(c).alias("container"), F.lit(n).cast("bigint").alias("capacity")) for c, n in sorted(kinds)))
+    each = sized.select("*", F.inline(kind))  # a fixed number of rows a text, one for each capacity
     whole = F.floor(F.col("tokens") / F.col("capacity"))
     rest = F.struct(whole.alias("part"), (whole * F.col("capacity")).alias("start_token"), (F.col("tokens") - whole * F.col("capacity")).alias("tokens"))
     chunks = F.when(whole > 0, F.transform(F.sequence(F.lit(0).cast("bigint"), whole - 1), lambda k: F.struct(k.alias("part"), (k * F.col("capacity")).alias("start_token"), F.col("capacity").alias("tokens")))).otherwise(F.array().cast("array<struct<part:bigint,start_token:bigint,tokens:bigint>>"))
