@@ -54,10 +54,11 @@ TAGS = "a abbr b blockquote body br center code dd div dl dt em font footer form
 
 NAME = r"[^\W\d_][\w]*(?:[._ -][^\W_]\w*){0,4}"
 STRONG = re.compile(
+    r"(?=[{<%$#@\[_?XxA-Z])(?:"  # what a field can begin with: all other places are passed by at once
     rf"\{{\{{[^{{}}\n]{{1,60}}\}}\}}|\{{%[^{{}}\n]{{1,60}}%\}}|<%[^<>\n]{{1,60}}%>|[$#]\{{[^{{}}\n]{{1,60}}\}}|%%{NAME}%%|@@{NAME}@@|\[\[{NAME}\]\]|<<{NAME}>>"
     rf"|_{{2,}}{NAME.replace('[\\w]*', '[^\\W_]*')}_{{2,}}|\$[^\W\d_][\w.]*\$|(?<![\w%])%[^\W\d_][\w.]+%(?!\w)|\{{\d{{1,2}}\}}|(?<![\w%])%[sd](?!\w)"
     r"|\[(?:INSERT|INSÉRER|INSERER|ENTER|ADD)\s[^\[\]\n]{1,50}\]|\[[^\[\]\n]{1,50}\s(?:here|HERE|EINFÜGEN|einfügen|ERGÄNZEN|À COMPLÉTER|à compléter|A COMPLETER|ICI)\]|\[(?:TBC|TBD|TODO)\b"
-    r"|\[\.{3}[^\W\d_][^\[\]\n]{0,40}\.{3}\]|\[[●•○■□]+\]|(?<![\w_])_{5,}(?![\w_])|(?<![\w?])\?{4,}|\bXX[./-]XX[./-]XX(?:XX)?\b|(?i:\bx{5,}\b)|\b[A-Z]{2,}(?:_[A-Z]{2,})+\b|\bTODO\b"
+    r"|\[\.{3}[^\W\d_][^\[\]\n]{0,40}\.{3}\]|\[[●•○■□]+\]|(?<![\w_])_{5,}(?![\w_])|(?<![\w?])\?{4,}|\bXX[./-]XX[./-]XX(?:XX)?\b|(?i:\bx{5,}\b)|\b[A-Z]{2,}(?:_[A-Z]{2,})+\b|\bTODO\b)"
 )
 WEAK = re.compile(r"\{([^\W\d_][\w.]{1,40})\}|<([^\W\d_][\w.]{1,40})>|\[([^\W\d_][\w.]{1,40}(?: [^\W\d_]\w{1,20})?)\]")
 BREAK = re.compile(r"(?<=[.!?:…])\s+|\s*\n\s*|\s+[-–—]\s+|(?<=[.:])[-–—]+\s*|\s*[\[\]()]+\s*")
@@ -78,8 +79,11 @@ def weak(match: re.Match) -> str:
     return FIELD if made or re.search(r"\w[_.]\w", name) else match.group()
 
 
+MARK = re.compile(r"[{<\[%$@_#]|\?{4}|[xX]{2}|TODO")
+
+
 def masked(text: str) -> str:
-    return WEAK.sub(weak, STRONG.sub(f" {FIELD} ", text)) if re.search(r"[{}<\[\]%$#@_?]|[xX]{2}|TODO", text) else text
+    return WEAK.sub(weak, STRONG.sub(f" {FIELD} ", text)) if MARK.search(text) else text
 
 
 def tokens_of(passage: str) -> list[str]:
@@ -88,8 +92,8 @@ def tokens_of(passage: str) -> list[str]:
 
 
 def passages(text: str) -> list[list[str]]:
-    """The windows of a text: its sentences and lines, as tokens."""
-    return [t for t in map(tokens_of, BREAK.split(masked(text))) if t]
+    """The windows of a text whose fields are masked: its sentences and lines, as tokens."""
+    return [t for t in map(tokens_of, BREAK.split(text)) if t]
 
 
 def exemplars() -> list[tuple[str, list[str]]]:
@@ -114,7 +118,7 @@ def counter(known: set[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.D
         for batch in batches:
             seen: Counter[str] = Counter({"": len(batch)})
             for text in batch["text"]:
-                seen.update({t for p in passages(text) for t in p} & known)
+                seen.update(set(tokens_of(text)) & known)
             yield pd.DataFrame({"token": list(seen.keys()), "n": list(seen.values())})
 
     return run
@@ -139,6 +143,10 @@ class Index:
         self.leads = {t for t, w in self.weights.items() if w >= self.least or t == FIELD} - {"0"}
         self.totals = [sum(self.weights[t] * k for t, k in e.items()) for _, e in self.exemplars]
 
+    def may_lead(self, text: str) -> bool:
+        """Whether any window of the text can be looked up at all."""
+        return not self.leads.isdisjoint(own := tokens_of(text)) or not self.repeated.isdisjoint(own)
+
     def kind_of(self, passage: list[str]) -> str | None:
         """The kind of residue the passage is, or None."""
         own = Counter(passage)
@@ -187,6 +195,9 @@ def scanner(index: Index) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.Data
         for batch in batches:
             rows = []
             for doc, text in zip(batch["doc_id"], batch["text"]):
+                text = masked(text)
+                if FIELD not in text and not index.may_lead(text):
+                    continue
                 kinds = [k for k in map(index.kind_of, passages(text)) if k]
                 if kinds:
                     rows.append((doc, Counter(kinds).most_common(1)[0][0], len(kinds)))
