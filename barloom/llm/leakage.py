@@ -25,6 +25,19 @@ def shingles(words: list[str], size: int = SHINGLE) -> list[int]:
     return [digest(" ".join(words[p : p + size])) - (1 << 63) for p in range(len(words) - size + 1)]
 
 
+def shared(words: list[str], vocabulary: frozenset[str], size: int = SHINGLE) -> Iterator[tuple[int, int]]:
+    """Place and hash of the shingles whose words all belong to the vocabulary: no other can be wanted, and most words of
+    a corpus end a run, so few are hashed."""
+    digest, run = xxhash.xxh3_64_intdigest, 0
+    for p, w in enumerate(words):
+        if w in vocabulary:
+            run += 1
+            if run >= size:
+                yield p - size + 1, digest(" ".join(words[p - size + 1 : p + 1])) - (1 << 63)
+        else:
+            run = 0
+
+
 def item_windows(window: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """Each item's windows with their shingles: item_id, start, sh, place (of the shingle in the window), passage."""
 
@@ -42,16 +55,18 @@ def item_windows(window: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.
     return run
 
 
-def counter(wanted) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def counter(wanted=None) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """Documents that hold each wanted shingle, summed per batch before anything is shuffled."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keep = wanted.value if wanted is not None else None
+        keep, vocabulary = wanted.value if wanted is not None else (None, None)
         for batch in batches:
             seen: Counter[int] = Counter()
             for text in batch["text"]:
-                own = {s for words in readings_of(text) for s in shingles(words)}
-                seen.update(own if keep is None else own & keep)
+                if keep is None:
+                    seen.update({s for words in readings_of(text) for s in shingles(words)})
+                else:
+                    seen.update({s for words in readings_of(text) for _, s in shared(words, vocabulary)} & keep)
             yield pd.DataFrame({"sh": pd.Series(list(seen.keys()), dtype="int64"), "n": pd.Series(list(seen.values()), dtype="int64")})
 
     return run
@@ -61,14 +76,15 @@ def probe(prefixes, window: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[
     """Look up each document's shingles among the prefix tokens, apply the bounds and verify."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens: dict[int, list[tuple[int, int, str]]] = prefixes.value
+        tokens: dict[int, list[tuple[int, int, str]]]
+        tokens, vocabulary = prefixes.value
         for batch in batches:
             found: set[tuple[int, int]] = set()
             for doc, text in zip(batch["doc_id"], batch["text"]):
                 for words in readings_of(text):
                     if len(words) < window:  # length bound
                         continue
-                    for at, s in enumerate(shingles(words)):
+                    for at, s in shared(words, vocabulary):
                         for item, place, passage in tokens.get(s, ()):
                             start = at - place
                             if start < 0 or start + window > len(words) or (doc, item) in found:  # positional bound
@@ -131,7 +147,7 @@ def leaks(documents: DataFrame, items: DataFrame, window: int = WINDOW, broadcas
 def leaks_small(docs: DataFrame, windows: DataFrame, window: int) -> DataFrame:
     context = docs.sparkSession.sparkContext
     local = windows.toPandas()
-    wanted = context.broadcast(frozenset(local["sh"]))
+    wanted = context.broadcast((frozenset(local["sh"]), frozenset(w for p in local["passage"] for w in p.split())))
     counts = docs.select("text").mapInPandas(counter(wanted), "sh long, n long").groupBy("sh").agg(F.sum("n").alias("n"))
     held = {r["sh"]: r["n"] for r in counts.collect()}  # at most one row per token of the items
     tokens: dict[int, list[tuple[int, int, str]]] = defaultdict(list)
@@ -139,12 +155,13 @@ def leaks_small(docs: DataFrame, windows: DataFrame, window: int) -> DataFrame:
         ranked = min((held.get(s, 0), s, k) for s, k in zip(rows["sh"].tolist(), rows["place"].tolist()))
         if ranked[0]:
             tokens[ranked[1]].append((int(item), ranked[2], rows["passage"].iloc[0]))
-    return docs.mapInPandas(probe(context.broadcast(dict(tokens)), window), "doc_id long, item_id long").distinct()
+    vocabulary = frozenset(w for found in tokens.values() for *_, passage in found for w in passage.split())
+    return docs.mapInPandas(probe(context.broadcast((dict(tokens), vocabulary)), window), "doc_id long, item_id long").distinct()
 
 
 def leaks_shuffled(docs: DataFrame, windows: DataFrame, window: int) -> DataFrame:
     spread = docs.mapInPandas(spelled, "doc_id long, reading int, at int, n int, sh long")
-    held = docs.select("text").mapInPandas(counter(None), "sh long, n long").groupBy("sh").agg(F.sum("n").alias("n"))
+    held = docs.select("text").mapInPandas(counter(), "sh long, n long").groupBy("sh").agg(F.sum("n").alias("n"))
     ranked = windows.join(held, "sh", "left").groupBy("item_id", "start").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "sh", "place", "passage")).alias("p"))
     prefixes = ranked.where("p.n > 0").select("item_id", F.col("p.sh").alias("sh"), F.col("p.place").alias("place"), F.col("p.passage").alias("passage"))
     start = F.col("at") - F.col("place")
