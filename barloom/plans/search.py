@@ -132,6 +132,31 @@ def combinatorial(trials: DataFrame, groups: int = 6, tests: int = 2, embargo: i
     return r.where("pick = 1").select("symbol", "split", "fast", "slow", seen("a").alias("train_sharpe"), seen("b").alias("test_sharpe"), (F.col("under") < (F.col("k") - 1) / 2).alias("below"))
 
 
+def paths(trials: DataFrame, chosen: DataFrame, groups: int = 6, tests: int = 2) -> DataFrame:
+    """Whole histories put together from the test groups of :func:`combinatorial`: symbol, path, compounded return.
+
+    Each group is tested in several splits; the p-th of them gives the group's part of path p.
+    """
+    length = trials.groupBy("symbol").agg((F.max("no") + 1).alias("_t"))
+    g = F.floor(F.col("no") * groups / F.col("_t"))
+    parts = trials.join(length, "symbol").groupBy("symbol", "fast", "slow", g.alias("g")).agg(F.sum(F.log1p("r")).alias("log"))
+    plan = [(i, x) for i, c in enumerate(itertools.combinations(range(groups), tests)) for x in c]
+    tested = trials.sparkSession.createDataFrame(plan, "split int, g long")
+    j = chosen.select("symbol", "split", "fast", "slow").join(F.broadcast(tested), "split").join(parts, ["symbol", "fast", "slow", "g"])
+    j = j.withColumn("path", F.row_number().over(W.partitionBy("symbol", "g").orderBy("split")))
+    return j.groupBy("symbol", "path").agg((F.exp(F.sum("log")) - 1).alias("total_return"), F.count("*").alias("groups"))
+
+
+def holdout(trials: DataFrame, share: float = 0.7, periods: float = 252) -> DataFrame:
+    """The pair that was best in the first ``share`` of the bars, and what it did in the rest, which the choice never saw."""
+    length = trials.groupBy("symbol").agg((F.max("no") + 1).alias("_t"))
+    t = trials.join(length, "symbol").withColumn("seen", F.col("no") < F.floor(F.col("_t") * share + 1e-9))
+    sharpe = lambda c: F.round(F.when(F.stddev_samp(F.when(c, F.col("r"))) > 1e-12, F.avg(F.when(c, F.col("r"))) / F.stddev_samp(F.when(c, F.col("r"))) * math.sqrt(periods)), 9)
+    g = t.groupBy("symbol", "fast", "slow").agg(sharpe(F.col("seen")).alias("train_sharpe"), sharpe(~F.col("seen")).alias("test_sharpe"), (F.exp(F.sum(F.when(~F.col("seen"), F.log1p("r")))) - 1).alias("test_return"))
+    best = W.partitionBy("symbol").orderBy(F.desc_nulls_last("train_sharpe"), "fast", "slow")
+    return g.withColumn("k", F.row_number().over(best)).where("k = 1").drop("k")
+
+
 def ladder(spark: SparkSession, bars: DataFrame, base: dict, option: str, levels: list[float]) -> DataFrame:
     """The same run at each level of one option (slippage_bps: a cost scan; cash: a capacity ladder): level and measures."""
     rows = [{**base, "run_id": f"{i:03d}", "options": {**base.get("options", {}), option: x}} for i, x in enumerate(levels)]

@@ -13,9 +13,12 @@ from barloom.operators import performance as P
 from barloom.operators import reference as R
 from barloom.operators import trades as T
 from barloom.plans import engine as E
-from barloom.queries.market import BARS, ENDS, dated, month_ends
+from barloom.common import day_of, table
+from barloom.queries.market import BARS, ENDS, calendar_of, month_ends
 from barloom.queries.runs import CURVE, curve, shown
-from barloom.queries.search import measured, prices, simulated
+from barloom.plans import search as S
+from barloom.queries.search import TRIALS, measured, prices, simulated, trials
+from barloom.sources import web
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -136,3 +139,55 @@ def windows(s: SparkSession, d: str) -> DataFrame:
 
 
 add("run_windows", windows)
+
+add("search_paths", lambda s, d: shown(S.paths(trials(s, d), S.combinatorial(trials(s, d), 6, 2, 5)), 5))
+SIDE = "case when stddev_samp(case when {c} then r end) > 1e-12 then round(avg(case when {c} then r end) / stddev_samp(case when {c} then r end) * sqrt(252), 9) end"
+add("search_holdout", lambda s, d: shown(S.holdout(trials(s, d)), 5), f"{TRIALS}, l as (select symbol, max(no) + 1 as t from tr group by symbol), h as (select tr.*, no < floor(t * 7e-1 + 1e-9) as seen from tr join l on tr.symbol = l.symbol), g as (select symbol, fast, slow, {SIDE.format(c='seen')} as a, {SIDE.format(c='not seen')} as b, exp(sum(case when not seen then ln(1 + r) end)) - 1 as tr from h group by symbol, fast, slow), k as (select *, row_number() over (partition by symbol order by a desc nulls last, fast, slow) as k from g) select symbol, fast, slow, round(a, 5) + 0 as train_sharpe, round(b, 5) + 0 as test_sharpe, round(tr, 5) + 0 as test_return from k where k = 1")
+
+
+def coverage(s: SparkSession, d: str) -> DataFrame:
+    """Share of the calendar's days, from a symbol's first to its last bar, on which it has one; enough from 90 %."""
+    b = B.counting_bars(s, d).select("symbol", "bar_date").join(calendar_of(s, d).select("symbol", "calendar"), "symbol")
+    from pyspark.sql import Window as W
+
+    days = b.select("calendar", "bar_date").distinct().withColumn("no", F.row_number().over(W.partitionBy("calendar").orderBy("bar_date")))
+    g = b.join(days, ["calendar", "bar_date"]).groupBy("symbol").agg(F.count("*").alias("bars"), (F.max("no") - F.min("no") + 1).alias("sessions"))
+    return shown(g.withColumn("share", F.col("bars") / F.col("sessions")).withColumn("enough", F.col("bars") >= 0.9 * F.col("sessions")))
+
+
+add("join_coverage", coverage, f"{BARS}, k as (select symbol, case when count(*) >= 20 and count(*) filter (where isodow(bar_date) >= 6) > 0.1 * count(*) then 'continuous' else 'session' end as calendar from b group by symbol), s as (select distinct calendar, bar_date from b join k on b.symbol = k.symbol), n as (select *, row_number() over (partition by calendar order by bar_date) as no from s), g as (select b.symbol, count(*) as bars, max(no) - min(no) + 1 as sessions from b join k on b.symbol = k.symbol join n on n.calendar = k.calendar and n.bar_date = b.bar_date group by b.symbol) select symbol, bars, sessions, round(bars * 1e0 / sessions, 6) as share, bars >= 0.9 * sessions as enough from g")
+
+
+def closed_days(s: SparkSession, d: str) -> DataFrame:
+    """Bars on weekends of symbols whose calendar has sessions."""
+    b = B.counting_bars(s, d).join(calendar_of(s, d).select("symbol", "calendar"), "symbol").where("calendar = 'session' and dayofweek(bar_date) in (1, 7)")
+    return b.groupBy("symbol").agg(F.count("*").alias("bars"), F.min("bar_date").cast("string").alias("first_day"))
+
+
+add("audit_closed_days", closed_days, f"{BARS}, k as (select symbol from b group by symbol having not (count(*) >= 20 and count(*) filter (where isodow(bar_date) >= 6) > 0.1 * count(*))) select b.symbol, count(*) as bars, cast(min(bar_date) as varchar) as first_day from b join k on b.symbol = k.symbol where isodow(bar_date) >= 6 group by b.symbol")
+add("fn_ticker", lambda s, d: table(s, d, "ai_calls").select("call_id", web.ticker_in(F.col("prompt")).alias("ticker")))
+
+
+def articles(s: SparkSession, d: str) -> DataFrame:
+    """Speeches as articles: on each day that a party speaks, the titles of the week before."""
+    a = table(s, d, "documents").select(F.col("party").alias("key"), day_of("sitting_day").alias("day"), F.col("agenda_item").alias("title"), F.col("doc_id").alias("id"))
+    out = web.dated_articles(a.where("key is not null and day is not null"), a, "key")
+    return shown(out)
+
+
+add("source_articles", articles, "with a as (select party as key, try_cast(left(trim(sitting_day), 10) as date) as day, agenda_item as title, doc_id as id from documents), w as (select distinct key, day from a where key is not null and day is not null), h as (select w.key, w.day, a.day as published, title, id from w join a on a.key = w.key and a.day <= w.day and a.day >= w.day - 7 where title is not null), o as (select *, row_number() over (partition by key, day, lower(title) order by published desc, id desc) as c from h), r as (select *, row_number() over (partition by key, day order by published desc, id desc) as place from o where c = 1) select key, cast(day as varchar) as day, place, cast(published as varchar) as published, id, title from r where place <= 5")
+
+
+def filings(s: SparkSession, d: str) -> DataFrame:
+    """The share counts as filed facts and back."""
+    c = share_counts(s, d).withColumn("cik", F.crc32("symbol").cast("string"))
+    fact = F.struct(F.col("from_day").cast("string").alias("end"), F.col("shares").alias("val"), F.col("from_day").cast("string").alias("filed"), F.lit("10-Q").alias("form"))
+    per = c.groupBy("symbol", "cik").agg(F.sort_array(F.collect_list(fact)).alias("xs"))
+    tag = lambda t, xs: F.create_map(F.lit(t), F.struct(F.create_map(F.lit("shares"), xs).alias("units")))
+    body = F.to_json(F.struct("cik", F.create_map(F.lit("dei"), tag("Outstanding", F.col("xs")), F.lit("gaap"), tag("Issued", F.slice("xs", 1, 1))).alias("facts")))
+    out = web.share_facts(per.select(body.alias("body")), ["Outstanding", "Issued"])
+    names = per.select("symbol", F.lpad("cik", 10, "0").alias("cik"))
+    return shown(out.join(names, "cik").select("symbol", "from_day", "shares"), 4)
+
+
+add("source_filings", filings, f"{BARS} select symbol, cast(min(bar_date) as varchar) as from_day, round(arg_min(volume, bar_date), 4) as shares from b group by symbol, date_trunc('quarter', bar_date) having arg_min(volume, bar_date) > 0")
