@@ -5,8 +5,10 @@ from __future__ import annotations
 import re
 import unicodedata
 
-DIVIDED = re.compile(r"(?<=\w)[-‐‑­]+[ \t\r]*\n\s*(?=\w)")
-INSIDE = re.compile(r"(?<=\w)['’ʼ‐‑­-](?=\w)|(?<=\d)[.,](?=\d)")
+# the mark comes first and what stands before it is looked at afterwards: so other places are passed by at once
+DIVIDED = re.compile(r"[-‐‑­](?<=\w.)[-‐‑­]*[ \t\r]*\n\s*(?=\w)")
+INSIDE = re.compile(r"['’ʼ‐‑­-](?<=\w.)(?=\w)|[.,](?<=\d.)(?=\d)")
+ACCENT = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]")
 BRACKETED = re.compile(r"\[[^\[\]]*\]|\([^()]*\)|\{[^{}]*\}")
 WORD = re.compile(r"[^\W_]+")
 
@@ -14,7 +16,7 @@ WORD = re.compile(r"[^\W_]+")
 def plain(text: str) -> str:
     """Lower case, without accents, with words joined that a hyphen divides at a line end."""
     text = DIVIDED.sub("", text)
-    text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)) if not text.isascii() else text
+    text = ACCENT.sub("", unicodedata.normalize("NFKD", text)) if not text.isascii() else text
     return text.casefold()
 
 
