@@ -21,7 +21,8 @@ def weighted_median(x: np.ndarray, w: np.ndarray) -> float:
 def robust_ar(y: np.ndarray) -> tuple[float, float, float]:
     """Level, coefficient and residual scale of a first-order autoregression.
 
-    Least absolute deviations: the coefficient is the weighted median of successive ratios. The scale is the median
+    Least absolute deviations: the coefficient is the weighted median of successive ratios, weights bounded so that one wild
+    reading can't outweigh the rest. The scale is the median
     absolute residual or, if larger, what the 80th percentile of absolute residuals says: thinly traded series
     stand still on many days, and their median alone would call every move wild. A tenth of wild readings moves none far.
     """
@@ -29,7 +30,8 @@ def robust_ar(y: np.ndarray) -> tuple[float, float, float]:
     x = y - level
     before, now = x[:-1], x[1:]
     use = np.abs(before) > 0
-    phi = float(np.clip(weighted_median(now[use] / before[use], np.abs(before[use])), 0.0, 1.0))
+    bound = 3 * float(np.median(np.abs(x)))
+    phi = float(np.clip(weighted_median(now[use] / before[use], np.minimum(np.abs(before[use]), bound)), 0.0, 1.0))
     e = now - phi * before
     size = np.abs(e - np.median(e))
     scale = max(1.4826 * float(np.median(size)), float(np.quantile(size, 0.8)) / 1.2816)
@@ -48,12 +50,13 @@ def additive_outliers(y: np.ndarray, threshold: float, floor: float, longest: in
     marks = np.zeros(n, bool)
     if n < 8:
         return marks
-    y = y.astype(float).copy()
-    level, phi, scale = robust_ar(y)
-    x = y - level
-    s2 = max(scale, floor) ** 2
+    x = y.astype(float).copy()
     least = threshold**2
     for _ in range(n):
+        # fitted anew each time: a shift that is still in the series bends level and coefficient
+        level, phi, scale = robust_ar(x)
+        x = x - level
+        s2 = max(scale, floor) ** 2
         e = np.zeros(n)
         e[1:] = x[1:] - phi * x[:-1]
         g = 1 + phi * phi
@@ -116,7 +119,7 @@ def flag_series(threshold: float, floor: float, run: int, spike_fields: tuple[st
     return flag
 
 
-def implausible(bars: DataFrame, threshold: float = 9.0, floor: float = 0.002, run: int = 6, spike_fields: tuple[str, ...] = ("close", "adj_close", "high", "volume"), stuck_fields: tuple[str, ...] = ("close", "volume")) -> DataFrame:
+def implausible(bars: DataFrame, threshold: float = 8.5, floor: float = 0.002, run: int = 6, spike_fields: tuple[str, ...] = ("close", "adj_close", "high", "volume"), stuck_fields: tuple[str, ...] = ("close", "volume")) -> DataFrame:
     """Flag implausible bars, each symbol against its own normal behaviour.
 
     ``bars``: symbol, bar_date (string), open, high, low, close, adj_close, volume, bar_seq. Of several rows of one

@@ -232,6 +232,16 @@ def test_outliers_of_one_and_two_bars_but_no_shift():
     assert not additive_outliers(walk(5), 9, 0.002).any()
 
 
+def test_wild_readings_and_shifts_do_not_bend_the_fit():
+    y = walk(120, 7, 0.005)
+    y[40] += 2.3  # outweighs all other readings together
+    y[80] += 0.17
+    assert np.flatnonzero(additive_outliers(y, 8.5, 0.002)).tolist() == [40, 80]
+    z = walk(120, 9, 0.004)
+    z[60:] -= 1.4
+    assert not additive_outliers(z, 8.5, 0.002).any()
+
+
 def test_stuck_runs():
     v = np.array([1, 2, 2, 2, 2, 2, 2, np.nan, 2, 2, 3.0])
     assert np.flatnonzero(stuck(v, 6)).tolist() == [1, 2, 3, 4, 5, 6]
