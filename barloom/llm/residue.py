@@ -168,7 +168,8 @@ class Index:
                     return kind
                 continue
             if bag:
-                if len(words) >= 2:
+                # words of a bag are common somewhere: two of them may meet by chance in filler's Latin
+                if sum(t in e for t in words) >= (3 if kind == "bag filler" else 2):
                     return kind[4:]
             else:
                 part = sum(self.weights[t] * min(k, own[t]) for t, k in e.items() if t in own)
