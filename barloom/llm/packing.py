@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import base64
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -14,12 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.common import cut
-from barloom.llm.words import words_of
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: The published pre-splitting pattern of byte-level BPE.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-BINS = 1 << 18  # terms are hashed into so many bins, which bounds the table of document counts
 SHARD = 1500  # items of a shard of the index
 K1, B = 1.2, 0.75
 
@@ -34,16 +30,16 @@ def tokenizer(path: str):
 
 
 def sizes(path: str):
-    """Token counts and hashed terms of each text."""
+    """Token count of each text, its distinct tokens (the terms of the index) and how often each occurs."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = tokenizer(path).encode_ordinary
         for batch in batches:
             rows = []
             for row, doc, text in zip(batch["row_no"], batch["doc_id"], batch["text"]):
-                text = text if isinstance(text, str) else ""
-                terms = Counter(zlib.crc32(w.encode()) % BINS for w in words_of(text))
-                rows.append((row, doc, len(encode(text)), list(terms.keys()), list(terms.values())))
+                ids = np.array(encode(text) if isinstance(text, str) else [], np.int32)
+                terms, counts = np.unique(ids, return_counts=True)
+                rows.append((row, doc, len(ids), terms, counts.astype(np.int32)))
             yield pd.DataFrame(rows, columns=["row_no", "doc_id", "tokens", "terms", "counts"]).astype({"doc_id": "Int64"})
 
     return run
@@ -146,8 +142,9 @@ def packed(documents: DataFrame, capacities: DataFrame, vocabulary: str = VOCABU
     Null and empty texts have no tokens and are items too; repeated rows are items of their own, also under one
     doc_id or none; other columns are ignored; an empty table gives an empty result.
 
-    Items are spread over shards of about ``shard`` rows; each shard has an inverted BM25 index (terms hashed into
-    a fixed number of bins, document counts of the whole corpus), which returns the neighbours that fill a seed's container.
+    Items are spread over shards of about ``shard`` rows; each shard has an inverted BM25 index (its terms are the tokenizer's
+    tokens, so the table of document counts of the whole corpus is bounded by the vocabulary), which returns the neighbours that fill
+    a seed's container.
     Containers filled under ``keep`` are taken apart and packed again with those of other shards, ``rounds`` times in all.
 
     ``vocabulary`` is the path of a tokenizer's ranks on every executor. Runs jobs: it cuts the lineage at the sizes and each round.
@@ -161,8 +158,9 @@ def packed(documents: DataFrame, capacities: DataFrame, vocabulary: str = VOCABU
     numbered = documents.select(F.monotonically_increasing_id().alias("row_no"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     sized = cut(numbered.mapInPandas(sizes(vocabulary), "row_no long, doc_id long, tokens long, terms array<int>, counts array<int>"))
     docs, total = sized.agg(F.count("*"), F.sum(F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, x: a + x))).first()
-    held = np.zeros(BINS, np.int64)
-    for r in sized.select(F.explode("terms").alias("t")).groupBy("t").count().toLocalIterator():  # at most BINS rows
+    counted = sized.select(F.explode("terms").alias("t")).groupBy("t").count().collect()  # at most a row per token of the vocabulary
+    held = np.zeros(max((r["t"] for r in counted), default=0) + 1, np.int64)
+    for r in counted:
         held[r["t"]] = r["count"]
     shared = spark.sparkContext.broadcast(held)
     kind = F.array(*(F.struct(F.lit(c).alias("container"), F.lit(n).cast("bigint").alias("capacity")) for c, n in sorted(kinds)))

@@ -95,7 +95,7 @@ def test_index_scores_are_bm25():
     import numpy as np
 
     terms, counts = [np.array([1, 2]), np.array([2, 3]), np.array([], int)], [np.array([2, 1]), np.array([1, 1]), np.array([], int)]
-    held = np.zeros(K.BINS, int)
+    held = np.zeros(10, int)
     held[[1, 2, 3]] = [1, 2, 1]
     got = K.Shard(terms, counts, held, 3, 2.0).scores(0)
     idf = lambda n: math.log(1 + (3 - n + 0.5) / (n + 0.5))
