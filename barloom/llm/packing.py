@@ -75,33 +75,33 @@ class Shard:
         return np.bincount(self.item[picked], self.weight[picked], self.n)
 
 
-def fill(index: Shard, size: np.ndarray, capacity: int, close: float = 0.25) -> np.ndarray:
-    """Container number of each item (no item exceeds the capacity).
+def fill(index: Shard, size: np.ndarray, capacity: int, wanted: np.ndarray | None = None, close: float = 0.25) -> np.ndarray:
+    """Container number of each wanted item (none of which exceeds the capacity); -2 of the others.
 
     The largest unused item is the seed. Its unused neighbours fill the container, best score first, as long as
     they fit; the last quarter of the space goes to the largest item that fits, so that little is left over.
     """
     n = len(size)
-    bins = np.full(n, -1)
+    bins = np.full(n, -1) if wanted is None else np.where(wanted, -1, -2)
     free_items = np.argsort(-size, kind="stable")
     number = 0
     for seed in free_items:
-        if bins[seed] >= 0:
+        if bins[seed] != -1:
             continue
         bins[seed] = number
         left = capacity - size[seed]
         score = None
         while left >= 0:
-            fits = np.flatnonzero((bins < 0) & (size <= left))
+            fits = np.flatnonzero((bins == -1) & (size <= left))
             if not len(fits):
                 break
-            if score is None:
+            if score is None and left > close * capacity:
                 score = index.scores(seed)
             if left > close * capacity and score[fits].max() > 0:
                 pick = fits[np.argmax(score[fits])]
             else:
                 widest = fits[size[fits] == size[fits].max()]
-                pick = widest[np.argmax(score[widest])]
+                pick = widest[0] if score is None else widest[np.argmax(score[widest])]
             bins[pick] = number
             left -= size[pick]
         number += 1
@@ -112,21 +112,46 @@ ITEM = "row_no long, doc_id long, container string, capacity long, part long, st
 PLACED = ITEM + ", shard long, bin long, filled long"
 
 
+def arrays(column: pd.Series) -> list[np.ndarray]:
+    return [np.asarray(x if x is not None else [], np.int64) for x in column]
+
+
+def placed_items(items: pd.DataFrame, bins: np.ndarray, size: np.ndarray, capacity: int, shard: int, keep: float) -> pd.DataFrame:
+    """The items with their containers; only those that are packed again keep their terms."""
+    filled = np.bincount(bins, size).astype(np.int64)[bins] if len(bins) else np.empty(0, np.int64)
+    out = items.assign(tokens=size, shard=shard, bin=bins, filled=filled)
+    out.loc[filled >= keep * capacity, ["terms", "counts"]] = None
+    return out[[c.split()[0] for c in PLACED.split(", ")]]
+
+
+def first_packer(kinds: list[tuple[str, int]], held, docs: int, mean: float, keep: float):
+    """applyInPandas function over one shard of texts: one index, with which each kind of container is filled in turn."""
+
+    def run(key: tuple, texts: pd.DataFrame) -> pd.DataFrame:
+        texts = texts.sort_values("row_no", kind="stable").reset_index(drop=True)
+        index = Shard(arrays(texts["terms"]), arrays(texts["counts"]), held.value, docs, mean)
+        tokens = texts["tokens"].to_numpy(np.int64)
+        out = []
+        for container, capacity in kinds:
+            whole = tokens // capacity
+            size = tokens - whole * capacity
+            wanted = (whole == 0) | (size > 0)
+            bins = fill(index, size, capacity, wanted)[wanted]
+            items = texts[wanted].assign(container=container, capacity=capacity, part=whole[wanted], start_token=(whole * capacity)[wanted])
+            out.append(placed_items(items, bins, size[wanted], capacity, int(key[0]), keep))
+        return pd.concat(out)
+
+    return run
+
+
 def packer(held, docs: int, mean: float, keep: float):
-    """applyInPandas function over one shard: places the items of each container kind."""
+    """applyInPandas function over one shard of items of one kind of container."""
 
     def run(key: tuple, items: pd.DataFrame) -> pd.DataFrame:
-        items = items.drop(columns="_shard").sort_values(["row_no", "part"], kind="stable").reset_index(drop=True)
-        array = lambda c: [np.asarray(x if x is not None else [], np.int64) for x in items[c]]
-        index = Shard(array("terms"), array("counts"), held.value, docs, mean)
-        size = items["tokens"].to_numpy(np.int64)
-        capacity = int(items["capacity"].iloc[0])
-        bins = fill(index, size, capacity)
-        filled = np.bincount(bins, size).astype(np.int64)[bins]
-        out = items.assign(shard=int(key[1]), bin=bins, filled=filled)
-        full = filled >= keep * capacity
-        out.loc[full, ["terms", "counts"]] = None  # only what is packed again needs them
-        return out
+        items = items.sort_values(["row_no", "part"], kind="stable").reset_index(drop=True)
+        index = Shard(arrays(items["terms"]), arrays(items["counts"]), held.value, docs, mean)
+        size, capacity = items["tokens"].to_numpy(np.int64), int(items["capacity"].iloc[0])
+        return placed_items(items, fill(index, size, capacity), size, capacity, int(key[1]), keep)
 
     return run
 
@@ -164,28 +189,26 @@ def packed(documents: DataFrame, capacities: DataFrame, vocabulary: str = VOCABU
         held[r["t"]] = r["count"]
     shared = spark.sparkContext.broadcast(held)
     kind = F.array(*(F.struct(F.lit(c).alias("container"), F.lit(n).cast("bigint").alias("capacity")) for c, n in sorted(kinds)))
-    each = sized.select("*", F.inline(kind))  # a fixed number of rows a text, one for each capacity
+    each = sized.select("row_no", "doc_id", "tokens", F.inline(kind))  # a fixed number of rows a text, one for each capacity
     whole = F.floor(F.col("tokens") / F.col("capacity"))
-    rest = F.struct(whole.alias("part"), (whole * F.col("capacity")).alias("start_token"), (F.col("tokens") - whole * F.col("capacity")).alias("tokens"))
-    chunks = F.when(whole > 0, F.transform(F.sequence(F.lit(0).cast("bigint"), whole - 1), lambda k: F.struct(k.alias("part"), (k * F.col("capacity")).alias("start_token"), F.col("capacity").alias("tokens")))).otherwise(F.array().cast("array<struct<part:bigint,start_token:bigint,tokens:bigint>>"))
-    named = lambda c: F.concat(F.col("row_no").cast("string"), F.lit("."), c.cast("string"))
+    chunk = F.transform(F.sequence(F.lit(0).cast("bigint"), whole - 1), lambda k: F.struct(k.alias("part"), (k * F.col("capacity")).alias("start_token"), F.col("capacity").alias("tokens")))
+    chunks = F.when(whole > 0, chunk).otherwise(F.array().cast("array<struct<part:bigint,start_token:bigint,tokens:bigint>>"))
     done = each.where(whole > 0).select("container", "row_no", "doc_id", F.inline(chunks), F.col("capacity").alias("bin_tokens"))
-    done = done.select("container", F.concat(F.lit("full "), named(F.col("part"))).alias("bin"), "doc_id", "part", "start_token", "tokens", "bin_tokens")
-    items = each.where((whole == 0) | (F.col("tokens") % F.col("capacity") > 0)).select("row_no", "doc_id", "container", "capacity", rest.alias("r"), "terms", "counts")
-    items = items.select("row_no", "doc_id", "container", "capacity", "r.part", "r.start_token", "r.tokens", "terms", "counts")
+    done = done.select("container", F.concat_ws(" ", F.lit("full"), "row_no", "part").alias("bin"), "doc_id", "part", "start_token", "tokens", "bin_tokens")
     mean = float((total or 0) / max(docs, 1))
-    count = docs
+    items, count = sized, docs
     for round_no in range(rounds):
-        shards = max(1, -(-count // shard))
-        sharded = items.withColumn("_shard", F.pmod(F.xxhash64("row_no", F.lit(round_no)), F.lit(shards)))
-        last = round_no == rounds - 1
-        placed = cut(sharded.groupBy("container", "_shard").applyInPandas(packer(shared, docs, mean, 0.0 if last else keep), PLACED))
-        full = placed.where(F.lit(last) | (F.col("filled") >= keep * F.col("capacity")))
-        name = F.concat_ws(" ", F.lit(str(round_no)), F.col("shard").cast("string"), F.col("bin").cast("string"))
-        done = done.unionByName(full.select("container", name.alias("bin"), "doc_id", "part", "start_token", "tokens", F.col("filled").alias("bin_tokens")))
-        if last:
-            break
-        items = placed.where(F.col("filled") < keep * F.col("capacity")).drop("shard", "bin", "filled")
+        limit = 0.0 if round_no == rounds - 1 else keep
+        sharded = items.withColumn("_shard", F.pmod(F.xxhash64("row_no", F.lit(round_no)), F.lit(max(1, -(-count // shard)))))
+        if round_no == 0:
+            placed = sharded.groupBy("_shard").applyInPandas(first_packer(sorted(kinds), shared, docs, mean, limit), PLACED)
+        else:
+            placed = sharded.groupBy("container", "_shard").applyInPandas(packer(shared, docs, mean, limit), PLACED)
+        placed = cut(placed)
+        full = F.col("filled") >= limit * F.col("capacity")
+        name = F.concat_ws(" ", F.lit(str(round_no)), "shard", "bin")
+        done = done.unionByName(placed.where(full).select("container", name.alias("bin"), "doc_id", "part", "start_token", "tokens", F.col("filled").alias("bin_tokens")))
+        items = placed.where(~full).drop("shard", "bin", "filled")
         count = items.groupBy("container").count().agg(F.max("count")).first()[0] or 0
         if not count:
             break
