@@ -68,7 +68,7 @@ def robustness(rows: DataFrame, study: list[str], score: str) -> DataFrame:
 
 
 def objective(results: DataFrame, score: str = "sharpe") -> DataFrame:
-    """Measures of simulated runs and their score, best first: defined scores before undefined ones."""
+    """Measures of simulated runs (a row each) and their score, best first: defined scores before undefined ones."""
     rows = P.headline(curves(results).select("run_id", "bar_date", "value"))
     return rows.withColumn("score", F.col(score)).withColumn("rank", F.row_number().over(W.orderBy(F.desc_nulls_last("score"), "run_id")))
 
