@@ -48,6 +48,12 @@ EXEMPLARS: list[tuple[str, str]] = [
 FIELD_NAMES = """agenda_title amendment_text article author bill_no chair committee constituency date datum day district figure fraktion
 member minister motion_number name number orateur page party percentage place redner seconder session sitting_date speaker speaker_name
 speech_text subject time title topic vote_result year name_of_speaker nom partei titel thema seite betrag montant ministre sujet"""
+# Words of the bags that texts use for much else: no way to a bag unless they are rare in the corpus.
+COMMON = """in do ut et ad ex ea eu id est non qui quis sed sit sunt sint esse enim nulla culpa
+please turn switch on you must need to allow and your read the verbatim report before transcript can be displayed this page site needs requires is
+bitte schalten sie ein und ihrem laden die seite neu kann der text nicht werden diese ansicht benötigt um das protokoll anzuzeigen ohne
+veuillez les et dans votre cette page exige pour consulter le compte rendu afficher texte sans ne peut être la"""
+INSIDE = 0.9  # of an exemplar's weight, where it stands in a longer passage
 LONG = 6  # tokens from which an exemplar is also looked for inside longer passages
 EDITORIAL = {"sic", "recte", "recto", "stet", "ibid", "idem", "laughter", "applause", "interruption"}
 TAGS = "a abbr b blockquote body br center code dd div dl dt em font footer form h1 h2 h3 h4 h5 h6 head header hr html i img input li link main meta nav ol option p pre s script section select small span strike strong style sub sup table tbody td th thead title tr tt u ul"
@@ -65,6 +71,7 @@ BREAK = re.compile(r"(?<=[.!?:…])\s+|\s*\n\s*|\s+[-–—]\s+|(?<=[.:])[-–
 TOKEN = re.compile(rf"{FIELD}|\d+|[^\W\d_]+|#REF!|#N/A")
 known_names = {re.sub(r"[^a-z]", "", n) for n in FIELD_NAMES.split()}
 tags = set(TAGS.split())
+common = set(COMMON.split())
 
 
 def weak(match: re.Match) -> str:
@@ -135,13 +142,29 @@ class Index:
         self.exemplars = [(kind, Counter(set(e)) if kind.startswith("bag") else Counter(e)) for kind, e in exemplars() if kind != "repeat"]
         self.repeated = {e[0] for kind, e in exemplars() if kind == "repeat"}
         self.weights = {t: weight(t) for _, e in self.exemplars for t in e}
+        self.totals = [sum(self.weights[t] * k for t, k in e.items()) for _, e in self.exemplars]
         self.postings: dict[str, list[int]] = defaultdict(list)
         for i, (kind, e) in enumerate(self.exemplars):
-            for t in e:
+            for t in self.ways(e, self.totals[i], kind.startswith("bag")):
                 self.postings[t].append(i)
-        self.least = 0.35 * self.most  # a token rarer than this may lead to an exemplar
-        self.leads = {t for t, w in self.weights.items() if w >= self.least or t == FIELD} - {"0"}
-        self.totals = [sum(self.weights[t] * k for t, k in e.items()) for _, e in self.exemplars]
+        self.leads = set(self.postings)
+
+    def ways(self, e: Counter[str], whole: float, bag: bool) -> list[str]:
+        """Tokens that lead to the exemplar, however frequent they are.
+
+        Of a sentence its rarest ones, so many that a window without any of them can't hold enough of it; so nothing that would pass is
+        left out. Of a bag all but the common words, and those too while they are rare (under some 4 % of 10,000 documents).
+        """
+        ranked = sorted(e.keys() - {"0"}, key=lambda t: (-self.weights[t], t))
+        if bag:
+            return [t for t in ranked if t not in common or self.weights[t] >= 0.35 * self.most]
+        out, left = [], whole
+        for t in ranked:
+            if left < min(self.containment, INSIDE) * whole - 1e-9 * whole:
+                break
+            out.append(t)
+            left -= self.weights[t] * e[t]
+        return out
 
     def may_lead(self, text: str) -> bool:
         """Whether any window of the text can be looked up at all."""
@@ -157,6 +180,8 @@ class Index:
         if FIELD in own:
             return "field"
         words = [t for t in own if t != "0"]
+        if len(words) == 1 and len(words[0]) == 1:  # an initial isn't n/a
+            return None
         candidates = {i for t in own.keys() & self.leads for i in self.postings[t]}
         total = sum(self.weights.get(t, self.most) * k for t, k in own.items())
         for i in sorted(candidates):
@@ -186,7 +211,7 @@ class Index:
             if start:
                 own[passage[start - 1]] -= 1
                 own[passage[start + n - 1]] += 1
-            if sum(self.weights[t] * min(k, own[t]) for t, k in e.items()) >= 0.9 * whole:
+            if sum(self.weights[t] * min(k, own[t]) for t, k in e.items()) >= INSIDE * whole:
                 return True
         return False
 
@@ -213,8 +238,9 @@ def residue(documents: DataFrame, coverage: float = 0.8, containment: float = 0.
     ``documents``: doc_id, text; other columns are ignored. Null ids or texts and empty texts are no cases; a table of none gives
     none; repeated rows give repeated results, as they count for themselves.
 
-    Each text is cut into passage windows (sentences and lines). Unfilled fields of all notations become one token. A window's
-    rare tokens look up exemplars in an inverted index; it is residue if the exemplar covers ``coverage`` of its TF-IDF weight
+    Each text is cut into passage windows (sentences and lines). Unfilled fields of all notations become one token. An exemplar is
+    looked up in an inverted index by those of its own tokens that are rarest, however frequent they are, so residue that fills much
+    of the corpus is found too; a window is residue if the exemplar covers ``coverage`` of its TF-IDF weight
     and the window holds ``containment`` of the exemplar's. So a sentence that talks about an error page isn't: most of its weight is
     its own. A field is residue wherever it stands. Weights come from document counts over the whole corpus.
 

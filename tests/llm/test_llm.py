@@ -169,6 +169,15 @@ def test_residue(spark):
     assert R.residue(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("page", ["404 Not Found", "The page you requested could not be found.", "Please enable JavaScript to read the verbatim report.", "Lorem ipsum dolor sit amet, consectetur magna aliqua.", "Texte à venir."])
+@pytest.mark.parametrize("share", [3, 10])
+def test_residue_that_is_common(spark, page, share):
+    """One page that makes up a third of the documents (or a tenth) is found in each of them; speeches and initials aren't."""
+    texts = [page if i % share == 0 else f"{SPEECH} N. Smith spoke on item {i}. {CLEAN[i % len(CLEAN)]}" for i in range(600)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in R.residue(df).collect()} == set(range(0, 600, share))
+
+
 def test_queries(spark, sf):
     for name, q in queries.QUERIES.items():
         got = q(spark, sf)
