@@ -33,12 +33,13 @@ def expected_slots(windows: DataFrame) -> DataFrame:
     )
 
 
-def increments(readings: DataFrame) -> DataFrame:
+def increments(readings: DataFrame, daily: bool = False) -> DataFrame:
     """What a cumulative counter gained since the reading before.
 
     ``readings``: entity, ts (epoch seconds), counter; one row per entity and ts. Result: entity, ts, prev_ts,
     gain, reset. A counter lower than before was reset: its gain is what it shows since. The first reading of an
-    entity has a null prev_ts and gain. Readings are chained inside entity and day, and the days are chained by
+    entity has a null prev_ts and gain. ``daily`` says that the counter begins anew at each midnight UTC: then a day's first
+    reading is a reset even where it isn't lower, and an entity's first reading has gained what it shows. Readings are chained inside entity and day, and the days are chained by
     their last readings, so a hot entity is spread over its days.
     """
     day = F.floor(F.col("ts") / DAY)
@@ -50,14 +51,17 @@ def increments(readings: DataFrame) -> DataFrame:
     chained = inside.join(before, ["entity", "_day"])
     prev_ts, prev = F.coalesce("_pt", F.col("_before.t")), F.when(F.col("_pt").isNotNull(), F.col("_pc")).otherwise(F.col("_before.c"))
     reset = F.col("counter") < prev
-    gain = F.when(prev_ts.isNull(), None).when(reset, F.col("counter")).otherwise(F.col("counter") - prev)
+    if daily:
+        reset = reset | (F.col("_pt").isNull() & prev_ts.isNotNull())
+    gain = F.when(prev_ts.isNull(), F.col("counter") if daily else None).when(reset, F.col("counter")).otherwise(F.col("counter") - prev)
     return chained.select("entity", "ts", prev_ts.alias("prev_ts"), gain.alias("gain"), F.coalesce(reset, F.lit(False)).alias("reset"))
 
 
-def regular_grid(readings: DataFrame, windows: DataFrame, max_gap: int | Column = 7200) -> DataFrame:
+def regular_grid(readings: DataFrame, windows: DataFrame, max_gap: int | Column = 7200, daily: bool = False) -> DataFrame:
     """Lay a cumulative counter on the regular grid of its windows and mark slots without a reading.
 
-    ``readings``: entity, ts, counter (one row per entity and ts). ``windows``: as for :func:`expected_slots`.
+    ``readings``: entity, ts, counter (one row per entity and ts). ``windows``: as for :func:`expected_slots`. ``daily``: as
+    for :func:`increments`.
     Result, a row per expected slot: entity, step, slot, value, covered_s, n_readings, mark.
 
     * Each gain is spread over the slots between its two readings in proportion to the overlap.
@@ -76,7 +80,7 @@ def regular_grid(readings: DataFrame, windows: DataFrame, max_gap: int | Column
         .groupBy("entity", "step", "_day")
         .agg(F.collect_set(F.struct("from_s", "to_s")).alias("_spans"), F.min("from_s").alias("_from"))
     )
-    gains = increments(readings.where("entity is not null and ts is not null")).withColumn("_day", F.floor(F.col("ts") / DAY))
+    gains = increments(readings.where("entity is not null and ts is not null"), daily).withColumn("_day", F.floor(F.col("ts") / DAY))
     inside = F.exists("_spans", lambda x: (x["from_s"] <= F.col("ts")) & (F.col("ts") < x["to_s"]))
     near = gains.join(spans.hint("merge"), ["entity", "_day"]).where(inside)
     slot_of = lambda t: F.floor(t / DAY) * DAY + F.floor(F.pmod(t, F.lit(DAY)) / F.col("step")) * F.col("step")

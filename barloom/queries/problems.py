@@ -62,7 +62,7 @@ def intraday_grid(spark: SparkSession, sf: str) -> DataFrame:
         symbol_of("symbol").alias("entity"), (F.col("step_min").cast("bigint") * 60).alias("step"), epoch_of("from_stamp").alias("from_s"), epoch_of("to_stamp").alias("to_s"),
         F.when(session, OPEN_S).otherwise(0).alias("open_s"), F.when(session, CLOSE_S).otherwise(86400).alias("close_s"), F.coalesce(session, F.lit(False)).alias("weekdays_only"),
     )
-    return regular_grid(counters, windows)
+    return regular_grid(counters, windows, daily=True)
 
 
 def stamp(seconds: str):

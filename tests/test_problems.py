@@ -16,6 +16,7 @@ from barloom.operators.known import known_at
 from barloom.operators.snapshots import snapshot_changes
 from barloom.operators.spikes import additive_outliers, implausible, stuck
 from barloom.operators.trailing import calendar_days, extreme_days, trailing
+from barloom.queries.problems import p2_grid
 
 D = dt.date
 
@@ -95,6 +96,17 @@ def window(spark, rows):
     return spark.createDataFrame([(*r, 7, 7) for r in rows], WINDOW)
 
 
+def test_daily_volume_adds_up(spark, tmp_path):
+    """A day whose first volume is larger than all of the day before, and a symbol's first reading, keep their volumes."""
+    bars = [("A", "2022-01-10T15:00", 5.0), ("A", "2022-01-10T15:20", 10.0), ("A", "2022-01-11T15:00", 40.0), ("A", "2022-01-11T15:30", 1.0), ("A", "2022-01-12T15:00", 2.0), ("B", "2022-01-11T15:00", 7.0)]
+    rows = [(s, t, 1.0, v, i) for i, (s, t, v) in enumerate(bars)]
+    spark.createDataFrame(rows, "symbol string, bar_stamp string, close double, volume double, bar_seq long").write.parquet(f"{tmp_path}/intraday_bars.parquet")
+    windows = [(s, "all", 10, "2022-01-10T00:00", "2022-01-13T00:00") for s in "AB"]
+    spark.createDataFrame(windows, "symbol string, calendar string, step_min int, from_stamp string, to_stamp string").write.parquet(f"{tmp_path}/feed_windows.parquet")
+    got = p2_grid(spark, str(tmp_path)).groupBy("symbol", F.substring("slot", 1, 10)).agg(F.sum("value")).collect()
+    assert {(s, d): round(v, 2) for s, d, v in map(tuple, got) if v} == {("A", "2022-01-10"): 15.0, ("A", "2022-01-11"): 41.0, ("A", "2022-01-12"): 2.0, ("B", "2022-01-11"): 7.0}
+
+
 def test_increments_and_reset(spark):
     r = spark.createDataFrame([("a", 100, 5.0), ("a", 200, 9.0), ("a", 90_000, 3.0), ("b", 5, None)], "entity string, ts long, counter double")
     got = {(x.entity, x.ts): (x.prev_ts, x.gain, x.reset) for x in increments(r).collect()}
