@@ -132,13 +132,17 @@ def month_weights(s: SparkSession, d: str) -> DataFrame:
 add("construct_weights", lambda s, d: shown(month_weights(s, d)))
 
 
-def simulated(s: SparkSession, d: str, strategy: str, per_symbol: bool, **options) -> DataFrame:
+def simulated(s: SparkSession, d: str, strategy: str, per_symbol: bool, paired: bool = False, **options) -> DataFrame:
+    """Runs of a strategy over each symbol alone, each pair of neighbours in the sorted list of symbols, or sixteen groups of symbols."""
     b = prices(s, d).join(B.counting_bars(s, d).select("symbol", "bar_date", "close"), ["symbol", "bar_date"])
     symbols = b.select("symbol").distinct()
     import json
 
     if per_symbol:
         runs = symbols.select(F.col("symbol").alias("run_id"), F.array("symbol").alias("symbols"))
+    elif paired:  # for strategies that trade two symbols; the window's one partition holds a row a symbol
+        both = symbols.select("symbol", F.lead("symbol").over(W.orderBy("symbol")).alias("next")).where("next is not null")
+        runs = both.select(F.concat_ws("/", "symbol", "next").alias("run_id"), F.array("symbol", "next").alias("symbols"))
     else:  # one run for each of sixteen groups of symbols
         runs = symbols.groupBy(F.pmod(F.crc32("symbol"), F.lit(16)).cast("string").alias("run_id")).agg(F.sort_array(F.collect_set("symbol")).alias("symbols"))
     null = F.lit(None).cast("date")
@@ -151,7 +155,7 @@ def measured(r: DataFrame) -> DataFrame:
     return shown(P.headline(E.curves(r).select("run_id", "bar_date", "value")).select("run_id", "bars", "total_return", "sharpe", "max_drawdown").join(costs, "run_id"))
 
 
-for name, alone, options in (("golden-cross", True, {}), ("mean-reversion", True, {}), ("momentum-rotation", False, {}), ("sixty-forty", False, {}), ("daily-reversal", False, {}), ("pairs-trade", False, {"allow_short": True, "leverage": 2.0}), ("buy-and-hold", False, {"slippage_bps": 0.0})):
+for name, alone, options in (("golden-cross", True, {}), ("mean-reversion", True, {}), ("momentum-rotation", False, {}), ("sixty-forty", False, {"paired": True}), ("daily-reversal", False, {}), ("pairs-trade", False, {"paired": True, "allow_short": True, "leverage": 2.0}), ("buy-and-hold", False, {"slippage_bps": 0.0})):
     add(f"run_{name.replace('-', '_')}", lambda s, d, n=name, a=alone, o=options: measured(simulated(s, d, n, a, **o)))
 
 

@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from barloom.operators import bars as B
 from barloom.operators import construct as C
 from barloom.operators import inference as N
 from barloom.operators import performance as P
@@ -16,6 +17,7 @@ from barloom.operators import trades as T
 from barloom.plans import engine as E
 from barloom.plans import search as S
 from barloom.plans.strategies import STRATEGIES
+from barloom.queries import search
 
 D = dt.date
 
@@ -211,3 +213,16 @@ def test_walk_forward_and_combinatorial_by_hand(spark):
     assert [(x.fold, x.fast) for x in w] == [(i, 5) for i in range(4)] and w[0].test_return == pytest.approx(math.prod(1.01 + 0.001 * (-1) ** k for k in range(10)) - 1)
     c = S.combinatorial(t, 6, 2, 3).collect()
     assert len(c) == 15 and {x.fast for x in c} == {5} and not any(x.below for x in c)
+
+
+@pytest.mark.parametrize("name", ["run_sixty_forty", "run_pairs_trade"])
+def test_every_symbol_has_its_pairs(spark, sf, name):
+    """A run for each two neighbours of the sorted symbols, none left out."""
+    symbols = sorted(r.symbol for r in search.prices(spark, sf).join(B.counting_bars(spark, sf), ["symbol", "bar_date"]).select("symbol").distinct().collect())
+    got = sorted(r.run_id for r in search.QUERIES[name](spark, sf).collect())
+    assert len(symbols) > 2 and got == sorted(f"{a}/{b}" for a, b in zip(symbols, symbols[1:]))
+
+
+def test_pairs_trade_both_symbols(spark, sf):
+    traded = E.fills(search.simulated(spark, sf, "sixty-forty", False, paired=True)).groupBy("run_id").agg(F.collect_set("symbol").alias("s")).collect()
+    assert len({x for r in traded for x in r.s}) > 2 and all(set(r.s) <= set(r.run_id.split("/")) for r in traded)
