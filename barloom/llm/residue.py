@@ -61,7 +61,9 @@ TAGS = "a abbr b blockquote body br center code dd div dl dt em font footer form
 NAME = r"[^\W\d_][\w]*(?:[._ -][^\W_]\w*){0,4}"
 STRONG = re.compile(
     r"(?=[{<%$#@\[_?XxA-Z])(?:"  # what a field can begin with: all other places are passed by at once
-    rf"\{{\{{[^{{}}\n]{{1,60}}\}}\}}|\{{%[^{{}}\n]{{1,60}}%\}}|<%[^<>\n]{{1,60}}%>|[$#]\{{[^{{}}\n]{{1,60}}\}}|%%{NAME}%%|@@{NAME}@@|\[\[{NAME}\]\]|<<{NAME}>>"
+    # double notations reach to their closing mark, over lines and quoted marks, but not over another opening one
+    r"\{\{(?:[^{}\"']++|\"(?:[^\"{}]|\{(?!\{)|\}(?!\}))*+\"|'(?:[^'{}]|\{(?!\{)|\}(?!\}))*+'|[\"'])++\}\}|\{%(?:[^{%]++|%(?!\})|\{(?![%{]))++%\}|<%(?:[^<%]++|%(?!>)|<(?!%))++%>|[$#]\{[^{}]++\}"
+    rf"|%%{NAME}%%|@@{NAME}@@|\[\[{NAME}\]\]|<<{NAME}>>"
     rf"|_{{2,}}{NAME.replace('[\\w]*', '[^\\W_]*')}_{{2,}}|\$[^\W\d_][\w.]*\$|(?<![\w%])%[^\W\d_][\w.]+%(?!\w)|\{{\d{{1,2}}\}}|(?<![\w%])%[sd](?!\w)"
     r"|\[(?:INSERT|INSÉRER|INSERER|ENTER|ADD)\s[^\[\]\n]{1,50}\]|\[[^\[\]\n]{1,50}\s(?:here|HERE|EINFÜGEN|einfügen|ERGÄNZEN|À COMPLÉTER|à compléter|A COMPLETER|ICI)\]|\[(?:TBC|TBD|TODO)\b"
     r"|\[\.{3}[^\W\d_][^\[\]\n]{0,40}\.{3}\]|\[[●•○■□]+\]|(?<![\w_])_{5,}(?![\w_])|(?<![\w?])\?{4,}|\bXX[./-]XX[./-]XX(?:XX)?\b|(?i:\bx{5,}\b)|\b[A-Z]{2,}(?:_[A-Z]{2,})+\b|\bTODO\b)"

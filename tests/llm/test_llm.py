@@ -178,6 +178,19 @@ def test_residue_that_is_common(spark, page, share):
     assert {r.doc_id for r in R.residue(df).collect()} == set(range(0, 600, share))
 
 
+@pytest.mark.parametrize(
+    "field",
+    ["{{ speaker.name | default('the honourable member for the district named in the header') | title }}", '{{ speaker |\n default("{unknown}") }}', "{% if sitting.date is defined and sitting.date is not none and speaker.name %}", "<% if votes.for > votes.against && sitting.speaker.name != null\n then %>", "${speaker.name:-the honourable member for the district that is named in the header}", "{{ don't }}"],
+)
+def test_long_fields(field):
+    assert R.masked(f"{SPEECH} {field} it isn't {SPEECH}") == f"{SPEECH}  {R.FIELD}  it isn't {SPEECH}"
+
+
+def test_open_marks_are_no_fields_and_take_no_time():
+    for text in ("{{ " * 20_000, "{% " * 20_000, "<% " * 20_000, "${ " * 20_000, "{{ a's " * 20_000, "{" * 50_000, "{{1,2},{3,4}}", "rose by 5% {sic} <b>"):
+        assert R.FIELD not in R.masked(text)
+
+
 def test_queries(spark, sf):
     for name, q in queries.QUERIES.items():
         got = q(spark, sf)
