@@ -231,11 +231,16 @@ def total(xs: Column) -> Column:
     return F.aggregate(xs, F.lit(0.0), lambda s, x: s + x)
 
 
+def rest(xs: Column, n: int) -> Column:
+    """All of the array after its first n elements."""
+    return F.slice(xs, n + 1, F.greatest(F.size(xs) - n, F.lit(0)))
+
+
 def ema_of(xs: Column, n: int) -> Column:
     """Begins with the mean of the first n values of the array."""
     a = 2 / (n + 1)
     start = total(F.slice(xs, 1, n)) / n
-    return F.when(F.size(xs) >= n, F.aggregate(F.slice(xs, n + 1, 1_000_000), start, lambda s, x: x * a + s * (1 - a)))
+    return F.when(F.size(xs) >= n, F.aggregate(rest(xs, n), start, lambda s, x: x * a + s * (1 - a)))
 
 
 def ema(n: int = 20, x: str = "c") -> Column:
@@ -245,7 +250,7 @@ def ema(n: int = 20, x: str = "c") -> Column:
 
 def wilder_of(xs: Column, n: int) -> Column:
     start = total(F.slice(xs, 1, n)) / n
-    return F.when(F.size(xs) >= n, F.aggregate(F.slice(xs, n + 1, 1_000_000), start, lambda s, x: (s * (n - 1) + x) / n))
+    return F.when(F.size(xs) >= n, F.aggregate(rest(xs, n), start, lambda s, x: (s * (n - 1) + x) / n))
 
 
 def atr(n: int = 14, lookback: int | None = None) -> Column:

@@ -18,6 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+LOGS_A_DAY = 50
+
+
 @dataclass
 class Costs:
     slippage_bps: float = 5.0
@@ -120,6 +123,7 @@ class Context:
         self.fresh: list[tuple] = []
         self.state: dict = {}
         self.logs: list[str] = []
+        self.logged = 0  # today
         self.random = np.random.default_rng(spec.seed)
         self.paid = {"borrow": 0.0, "commission": 0.0, "slippage": 0.0}
         self.refused: list[str] = []
@@ -237,8 +241,10 @@ class Context:
         self.stops.setdefault(s, {}).update(levels)
 
     def log(self, text: str) -> None:
-        if len(self.logs) < 50:
-            self.logs.append(text)
+        """A line of the run's record; of one day the first LOGS_A_DAY are kept."""
+        if self.logged < LOGS_A_DAY:
+            self.logged += 1
+            self.logs.append(f"{np.datetime64(int(self.market.days[self.t]), 'D')} {text}" if self.t >= 0 else text)
 
     # -- execution --
 
@@ -414,7 +420,7 @@ def simulate(bars: pd.DataFrame, strategy: Strategy, spec: Spec, params: dict, s
     months, weeks = (np.r_[True, np.diff(x) != 0].tolist() for x in (market.month, market.week))
     curve, errors = [], 0
     for t in range(ctx.start, last):
-        ctx.t, ctx.fresh = t, []
+        ctx.t, ctx.fresh, ctx.logged = t, [], 0
         hits: list[tuple] = []
         queued, ctx.pending = ctx.pending, []
         if spec.fill == "next_open":

@@ -23,10 +23,15 @@ def grid(axes: dict[str, list], limit: int = 5000, **fixed) -> list[dict]:
     return [{**fixed, **dict(zip(names, values))} for values in itertools.product(*(axes[n] for n in names))]
 
 
-def expand(low: float, high: float, step: float) -> list[float]:
-    """Grid values from low to high with as many decimals as the step has; at most 10,000."""
+def expand(low: float, high: float, step: float, limit: int = 10_000) -> list[float]:
+    """Grid values from low to high with as many decimals as the step has; refuses more than ``limit``, a step of 0 or less and an empty range."""
+    if not step > 0 or high < low:
+        raise ValueError("a grid needs a step above 0 and an end that isn't before its start")
+    size = int((high - low) / step + 1e-9) + 1
+    if size > limit:
+        raise ValueError(f"{size} values; the limit is {limit}")
     places = max(0, len(f"{step:.10f}".rstrip("0").split(".")[1]))
-    return [round(low + i * step, places) for i in range(min(10_000, int((high - low) / step + 1e-9) + 1))]
+    return [round(low + i * step, places) for i in range(size)]
 
 
 def label(params: dict) -> str:

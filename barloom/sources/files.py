@@ -6,7 +6,9 @@ Parsing is Column code over lines, so a folder of any number of files is read in
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -79,17 +81,34 @@ def merged(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def compressed(steps: DataFrame, key: str, at: str, value: str, threshold: float = 0.005) -> DataFrame:
-    """Observations that moved over ``threshold`` from the last one kept; first and last always stay. One fold per key."""
-    sorted_ = F.sort_array(F.collect_list(F.struct(F.col(at).alias("a"), F.col(value).alias("v"))))
-    rows = steps.where(f"{value} is not null and {at} is not null").groupBy(key).agg(sorted_.alias("xs"))
-    start = F.array(F.element_at("xs", 1))
+    """Observations that moved over ``threshold`` from the last one kept; first and last always stay.
 
-    def keep(kept: Column, x: Column) -> Column:
-        last = F.element_at(kept, -1)["v"]
-        return F.when((last == 0) | (F.abs(x["v"] / F.when(last != 0, last) - 1) > threshold) | (x["a"] == F.element_at("xs", -1)["a"]), F.concat(kept, F.array(x))).otherwise(kept)
-
-    out = rows.select(key, F.explode(F.aggregate(F.slice("xs", 2, 1_000_000), start, keep)).alias("x"))
-    return out.select(key, F.col("x.a").alias(at), F.col("x.v").alias(value)).distinct()
+    Of several observations of one key and ``at`` the largest counts; null values and ``at`` are left out. Which ones stay depends on
+    what was kept before, so a key is passed over in order: its rows are sorted by Spark and streamed in Arrow batches with the last kept
+    one as the only state, so a key of any length needs no memory of its own.
+    """
+    rows = steps.where(F.col(value).isNotNull() & F.col(at).isNotNull()).groupBy(key, at).agg(F.max(value).alias(value)).select(key, at, value)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name, kept, begun, waiting = None, 0.0, False, None  # waiting: a row that stays only if it is its key's last
+        for batch in batches:
+            out = []
+            for k, a, v in batch.itertuples(index=False, name=None):
+                if not begun or k != name and not (pd.isna(k) and pd.isna(name)):
+                    if waiting is not None:
+                        out.append(waiting)
+                    name, kept, begun, waiting = k, v, True, None
+                    out.append((k, a, v))
+                elif kept == 0 or abs(v / kept - 1) > threshold:
+                    kept, waiting = v, None
+                    out.append((k, a, v))
+                else:
+                    waiting = (k, a, v)
+            yield pd.DataFrame(out, columns=[key, at, value])
+        if waiting is not None:
+            yield pd.DataFrame([waiting], columns=[key, at, value])
+
+    return rows.repartition(key).sortWithinPartitions(key, at).mapInPandas(run, rows.schema)
 
 
 def economic(lines: DataFrame) -> DataFrame:
@@ -114,7 +133,6 @@ def synthetic(spark: SparkSession, symbols: list[str], first: str, last: str, se
     import zlib
 
     import numpy as np
-    import pandas as pd
 
     names = spark.createDataFrame([(s,) for s in symbols], "symbol string")
     grid = names.withColumn("bar_date", F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date")))).where("dayofweek(bar_date) not in (1, 7)")

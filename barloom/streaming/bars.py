@@ -2,20 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.common import epoch_of, symbol_of
-
-
-def shared_folder(spark: SparkSession) -> str:
-    import os
-    import tempfile
-
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return named or os.path.join(tempfile.gettempdir(), "barloom-checkpoints")
+from barloom.common import epoch_of, shared_folder, symbol_of
 
 
 def resampled(readings: DataFrame, width: str = "1 hour", delay: str = "1 hour") -> DataFrame:
@@ -44,22 +37,36 @@ def run_available(stream: DataFrame) -> DataFrame:
 
 
 def append_once(stream: DataFrame, path: str, state: str, keys: list[str]):
-    """Append rows whose key isn't there yet; a batch that runs again adds nothing, a key that comes again with other content is refused."""
-
-    def write(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
+    """Append rows whose key isn't there yet; a key that comes again with other content is refused.
+
+    The files of a batch carry a name of the stream's ``state`` and the batch's number. A batch is written beside the others first, then
+    its files are moved in; one that runs again after a failure begins by removing what it had moved, so it leaves each row once. What other
+    batches wrote is compared by key; streams that write to one ``path`` at the same time don't see each other's unfinished batches.
+    """
+    owner = hashlib.sha256(state.encode()).hexdigest()[:16]
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark, mine = batch.sparkSession, f"batch-{owner}-{number}-"
+        place = spark._jvm.org.apache.hadoop.fs.Path
+        fs = place(path).getFileSystem(spark._jsc.hadoopConfiguration())
+        there = [x.getPath() for x in fs.listStatus(place(path))] if fs.exists(place(path)) else []
+        for p in there:
+            if p.getName().startswith(mine):
+                fs.delete(p, False)
         rows = batch.dropDuplicates()
-        try:
+        if any(p.getName().startswith("batch-") and not p.getName().startswith(mine) for p in there):
             old = spark.read.schema(batch.schema).parquet(path)
-        except Exception:  # nothing was written yet
-            old = None
-        if old is not None:
             rest = [c for c in batch.columns if c not in keys]
             same = rows.join(old.withColumnsRenamed({c: f"_{c}" for c in rest}), keys)
             other = ~(F.struct(*(F.col(c).alias(c) for c in rest)).eqNullSafe(F.struct(*(F.col(f"_{c}").alias(c) for c in rest))))
             if not same.where(other).isEmpty():
                 raise ValueError("a record is there already with other content")
             rows = rows.join(old, keys, "left_anti")
-        rows.write.mode("append").parquet(path)
+        staged = f"{path}/_{mine}staged"
+        rows.write.mode("overwrite").parquet(staged)
+        for x in fs.listStatus(place(staged)):
+            if x.getPath().getName().startswith("part-"):
+                fs.rename(x.getPath(), place(f"{path}/{mine}{x.getPath().getName()}"))
+        fs.delete(place(staged), True)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start()
