@@ -90,9 +90,10 @@ select run_id, regime, round(exp(sum(ln(1 + r))) - 1, 5) + 0 as compounded, coun
 
 
 def reasons(s: SparkSession, d: str) -> DataFrame:
-    """Results of the mean-reversion runs by the reason of exit."""
-    f = E.fills(simulated(s, d, "mean-reversion", True))
-    return shown(T.by_reason(T.round_trips(f, ("reason",)), "exit_reason"), 4)
+    """Results of the mean-reversion runs by the reasons of entry and exit, costs of both legs taken off."""
+    f = E.fills(simulated(s, d, "mean-reversion", True)).withColumn("cost", F.col("commission") + F.col("slippage"))
+    t = T.enriched(T.round_trips(f, ("reason",)), prices(s, d))
+    return shown(T.both_reasons(t), 4)
 
 
 add("trades_by_reason", reasons)

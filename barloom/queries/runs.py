@@ -99,55 +99,117 @@ add("perf_episodes", lambda s, d: shown(P.episodes(curve(s, d))), f"{CURVE}, o a
 # -- trades ------------------------------------------------------------------------------------------------------------------
 
 
+def numbered_records(s: SparkSession, d: str) -> DataFrame:
+    return records(s, d).withColumn("seq", F.row_number().over(W.partitionBy("run_id").orderBy("bar_date")))
+
+
 def books(s: SparkSession, d: str) -> DataFrame:
-    """Positions of each record, long ones only, numbered by record."""
-    r = records(s, d).withColumn("seq", F.row_number().over(W.partitionBy("run_id").orderBy("bar_date")))
-    p = r.select("run_id", "seq", "bar_date", F.explode_outer("positions").alias("p")).select("run_id", "seq", "bar_date", symbol_of(F.col("p.symbol")).alias("symbol"), F.col("p.shares").alias("shares"), F.col("p.price").alias("price"))
-    return p.where("symbol is not null and shares > 0 and price > 0")
+    """Positions of each record, long and short, numbered by record."""
+    p = numbered_records(s, d).select("run_id", "seq", "bar_date", F.explode("positions").alias("p")).select("run_id", "seq", "bar_date", symbol_of(F.col("p.symbol")).alias("symbol"), F.col("p.shares").alias("shares"), F.col("p.price").alias("price"))
+    return p.where("symbol is not null and shares != 0 and price > 0")
 
 
 FILLS = f"""{CURVE}, sq as (select *, row_number() over (partition by run_id order by bar_date) as seq from c), pe as (select run_id, seq, bar_date, unnest(positions) as p from sq),
-b as (select run_id, seq, bar_date, upper(trim(p.symbol)) as symbol, sum(p.shares) as shares, max(p.price) as price from pe where p.shares > 0 and p.price > 0 and trim(p.symbol) <> '' group by run_id, seq, bar_date, upper(trim(p.symbol))),
-lb as (select distinct run_id, seq, bar_date from b),
+b as (select run_id, seq, bar_date, upper(trim(p.symbol)) as symbol, sum(p.shares) as shares, max(p.price) as price from pe where p.shares <> 0 and p.price > 0 and trim(p.symbol) <> '' group by run_id, seq, bar_date, upper(trim(p.symbol))),
 h as (select *, lag(shares) over v as bs, lag(seq) over v as bq, lead(seq) over v as nq from b window v as (partition by run_id, symbol order by seq)),
 f as (select run_id, symbol, seq, bar_date, shares - case when bq = seq - 1 then bs else 0 end as shares, price from h
-  union all select h.run_id, symbol, h.seq + 1, lb.bar_date, -shares, price from h join lb on lb.run_id = h.run_id and lb.seq = h.seq + 1 where nq is null or nq > h.seq + 1),
+  union all select h.run_id, symbol, h.seq + 1, sq.bar_date, -shares, price from h join sq on sq.run_id = h.run_id and sq.seq = h.seq + 1 where nq is null or nq > h.seq + 1),
 fl as (select * from f where shares <> 0)
 """
-add("trades_fills", lambda s, d: shown(T.fills_of(books(s, d)), 4), f"{FILLS} select run_id, symbol, cast(seq as bigint) as seq, cast(bar_date as varchar) as bar_date, round(shares, 4) as shares, round(price, 4) as price from fl")
-TRIPS = f"""{FILLS}, cu as (select *, case when shares > 0 then 'buy' else 'sell' end as side, round(sum(abs(shares)) over (partition by run_id, symbol, shares > 0 order by seq, bar_date, price rows between unbounded preceding and current row), 6) as upto from fl),
-by1 as (select run_id, symbol, seq, bar_date, price, upto - abs(shares) as lo, upto as hi from cu where side = 'buy'), se as (select run_id, symbol, seq, bar_date, price, upto - abs(shares) as lo, upto as hi from cu where side = 'sell'),
-m as (select y.run_id, y.symbol, y.bar_date as entry_day, s.bar_date as exit_day, y.price as entry_price, s.price as exit_price, y.seq as entry_seq, s.seq as exit_seq, least(y.hi, s.hi) - greatest(y.lo, s.lo) as shares from by1 y join se s on y.run_id = s.run_id and y.symbol = s.symbol and y.lo < s.hi - 1e-9 and s.lo < y.hi - 1e-9),
-so as (select run_id, symbol, max(hi) as sold from se group by run_id, symbol),
-o as (select y.run_id, y.symbol, y.bar_date as entry_day, null as exit_day, y.price as entry_price, null as exit_price, y.seq as entry_seq, null as exit_seq, y.hi - greatest(y.lo, coalesce(sold, 0)) as shares from by1 y left join so on so.run_id = y.run_id and so.symbol = y.symbol where y.hi > coalesce(sold, 0) + 1e-9),
-t as (select *, (exit_price - entry_price) * shares as pnl, exit_price / entry_price - 1 as ret, exit_day is null as open from (select * from m union all select * from o))
-"""
-add("trades_round_trips", lambda s, d: shown(T.round_trips(T.fills_of(books(s, d))).fillna(0, ["exit_seq"]), 4), f"{TRIPS} select run_id, symbol, cast(entry_day as varchar) as entry_day, cast(exit_day as varchar) as exit_day, round(entry_price, 4) as entry_price, round(exit_price, 4) as exit_price, entry_seq, coalesce(exit_seq, 0) as exit_seq, round(shares, 4) as shares, round(pnl, 4) + 0 as pnl, round(ret, 4) + 0 as ret, open from t")
 
 
-def trips(s: SparkSession, d: str) -> DataFrame:
-    return T.round_trips(T.fills_of(books(s, d)))
+def fills(s: SparkSession, d: str) -> DataFrame:
+    return T.fills_of(books(s, d), numbered_records(s, d))
 
 
-add("trades_stats", lambda s, d: shown(T.trade_stats(trips(s, d)), 4), f"""{TRIPS}, n as (select *, exit_seq - entry_seq as held, row_number() over (partition by run_id order by exit_seq - entry_seq, symbol, entry_seq, exit_seq) as k, count(*) over (partition by run_id) as n from t where not open)
-select run_id, count(*) as trades, round(count(case when pnl > 0 then 1 end) * 1.0 / count(*), 4) as win_rate, round(avg(case when pnl > 0 then pnl end), 4) as mean_win, round(avg(case when pnl < 0 then -pnl end), 4) as mean_loss, round(avg(pnl), 4) + 0 as expectancy, round(sum(case when pnl > 0 then pnl end) / nullif(sum(case when pnl < 0 then -pnl end), 0), 4) as profit_factor, round(max(ret), 4) + 0 as best, round(min(ret), 4) + 0 as worst, cast(max(case when k = n // 2 + 1 then held end) as bigint) as median_held, round(sum(pnl), 4) + 0 as net_pnl, round(avg(case when pnl > 0 then pnl end) / nullif(avg(case when pnl < 0 then -pnl end), 0), 4) as payoff from n group by run_id""")
-add("trades_streaks", lambda s, d: shown(T.streaks(trips(s, d)).fillna(0, ["wins", "losses"])), f"{TRIPS}, q as (select run_id, pnl > 0 as won, row_number() over (partition by run_id order by exit_seq, entry_seq, symbol) as no from t where not open), i as (select *, no - row_number() over (partition by run_id, won order by no) as island from q), g as (select run_id, won, island, count(*) as n from i group by run_id, won, island) select run_id, coalesce(max(case when won then n end), 0) as wins, coalesce(max(case when not won then n end), 0) as losses from g group by run_id")
-add("trades_by_symbol", lambda s, d: shown(T.by_symbol(trips(s, d)), 4), f"{TRIPS}, g as (select run_id, symbol, sum(pnl) as net, count(*) as trades from t where not open group by run_id, symbol) select run_id, symbol, round(net, 4) + 0 as net, trades, round(net / nullif(sum(abs(net)) over (partition by run_id), 0), 4) + 0 as contribution from g")
+add("trades_fills", lambda s, d: shown(fills(s, d), 4), f"{FILLS} select run_id, symbol, cast(seq as bigint) as seq, cast(bar_date as varchar) as bar_date, round(shares, 4) as shares, round(price, 4) as price from fl")
+BARS_X = """, rawb as (select upper(trim(symbol)) as symbol, try_cast(trim(bar_date) as date) as bar_date, open, high, low, close, adj_close, volume, row_number() over (partition by upper(trim(symbol)), trim(bar_date) order by bar_seq desc) as rn from bars),
+x as (select symbol, bar_date, high * (adj_close / close) as h, low * (adj_close / close) as l, adj_close as c from rawb where rn = 1 and open > 0 and high > 0 and low > 0 and close > 0 and adj_close > 0 and volume >= 0),
+mk as (select symbol, max(bar_date) as last_day, arg_max(c, bar_date) as last from x group by symbol)
+"""
+# positions before and after each fill, split where they go through zero; then openings and closings by their shares so far
+TRIPS = f"""{FILLS}{BARS_X}, ps as (select *, round(sum(shares) over (partition by run_id, symbol order by seq), 6) as aft from fl), pq as (select *, coalesce(lag(aft) over (partition by run_id, symbol order by seq), 0) as bef from ps),
+lg as (select run_id, symbol, seq, bar_date, price, sign(bef) as dir, false as opens, case when bef * aft < 0 then abs(bef) else greatest(abs(bef) - abs(aft), 0) end as q from pq
+  union all select run_id, symbol, seq, bar_date, price, sign(aft), true, case when bef * aft < 0 then abs(aft) else greatest(abs(aft) - abs(bef), 0) end from pq),
+hi as (select *, round(sum(q) over (partition by run_id, symbol, dir, opens order by seq), 6) as hi from lg where q > 0),
+cu as (select *, coalesce(lag(hi) over (partition by run_id, symbol, dir, opens order by seq), 0) as lo from hi),
+m as (select y.run_id, y.symbol, y.dir, y.bar_date as entry_day, s.bar_date as exit_day, y.price as entry_price, s.price as exit_price, y.seq as entry_seq, s.seq as exit_seq, least(y.hi, s.hi) - greatest(y.lo, s.lo) as shares from cu y join cu s on y.opens and not s.opens and y.run_id = s.run_id and y.symbol = s.symbol and y.dir = s.dir and y.lo < s.hi - 1e-9 and s.lo < y.hi - 1e-9),
+so as (select run_id, symbol, dir, max(hi) as sold from cu where not opens group by run_id, symbol, dir),
+o as (select y.run_id, y.symbol, y.dir, y.bar_date as entry_day, cast(null as date) as exit_day, y.price as entry_price, mk.last as exit_price, y.seq as entry_seq, null as exit_seq, y.hi - greatest(y.lo, coalesce(sold, 0)) as shares from cu y left join so on so.run_id = y.run_id and so.symbol = y.symbol and so.dir = y.dir left join mk on mk.symbol = y.symbol where y.opens and y.hi > coalesce(sold, 0) + 1e-9),
+t as (select u.*, case when dir > 0 then 'long' else 'short' end as direction, dir * (exit_price - entry_price) * shares as net_pnl, dir * (exit_price / entry_price - 1) as ret, exit_day is null as open, greatest(0, coalesce(exit_day, last_day) - entry_day) as days_held from (select * from m union all select * from o) u left join mk on mk.symbol = u.symbol),
+e as (select t.*, count(x.c) as bars_held, least(0, coalesce(case when any_value(dir) > 0 then min(x.l) / any_value(entry_price) - 1 else 1 - max(x.h) / any_value(entry_price) end, 0)) as mae_pct, greatest(0, coalesce(case when any_value(dir) > 0 then max(x.h) / any_value(entry_price) - 1 else 1 - min(x.l) / any_value(entry_price) end, 0)) as mfe_pct
+  from t left join x on x.symbol = t.symbol and x.bar_date >= entry_day and (open or x.bar_date <= exit_day) group by all)
+"""
 
 
 def day_bars(s: SparkSession, d: str) -> DataFrame:
     return B.adjusted(B.counting_bars(s, d))
 
 
-BARS_X = """, rawb as (select upper(trim(symbol)) as symbol, try_cast(trim(bar_date) as date) as bar_date, open, high, low, close, adj_close, volume, row_number() over (partition by upper(trim(symbol)), trim(bar_date) order by bar_seq desc) as rn from bars),
-x as (select symbol, bar_date, high * (adj_close / close) as h, low * (adj_close / close) as l, adj_close as c from rawb where rn = 1 and open > 0 and high > 0 and low > 0 and close > 0 and adj_close > 0 and volume >= 0)
+def trips(s: SparkSession, d: str) -> DataFrame:
+    marks = day_bars(s, d).groupBy("symbol").agg(F.max("bar_date").alias("last_day"), F.max_by("c", "bar_date").alias("last"))
+    return T.round_trips(fills(s, d), marks=marks)
+
+
+def enriched(s: SparkSession, d: str) -> DataFrame:
+    return T.enriched(trips(s, d), day_bars(s, d))
+
+
+def r4(**columns: str) -> str:
+    return ", ".join(f"round({e}, 4) + 0 as {n}" for n, e in columns.items())
+
+
+KEYS = ("run_id", "symbol", "direction", "entry_seq", "exit_seq")
+KEYS_SQL = "run_id, symbol, direction, cast(entry_seq as bigint) as entry_seq, cast(coalesce(exit_seq, 0) as bigint) as exit_seq"
+add("trades_round_trips", lambda s, d: shown(trips(s, d).drop("gross_pnl", "costs").fillna(0, ["exit_seq"]), 4), f"{TRIPS} select {KEYS_SQL}, cast(entry_day as varchar) as entry_day, cast(exit_day as varchar) as exit_day, {r4(entry_price='entry_price', exit_price='exit_price', shares='shares', net_pnl='net_pnl', ret='ret')}, cast(days_held as bigint) as days_held, open from t")
+add("trades_excursions", lambda s, d: shown(enriched(s, d).select(*KEYS, "bars_held", "mae_pct", "mfe_pct", "mae", "mfe").fillna(0, ["exit_seq"]), 4), f"{TRIPS} select {KEYS_SQL}, bars_held, {r4(mae_pct='mae_pct', mfe_pct='mfe_pct', mae='mae_pct * entry_price * shares', mfe='mfe_pct * entry_price * shares')} from e")
+STREAKS = """q as (select run_id, net_pnl > 0 as won, row_number() over (partition by run_id order by entry_day, symbol, exit_seq, entry_seq, direction) as no from t where not open), i as (select *, no - row_number() over (partition by run_id, won order by no) as island from q), g2 as (select run_id, won, island, count(*) as n from i group by run_id, won, island), sk as (select run_id, coalesce(max(case when won then n end), 0) as longest_wins, coalesce(max(case when not won then n end), 0) as longest_losses from g2 group by run_id)"""
+WON, LOST, GAVE = "case when net_pnl > 0 then {} end", "case when net_pnl <= 0 then {} end", "case when net_pnl <= 0 and mfe_pct >= 0.01 then {} end"
+STATS = r4(
+    win_rate="count(case when net_pnl > 0 then 1 end) * 1.0 / count(*)", mean_win_pct=f"avg({WON.format('ret')})", mean_loss_pct=f"avg({LOST.format('ret')})", mean_win=f"avg({WON.format('net_pnl')})", mean_loss=f"avg({LOST.format('-net_pnl')})",
+    expectancy="avg(net_pnl)", expectancy_pct="avg(ret)", profit_factor=f"case when sum({LOST.format('-net_pnl')}) > 0 then coalesce(sum({WON.format('net_pnl')}), 0) / sum({LOST.format('-net_pnl')}) when sum({WON.format('net_pnl')}) > 0 then cast('inf' as double) end",
+    best="max(ret)", worst="min(ret)", largest_win=f"max({WON.format('net_pnl')})", largest_loss=f"min({LOST.format('net_pnl')})", mean_bars="avg(bars_held)", mean_days="avg(days_held)", mean_mae="avg(mae_pct)", mean_mfe="avg(mfe_pct)", edge_ratio="avg(mfe_pct) / nullif(abs(avg(mae_pct)), 0)",
+    winner_mae=f"avg({WON.format('mae_pct')})", give_back=f"avg({GAVE.format('least(2, (mfe_pct - ret) / mfe_pct)')})", net_pnl="sum(net_pnl)", payoff=f"case when avg({LOST.format('-net_pnl')}) > 0 then coalesce(avg({WON.format('net_pnl')}), 0) / avg({LOST.format('-net_pnl')}) end",
+)
+add("trades_stats", lambda s, d: shown(T.trade_stats(enriched(s, d)).drop("costs").fillna(0, ["closed", "wins", "losses", "give_back_trades", "median_bars", "most_bars", "longest_wins", "longest_losses"]), 4), f"""{TRIPS}, {STREAKS}, n as (select *, row_number() over (partition by run_id order by bars_held, symbol, direction, entry_seq, exit_seq) as k, count(*) over (partition by run_id) as n from e where not open),
+st as (select run_id, count(*) as closed, count(case when net_pnl > 0 then 1 end) as wins, count(case when net_pnl <= 0 then 1 end) as losses, {STATS}, max(case when k = n // 2 + 1 then bars_held end) as median_bars, max(bars_held) as most_bars, count({GAVE.format('1')}) as give_back_trades from n group by run_id),
+al as (select run_id, count(case when open then 1 end) as open from t group by run_id)
+select al.run_id, al.open, st.* exclude (run_id, closed, wins, losses, median_bars, most_bars, give_back_trades), {', '.join(f'coalesce({c}, 0) as {c}' for c in ('closed', 'wins', 'losses', 'median_bars', 'most_bars', 'give_back_trades', 'longest_wins', 'longest_losses'))} from al left join st on st.run_id = al.run_id left join sk on sk.run_id = al.run_id""")
+add("trades_streaks", lambda s, d: shown(T.streaks(trips(s, d))), f"{TRIPS}, {STREAKS} select * from sk")
+add("trades_by_symbol", lambda s, d: shown(T.by_symbol(trips(s, d)), 4), f"{TRIPS}, g as (select run_id, symbol, sum(net_pnl) as net, count(*) as trades, count(case when net_pnl > 0 then 1 end) as wins from t where not open group by run_id, symbol) select run_id, symbol, round(net, 4) + 0 as net, trades, wins, round(net / nullif(sum(abs(net)) over (partition by run_id), 0), 4) + 0 as contribution from g")
+
+
+def by_half(s: SparkSession, d: str) -> DataFrame:
+    """Trades that ended (open ones: began) in the first half of a year."""
+    t = trips(s, d).withColumn("_year", F.year(F.coalesce("exit_day", "entry_day")))
+    t = T.in_range(t, F.make_date("_year", F.lit(1), F.lit(1)), F.make_date("_year", F.lit(6), F.lit(30)))
+    return shown(t.groupBy("run_id", F.col("_year").cast("long").alias("year")).agg(F.count("*").alias("trades"), F.sum("net_pnl").alias("net")), 4)
+
+
+add("trades_in_range", by_half, f"{TRIPS} select run_id, year(coalesce(exit_day, entry_day)) as year, count(*) as trades, round(sum(net_pnl), 4) + 0 as net from t where month(coalesce(exit_day, entry_day)) <= 6 group by run_id, year(coalesce(exit_day, entry_day))")
+DECAY = f"""{TRIPS}, n0 as (select symbol, bar_date, c, row_number() over (partition by symbol order by bar_date) as no from x),
+w1 as (select t.run_id, t.symbol, t.direction, entry_seq, exit_seq, any_value(dir) as dir, any_value(entry_price) as ep, min(no) as a, max(no) as b from t join n0 on n0.symbol = t.symbol and n0.bar_date between entry_day and exit_day where not open group by all having max(no) > min(no)),
+w2 as (select w1.*, unnest([1, 2, 3, 5, 10, 20, 40]) as horizon from w1), w3 as (select w2.*, dir * (p.c / ep - 1) as v, dir * (z.c / ep - 1) as fv from w2 join n0 p on p.symbol = w2.symbol and p.no = least(a + horizon, b) join n0 z on z.symbol = w2.symbol and z.no = b),
+pt as (select run_id, horizon, avg(v) as mean_return, sum(case when a + horizon <= b then 1 else 0 end) as still_open, count(*) as trades, avg(fv) as exit_return, avg(b - a + 1) as mean_bars from w3 group by run_id, horizon)
 """
-add("trades_excursions", lambda s, d: shown(T.excursions(trips(s, d), day_bars(s, d)).select("run_id", "symbol", "entry_seq", "exit_seq", "mae", "mfe"), 4), f"{TRIPS}{BARS_X} select t.run_id, t.symbol, t.entry_seq, t.exit_seq, round(min(l) / any_value(entry_price) - 1, 4) + 0 as mae, round(max(h) / any_value(entry_price) - 1, 4) + 0 as mfe from t left join x on x.symbol = t.symbol and x.bar_date between entry_day and exit_day where not open group by t.run_id, t.symbol, t.entry_seq, t.exit_seq")
-add("trades_decay", lambda s, d: shown(T.decay(trips(s, d), day_bars(s, d))), f"{TRIPS}{BARS_X}, n as (select symbol, bar_date, c, row_number() over (partition by symbol order by bar_date) as no, count(*) over (partition by symbol) as n from x), e as (select n.symbol, no, n, c, unnest([1, 2, 3, 5, 10, 20, 40]) as horizon from t join n on n.symbol = t.symbol and n.bar_date = t.entry_day) select cast(horizon as bigint) as horizon, round(avg(n.c / e.c - 1), 6) + 0 as mean_return, count(*) as trades from e join n on n.symbol = e.symbol and n.no = least(e.no + horizon, e.n) group by horizon")
-add("book_overlap", lambda s, d: shown(_overlap(s, d)), f"{FILLS}, bk as (select bar_date, run_id, list_sort(list(distinct symbol)) as book from b group by bar_date, run_id), y as (select bar_date, book, count(*) as runs from bk group by bar_date, book) select cast(bar_date as varchar) as bar_date, array_to_string(book, ',') as book, runs from y where runs > 1")
+add("trades_decay", lambda s, d: shown(T.decay(trips(s, d), day_bars(s, d))), f"{DECAY} select run_id, cast(horizon as bigint) as horizon, {rounds('mean_return=mean_return', 'exit_return=exit_return', 'mean_bars=mean_bars')}, cast(still_open as bigint) as still_open, trades from pt")
+
+
+def decay_points(s: SparkSession, d: str) -> DataFrame:
+    """Rounded, so that engines agree on which of two equal means is the peak."""
+    return T.decay(trips(s, d), day_bars(s, d)).withColumn("mean_return", F.round("mean_return", 9))
+
+
+add("trades_decay_summary", lambda s, d: shown(T.decay_summary(decay_points(s, d)), 5), f"""{DECAY}, rp as (select * replace (round(mean_return, 9) as mean_return) from pt), l as (select *, lag(mean_return) over (partition by run_id order by horizon) as before from rp),
+g as (select run_id, any_value(trades) as trades, any_value(exit_return) as exit_return, any_value(mean_bars) as mean_bars, max(mean_return) as peak_return, arg_max(struct_pack(m := mean_return, p := before), case when horizon <= mean_bars - 1 then horizon end) as la from l group by run_id),
+k as (select g.*, (select min(horizon) from rp where rp.run_id = g.run_id and rp.mean_return = g.peak_return) as peak_bars from g)
+select run_id, trades, cast(peak_bars as bigint) as peak_bars, round(peak_return, 5) + 0 as peak_return, round(exit_return, 5) + 0 as exit_return, round(mean_bars, 5) as mean_bars, coalesce(la.m >= la.p, true) as still_rising, round(case when peak_return >= 0.01 and peak_bars < 40 then (peak_return - exit_return) / peak_return end, 5) + 0 as given_back from k""")
+add("book_overlap", lambda s, d: shown(_overlap(s, d)), f"{FILLS}, bk as (select bar_date, run_id, list_sort(list(distinct case when shares > 0 then '+' else '-' end || symbol)) as book from b where shares <> 0 group by bar_date, run_id), y as (select bar_date, book, count(*) as runs from bk group by bar_date, book) select cast(bar_date as varchar) as bar_date, array_to_string(book, ',') as book, runs from y where runs > 1")
 
 
 def _overlap(s: SparkSession, d: str) -> DataFrame:
-    """Days on which several runs hold the same set of symbols: compared by a canonical key, not run by run."""
-    k = books(s, d).groupBy("bar_date", "run_id").agg(F.array_join(F.sort_array(F.collect_set("symbol")), ",").alias("book"))
+    """Days on which several runs hold the same symbols on the same sides: compared by a canonical key (+A,-B), not run by run."""
+    net = books(s, d).groupBy("bar_date", "run_id", "symbol").agg(F.sum("shares").alias("shares")).where("shares != 0")
+    side = F.concat(F.when(F.col("shares") > 0, "+").otherwise("-"), "symbol")
+    k = net.groupBy("bar_date", "run_id").agg(F.array_join(F.sort_array(F.collect_set(side)), ",").alias("book"))
     return k.groupBy("bar_date", "book").agg(F.count("*").alias("runs")).where("runs > 1")

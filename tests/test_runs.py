@@ -118,14 +118,83 @@ def test_grids_folds_and_crossings():
     assert S.crossing([(0, 4), (10, 2), (20, -2)]) == 15 and S.crossing([(1, 2.0), (100, 0.0)], 1.0, log=True) == pytest.approx(10)
 
 
+def fills_frame(spark, rows):
+    return spark.createDataFrame([(a, b, i, D(2020, 1, i), q, p, c) for a, b, i, q, p, c in rows], "run_id string, symbol string, seq int, bar_date date, shares double, price double, cost double")
+
+
 def test_fifo(spark):
     rows = [("r", "A", 1, 10.0, 100.0), ("r", "A", 2, 10.0, 120.0), ("r", "A", 3, -15.0, 130.0), ("r", "B", 1, 5.0, 10.0), ("r", "C", 1, 4.0, 1.0), ("r", "C", 2, -4.0, 2.0), ("r", "C", 3, 4.0, 3.0)]
-    f = spark.createDataFrame([(a, b, i, D(2020, 1, i), q, p) for a, b, i, q, p in rows], "run_id string, symbol string, seq int, bar_date date, shares double, price double")
-    got = {(r.symbol, r.entry_seq, r.exit_seq): (r.shares, r.pnl, r.open) for r in T.round_trips(f).collect()}
+    f = fills_frame(spark, [(*r, 0.0) for r in rows])
+    got = {(r.symbol, r.entry_seq, r.exit_seq): (r.shares, r.net_pnl, r.open) for r in T.round_trips(f).collect()}
     assert got == {("A", 1, 3): (10, 300, False), ("A", 2, 3): (5, 50, False), ("A", 2, None): (5, None, True), ("B", 1, None): (5, None, True), ("C", 1, 2): (4, 4, False), ("C", 3, None): (4, None, True)}
     assert T.round_trips(f.limit(0)).count() == 0
-    s = T.trade_stats(T.round_trips(f)).first()
-    assert (s.trades, s.win_rate, s.median_held, s.profit_factor) == (3, 1.0, 1, None)
+    days = [(s, D(2020, 1, i), 100.0 + i, 90.0 + i, 95.0 + i) for s in "AC" for i in range(1, 6)]
+    b = spark.createDataFrame(days, "symbol string, bar_date date, h double, l double, c double")
+    s = T.trade_stats(T.enriched(T.round_trips(f), b)).first()
+    assert (s.closed, s.open, s.win_rate, s.median_bars, s.profit_factor) == (3, 3, 1.0, 2, math.inf)
+
+
+def naive_trades(fills):
+    """Lots in a list, oldest first."""
+    out, lots = [], {}
+    for run, symbol, seq, q, price, cost in fills:
+        own, unit = lots.setdefault((run, symbol), []), cost / abs(q)
+        while abs(q) > 1e-9:
+            if not own or own[0][1] * q > 0:
+                own.append([seq, q, price, unit])
+                break
+            n = min(abs(q), abs(own[0][1]))
+            sign = 1 if own[0][1] > 0 else -1
+            out.append((run, symbol, "long" if sign > 0 else "short", own[0][0], seq, round(n, 6), round(sign * (price - own[0][2]) * n - n * (own[0][3] + unit), 4)))
+            own[0][1] -= sign * n
+            q += sign * n
+            if abs(own[0][1]) <= 1e-9:
+                own.pop(0)
+    return out + [(run, symbol, "long" if q > 0 else "short", seq, None, round(abs(q), 6), None) for (run, symbol), own in lots.items() for seq, q, _, _ in own]
+
+
+def test_signed_fifo_with_flips_and_costs(spark):
+    rng = np.random.default_rng(3)
+    rows = [(f"r{i % 3}", "AB"[i % 2], 1 + i // 6, float(rng.integers(-8, 9) or 1), float(rng.integers(5, 20)), float(rng.integers(0, 3))) for i in range(150)]
+    got = T.round_trips(fills_frame(spark, rows)).collect()
+    assert sorted((r.run_id, r.symbol, r.direction, r.entry_seq, r.exit_seq or 0, round(r.shares, 6), None if r.net_pnl is None else round(r.net_pnl, 4) + 0.0) for r in got) == sorted((*t[:4], t[4] or 0, *t[5:]) for t in naive_trades(rows))
+    flip = T.round_trips(fills_frame(spark, [("r", "A", 1, 10.0, 100.0, 10.0), ("r", "A", 2, -15.0, 90.0, 15.0), ("r", "A", 3, 5.0, 80.0, 5.0)])).orderBy("entry_seq").collect()
+    assert [(t.direction, t.shares, t.gross_pnl, t.costs, t.net_pnl) for t in flip] == [("long", 10, -100, 20, -120), ("short", 5, 50, 10, 40)]
+    marked = T.round_trips(fills_frame(spark, [("r", "A", 1, -2.0, 50.0, 1.0)]), marks=spark.createDataFrame([("A", D(2020, 1, 9), 40.0)], "symbol string, last_day date, last double")).first()
+    assert (marked.open, marked.net_pnl, marked.ret, marked.days_held) == (True, 19.0, 0.19, 8)
+
+
+def test_excursions_against_all_bars(spark):
+    rng = np.random.default_rng(4)
+    every = [D(2020, 1, 1) + dt.timedelta(i) for i in range(300) if rng.random() < 0.6]
+    b = [("A", x, float(rng.uniform(100, 120)), float(rng.uniform(80, 99)), 100.0) for x in every]
+    spans = [sorted(rng.integers(-20, 320, 2).tolist()) for _ in range(60)]
+    t = [("r", "A", "long" if i % 2 else "short", i, i if i % 5 else None, D(2020, 1, 1) + dt.timedelta(a), D(2020, 1, 1) + dt.timedelta(z) if i % 5 else None, 100.0, 1.0, not i % 5) for i, (a, z) in enumerate(spans)]
+    f = spark.createDataFrame(t, "run_id string, symbol string, direction string, entry_seq int, exit_seq int, entry_day date, exit_day date, entry_price double, shares double, open boolean")
+    for r in T.enriched(f, spark.createDataFrame(b, "symbol string, bar_date date, h double, l double, c double")).collect():
+        inside = [x for x in b if x[1] >= r.entry_day and (r.open or x[1] <= r.exit_day)]
+        low, high = min((x[3] for x in inside), default=100.0) / 100 - 1, max((x[2] for x in inside), default=100.0) / 100 - 1
+        want = (min(0, low), max(0, high)) if r.direction == "long" else (min(0, -high), max(0, -low))
+        assert r.bars_held == len(inside) and (r.mae_pct, r.mfe_pct) == pytest.approx(want)
+
+
+def test_decay_keeps_what_a_trade_ended_with(spark):
+    b = spark.createDataFrame([("A", D(2020, 1, i), 100.0 + 10 * i) for i in range(1, 9)], "symbol string, bar_date date, c double")
+    t = spark.createDataFrame([("r", "A", "long", 1, 2, D(2020, 1, 1), D(2020, 1, 4), 110.0, False), ("r", "A", "short", 3, 4, D(2020, 1, 2), D(2020, 1, 3), 120.0, False), ("r", "A", "long", 5, None, D(2020, 1, 1), None, 110.0, True)], "run_id string, symbol string, direction string, entry_seq int, exit_seq int, entry_day date, exit_day date, entry_price double, open boolean")
+    p = {r.horizon: (round(r.mean_return, 6), r.still_open, r.trades) for r in T.decay(t, b, (1, 2, 5)).collect()}
+    assert p == {1: (round((10 / 110 - 10 / 120) / 2, 6), 2, 2), 2: (round((20 / 110 - 10 / 120) / 2, 6), 1, 2), 5: (round((30 / 110 - 10 / 120) / 2, 6), 0, 2)}
+    s = T.decay_summary(T.decay(t, b, (1, 2, 5))).first()
+    assert (s.peak_bars, s.still_rising, s.given_back) == (5, True, None)
+
+
+def test_reasons_add_up(spark):
+    rows = [("r", "A", "long", i, i + 1, D(2020, 1, 1), D(2020, 1, 2), f"RSI {i}  up" if i < 9 else None, "out", float(i - 4), i, 1, 0.0, 0.0, False) for i in range(10)]
+    t = spark.createDataFrame(rows, "run_id string, symbol string, direction string, entry_seq int, exit_seq int, entry_day date, exit_day date, entry_reason string, exit_reason string, net_pnl double, bars_held int, days_held int, mae_pct double, mfe_pct double, open boolean")
+    r = T.both_reasons(t).collect()
+    assert {(x.side, x.grouping): sum(y.net for y in r if (y.side, y.grouping) == (x.side, x.grouping)) for x in r} == {(a, b): 5.0 for a in ("entry", "exit") for b in ("verbatim", "numberless")}
+    assert {x.reason for x in r if x.grouping == "numberless"} == {"RSI N up", T.NO_REASON, "out"} and {x.preferred for x in r} == {"numberless"}
+    kept = T.head_and_tail(spark.createDataFrame([("g", f"n{i}", float(i)) for i in range(9)], "g string, n string, v double"), "g", "v", 5, "n").orderBy("place").collect()
+    assert [x.n for x in kept] == ["n8", "n7", "n2", "n1", "n0"]
 
 
 def test_fills_of_books(spark):
