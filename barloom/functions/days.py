@@ -61,6 +61,45 @@ def holiday_table(spark: SparkSession, first: int, last: int) -> DataFrame:
     return spark.createDataFrame([(d,) for y in range(first, last + 1) for d in sorted(holidays(y))], "day date")
 
 
+CALENDAR_FROM = "1981-01-01"  # holidays are known from then on
+
+
+def session_table(spark: SparkSession, last: int = 2100) -> DataFrame:
+    """Every calendar day from 1981 to the end of ``last``: day, session (the exchange trades), upto (sessions so far). A fixed size, whatever the data."""
+    import numpy as np
+    import pyarrow as pa
+
+    days = np.arange(np.datetime64(CALENDAR_FROM, "D"), np.datetime64(f"{last + 1}-01-01", "D"))
+    closed = np.array([h for y in range(int(CALENDAR_FROM[:4]), last + 1) for h in sorted(holidays(y))], "datetime64[D]")
+    session = np.is_busday(days, holidays=closed)
+    return spark.createDataFrame(pa.table({"day": pa.array(days), "session": session, "upto": np.cumsum(session)}))
+
+
+def sessions_between(first: dt.date, last: dt.date) -> int:
+    """Number of the exchange's sessions from first to last, both included."""
+    return sum(1 for i in range((last - first).days + 1) if (x := first + dt.timedelta(i)).weekday() < 5 and x not in holidays(x.year))
+
+
+def session_before(day: dt.date) -> dt.date:
+    """The exchange's last session before the day."""
+    while True:
+        day -= dt.timedelta(1)
+        if day.weekday() < 5 and day not in holidays(day.year):
+            return day
+
+
+def calendar_of_ticker(symbol: Column) -> Column:
+    """Calendar by a ticker's form: pairs with a currency trade always, those that end in =X when currencies do."""
+    s = F.upper(F.trim(symbol))
+    return F.when(s.rlike("-(USD|USDT|EUR|GBP)$"), "continuous").when(s.endswith("=X"), "fx").otherwise("session")
+
+
+def widest(calendars: Column) -> Column:
+    """Of an array of calendars the one with the most sessions a year; the exchange's for none."""
+    size = F.transform(calendars, lambda c: F.struct(F.create_map(*(F.lit(x) for k, (n, _) in CALENDARS.items() for x in (k, n)))[c].alias("n"), c.alias("c")))
+    return F.coalesce(F.array_max(size)["c"], F.lit("session"))
+
+
 def trading_days(spark: SparkSession, first: str, last: str) -> DataFrame:
     """Weekdays from first to last that are no holiday, numbered."""
     from pyspark.sql import Window as W

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from barloom.functions import days
 from barloom.operators import bars as B
 from barloom.operators import indicators as I
 from barloom.operators import recursive as R
@@ -158,32 +159,17 @@ add("calendar_flags", lambda s, d: dated(B.period_flags(B.counting_bars(s, d).se
 
 
 def calendar_of(s: SparkSession, d: str) -> DataFrame:
-    """Infer each symbol's calendar: continuous where over a tenth of 20 or more bars lies on weekends."""
+    """Each symbol's calendar: by its ticker's form where it has under 20 bars; else continuous where over a tenth of its bars lies on weekends."""
     weekend = F.dayofweek("bar_date").isin(1, 7).cast("int")
     g = B.counting_bars(s, d).groupBy("symbol").agg(F.count("*").alias("bars"), F.sum(weekend).alias("weekend"))
-    return g.select("symbol", "bars", "weekend", F.when((F.col("bars") >= 20) & (F.col("weekend") > 0.1 * F.col("bars")), "continuous").otherwise("session").alias("calendar"))
+    name = days.calendar_of_ticker(F.col("symbol"))
+    seen = F.when(F.col("weekend") > 0.1 * F.col("bars"), "continuous").when(name == "continuous", "session").otherwise(name)
+    return g.select("symbol", "bars", "weekend", F.when(F.col("bars") < 20, name).otherwise(seen).alias("calendar"))
 
 
-add("calendar_inferred", calendar_of, f"{BARS} select symbol, count(*) as bars, count(*) filter (where isodow(bar_date) >= 6) as weekend, case when count(*) >= 20 and count(*) filter (where isodow(bar_date) >= 6) > 0.1 * count(*) then 'continuous' else 'session' end as calendar from b group by symbol")
-
-
-def missing_sessions(s: SparkSession, d: str) -> DataFrame:
-    """Days on which other symbols of the same calendar traded and this one, between its first and last bar, did not; as runs."""
-    b = B.counting_bars(s, d).select("symbol", "bar_date")
-    kind = calendar_of(s, d).select("symbol", "calendar")
-    b = b.join(kind, "symbol")
-    sessions = b.select("calendar", "bar_date").distinct()
-    numbered = sessions.withColumn("no", F.row_number().over(W.partitionBy("calendar").orderBy("bar_date")))
-    held = b.join(numbered, ["calendar", "bar_date"])
-    w = W.partitionBy("symbol").orderBy("no")
-    gaps = held.withColumns({"next_no": F.lead("no").over(w), "next_day": F.lead("bar_date").over(w)}).where("next_no > no + 1")
-    return dated(gaps.select("symbol", F.col("bar_date").alias("after_day"), F.col("next_day").alias("before_day"), (F.col("next_no") - F.col("no") - 1).cast("long").alias("missing")), "after_day", "before_day")
-
-
-add("audit_missing_sessions", missing_sessions, f"""{BARS}, k as (select symbol, case when count(*) >= 20 and count(*) filter (where isodow(bar_date) >= 6) > 0.1 * count(*) then 'continuous' else 'session' end as calendar from b group by symbol),
-s as (select distinct calendar, bar_date from b join k using (symbol)), n as (select *, row_number() over (partition by calendar order by bar_date) as no from s),
-q as (select symbol, b.bar_date, no, lead(no) over (partition by symbol order by no) as nn, lead(b.bar_date) over (partition by symbol order by no) as nd from b join k using (symbol) join n on n.calendar = k.calendar and n.bar_date = b.bar_date)
-select symbol, cast(bar_date as varchar) as after_day, cast(nd as varchar) as before_day, nn - no - 1 as missing from q where nn > no + 1""")
+BY_TICKER = "case when regexp_matches(symbol, '-(USD|USDT|EUR|GBP)$') then 'continuous' when symbol like '%=X' then 'fx' else 'session' end"
+CALENDAR = f"case when count(*) < 20 then {BY_TICKER} when count(*) filter (where isodow(bar_date) >= 6) > 0.1 * count(*) then 'continuous' when {BY_TICKER} = 'continuous' then 'session' else {BY_TICKER} end"
+add("calendar_inferred", calendar_of, f"{BARS} select symbol, count(*) as bars, count(*) filter (where isodow(bar_date) >= 6) as weekend, {CALENDAR} as calendar from b group by symbol")
 
 # -- as-of and interval joins ------------------------------------------------------------------------------------------------
 
@@ -252,80 +238,3 @@ def ranked(s: SparkSession, d: str, metric: str, n: int = 5, ascending: bool = F
 
 for metric, (_, e) in METRICS.items():
     add(f"rank_{metric}", lambda s, d, m=metric: ranked(s, d, m), f"{BARS}, z as (select symbol, bar_date, round({e}, 6) as score from y), q as (select *, row_number() over (partition by bar_date order by score desc, symbol) as rank from z where score is not null) select symbol, cast(bar_date as varchar) as bar_date, score, rank from q where rank <= 5")
-
-# -- audit -------------------------------------------------------------------------------------------------------------------
-
-
-def audit_inputs(s: SparkSession, d: str) -> DataFrame:
-    from barloom.common import day_of, symbol_of, table
-    from barloom.operators.intervals import latest_versions
-
-    b = table(s, d, "bars").select(symbol_of("symbol").alias("symbol"), day_of("bar_date").alias("bar_date"), *B.FIELDS, "bar_seq")
-    return latest_versions(b.where("symbol is not null and bar_date is not null"), ["symbol", "bar_date"], ["bar_seq"])
-
-
-ALL = BARS.replace("rn = 1 and open > 0 and high > 0 and low > 0 and close > 0 and adj_close > 0 and volume >= 0", "rn = 1")
-add("audit_duplicates", lambda s, d: dated(_raw(s, d).groupBy("symbol", "bar_date").count().where("count > 1").withColumnRenamed("count", "copies"), "bar_date"), f"{BARS} select symbol, cast(bar_date as varchar) as bar_date, count(*) as copies from raw where symbol is not null and bar_date is not null group by symbol, bar_date having count(*) > 1")
-
-
-def _raw(s: SparkSession, d: str) -> DataFrame:
-    from barloom.common import day_of, symbol_of, table
-
-    return table(s, d, "bars").select(symbol_of("symbol").alias("symbol"), day_of("bar_date").alias("bar_date")).where("symbol is not null and bar_date is not null")
-
-
-def audit_ohlc(s: SparkSession, d: str) -> DataFrame:
-    checks = {"high_below_low": "high < low", "open_outside": "open < low or open > high", "close_outside": "close < low or close > high", "not_positive": "least(open, high, low, close) <= 0", "negative_volume": "volume < 0"}
-    g = audit_inputs(s, d).groupBy("symbol").agg(*(F.sum(F.coalesce(F.expr(e), F.lit(False)).cast("long")).alias(k) for k, e in checks.items()))
-    return g.where(" or ".join(f"{k} > 0" for k in checks))
-
-
-add("audit_ohlc", audit_ohlc, f"{ALL}, g as (select symbol, count(*) filter (where high < low) as high_below_low, count(*) filter (where open < low or open > high) as open_outside, count(*) filter (where close < low or close > high) as close_outside, count(*) filter (where open <= 0 or high <= 0 or low <= 0 or close <= 0) as not_positive, count(*) filter (where volume < 0) as negative_volume from b group by symbol) select * from g where high_below_low + open_outside + close_outside + not_positive + negative_volume > 0")
-
-
-def audit_stale(s: SparkSession, d: str) -> DataFrame:
-    """Runs of five or more equal closes; twenty or more are critical."""
-    w = W.partitionBy("symbol").orderBy("bar_date")
-    b = B.counting_bars(s, d)
-    runs = b.withColumn("new", (F.coalesce(F.lag("close").over(w) != F.col("close"), F.lit(True))).cast("int")).withColumn("run", F.sum("new").over(w))
-    g = runs.groupBy("symbol", "run").agg(F.min("bar_date").alias("from_day"), F.max("bar_date").alias("to_day"), F.count("*").alias("length"), F.min("close").alias("close")).where("length >= 5")
-    return dated(g.select("symbol", "from_day", "to_day", "length", "close", F.when(F.col("length") >= 20, "critical").otherwise("warning").alias("severity")), "from_day", "to_day")
-
-
-add("audit_stale", audit_stale, f"{BARS}, n as (select *, case when lag(close) over {ORDER} = close then 0 else 1 end as new from b), r as (select *, sum(new) over {ORDER} as run from n) select symbol, cast(min(bar_date) as varchar) as from_day, cast(max(bar_date) as varchar) as to_day, count(*) as length, min(close) as close, case when count(*) >= 20 then 'critical' else 'warning' end as severity from r group by symbol, run having count(*) >= 5")
-
-#: The ratios that share splits have.
-RATIOS = [("2:1", 0.5), ("3:1", 1 / 3), ("3:2", 2 / 3), ("4:1", 0.25), ("5:1", 0.2), ("10:1", 0.1), ("20:1", 0.05), ("1:2", 2.0), ("1:3", 3.0), ("1:4", 4.0), ("1:5", 5.0), ("1:10", 10.0)]
-
-
-def audit_splits(s: SparkSession, d: str) -> DataFrame:
-    """Steps of the raw close by a split's ratio (within 2 %) that the following five bars don't take back."""
-    w = W.partitionBy("symbol").orderBy("bar_date")
-    b = B.counting_bars(s, d).withColumns({"ratio": F.col("close") / F.lag("close").over(w), "before": F.lag("close").over(w), "after": F.collect_list("close").over(w.rowsBetween(1, 5))})
-    kind = F.coalesce(*(F.when(F.abs(F.col("ratio") / x - 1) <= 0.02, n) for n, x in RATIOS))
-    back = F.exists("after", lambda x: F.abs(x / F.col("before") - 1) <= 0.1)
-    adjusted = F.abs(F.col("adj_close") / F.lag("adj_close").over(w) - 1) < 0.2
-    found = b.withColumns({"kind": kind, "reverts": back, "adjusted": adjusted}).where("kind is not null and not reverts")
-    return dated(found.select("symbol", "bar_date", "kind", F.round("ratio", 6).alias("ratio"), "adjusted"), "bar_date")
-
-
-KIND = "case " + " ".join(f"when abs(ratio / {x!r} - 1) <= 0.02 then '{n}'" for n, x in RATIOS) + " end"
-add("audit_splits", audit_splits, f"{BARS}, z as (select *, close / lag(close) over {ORDER} as ratio, lag(close) over {ORDER} as before, lag(adj_close) over {ORDER} as pa, list(close) over (partition by symbol order by bar_date rows between 1 following and 5 following) as nx from b), q as (select *, {KIND} as kind, len(list_filter(coalesce(nx, []), lambda e: abs(e / before - 1) <= 0.1)) > 0 as reverts from z) select symbol, cast(bar_date as varchar) as bar_date, kind, round(ratio, 6) as ratio, abs(adj_close / pa - 1) < 0.2 as adjusted from q where kind is not null and not reverts")
-
-
-def audit_extremes(s: SparkSession, d: str) -> DataFrame:
-    """Adjusted moves of 20 % or more, the five largest of each symbol."""
-    df = I.with_inputs(B.adjusted(B.counting_bars(s, d))).where(F.abs("r") >= 0.2)
-    top = df.withColumn("no", F.row_number().over(W.partitionBy("symbol").orderBy(F.desc(F.abs("r")), "bar_date")).cast("long")).where("no <= 5")
-    return dated(top.select("symbol", "bar_date", F.round("r", 6).alias("move"), "no"), "bar_date")
-
-
-add("audit_extremes", audit_extremes, f"{BARS}, q as (select symbol, bar_date, r, row_number() over (partition by symbol order by abs(r) desc, bar_date) as no from y where abs(r) >= 0.2) select symbol, cast(bar_date as varchar) as bar_date, round(r, 6) as move, no from q where no <= 5")
-
-
-def audit_zero_volume(s: SparkSession, d: str) -> DataFrame:
-    g = audit_inputs(s, d).groupBy("symbol").agg(F.count("*").alias("bars"), F.count(F.when(F.col("volume") > 0, 1)).alias("traded"), F.count(F.when(F.col("volume").isNull() | (F.col("volume") == 0), 1)).alias("silent"))
-    return g.withColumn("finding", (F.col("traded") >= 0.9 * F.col("bars")) & (F.col("silent") > 0.01 * F.col("bars")))
-
-
-add("audit_zero_volume", audit_zero_volume, f"{ALL}, g as (select symbol, count(*) as bars, count(*) filter (where volume > 0) as traded, count(*) filter (where volume is null or volume = 0) as silent from b group by symbol) select *, traded >= 0.9 * bars and silent > 0.01 * bars as finding from g")

@@ -14,7 +14,7 @@ from barloom.operators import reference as R
 from barloom.operators import trades as T
 from barloom.plans import engine as E
 from barloom.common import day_of, table
-from barloom.queries.market import BARS, ENDS, calendar_of, month_ends
+from barloom.queries.market import BARS, CALENDAR, ENDS, calendar_of, month_ends
 from barloom.queries.runs import CURVE, curve, shown
 from barloom.plans import search as S
 from barloom.queries.search import TRIALS, measured, prices, simulated, trials
@@ -156,16 +156,9 @@ def coverage(s: SparkSession, d: str) -> DataFrame:
     return shown(g.withColumn("share", F.col("bars") / F.col("sessions")).withColumn("enough", F.col("bars") >= 0.9 * F.col("sessions")))
 
 
-add("join_coverage", coverage, f"{BARS}, k as (select symbol, case when count(*) >= 20 and count(*) filter (where isodow(bar_date) >= 6) > 0.1 * count(*) then 'continuous' else 'session' end as calendar from b group by symbol), s as (select distinct calendar, bar_date from b join k on b.symbol = k.symbol), n as (select *, row_number() over (partition by calendar order by bar_date) as no from s), g as (select b.symbol, count(*) as bars, max(no) - min(no) + 1 as sessions from b join k on b.symbol = k.symbol join n on n.calendar = k.calendar and n.bar_date = b.bar_date group by b.symbol) select symbol, bars, sessions, round(bars * 1e0 / sessions, 6) as share, bars >= 0.9 * sessions as enough from g")
+add("join_coverage", coverage, f"{BARS}, k as (select symbol, {CALENDAR} as calendar from b group by symbol), s as (select distinct calendar, bar_date from b join k on b.symbol = k.symbol), n as (select *, row_number() over (partition by calendar order by bar_date) as no from s), g as (select b.symbol, count(*) as bars, max(no) - min(no) + 1 as sessions from b join k on b.symbol = k.symbol join n on n.calendar = k.calendar and n.bar_date = b.bar_date group by b.symbol) select symbol, bars, sessions, round(bars * 1e0 / sessions, 6) as share, bars >= 0.9 * sessions as enough from g")
 
 
-def closed_days(s: SparkSession, d: str) -> DataFrame:
-    """Bars on weekends of symbols whose calendar has sessions."""
-    b = B.counting_bars(s, d).join(calendar_of(s, d).select("symbol", "calendar"), "symbol").where("calendar = 'session' and dayofweek(bar_date) in (1, 7)")
-    return b.groupBy("symbol").agg(F.count("*").alias("bars"), F.min("bar_date").cast("string").alias("first_day"))
-
-
-add("audit_closed_days", closed_days, f"{BARS}, k as (select symbol from b group by symbol having not (count(*) >= 20 and count(*) filter (where isodow(bar_date) >= 6) > 0.1 * count(*))) select b.symbol, count(*) as bars, cast(min(bar_date) as varchar) as first_day from b join k on b.symbol = k.symbol where isodow(bar_date) >= 6 group by b.symbol")
 add("fn_ticker", lambda s, d: table(s, d, "ai_calls").select("call_id", web.ticker_in(F.col("prompt")).alias("ticker")))
 
 

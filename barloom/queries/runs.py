@@ -202,8 +202,8 @@ def decay_points(s: SparkSession, d: str) -> DataFrame:
 
 add("trades_decay_summary", lambda s, d: shown(T.decay_summary(decay_points(s, d)), 5), f"""{DECAY}, rp as (select * replace (round(mean_return, 9) as mean_return) from pt), l as (select *, lag(mean_return) over (partition by run_id order by horizon) as before from rp),
 g as (select run_id, any_value(trades) as trades, any_value(exit_return) as exit_return, any_value(mean_bars) as mean_bars, max(mean_return) as peak_return, arg_max(struct_pack(m := mean_return, p := before), case when horizon <= mean_bars - 1 then horizon end) as la from l group by run_id),
-k as (select g.*, (select min(horizon) from rp where rp.run_id = g.run_id and rp.mean_return = g.peak_return) as peak_bars from g)
-select run_id, trades, cast(peak_bars as bigint) as peak_bars, round(peak_return, 5) + 0 as peak_return, round(exit_return, 5) + 0 as exit_return, round(mean_bars, 5) as mean_bars, coalesce(la.m >= la.p, true) as still_rising, round(case when peak_return >= 0.01 and peak_bars < 40 then (peak_return - exit_return) / peak_return end, 5) + 0 as given_back from k""")
+kk as (select g.*, (select min(horizon) from rp where rp.run_id = g.run_id and rp.mean_return = g.peak_return) as peak_bars from g)
+select run_id, trades, cast(peak_bars as bigint) as peak_bars, round(peak_return, 5) + 0 as peak_return, round(exit_return, 5) + 0 as exit_return, round(mean_bars, 5) as mean_bars, coalesce(la.m >= la.p, true) as still_rising, round(case when peak_return >= 0.01 and peak_bars < 40 then (peak_return - exit_return) / peak_return end, 5) + 0 as given_back from kk""")
 add("book_overlap", lambda s, d: shown(_overlap(s, d)), f"{FILLS}, bk as (select bar_date, run_id, list_sort(list(distinct case when shares > 0 then '+' else '-' end || symbol)) as book from b where shares <> 0 group by bar_date, run_id), y as (select bar_date, book, count(*) as runs from bk group by bar_date, book) select cast(bar_date as varchar) as bar_date, array_to_string(book, ',') as book, runs from y where runs > 1")
 
 
