@@ -6,13 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
-from barloom.common import cut
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 P1, P2, P3, P4, P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 HASHES = 3
+ROWS = 65_536  # rows that are worked on at once, and as many more as complete their last bucket
 
 
 def xxhash64_long(value: np.ndarray, seed: np.ndarray) -> np.ndarray:
@@ -73,69 +74,110 @@ def peel(count: np.ndarray, fields: np.ndarray, width: int) -> tuple[np.ndarray,
     return tuple(np.concatenate([o[i] for o in out], axis=-1) for i in range(3))  # type: ignore[return-value]
 
 
-RECOVERED = "snapshot_no long, bucket long, ok boolean, k1 long, k2 long, kind string"
+def bit_tables(table: np.ndarray, tables: int, k1: np.ndarray, k2: np.ndarray, v: np.ndarray, check: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lookup tables of many sets at once: counts (tables x cells) and fields (4 x tables x cells). ``table``: the table of each element."""
+    cells = HASHES * width
+    slots = table[None, :] * cells + cells_of(check, width)
+    count = np.bincount(slots.ravel(), minlength=tables * cells).astype(np.int64).reshape(tables, cells)
+    fields = np.zeros((4, tables * cells), np.int64)
+    for f, x in enumerate((k1, k2, v, check)):
+        for part in slots:  # cells of one part may coincide between elements
+            np.bitwise_xor.at(fields[f], part, x)
+    return count, fields.reshape(4, tables, cells)
 
 
-def peeler(width: int):
-    """mapInPandas function: a row per bucket with its subtracted cells to a row per recovered key (ok) or a failed bucket."""
-    cells = HASHES * width
+def recovered(count: np.ndarray, fields: np.ndarray, width: int) -> tuple[pd.DataFrame, np.ndarray]:
+    """Peel subtracted tables: elements (at, sign, k1, k2) of those that decode, and which tables don't.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    The digests decide: nothing is left, and what was recovered makes up the whole difference.
+    """
+    n, count, fields = len(count), np.ascontiguousarray(count), np.ascontiguousarray(fields)  # peeled in place
+    total, digest = count[:, :width].sum(axis=1), np.bitwise_xor.reduce(fields[3, :, :width], axis=1)
+    bucket, sign, found = peel(count, fields, width)
+    left = (count != 0).any(axis=1) | (fields != 0).any(axis=(0, 2))
+    got, mixed = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    np.add.at(got, bucket, sign)
+    np.bitwise_xor.at(mixed, bucket, check_of(*found))
+    bad = left | (got != total) | (mixed != digest)
+    rows = pd.DataFrame({"at": bucket, "sign": sign, "k1": found[0], "k2": found[1]})
+    return rows[~bad[bucket]] if len(rows) else rows, bad
+
+
+def changes(bucket: np.ndarray, delivery: np.ndarray, k1: np.ndarray, k2: np.ndarray, v: np.ndarray, deliveries: int, width: int, growth: int, rounds: int) -> pd.DataFrame:
+    """Changes between successive deliveries of whole buckets: delivery (the later), row (an element that has the key), kind.
+
+    ``bucket`` and ``delivery`` are numbered from 0, ``deliveries`` in all. Tables that don't decode are built again, ``growth`` times as wide,
+    ``rounds`` times at most; the rest is compared element by element.
+    """
+    check, pairs = check_of(k1, k2, v), deliveries - 1
+    elements = pd.DataFrame({"bucket": bucket, "delivery": delivery, "k1": k1, "k2": k2, "row": np.arange(len(k1))})
+    open_ = np.ones((int(bucket.max()) + 1, pairs), bool)  # which bucket and pair isn't settled
+    out = []
+    for _ in range(rounds):
+        ids = np.flatnonzero(open_.any(axis=1))
+        if not len(ids):
+            break
+        place = np.full(len(open_), -1)
+        place[ids] = np.arange(len(ids))
+        use = np.flatnonzero(place[bucket] >= 0)
+        count, fields = bit_tables(place[bucket[use]] * deliveries + delivery[use], len(ids) * deliveries, k1[use], k2[use], v[use], check[use], width)
+        count, fields = count.reshape(len(ids), deliveries, -1), fields.reshape(4, len(ids), deliveries, -1)
+        at, pair = np.nonzero(open_[ids])
+        rows, bad = recovered(count[at, pair + 1] - count[at, pair], fields[:, at, pair + 1] ^ fields[:, at, pair], width)
+        rows = rows.assign(bucket=ids[at[rows["at"]]], pair=pair[rows["at"]])
+        out.append(rows.assign(plus=rows["sign"] > 0, minus=rows["sign"] < 0).groupby(["bucket", "pair", "k1", "k2"], as_index=False)[["plus", "minus"]].any())
+        open_[ids[at], pair] = bad
+        width *= growth
+    keys = pd.concat(out)
+    keys = keys.assign(delivery=keys["pair"] + keys["plus"])  # a removed key is only in the earlier delivery
+    found = keys.merge(elements, on=["bucket", "delivery", "k1", "k2"])
+    kind = np.where(found["plus"] & found["minus"], "changed", np.where(found["plus"], "added", "removed"))
+    settled = pd.DataFrame({"delivery": found["pair"] + 1, "row": found["row"], "kind": kind})
+    at, pair = np.nonzero(open_)
+    if not len(at):
+        return settled
+    return pd.concat([settled, compared(elements.assign(v=v), pd.DataFrame({"bucket": at, "pair": pair}))])
+
+
+def compared(elements: pd.DataFrame, rest: pd.DataFrame) -> pd.DataFrame:
+    """The exact way for the rest: full outer comparison of the given buckets and pairs."""
+    side = lambda n: rest.assign(delivery=rest["pair"] + n).merge(elements, on=["bucket", "delivery"]).drop(columns="delivery")
+    both = side(0).merge(side(1), on=["bucket", "pair", "k1", "k2"], how="outer", suffixes=("_a", "_b"), indicator="_in")
+    both = both[(both["_in"] != "both") | (both["v_a"] != both["v_b"])]
+    kind = np.where(both["_in"] == "both", "changed", np.where(both["_in"] == "right_only", "added", "removed"))
+    return pd.DataFrame({"delivery": both["pair"] + 1, "row": both["row_b"].fillna(both["row_a"]).astype(np.int64), "kind": kind})
+
+
+def differ(numbers: np.ndarray, keys: list[str], width: int, growth: int, rounds: int, piece: int):
+    """mapInArrow function over elements sorted by bucket: whole buckets at a time to their changes."""
+
+    def solved(t: pa.Table) -> pa.RecordBatch:
+        column = lambda c: t.column(c).to_numpy()
+        bucket = np.unique(column("_bucket"), return_inverse=True)[1]
+        c = changes(bucket, np.searchsorted(numbers, column("_no")), column("_k1"), column("_k2"), column("_v"), len(numbers), width, growth, rounds)
+        named = t.select(keys).take(pa.array(c["row"].to_numpy(np.int64))).combine_chunks()
+        parts = [pa.array(numbers[c["delivery"].to_numpy(np.int64)], pa.int64()), *(named.column(k).combine_chunks() for k in keys), pa.array(c["kind"].to_numpy(object), pa.string())]
+        return pa.Table.from_arrays(parts, ["snapshot_no", *keys, "change_kind"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            n = len(batch)
-            if not n:
+            held.append(batch)
+            if sum(b.num_rows for b in held) < piece:
                 continue
-            lengths = np.fromiter((len(x) for x in batch["cell"]), np.int64, n)
-            flat = lambda c, d=np.int64: np.concatenate([np.asarray(x, d) for x in batch[c]])  # noqa: B023, E731
-            at = np.repeat(np.arange(n), lengths) * cells + flat("cell")
-            count, fields = np.zeros(n * cells, np.int64), np.zeros((4, n * cells), np.int64)
-            count[at] = flat("count")
-            for f, c in enumerate(("k1", "k2", "v", "check")):
-                fields[f, at] = flat(c)
-            count, fields = count.reshape(n, cells), fields.reshape(4, n, cells)
-            total, digest = count[:, :width].sum(axis=1), np.bitwise_xor.reduce(fields[3, :, :width], axis=1)
-            bucket, sign, found = peel(count, fields, width)
-            # the digests: nothing is left, and what was recovered makes up the whole difference
-            left = (count.reshape(n, cells) != 0).any(axis=1) | (fields.reshape(4, n, cells) != 0).any(axis=(0, 2))
-            got, mixed = np.zeros(n, np.int64), np.zeros(n, np.int64)
-            np.add.at(got, bucket, sign)
-            np.bitwise_xor.at(mixed, bucket, check_of(*found))
-            good = ~left & (got == total) & (mixed == digest)
-            no, name = batch["snapshot_no"].to_numpy(np.int64), batch["bucket"].to_numpy(np.int64)
-            rows = pd.DataFrame({"at": bucket, "sign": sign, "k1": found[0], "k2": found[1]})
-            rows = rows[good[bucket]] if len(rows) else rows
-            keys = rows.assign(plus=rows["sign"] > 0, minus=rows["sign"] < 0).groupby(["at", "k1", "k2"], as_index=False)[["plus", "minus"]].any()
-            kind = np.where(keys["plus"] & keys["minus"], "changed", np.where(keys["plus"], "added", "removed"))
-            at = keys["at"].to_numpy(np.int64)
-            yield pd.DataFrame({"snapshot_no": no[at], "bucket": name[at], "ok": True, "k1": keys["k1"], "k2": keys["k2"], "kind": kind})
-            bad = np.flatnonzero(~good)
-            if len(bad):
-                yield pd.DataFrame({"snapshot_no": no[bad], "bucket": name[bad], "ok": False, "k1": 0, "k2": 0, "kind": ""})
+            t = pa.Table.from_batches(held).combine_chunks()
+            bucket = t.column("_bucket").to_numpy()
+            whole = int(np.searchsorted(bucket, bucket[-1]))  # the last bucket may go on in the next batch
+            if whole:
+                yield from solved(t.slice(0, whole)).to_batches()
+            held = t.slice(whole).to_batches()
+        if held and sum(b.num_rows for b in held):
+            yield from solved(pa.Table.from_batches(held).combine_chunks()).to_batches()
 
     return run
 
 
-def bit_table(elements: DataFrame, width: int) -> DataFrame:
-    """The lookup table of each snapshot and bucket: one row per cell that isn't empty."""
-    check = F.xxhash64("k1", "k2", "v")
-    cell = [F.lit(j * width).cast("bigint") + F.pmod(F.xxhash64("check", F.lit(j).cast("bigint")), F.lit(width).cast("bigint")) for j in range(HASHES)]
-    hashed = elements.select("no", "bucket", "k1", "k2", "v", check.alias("check"))
-    rows = hashed.withColumn("cell", F.explode(F.array(*cell)))
-    return rows.groupBy("no", "bucket", "cell").agg(F.count("*").alias("count"), *(F.bit_xor(c).alias(c) for c in ("k1", "k2", "v", "check")))
-
-
-def subtracted(elements: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """Per pair of deliveries and bucket, the later table minus the earlier; empty differences are left out."""
-    cells = bit_table(elements, width)
-    later = cells.join(F.broadcast(pairs.select(F.col("later").alias("no"))), "no").select(F.col("no").alias("snapshot_no"), "bucket", "cell", "count", "k1", "k2", "v", "check")
-    earlier = cells.join(F.broadcast(pairs.select(F.col("earlier").alias("no"), "later")), "no").select(F.col("later").alias("snapshot_no"), "bucket", "cell", (-F.col("count")).alias("count"), "k1", "k2", "v", "check")
-    both = later.unionByName(earlier).groupBy("snapshot_no", "bucket", "cell").agg(F.sum("count").alias("count"), *(F.bit_xor(c).alias(c) for c in ("k1", "k2", "v", "check")))
-    both = both.where("count != 0 or k1 != 0 or k2 != 0 or v != 0 or check != 0")
-    per_bucket = both.groupBy("snapshot_no", "bucket").agg(F.collect_list(F.struct("cell", "count", "k1", "k2", "v", "check")).alias("x"))
-    return per_bucket.select(F.col("snapshot_no").cast("bigint").alias("snapshot_no"), "bucket", *(F.col("x").getField(c).alias(c) for c in ("cell", "count", "k1", "k2", "v", "check")))
-
-
-def snapshot_changes(rows: DataFrame, no: str, keys: list[str], value, arrival: str, per_bucket: int = 256, width: int = 64, growth: int = 2, rounds: int = 3) -> DataFrame:
+def snapshot_changes(rows: DataFrame, no: str, keys: list[str], value, arrival: str, per_bucket: int = 256, width: int = 64, growth: int = 2, rounds: int = 3, piece: int = ROWS) -> DataFrame:
     """Keys added, removed or changed from each delivery to the next.
 
     ``rows``: deliveries ``no`` (integers), ``keys`` (columns, not null; rows with a null key or number belong to no
@@ -150,44 +192,22 @@ def snapshot_changes(rows: DataFrame, no: str, keys: list[str], value, arrival:
     don't agree, are tried again with a table ``growth`` times as wide, ``rounds`` times at most; those that still
     fail are compared record by record. So a result is exact unless two 128-bit key hashes collide.
 
-    Runs jobs: it counts the rows and cuts the lineage at the hashed records and at each round.
+    Copies of a key are reduced before they are shuffled. The records then go to their bucket in one shuffle, keys and value
+    hash only; tables are built, subtracted and peeled in that task, again for failed buckets, and the recovered keys are those of
+    the task's own rows. A task holds some ``piece`` records and one more bucket: ``per_bucket`` keys of every delivery.
+    Runs one job, which counts the rows of each delivery.
     """
     wide = rows.where(" and ".join(f"`{c}` is not null" for c in [no, *keys]))
-    last = wide.groupBy(F.col(no).cast("bigint").alias("no"), *keys).agg(F.max_by(value, F.col(arrival)).alias("_v"))
-    hashed = last.select("no", *keys, F.xxhash64(*keys).alias("k1"), F.xxhash64(F.lit("second"), *reversed(keys)).alias("k2"), F.xxhash64("_v").alias("v"))
+    named = [f"_key{i}" for i in range(len(keys))]
+    last = wide.groupBy(F.col(no).cast("bigint").alias("_no"), *(F.col(k).alias(n) for k, n in zip(keys, named))).agg(F.max_by(value, F.col(arrival)).alias("_value"))
     counted = rows.groupBy(F.col(no).cast("bigint").alias("no")).count().orderBy("no").collect()  # a row per delivery
-    numbers = [r["no"] for r in counted if r["no"] is not None]
-    most = max([r["count"] for r in counted], default=1)
-    buckets = max(1, -(-most // per_bucket))
-    elements = cut(hashed.withColumn("bucket", F.pmod("k1", F.lit(buckets).cast("bigint"))))
-    spark = rows.sparkSession
-    pairs = spark.createDataFrame(list(zip(numbers, numbers[1:])), "earlier long, later long")
-    found, todo = None, None
-    for _ in range(rounds):
-        use = elements if todo is None else elements.join(todo, ["no", "bucket"], "left_semi")
-        tables = subtracted(use, pairs, width)
-        if todo is not None:
-            tables = tables.join(failed, ["snapshot_no", "bucket"], "left_semi")  # noqa: F821
-        peeled = cut(tables.mapInPandas(peeler(width), RECOVERED))
-        found = peeled.where("ok") if found is None else found.unionByName(peeled.where("ok"))
-        failed = peeled.where("not ok").select("snapshot_no", "bucket")
-        if failed.isEmpty():
-            failed = None
-            break
-        todo = failed.join(F.broadcast(pairs), F.col("snapshot_no") == F.col("later")).select(F.explode(F.array("earlier", "later")).alias("no"), "bucket").distinct()
-        width *= growth
-    if failed is not None:
-        found = found.unionByName(compared(elements, pairs, failed))
-    at = F.when(F.col("kind") == "removed", F.col("earlier")).otherwise(F.col("later"))
-    placed = found.join(F.broadcast(pairs), F.col("snapshot_no") == F.col("later")).select("snapshot_no", at.alias("no"), "bucket", "k1", "k2", F.col("kind").alias("change_kind"))
-    return placed.join(elements.select("no", "bucket", "k1", "k2", *keys), ["no", "bucket", "k1", "k2"]).select("snapshot_no", *keys, "change_kind")
-
-
-def compared(elements: DataFrame, pairs: DataFrame, buckets: DataFrame) -> DataFrame:
-    """The exact way for the rest: full outer comparison of the given buckets."""
-    want = buckets.join(F.broadcast(pairs), F.col("snapshot_no") == F.col("later"))
-    side = lambda c: want.select("snapshot_no", "bucket", F.col(c).alias("no")).join(elements, ["no", "bucket"]).select("snapshot_no", "bucket", "k1", "k2", "v")
-    both = side("later").withColumn("plus", F.lit(1)).unionByName(side("earlier").withColumn("plus", F.lit(0)))
-    agg = both.groupBy("snapshot_no", "bucket", "k1", "k2").agg(F.max("plus").alias("a"), F.max(1 - F.col("plus")).alias("b"), F.max(F.when(F.col("plus") == 1, F.col("v"))).alias("x"), F.max(F.when(F.col("plus") == 0, F.col("v"))).alias("y"))
-    kind = F.when(F.col("b") == 0, "added").when(F.col("a") == 0, "removed").when(F.col("x") != F.col("y"), "changed")
-    return agg.select("snapshot_no", "bucket", F.lit(True).alias("ok"), "k1", "k2", kind.alias("kind")).where("kind is not null")
+    numbers = np.array([r["no"] for r in counted if r["no"] is not None], np.int64)
+    schema = StructType([StructField("snapshot_no", LongType()), *(StructField(n, last.schema[n].dataType) for n in named), StructField("change_kind", StringType())])
+    if len(numbers) < 2:
+        return rows.sparkSession.createDataFrame([], schema).withColumnsRenamed(dict(zip(named, keys)))
+    buckets = max(1, -(-max(r["count"] for r in counted) // per_bucket))
+    k1 = F.xxhash64(*named)
+    bucket = F.pmod(k1, F.lit(buckets).cast("bigint"))
+    sent = last.select("_no", *named, F.xxhash64("_value").alias("_v")).repartition(bucket)
+    elements = sent.select(bucket.alias("_bucket"), "_no", k1.alias("_k1"), F.xxhash64(F.lit("second"), *reversed(named)).alias("_k2"), "_v", *named).sortWithinPartitions("_bucket")
+    return elements.mapInArrow(differ(numbers, named, width, growth, rounds, piece), schema).withColumnsRenamed(dict(zip(named, keys)))

@@ -219,6 +219,19 @@ def test_snapshots_against_brute_force(spark, width, rounds):
     assert got == brute_changes(rows)
 
 
+def test_snapshots_in_many_pieces(spark):
+    """Buckets that reach over batches and pieces, and keys of several columns with names the operator uses itself."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        rng = random.Random(9)
+        rows = [(no, f"k{i}", rng.choice([1.0, 2.0, None]), at) for at, (no, i) in enumerate((n, i) for n in (1, 2, 3, 5) for i in range(400) if rng.random() < 0.95)]
+        df = spark.createDataFrame(rows, "no int, _bucket string, row double, at int").withColumn("delivery", F.substring("_bucket", 2, 1))
+        got = [(r.snapshot_no, r._bucket, r.change_kind) for r in snapshot_changes(df, "no", ["_bucket", "delivery"], F.col("row"), "at", per_bucket=16, piece=200).collect()]
+        assert len(got) == len(set(got)) and set(got) == brute_changes(rows)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_snapshots_empty_and_single(spark):
     df = spark.createDataFrame([], "no int, k string, v double, at int")
     assert snapshot_changes(df, "no", ["k"], F.col("v"), "at").count() == 0
