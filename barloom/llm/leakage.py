@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,12 +10,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barloom.common import cut
 from barloom.llm.words import readings_of, words_of
 
 WINDOW = 12  # consecutive words that make a passage
 SHINGLE = 5  # words of a token of the join
-#: Characters of all items together up to which their tokens are sent to every executor (about 1 GB in Python's dicts
-#: at the very most; 300 items have 0.1 M). Beyond it the tokens are joined by a shuffle.
+#: Characters of all items together up to which their distinct shingles (a number each) and words are sent to every executor. A shingle begins at
+#: each word, so 4 M characters are under a million numbers and words: some 150 MB in a Python process. Beyond it tokens are joined by a shuffle.
 BROADCAST_CHARS = 4_000_000
 
 
@@ -28,14 +29,11 @@ def shingles(words: list[str], size: int = SHINGLE) -> list[int]:
 def shared(words: list[str], vocabulary: frozenset[str], size: int = SHINGLE) -> Iterator[tuple[int, int]]:
     """Place and hash of the shingles whose words all belong to the vocabulary: no other can be wanted, and most words of
     a corpus end a run, so few are hashed."""
-    digest, run = xxhash.xxh3_64_intdigest, 0
-    for p, w in enumerate(words):
-        if w in vocabulary:
-            run += 1
-            if run >= size:
-                yield p - size + 1, digest(" ".join(words[p - size + 1 : p + 1])) - (1 << 63)
-        else:
-            run = 0
+    digest = xxhash.xxh3_64_intdigest
+    ends = [-1, *[p for p, w in enumerate(words) if w not in vocabulary], len(words)]
+    for before, end in zip(ends, ends[1:]):
+        for p in range(before + 1, end - size + 1):
+            yield p, digest(" ".join(words[p : p + size])) - (1 << 63)
 
 
 def item_windows(window: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -55,47 +53,55 @@ def item_windows(window: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.
     return run
 
 
-def counter(wanted=None) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Documents that hold each wanted shingle, summed per batch before anything is shuffled."""
+def counter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Documents that hold each shingle, summed per batch before anything is shuffled."""
+    for batch in batches:
+        seen: Counter[int] = Counter()
+        for text in batch["text"]:
+            seen.update({s for words in readings_of(text) for s in shingles(words)})
+        yield pd.DataFrame({"sh": pd.Series(list(seen.keys()), dtype="int64"), "n": pd.Series(list(seen.values()), dtype="int64")})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keep, vocabulary = wanted.value if wanted is not None else (None, None)
-        for batch in batches:
-            seen: Counter[int] = Counter()
-            for text in batch["text"]:
-                if keep is None:
-                    seen.update({s for words in readings_of(text) for s in shingles(words)})
-                else:
-                    seen.update({s for words in readings_of(text) for _, s in shared(words, vocabulary)} & keep)
-            yield pd.DataFrame({"sh": pd.Series(list(seen.keys()), dtype="int64"), "n": pd.Series(list(seen.values()), dtype="int64")})
 
-    return run
+FOUND = "doc_id long, words array<string>, tokens array<long>, sh long, n long"
 
 
-def probe(prefixes, window: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Look up each document's shingles among the prefix tokens, apply the bounds and verify."""
+def finder(wanted, window: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """One pass over the corpus for both sides of the join: how many documents hold each wanted shingle (sh, n; summed per batch), and the
+    stretches of text that consist of wanted shingles and are long enough for a window (doc_id, words, tokens: their shingles in order)."""
+    least = window - SHINGLE + 1  # a window has so many shingles, all of them wanted
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens: dict[int, list[tuple[int, int, str]]]
-        tokens, vocabulary = prefixes.value
+        keep, vocabulary = wanted.value
         for batch in batches:
-            found: set[tuple[int, int]] = set()
+            seen: Counter[int] = Counter()
+            rows = []
             for doc, text in zip(batch["doc_id"], batch["text"]):
+                held: set[int] = set()
                 for words in readings_of(text):
-                    if len(words) < window:  # length bound
-                        continue
-                    for at, s in shared(words, vocabulary):
-                        for item, place, passage in tokens.get(s, ()):
-                            start = at - place
-                            if start < 0 or start + window > len(words) or (doc, item) in found:  # positional bound
-                                continue
-                            if " ".join(words[start : start + window]) == passage:
-                                found.add((doc, item))
-            yield pd.DataFrame(sorted(found), columns=["doc_id", "item_id"]).astype("int64")
+                    at, tokens = -1, []  # of the stretch that is being read
+                    for p, s in shared(words, vocabulary):
+                        if s not in keep:
+                            continue
+                        held.add(s)
+                        if p != at + len(tokens):
+                            if len(tokens) >= least:
+                                rows.append((doc, words[at : at + len(tokens) + SHINGLE - 1], tokens, None, None))
+                            at, tokens = p, []
+                        tokens.append(s)
+                    if len(tokens) >= least:
+                        rows.append((doc, words[at : at + len(tokens) + SHINGLE - 1], tokens, None, None))
+                seen.update(held)
+            rows += [(None, None, None, s, n) for s, n in seen.items()]
+            yield pd.DataFrame(rows, columns=["doc_id", "words", "tokens", "sh", "n"], dtype=object).astype({"doc_id": "Int64", "sh": "Int64", "n": "Int64"})
 
     return run
 
 
+def vocabulary_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield pd.DataFrame({"word": sorted({w for text in batch["text"] for w in words_of(text)})}, dtype=object)
+
+
 def spelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """All shingles of a document with their places, for the join by a shuffle: doc_id, reading, at, n, sh."""
     for batch in batches:
@@ -132,38 +138,42 @@ def leaks(documents: DataFrame, items: DataFrame, window: int = WINDOW, broadcas
     a token that no document holds are dropped at once. Documents are joined with prefix tokens only; a hit must
     leave room for the window before and after it, and is verified word by word.
 
-    Runs jobs: the items' size; up to ``broadcast_chars`` also the tokens' counts, whose number that size bounds: they are
-    collected and sent to the executors, and the corpus is never shuffled. Beyond it tokens are joined by a shuffle.
+    Runs jobs: the items' size; up to ``broadcast_chars`` also their distinct shingles and words, whose number that size bounds: they are sent
+    to the executors, so that one pass over the corpus gives the counts and the stretches of text that can hold a window; only
+    these, which are cut off with a checkpoint, are joined with the windows' prefix tokens. Beyond it all tokens are joined by a shuffle.
     """
-    docs = documents.select("doc_id", "text").where("doc_id is not null and text is not null")
+    docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     tests = items.select(F.col("item_id").cast("bigint").alias("item_id"), "text").where("item_id is not null and text is not null").distinct()
     windows = tests.mapInPandas(item_windows(window), "item_id long, start int, sh long, place int, passage string")
     chars = tests.agg(F.sum(F.length("text").cast("bigint"))).first()[0] or 0
     if chars <= broadcast_chars:
-        return leaks_small(docs, windows, window)
+        return leaks_small(docs, tests, windows, window)
     return leaks_shuffled(docs, windows, window)
 
 
-def leaks_small(docs: DataFrame, windows: DataFrame, window: int) -> DataFrame:
+def prefixes_of(windows: DataFrame, held: DataFrame) -> DataFrame:
+    """Each window's prefix: the one token that the fewest documents hold; windows with a token that none holds are dropped."""
+    ranked = windows.join(held, "sh", "left").groupBy("item_id", "start").agg(F.min(F.struct(F.coalesce("n", F.lit(0).cast("bigint")).alias("n"), "sh", "place", "passage")).alias("p"))
+    return ranked.where("p.n > 0").select("item_id", F.col("p.sh").alias("sh"), F.col("p.place").alias("place"), F.col("p.passage").alias("passage"))
+
+
+def leaks_small(docs: DataFrame, tests: DataFrame, windows: DataFrame, window: int) -> DataFrame:
     context = docs.sparkSession.sparkContext
-    local = windows.toPandas()
-    wanted = context.broadcast((frozenset(local["sh"]), frozenset(w for p in local["passage"] for w in p.split())))
-    counts = docs.select("text").mapInPandas(counter(wanted), "sh long, n long").groupBy("sh").agg(F.sum("n").alias("n"))
-    held = {r["sh"]: r["n"] for r in counts.collect()}  # at most one row per token of the items
-    tokens: dict[int, list[tuple[int, int, str]]] = defaultdict(list)
-    for (item, _), rows in local.groupby(["item_id", "start"], sort=False):
-        ranked = min((held.get(s, 0), s, k) for s, k in zip(rows["sh"].tolist(), rows["place"].tolist()))
-        if ranked[0]:
-            tokens[ranked[1]].append((int(item), ranked[2], rows["passage"].iloc[0]))
-    vocabulary = frozenset(w for found in tokens.values() for *_, passage in found for w in passage.split())
-    return docs.mapInPandas(probe(context.broadcast((dict(tokens), vocabulary)), window), "doc_id long, item_id long").distinct()
+    shs = windows.select("sh").distinct().toArrow().column("sh").to_pylist()
+    words = tests.select("text").mapInPandas(vocabulary_of, "word string").distinct().toArrow().column("word").to_pylist()
+    found = cut(docs.mapInPandas(finder(context.broadcast((frozenset(shs), frozenset(words))), window), FOUND))
+    held = found.where("sh is not null").groupBy("sh").agg(F.sum("n").alias("n"))
+    stretches = found.where("doc_id is not null").select("doc_id", "words", F.posexplode("tokens").alias("at", "sh"))
+    hits = stretches.join(prefixes_of(windows, held), "sh").withColumn("from", F.col("at") - F.col("place"))
+    inside = hits.where((F.col("from") >= 0) & (F.col("from") + window <= F.size("words")))  # positional and length bounds
+    same = F.array_join(F.slice("words", F.col("from") + 1, window), " ") == F.col("passage")
+    return inside.where(same).select("doc_id", "item_id").distinct()
 
 
 def leaks_shuffled(docs: DataFrame, windows: DataFrame, window: int) -> DataFrame:
     spread = docs.mapInPandas(spelled, "doc_id long, reading int, at int, n int, sh long")
-    held = docs.select("text").mapInPandas(counter(), "sh long, n long").groupBy("sh").agg(F.sum("n").alias("n"))
-    ranked = windows.join(held, "sh", "left").groupBy("item_id", "start").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "sh", "place", "passage")).alias("p"))
-    prefixes = ranked.where("p.n > 0").select("item_id", F.col("p.sh").alias("sh"), F.col("p.place").alias("place"), F.col("p.passage").alias("passage"))
+    held = docs.select("text").mapInPandas(counter, "sh long, n long").groupBy("sh").agg(F.sum("n").alias("n"))
+    prefixes = prefixes_of(windows, held)
     start = F.col("at") - F.col("place")
     hits = spread.join(prefixes, "sh").where((start >= 0) & (start + window <= F.col("n")))
     hits = hits.select("doc_id", F.struct("item_id", "reading", start.alias("from"), "passage").alias("c")).distinct()

@@ -11,7 +11,7 @@ from barloom.llm import packing as K
 from barloom.llm import pairs as P
 from barloom.llm import queries
 from barloom.llm import residue as R
-from barloom.llm.words import readings_of, words_of
+from barloom.llm.words import readings_apart, readings_of, words_of
 
 # -- 4 -----------------------------------------------------------------------------------------------------------------------
 
@@ -111,6 +111,14 @@ def test_words():
     assert readings_of("one [Applause (loud)] two") == [["one", "applause", "loud", "two"], ["one", "two"]]
 
 
+def test_readings_in_one_pass_are_those_of_two():
+    rng = random.Random(2)
+    for _ in range(20_000):
+        text = "".join(rng.choice("ab1 .-'[](){}\n\u00e9\u0301") for _ in range(rng.randrange(1, 25)))
+        one, two = readings_of(text), readings_apart(text)
+        assert one == two or (len(two) == 2 and two[0] == two[1] and one == [two[0]]), text
+
+
 def brute_leaks(docs, items, n):
     out = set()
     for i, t in items:
