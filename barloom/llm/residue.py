@@ -8,9 +8,12 @@ from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barloom.common import cut
+
 FIELD = "\ue000"  # the token that stands for one unfilled field, of whatever notation
 
 # Labelled exemplars. ``field``: contained in a window is enough. ``bag``: words that such passages are made of in any
@@ -70,7 +73,7 @@ STRONG = re.compile(
 )
 WEAK = re.compile(r"\{([^\W\d_][\w.]{1,40})\}|<([^\W\d_][\w.]{1,40})>|\[([^\W\d_][\w.]{1,40}(?: [^\W\d_]\w{1,20})?)\]")
 BREAK = re.compile(r"(?<=[.!?:…])\s+|\s*\n\s*|\s+[-–—]\s+|(?<=[.:])[-–—]+\s*|\s*[\[\]()]+\s*")
-TOKEN = re.compile(rf"{FIELD}|\d+|[^\W\d_]+|#REF!|#N/A")
+TOKEN = re.compile(rf"{FIELD}|\d+|[^\W\d_]+|#ref!|#n/a")
 known_names = {re.sub(r"[^a-z]", "", n) for n in FIELD_NAMES.split()}
 tags = set(TAGS.split())
 common = set(COMMON.split())
@@ -97,12 +100,7 @@ def masked(text: str) -> str:
 
 def tokens_of(passage: str) -> list[str]:
     """Lower-case words; every number is the same token."""
-    return ["0" if t.isdigit() else t.casefold() for t in TOKEN.findall(passage)]
-
-
-def passages(text: str) -> list[list[str]]:
-    """The windows of a text whose fields are masked: its sentences and lines, as tokens."""
-    return [t for t in map(tokens_of, BREAK.split(text)) if t]
+    return ["0" if t.isdigit() else t for t in TOKEN.findall(passage.casefold())]
 
 
 def exemplars() -> list[tuple[str, list[str]]]:
@@ -120,21 +118,22 @@ def vocabulary() -> set[str]:
     return {t for _, e in exemplars() for t in e}
 
 
-def counter(known: set[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Documents that hold each of the exemplars' tokens, summed per batch; the empty token counts all documents."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            seen: Counter[str] = Counter({"": len(batch)})
-            for text in batch["text"]:
-                seen.update(set(tokens_of(text)) & known)
-            yield pd.DataFrame({"token": list(seen.keys()), "n": list(seen.values())})
-
-    return run
+def counter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Documents that hold each token, summed per batch before anything is shuffled; the empty token counts all documents."""
+    for batch in batches:
+        seen: Counter[str] = Counter({"": len(batch)})
+        for text in batch["text"]:
+            found = set(TOKEN.findall(text.casefold()))
+            numbers = [t for t in found if t.isdigit()]
+            if numbers:
+                found.difference_update(numbers)
+                found.add("0")
+            seen.update(found)
+        yield pd.DataFrame({"token": list(seen.keys()), "n": list(seen.values())})
 
 
 class Index:
-    """Inverted index of the exemplars with the corpus's weights."""
+    """Inverted index of the exemplars with the corpus's weights of their tokens."""
 
     def __init__(self, held: dict[str, int], coverage: float, containment: float) -> None:
         self.coverage, self.containment = coverage, containment
@@ -143,7 +142,7 @@ class Index:
         weight = lambda t: math.log((n + 2) / (held.get(t, 0) + 1))
         self.exemplars = [(kind, Counter(set(e)) if kind.startswith("bag") else Counter(e)) for kind, e in exemplars() if kind != "repeat"]
         self.repeated = {e[0] for kind, e in exemplars() if kind == "repeat"}
-        self.weights = {t: weight(t) for _, e in self.exemplars for t in e}
+        self.weights = {t: weight(t) for _, e in exemplars() for t in e}
         self.totals = [sum(self.weights[t] * k for t, k in e.items()) for _, e in self.exemplars]
         self.postings: dict[str, list[int]] = defaultdict(list)
         for i, (kind, e) in enumerate(self.exemplars):
@@ -168,45 +167,51 @@ class Index:
             left -= self.weights[t] * e[t]
         return out
 
-    def may_lead(self, text: str) -> bool:
-        """Whether any window of the text can be looked up at all."""
-        return not self.leads.isdisjoint(own := tokens_of(text)) or not self.repeated.isdisjoint(own)
+    def automaton(self):
+        """Aho-Corasick automaton of the leads: texts and sentences without any of them are passed by at once."""
+        import ahocorasick
+
+        a = ahocorasick.Automaton()
+        for t in self.leads | self.repeated:
+            a.add_word(t, 1)
+        a.make_automaton()
+        return a
 
-    def kind_of(self, passage: list[str]) -> str | None:
-        """The kind of residue the passage is, or None."""
+    def matches(self, passage: list[str]) -> list[tuple[int, str, float, float, Counter[str]]]:
+        """Exemplars that a passage may be: number, kind, weight that is shared, weight of the window's words of all exemplars, its other words.
+
+        What is left to compare is whether the exemplar covers enough of the window once the weights of its other words are known.
+        """
         own = Counter(passage)
-        if len(own) == 1 and len(passage) > 1 and passage[0] in self.repeated:
-            return "filler"
-        if not own.keys() & self.leads:
-            return None
-        if FIELD in own:
-            return "field"
         words = [t for t in own if t != "0"]
-        if len(words) == 1 and len(words[0]) == 1:  # an initial isn't n/a
-            return None
-        candidates = {i for t in own.keys() & self.leads for i in self.postings[t]}
-        total = sum(self.weights.get(t, self.most) * k for t, k in own.items())
-        for i in sorted(candidates):
+        if len(own) == 1 and len(passage) > 1 and passage[0] in self.repeated:
+            whole = self.weights[passage[0]] * len(passage)
+            return [(-1, "filler", whole, whole, Counter())]
+        out = []
+        for i in sorted({i for t in own.keys() & self.leads for i in self.postings[t]}):
             kind, e = self.exemplars[i]
-            bag = kind.startswith("bag")
-            shared = sum(self.weights[t] * (k if bag else min(k, e[t]) if len(set(words)) > 1 else k) for t, k in own.items() if t in e)
-            if total <= 0 or shared / total < self.coverage:
-                if not bag and len(passage) > e.total() >= LONG and self.inside(passage, e, self.totals[i]):
-                    return kind
-                continue
-            if bag:
-                # words of a bag are common somewhere: two of them may meet by chance in filler's Latin
-                if sum(t in e for t in words) >= (3 if kind == "bag filler" else 2):
-                    return kind[4:]
-            else:
-                part = sum(self.weights[t] * min(k, own[t]) for t, k in e.items() if t in own)
-                if part / max(self.totals[i], 1e-9) >= self.containment:
-                    return kind
-        return None
-
-
-    def inside(self, passage: list[str], e: Counter[str], whole: float) -> bool:
-        """Whether a window of the exemplar's own length holds nearly all of it: it stands in a longer passage unmarked."""
+            bag, n = kind.startswith("bag"), e.total()
+            # a field is one token long, and so are the windows it is compared with
+            windows = [own] if bag or len(passage) <= n or not (n >= LONG or kind == "field") else [own, *self.inside(passage, e, self.totals[i])]
+            for window in windows:
+                if window is own and len(words) == 1 and len(words[0]) == 1 and words[0] != FIELD:  # an initial isn't n/a
+                    continue
+                limited = not bag and len(window) > 1
+                shared = {t: min(k, e[t]) if limited else k for t, k in window.items() if t in e}
+                if sum(shared.values()) < self.coverage * window.total():  # so much of it, word for word
+                    continue
+                if bag:
+                    # words of a bag are common somewhere: two of them may meet by chance in filler's Latin
+                    if sum(t in e for t in words) < (3 if kind == "bag filler" else 2):
+                        continue
+                elif sum(self.weights[t] * min(k, window[t]) for t, k in e.items() if t in window) < (self.containment if window is own else INSIDE) * self.totals[i] - 1e-9:
+                    continue
+                known = sum(self.weights[t] * k for t, k in window.items() if t in self.weights)
+                out.append((i, kind.removeprefix("bag "), sum(self.weights[t] * k for t, k in shared.items()), known, Counter({t: k for t, k in window.items() if t not in self.weights})))
+        return out
+
+    def inside(self, passage: list[str], e: Counter[str], whole: float) -> list[Counter[str]]:
+        """The first window of the exemplar's own length that holds nearly all of it: it stands in a longer passage unmarked."""
         n = e.total()
         own = Counter(passage[:n])
         for start in range(len(passage) - n + 1):
@@ -214,44 +219,67 @@ class Index:
                 own[passage[start - 1]] -= 1
                 own[passage[start + n - 1]] += 1
             if sum(self.weights[t] * min(k, own[t]) for t, k in e.items()) >= INSIDE * whole:
-                return True
-        return False
+                return [+own]
+        return []
+
+
+CANDIDATE = "row_no long, doc_id long, window long, exemplar long, kind string, shared double, known double, words array<string>, times array<long>"
 
 
 def scanner(index: Index) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        automaton, row_no = index.automaton(), TaskContext.get().partitionId() << 33
+        leads = lambda text: next(automaton.iter(text.casefold()), None) is not None
         for batch in batches:
             rows = []
             for doc, text in zip(batch["doc_id"], batch["text"]):
+                row_no += 1
                 text = masked(text)
-                if FIELD not in text and not index.may_lead(text):
+                if not leads(text):
                     continue
-                kinds = [k for k in map(index.kind_of, passages(text)) if k]
-                if kinds:
-                    rows.append((doc, Counter(kinds).most_common(1)[0][0], len(kinds)))
-            yield pd.DataFrame(rows, columns=["doc_id", "kind", "passages"]).astype({"doc_id": "int64", "kind": "object", "passages": "int64"})
+                for window, passage in enumerate(p for p in BREAK.split(text) if leads(p)):
+                    for i, kind, shared, known, other in index.matches(tokens_of(passage)):
+                        rows.append((row_no, doc, window, i, kind, shared, known, list(other.keys()), list(other.values())))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in CANDIDATE.split(", ")])
 
     return run
 
 
-def residue(documents: DataFrame, coverage: float = 0.8, containment: float = 0.7) -> DataFrame:
-    """Documents with template residue: doc_id, kind (field, filler, error, script), passages (how many).
+def token_counts(documents: DataFrame) -> DataFrame:
+    """How many documents hold each token (token, n), and under the empty token how many there are."""
+    return documents.where("text is not null").select("text").mapInPandas(counter, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
-    ``documents``: doc_id, text; other columns are ignored. Null ids or texts and empty texts are no cases; a table of none gives
-    none; repeated rows give repeated results, as they count for themselves.
 
-    Each text is cut into passage windows (sentences and lines). Unfilled fields of all notations become one token. An exemplar is
-    looked up in an inverted index by those of its own tokens that are rarest, however frequent they are, so residue that fills much
-    of the corpus is found too; a window is residue if the exemplar covers ``coverage`` of its TF-IDF weight
-    and the window holds ``containment`` of the exemplar's. So a sentence that talks about an error page isn't: most of its weight is
-    its own. A field is residue wherever it stands. Weights come from document counts over the whole corpus.
+def residue(documents: DataFrame, coverage: float = 0.8, containment: float = 0.7, counts: DataFrame | None = None) -> DataFrame:
+    """Documents with template residue: doc_id, kind (field, filler, error, script), passages (how many).
 
-    Runs one job, which counts the documents holding each of the exemplars' tokens (a fixed number, some 500).
+    ``documents``: doc_id, text; other columns are ignored. Null ids or texts and empty texts are no cases; a table of none gives
+    none; repeated rows give repeated results, as they count for themselves. ``counts``: of :func:`token_counts`, where the documents are
+    part of a larger corpus whose counts are to be used; else they are counted here.
+
+    Each text is cut into passage windows (sentences and lines; for exemplars of several words and for fields also windows of their own
+    length). Unfilled fields of all notations become one token. An exemplar is looked up in an inverted index by those of its own tokens
+    that are rarest, however frequent they are, so residue that fills much of the corpus is found too; a window is residue if it holds
+    ``containment`` of the exemplar's TF-IDF weight, and the exemplar covers ``coverage`` of the window's, and as much of it word for
+    word. So a sentence that talks about an error page isn't: most of it is its own. A field is an exemplar of one token, so its
+    windows are one token long and it is residue wherever it stands. All weights come from document counts over the whole corpus.
+
+    Runs two jobs: one counts the documents that hold each token and cuts it off with a checkpoint, one fetches the counts of the exemplars' tokens
+    (a fixed number, some 500). A second pass looks for windows that may be residue; only their other words are joined with the counts.
     """
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    counts = docs.select("text").mapInPandas(counter(vocabulary()), "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    held = {r["token"]: r["n"] for r in counts.collect()}
-    return docs.mapInPandas(scanner(Index(held, coverage, containment)), "doc_id long, kind string, passages long")
+    counted = cut(token_counts(docs)) if counts is None else counts
+    held = {r["token"]: r["n"] for r in counted.where(F.col("token").isin("", *sorted(vocabulary()))).collect()}
+    n = held.get("", 0)
+    found = docs.mapInPandas(scanner(Index(held, coverage, containment)), CANDIDATE)
+    case = ["row_no", "doc_id", "window", "exemplar", "kind", "shared", "known"]
+    words = found.select(*case, F.explode_outer(F.arrays_zip(F.col("words").alias("token"), F.col("times").alias("k"))).alias("x")).select(*case, "x.token", "x.k")
+    weight = F.when(F.col("token").isNull(), 0.0).otherwise(F.ln(F.lit(n + 2.0) / (F.coalesce("n", F.lit(0)) + 1.0)) * F.col("k"))
+    weighed = words.join(counted, "token", "left").groupBy(*case).agg(F.sum(weight).alias("other"))
+    covered = weighed.where(F.col("shared") >= coverage * (F.col("known") + F.col("other")) - 1e-9)
+    windows = covered.groupBy("row_no", "doc_id", "window").agg(F.min_by("kind", "exemplar").alias("kind"))
+    kinds = windows.groupBy("row_no", "doc_id", "kind").agg(F.count("*").alias("n"), F.min("window").alias("first"))
+    return kinds.groupBy("row_no", "doc_id").agg(F.max_by("kind", F.struct("n", -F.col("first"))).alias("kind"), F.sum("n").alias("passages")).drop("row_no")
 
 
 def without_residue(documents: DataFrame, **options: float) -> DataFrame:

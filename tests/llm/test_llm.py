@@ -177,6 +177,18 @@ def test_residue(spark):
     assert R.residue(df.limit(0)).count() == 0
 
 
+def test_residue_is_the_same_in_a_larger_corpus(spark):
+    """Counts of a corpus 100,000 times as large change nothing; nor does a sentence that only holds an exemplar's words become one."""
+    own = ["Access to the hall was denied.", "It is to be confirmed by the chair.", "The page has moved on to the clerk."]
+    texts = [*(f"{SPEECH} {r}" for r in RESIDUE), *RESIDUE, *(f"{SPEECH} {c}" for c in [*CLEAN, *own]), *own, *[SPEECH] * 60]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    once = R.token_counts(df)
+    assert {r.token: r.n for r in once.where("token in ('', 'lorem')").collect()} == {"": len(texts), "lorem": sum("lorem" in t.lower() for t in texts)}
+    small = {(r.doc_id, r.kind, r.passages) for r in R.residue(df, counts=once).collect()}
+    assert {d for d, *_ in small} == set(range(2 * len(RESIDUE))) and small == {(r.doc_id, r.kind, r.passages) for r in R.residue(df).collect()}
+    assert small == {(r.doc_id, r.kind, r.passages) for r in R.residue(df, counts=once.withColumn("n", F.col("n") * 100_000)).collect()}
+
+
 @pytest.mark.parametrize("page", ["404 Not Found", "The page you requested could not be found.", "Please enable JavaScript to read the verbatim report.", "Lorem ipsum dolor sit amet, consectetur magna aliqua.", "Texte à venir."])
 @pytest.mark.parametrize("share", [3, 10])
 def test_residue_that_is_common(spark, page, share):
