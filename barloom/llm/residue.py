@@ -167,15 +167,27 @@ class Index:
             left -= self.weights[t] * e[t]
         return out
 
-    def automaton(self):
-        """Aho-Corasick automaton of the leads: texts and sentences without any of them are passed by at once."""
+    def finder(self) -> Callable[[str], bool]:
+        """Whether a text has any lead as a whole word, or a repeated word twice in a row: by an Aho-Corasick automaton, so that other texts and
+        sentences are passed by at once."""
         import ahocorasick
 
-        a = ahocorasick.Automaton()
+        automaton = ahocorasick.Automaton()
         for t in self.leads | self.repeated:
-            a.add_word(t, 1)
-        a.make_automaton()
-        return a
+            automaton.add_word(t, (len(t), None if t in self.leads else re.compile(rf"[\W\d_]+{re.escape(t)}(?![^\W\d_])")))
+        automaton.make_automaton()
+
+        def leads(text: str) -> bool:
+            text = text.casefold()
+            for end, (n, again) in automaton.iter(text):
+                # of letters only whole words count; what begins or ends with another sign is a token by itself
+                if end + 1 < len(text) and text[end + 1].isalpha() and text[end].isalpha() or end >= n and text[end - n].isalpha() and text[end - n + 1].isalpha():
+                    continue
+                if again is None or again.match(text, end + 1):
+                    return True
+            return False
+
+        return leads
 
     def matches(self, passage: list[str]) -> list[tuple[int, str, float, float, Counter[str]]]:
         """Exemplars that a passage may be: number, kind, weight that is shared, weight of the window's words of all exemplars, its other words.
@@ -228,8 +240,7 @@ CANDIDATE = "row_no long, doc_id long, window long, exemplar long, kind string,
 
 def scanner(index: Index) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        automaton, row_no = index.automaton(), TaskContext.get().partitionId() << 33
-        leads = lambda text: next(automaton.iter(text.casefold()), None) is not None
+        leads, row_no = index.finder(), TaskContext.get().partitionId() << 33
         for batch in batches:
             rows = []
             for doc, text in zip(batch["doc_id"], batch["text"]):
