@@ -9,6 +9,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from barloom.common import cut
@@ -22,25 +23,38 @@ K1, B = 1.2, 0.75
 
 @lru_cache(maxsize=2)
 def tokenizer(path: str):
+    import os
+
     import tiktoken
 
+    if not os.path.isfile(path):
+        raise ValueError(f"there is no tokenizer at {path}: `vocabulary` is to be the path of its ranks on every executor")
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def sizes(path: str):
-    """Token count of each text, its distinct tokens (the terms of the index) and how often each occurs."""
+def terms_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    terms, counts = np.unique(ids, return_counts=True)
+    return terms.astype(np.int32), counts.astype(np.int32)
+
+
+TERMS = "terms array<int>, counts array<int>"
+
+
+def sizes(path: str, capacities: list[int]):
+    """Token count of each text, its distinct tokens (the terms of the index) and how often each occurs; of a text that exceeds a capacity also those
+    of what is left over when it is split (rest, in order of capacities)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = tokenizer(path).encode_ordinary
+        encode = tokenizer(path).encode_to_numpy
         for batch in batches:
             rows = []
             for row, doc, text in zip(batch["row_no"], batch["doc_id"], batch["text"]):
-                ids = np.array(encode(text) if isinstance(text, str) else [], np.int32)
-                terms, counts = np.unique(ids, return_counts=True)
-                rows.append((row, doc, len(ids), terms, counts.astype(np.int32)))
-            yield pd.DataFrame(rows, columns=["row_no", "doc_id", "tokens", "terms", "counts"]).astype({"doc_id": "Int64"})
+                ids = encode(text, disallowed_special=()) if isinstance(text, str) else np.empty(0, np.uint32)
+                rest = [dict(zip(("terms", "counts"), terms_of(ids[len(ids) // c * c :]))) if len(ids) > c else None for c in capacities]
+                rows.append((row, doc, len(ids), *terms_of(ids), rest))
+            yield pd.DataFrame(rows, columns=["row_no", "doc_id", "tokens", "terms", "counts", "rest"]).astype({"doc_id": "Int64"})
 
     return run
 
@@ -82,27 +96,40 @@ def fill(index: Shard, size: np.ndarray, capacity: int, wanted: np.ndarray | Non
     they fit; the last quarter of the space goes to the largest item that fits, so that little is left over.
     """
     n = len(size)
+    order = np.argsort(-size, kind="stable")
+    falling = -size[order]
+    free = np.ones(n, bool) if wanted is None else wanted[order].copy()  # by place in the order of sizes
     bins = np.full(n, -1) if wanted is None else np.where(wanted, -1, -2)
-    free_items = np.argsort(-size, kind="stable")
-    number = 0
-    for seed in free_items:
-        if bins[seed] != -1:
+    at = np.empty(n, np.int64)
+    at[order] = np.arange(n)
+    number, room = 0, close * capacity
+    for place in range(n):
+        if not free[place]:
             continue
-        bins[seed] = number
+        seed = order[place]
+        free[place], bins[seed] = False, number
         left = capacity - size[seed]
         score = None
+        if left > room:
+            score = index.scores(seed)
+            near = np.flatnonzero((score > 0) & (bins == -1) & (size <= left))
+            for pick in near[np.argsort(-score[near], kind="stable")]:
+                if size[pick] <= left:
+                    free[at[pick]], bins[pick] = False, number
+                    left -= size[pick]
+                    if left <= room:
+                        break
         while left >= 0:
-            fits = np.flatnonzero((bins == -1) & (size <= left))
-            if not len(fits):
+            first = int(np.searchsorted(falling, -left))  # all from here on fit
+            ahead = free[first:]
+            widest = first + int(ahead.argmax()) if len(ahead) else n
+            if widest >= n or not free[widest]:
                 break
-            if score is None and left > close * capacity:
-                score = index.scores(seed)
-            if left > close * capacity and score[fits].max() > 0:
-                pick = fits[np.argmax(score[fits])]
-            else:
-                widest = fits[size[fits] == size[fits].max()]
-                pick = widest[0] if score is None else widest[np.argmax(score[widest])]
-            bins[pick] = number
+            if score is not None:
+                same = widest + np.flatnonzero(free[widest : int(np.searchsorted(falling, falling[widest], "right"))])
+                widest = int(same[np.argmax(score[order[same]])])
+            pick = order[widest]
+            free[widest], bins[pick] = False, number
             left -= size[pick]
         number += 1
     return bins
@@ -125,19 +152,25 @@ def placed_items(items: pd.DataFrame, bins: np.ndarray, size: np.ndarray, capaci
 
 
 def first_packer(kinds: list[tuple[str, int]], held, docs: int, mean: float, keep: float):
-    """applyInPandas function over one shard of texts: one index, with which each kind of container is filled in turn."""
+    """applyInPandas function over one shard of texts: each kind of container is filled in turn."""
 
     def run(key: tuple, texts: pd.DataFrame) -> pd.DataFrame:
-        texts = texts.sort_values("row_no", kind="stable").reset_index(drop=True)
-        index = Shard(arrays(texts["terms"]), arrays(texts["counts"]), held.value, docs, mean)
+        texts = texts.sort_values(["row_no", "doc_id"], kind="stable").reset_index(drop=True)
         tokens = texts["tokens"].to_numpy(np.int64)
-        out = []
-        for container, capacity in kinds:
+        whole_index, out = None, []
+        for k, (container, capacity) in enumerate(kinds):
             whole = tokens // capacity
             size = tokens - whole * capacity
             wanted = (whole == 0) | (size > 0)
+            parts = [r[k] for r in texts["rest"]]
+            if any(p is not None for p in parts):  # what is left over of a split text is looked up by its own terms
+                own = texts.assign(terms=[t if p is None else p["terms"] for t, p in zip(texts["terms"], parts)], counts=[c if p is None else p["counts"] for c, p in zip(texts["counts"], parts)])
+                index = Shard(arrays(own["terms"]), arrays(own["counts"]), held.value, docs, mean)
+            else:
+                own, index = texts, whole_index or Shard(arrays(texts["terms"]), arrays(texts["counts"]), held.value, docs, mean)
+                whole_index = index
             bins = fill(index, size, capacity, wanted)[wanted]
-            items = texts[wanted].assign(container=container, capacity=capacity, part=whole[wanted], start_token=(whole * capacity)[wanted])
+            items = own[wanted].assign(container=container, capacity=capacity, part=whole[wanted], start_token=(whole * capacity)[wanted])
             out.append(placed_items(items, bins, size[wanted], capacity, int(key[0]), keep))
         return pd.concat(out)
 
@@ -148,7 +181,7 @@ def packer(held, docs: int, mean: float, keep: float):
     """applyInPandas function over one shard of items of one kind of container."""
 
     def run(key: tuple, items: pd.DataFrame) -> pd.DataFrame:
-        items = items.sort_values(["row_no", "part"], kind="stable").reset_index(drop=True)
+        items = items.sort_values(["row_no", "doc_id", "part"], kind="stable").reset_index(drop=True)
         index = Shard(arrays(items["terms"]), arrays(items["counts"]), held.value, docs, mean)
         size, capacity = items["tokens"].to_numpy(np.int64), int(items["capacity"].iloc[0])
         return placed_items(items, fill(index, size, capacity), size, capacity, int(key[1]), keep)
@@ -180,8 +213,9 @@ def packed(documents: DataFrame, capacities: DataFrame, vocabulary: str = VOCABU
         raise ValueError("capacities is to be a short list")
     if not kinds:
         return spark.createDataFrame([], "container string, bin string, doc_id long, part long, start_token long, tokens long, bin_tokens long")
-    numbered = documents.select(F.monotonically_increasing_id().alias("row_no"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    sized = cut(numbered.mapInPandas(sizes(vocabulary), "row_no long, doc_id long, tokens long, terms array<int>, counts array<int>"))
+    doc = F.col("doc_id").cast("bigint")
+    numbered = documents.select(F.xxhash64(doc, "text").alias("row_no"), doc.alias("doc_id"), "text")  # the same however the table is read
+    sized = cut(numbered.mapInPandas(sizes(vocabulary, [n for _, n in sorted(kinds)]), f"row_no long, doc_id long, tokens long, {TERMS}, rest array<struct<{TERMS.replace(' ', ':', 1).replace(', counts ', ',counts:')}>>"))
     docs, total = sized.agg(F.count("*"), F.sum(F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, x: a + x))).first()
     counted = sized.select(F.explode("terms").alias("t")).groupBy("t").count().collect()  # at most a row per token of the vocabulary
     held = np.zeros(max((r["t"] for r in counted), default=0) + 1, np.int64)
@@ -194,7 +228,9 @@ def packed(documents: DataFrame, capacities: DataFrame, vocabulary: str = VOCABU
     chunk = F.transform(F.sequence(F.lit(0).cast("bigint"), whole - 1), lambda k: F.struct(k.alias("part"), (k * F.col("capacity")).alias("start_token"), F.col("capacity").alias("tokens")))
     chunks = F.when(whole > 0, chunk).otherwise(F.array().cast("array<struct<part:bigint,start_token:bigint,tokens:bigint>>"))
     done = each.where(whole > 0).select("container", "row_no", "doc_id", F.inline(chunks), F.col("capacity").alias("bin_tokens"))
-    done = done.select("container", F.concat_ws(" ", F.lit("full"), "row_no", "part").alias("bin"), "doc_id", "part", "start_token", "tokens", "bin_tokens")
+    # rows that are the same in all are told apart by counting them; the window passes over them in a stream
+    done = done.withColumn("copy", F.row_number().over(W.partitionBy("container", "row_no", "part").orderBy("doc_id")))
+    done = done.select("container", F.concat_ws(" ", F.lit("full"), "row_no", "part", "copy").alias("bin"), "doc_id", "part", "start_token", "tokens", "bin_tokens")
     mean = float((total or 0) / max(docs, 1))
     items, count = sized, docs
     for round_no in range(rounds):
