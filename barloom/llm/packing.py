@@ -47,11 +47,11 @@ def sizes(path: str, capacities: list[int]):
     of what is left over when it is split (rest, in order of capacities)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = tokenizer(path).encode_to_numpy
+        encode = tokenizer(path).encode_ordinary
         for batch in batches:
             rows = []
             for row, doc, text in zip(batch["row_no"], batch["doc_id"], batch["text"]):
-                ids = encode(text, disallowed_special=()) if isinstance(text, str) else np.empty(0, np.uint32)
+                ids = np.array(encode(text) if isinstance(text, str) else [], np.int32)
                 rest = [dict(zip(("terms", "counts"), terms_of(ids[len(ids) // c * c :]))) if len(ids) > c else None for c in capacities]
                 rows.append((row, doc, len(ids), *terms_of(ids), rest))
             yield pd.DataFrame(rows, columns=["row_no", "doc_id", "tokens", "terms", "counts", "rest"]).astype({"doc_id": "Int64"})
@@ -86,7 +86,20 @@ class Shard:
             return np.zeros(self.n)
         offsets = np.repeat(start - np.r_[0, np.cumsum(length)[:-1]], length)
         picked = np.arange(length.sum()) + offsets
-        return np.bincount(self.item[picked], self.weight[picked], self.n)
+        return np.bincount(self.item.take(picked), self.weight.take(picked), self.n)
+
+
+def best_first(score: np.ndarray, items: np.ndarray, some: int = 32) -> Iterator[int]:
+    """All items by falling score, equal ones in order; sorted piece by piece, as mostly a few are wanted."""
+    while len(items) > 2 * some:
+        own = score[items]
+        high = own >= own[np.argpartition(-own, some)[some]]
+        if high.all():
+            break
+        top = items[high]
+        yield from top[np.argsort(-score[top], kind="stable")]
+        items, some = items[~high], some * 4
+    yield from items[np.argsort(-score[items], kind="stable")]
 
 
 def fill(index: Shard, size: np.ndarray, capacity: int, wanted: np.ndarray | None = None, close: float = 0.25) -> np.ndarray:
@@ -112,8 +125,7 @@ def fill(index: Shard, size: np.ndarray, capacity: int, wanted: np.ndarray | Non
         score = None
         if left > room:
             score = index.scores(seed)
-            near = np.flatnonzero((score > 0) & (bins == -1) & (size <= left))
-            for pick in near[np.argsort(-score[near], kind="stable")]:
+            for pick in best_first(score, np.flatnonzero((score > 0) & (bins == -1) & (size <= left))):
                 if size[pick] <= left:
                     free[at[pick]], bins[pick] = False, number
                     left -= size[pick]
