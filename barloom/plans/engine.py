@@ -7,18 +7,22 @@ everything before and after (bars, calendars, measures, sweeps) stays DataFrame
 
 from __future__ import annotations
 
+import datetime as dt
 import json
 import math
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass, field, fields
+from dataclasses import dataclass, field, fields, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barloom.plans import series
 
 LOGS_A_DAY = 50
+#: By name in upper case: the days on which values became known (in order), and the values.
+Macro = dict[str, tuple[np.ndarray, np.ndarray]]
 
 
 @dataclass
@@ -44,6 +48,8 @@ class Spec:
     costs: Costs = field(default_factory=Costs)
     borrow: dict[str, float | None] = field(default_factory=dict)  # yearly per cent by symbol; None can't be borrowed
     seed: int = 42
+    calendar: str = "session"
+    risk_free: float = 0.0
 
     @classmethod
     def of(cls, options: dict) -> Spec:
@@ -91,7 +97,10 @@ class Market:
         date = self.days.astype("datetime64[D]")
         self.year, self.month = (date.astype(f"datetime64[{u}]").astype(np.int64) for u in "YM")
         self.week = (self.days + 3) // 7  # Mondays begin weeks
-        self.cache: dict[tuple, list[float]] = {}
+        self.cache: dict[tuple, list[float] | dict[str, list[float]]] = {}
+        extra = lambda f: pd.DataFrame(self.matrix(at, col, bars[f].to_numpy(float))).ffill().to_numpy() if f in bars else None
+        self.shares, self.member = extra("shares"), extra("member")  # as known on each day
+        self.names = set(self.symbols)
         self.now: list[list[float]] = self.asof.tolist()  # plain floats: the loop reads single values
 
     def matrix(self, at: np.ndarray, col: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -99,21 +108,55 @@ class Market:
         m[at, col] = v
         return m
 
-    def series(self, symbol: str, kind: str, n: int, f: Callable[[pd.Series], pd.Series]) -> list[float]:
-        """An indicator of a symbol's own bars, carried forward over days on which it has none."""
-        key = (symbol, kind, n)
+    def own(self, symbol: str) -> pd.DataFrame:
+        """A symbol's own bars: the days on which it has one."""
+        i = self.index[symbol]
+        has = np.flatnonzero(self.has[:, i])
+        return pd.DataFrame({f: m[has, i] for f, m in (("o", self.o), ("h", self.h), ("l", self.l), ("c", self.c), ("v", self.v))}, index=has)
+
+    def indicator(self, symbol: str, name: str, args: tuple) -> list[float] | dict[str, list[float]]:
+        """An indicator of a symbol's own bars for each day, carried forward over days on which it has none. Runs over the same bars share it."""
+        key = (symbol, name, args)
         if key not in self.cache:
-            i = self.index[symbol]
-            own = pd.Series(self.c[:, i]).dropna()
-            self.cache[key] = f(own).reindex(range(len(self.days))).ffill().tolist()
+            own = self.own(symbol)
+            if name == "volatility":
+                n, periods = args
+                values: series.Values = series.daily(own["c"]).rolling(n).std() * math.sqrt(periods)
+            elif name in ("correlation", "beta"):
+                other, n = args
+                both = pd.concat([series.daily(own["c"]).rename("a"), series.daily(self.own(other)["c"]).rename("b")], axis=1).reindex(own.index)
+                cov, var = both["a"].rolling(n).cov(both["b"]), both["b"].rolling(n).var()
+                values = cov / var.where(var > 0) if name == "beta" else cov / (both["a"].rolling(n).std() * both["b"].rolling(n).std()).where(lambda x: x > 0)
+            else:
+                values = series.INDICATORS[name](own, *args)
+            spread = lambda v: pd.Series(np.asarray(v, float), own.index).reindex(range(len(self.days))).ffill().tolist()
+            self.cache[key] = {k: spread(v) for k, v in values.items()} if isinstance(values, dict) else spread(values)
         return self.cache[key]
 
 
+class Draws:
+    """A small generator of draws that are the same everywhere: a 64-bit linear congruence of which the upper 53 bits are used."""
+
+    def __init__(self, seed: int) -> None:
+        self.state = seed or 1
+
+    def next(self) -> int:
+        self.state = (self.state * 6364136223846793005 + 1442695040888963407) % 2**64  # fixed values: Knuth's multiplier and increment
+        return self.state >> 11
+
+    def below(self, n: int) -> int:
+        """From 0 to n - 1, by the high bits."""
+        return 0 if n <= 1 else (((self.next() << 11) % 2**64) * n) >> 64
+
+    def unit(self) -> float:
+        return (self.next() % 2**53) / 2**53
+
+
 class Context:
     """What a strategy sees on a day: nothing after it."""
 
-    def __init__(self, market: Market, spec: Spec, params: dict) -> None:
-        self.market, self.spec, self.params = market, spec, params
+    def __init__(self, market: Market, spec: Spec, params: dict, macro: Macro | None = None) -> None:
+        self.market, self.spec, self.params, self.macros = market, spec, dict(params), macro or {}
         self.t = -1
         self.cash = spec.cash
         self.book: dict[str, Position] = {}
@@ -124,9 +167,62 @@ class Context:
         self.state: dict = {}
         self.logs: list[str] = []
         self.logged = 0  # today
-        self.random = np.random.default_rng(spec.seed)
+        self.random = Draws(spec.seed)
         self.paid = {"borrow": 0.0, "commission": 0.0, "slippage": 0.0}
-        self.refused: list[str] = []
+        self.borrowed: dict[str, list[float]] = {}  # fee and days by symbol
+        self.refused: list[tuple[str, float]] = []
+        self.declared: dict[str, dict] = {}
+        self.chosen: list[str] | None = None
+        self.warned: set[str] = set()
+
+    # -- what setup declares --
+
+    def param(self, name: str, default=None, grid: list | None = None, low: float | None = None, high: float | None = None, step: float | None = None, description: str = ""):
+        """Declare a parameter and get its value; the first declaration counts. ``grid``, or ``low``, ``high`` and ``step``, is what a search tries."""
+        if not name:
+            raise ValueError("a parameter needs a name")
+        if name not in self.declared:
+            if grid is None and None not in (low, high, step):
+                from barloom.plans.search import expand
+
+                grid = expand(low, high, step)
+            self.declared[name] = {"default": default, "grid": list(grid or []), "description": description}
+        return self.params.setdefault(name, default)
+
+    def universe(self, names=None) -> list[str]:
+        """The symbols that can be traded today; with ``names`` (a list or a text with commas) in setup: restricts the run to them."""
+        if names is None:
+            return self.symbols()
+        if self.t >= 0:
+            raise ValueError("the universe is set in setup")
+        self.chosen = symbol_list(names)
+        self.market_names = set(self.chosen)
+        return self.chosen
+
+    def warmup(self, n: int) -> None:
+        """Bars before the first day; it can only be raised."""
+        self.spec = replace(self.spec, warmup=max(self.spec.warmup, int(n)))
+
+    def warn(self, key: str, text: str) -> None:
+        if key not in self.warned:
+            self.warned.add(key)
+            self.log(text)
+
+    # -- the day --
+
+    @property
+    def date(self) -> dt.date:
+        return dt.date(1970, 1, 1) + dt.timedelta(int(self.market.days[self.t]))
+
+    day_index = property(lambda self: self.t - self.start)
+    year = property(lambda self: self.date.year)
+    month = property(lambda self: self.date.month)
+    day_of_month = property(lambda self: self.date.day)
+    weekday = property(lambda self: self.date.isoweekday() % 7, doc="0 is Sunday.")
+    starting_cash = property(lambda self: self.spec.cash)
+
+    def every_n_days(self, n: int = 1) -> bool:
+        return self.day_index % max(1, n) == 0
 
     # -- data --
 
@@ -135,39 +231,184 @@ class Context:
         x = math.nan if i is None else self.market.now[self.t][i]
         return None if x != x else x
 
-    def symbols(self) -> list[str]:
-        return [s for s, x in zip(self.market.symbols, self.market.now[self.t]) if x == x]
+    def has_data(self, s: str) -> bool:
+        return self.price(s) is not None
 
-    def value(self, s: str, kind: str, n: int, f: Callable[[pd.Series], pd.Series]) -> float | None:
-        known = self.market.cache.get((s, kind, n))
+    def symbols(self) -> list[str]:
+        """What has a price and, where bars tell membership, is a member today."""
+        found = [s for s, x in zip(self.market.symbols, self.market.now[self.t]) if x == x]
+        if self.chosen is not None:
+            found = [s for s in found if s in self.market_names]
+        if self.market.member is not None:
+            found = [s for s in found if self.market.member[self.t, self.market.index[s]] == 1]
+        return found
+
+    def last_bar(self, s: str) -> int | None:
+        """Number of the last day up to today on which the symbol has a bar."""
+        i = self.market.index.get(s)
+        if i is None:
+            return None
+        has = np.flatnonzero(self.market.has[: self.t + 1, i])
+        return int(has[-1]) if len(has) else None
+
+    def field(self, s: str, matrix: np.ndarray) -> float | None:
+        t = self.last_bar(s)
+        return None if t is None else float(matrix[t, self.market.index[s]])
+
+    def raw_price(self, s: str) -> float | None:
+        return self.field(s, self.market.raw)
+
+    def open(self, s: str) -> float | None:
+        return self.field(s, self.market.o)
+
+    def high(self, s: str) -> float | None:
+        return self.field(s, self.market.h)
+
+    def low(self, s: str) -> float | None:
+        return self.field(s, self.market.l)
+
+    def volume(self, s: str) -> float | None:
+        """As it was traded: adjusted volume by the split factor."""
+        t = self.last_bar(s)
+        if t is None:
+            return None
+        i, m = self.market.index[s], self.market
+        return float(m.v[t, i] * (m.c[t, i] / m.raw[t, i] if m.raw[t, i] else 1.0))
+
+    def bar(self, s: str) -> dict | None:
+        """The last bar as it was traded, with its adjusted close."""
+        t = self.last_bar(s)
+        if t is None:
+            return None
+        i, m = self.market.index[s], self.market
+        factor = m.raw[t, i] / m.c[t, i] if m.c[t, i] else 1.0
+        return {"date": dt.date(1970, 1, 1) + dt.timedelta(int(m.days[t])), "open": m.o[t, i] * factor, "high": m.h[t, i] * factor, "low": m.l[t, i] * factor, "close": m.raw[t, i], "adj_close": m.c[t, i], "volume": m.v[t, i] / factor}
+
+    def history(self, s: str, n: int = 20) -> list[dict]:
+        """The latest n adjusted bars, oldest first."""
+        i, m = self.market.index.get(s), self.market
+        if i is None:
+            return []
+        at = np.flatnonzero(m.has[: self.t + 1, i])[-max(1, n) :]
+        return [{"day": int(m.days[t]), "open": m.o[t, i], "high": m.h[t, i], "low": m.l[t, i], "close": m.c[t, i], "volume": m.v[t, i]} for t in at]
+
+    def resample(self, s: str, size: str, n: int = 50) -> list[dict]:
+        """The latest n bars of a week (``1wk``) or month (``1mo``), the one of today as it stands so far; other sizes are no coarser than a day."""
+        unit = {"1wk": "W", "1mo": "M"}.get(size)
+        if unit is None:
+            return self.history(s, n)
+        out: list[dict] = []
+        # enough daily bars for n whole ones and the parts at both ends
+        for b in self.history(s, int((n + 2) * (5 if unit == "W" else 21)) + 2):
+            bucket = (b["day"] + 3) // 7 if unit == "W" else int(np.datetime64(b["day"], "D").astype("datetime64[M]").astype(int))
+            if not out or out[-1]["bucket"] != bucket:
+                out.append({"bucket": bucket, **b})
+            else:
+                last = out[-1]
+                last.update(high=max(last["high"], b["high"]), low=min(x for x in (last["low"], b["low"]) if x) if last["low"] or b["low"] else 0.0, close=b["close"], volume=last["volume"] + b["volume"])
+        return out[-n:]
+
+    def resampled_closes(self, s: str, size: str, n: int = 50) -> list[float]:
+        return [b["close"] for b in self.resample(s, size, n)]
+
+    def macro(self, name: str, days_ago: int = 0) -> float | None:
+        """An economic series as it was published by today (or so many days before); None before its first value, or where there is none."""
+        found = self.macros.get(name.strip().upper())
+        if found is None:
+            self.warn(f"macro-{name}", f"there is no series {name}")
+            return None
+        known, values = found
+        k = int(np.searchsorted(known, self.market.days[self.t] - days_ago, side="right")) - 1
+        return float(values[k]) if k >= 0 else None
+
+    def macro_change(self, name: str, days: int = 365) -> float | None:
+        now, then = self.macro(name), self.macro(name, days)
+        return now / then - 1 if now is not None and then else None
+
+    def market_cap(self, s: str) -> float | None:
+        """Shares known on the day times the last raw close, where bars tell shares."""
+        i = self.market.index.get(s)
+        if i is None or self.market.shares is None:
+            return None
+        x = self.market.shares[self.t, i] * self.market.raw_asof[self.t, i]
+        return None if x != x else float(x)
+
+    def by_market_cap(self) -> list[str]:
+        """Symbols with a price today, the largest first, whether members or not."""
+        priced = [s for s, x in zip(self.market.symbols, self.market.now[self.t]) if x == x]
+        valued = [(self.market_cap(s), s) for s in priced]
+        return [s for x, s in sorted(valued, key=lambda v: (-(v[0] or 0.0), v[1])) if x is not None]
+
+    def top_by_market_cap(self, n: int = 1) -> list[str]:
+        return self.by_market_cap()[: max(1, n)]
+
+    def biggest_company(self) -> str | None:
+        return next(iter(self.by_market_cap()), None)
+
+    def market_cap_rank(self, s: str) -> int | None:
+        ranked = self.by_market_cap()
+        return ranked.index(s) + 1 if s in ranked else None
+
+    def indicator(self, name: str, s: str, *args):
+        """Any indicator of :mod:`barloom.plans.series` as of today: a number, or a dict of numbers, None where undefined. Also as ``ctx.<name>(symbol, …)``."""
+        known = self.market.cache.get((s, name, args))
         if known is None:
             if s not in self.market.index:
                 return None
-            known = self.market.series(s, kind, n, f)
+            known = self.market.indicator(s, name, args)
+        if isinstance(known, dict):
+            return {k: None if v[self.t] != v[self.t] else v[self.t] for k, v in known.items()}
         x = known[self.t]
         return None if x != x else x
 
-    def sma(self, s: str, n: int) -> float | None:
-        return self.value(s, "sma", n, lambda c: c.rolling(n).mean())
-
-    def momentum(self, s: str, n: int) -> float | None:
-        return self.value(s, "momentum", n, lambda c: c / c.shift(n).where(lambda x: x != 0) - 1)
+    def __getattr__(self, name: str):
+        if name in series.INDICATORS:
+            return lambda s, *args: self.indicator(name, s, *args)
+        raise AttributeError(name)
 
-    def stdev(self, s: str, n: int) -> float | None:
-        return self.value(s, "stdev", n, lambda c: c.rolling(n).std())
+    def sma(self, s: str, n: int = 20) -> float | None:
+        return self.indicator("sma", s, n)
 
     def volatility(self, s: str, n: int = 20) -> float | None:
-        return self.value(s, "volatility", n, lambda c: c.pct_change().rolling(n).std() * math.sqrt(self.spec.periods))
+        return self.indicator("volatility", s, n, self.spec.periods)
+
+    def correlation(self, a: str, b: str, n: int = 60) -> float | None:
+        return self.indicator("correlation", a, b, n) if b in self.market.index else None
+
+    def beta(self, s: str, benchmark: str, n: int = 60) -> float | None:
+        return self.indicator("beta", s, benchmark, n) if benchmark in self.market.index else None
 
-    def rsi(self, s: str, n: int = 14) -> float | None:
-        return self.value(s, "rsi", n, lambda c: pd.Series(rsi_series(c.to_numpy(), n), c.index))
+    def optimize(self, symbols: Iterable[str], objective: str = "min_variance", lookback: int = 252, most: float | None = None, long_only: bool = True, shrinkage: float | None = None) -> dict[str, float]:
+        """Weights of the symbols that have a whole look-back of returns."""
+        from barloom.operators.construct import weights
+
+        kept = {s: c for s in dict.fromkeys(symbols) if s in self.market.index and len(c := self.closes(s, lookback + 1)) == lookback + 1}
+        if not kept:
+            return {}
+        x = np.stack([c[1:] / c[:-1] - 1 for c in kept.values()], axis=1)
+        return dict(zip(kept, map(float, weights(x, objective, long_only, most, shrinkage))))
 
     def closes(self, s: str, n: int) -> np.ndarray:
         c = self.market.c[: self.t + 1, self.market.index[s]]
         return c[~np.isnan(c)][-n:]
 
-    def rank(self, metric: Callable[[str], float | None], n: int = 0, ascending: bool = False) -> list[str]:
-        scored = [(x, s) for s in self.symbols() if (x := metric(s)) is not None]
+    METRICS = {
+        "marketcap": lambda self, s, n: self.market_cap(s), "momentum": lambda self, s, n: self.indicator("momentum", s, n), "volatility": lambda self, s, n: self.volatility(s, n), "rsi": lambda self, s, n: self.indicator("rsi", s, n),
+        "volume": lambda self, s, n: self.dollar_volume(s), "price": lambda self, s, n: self.price(s), "drawdown": lambda self, s, n: self.indicator("drawdown", s, n),
+    }
+    ALIASES = {"market_cap": "marketcap", "cap": "marketcap", "size": "marketcap", "return": "momentum", "performance": "momentum", "ret": "momentum", "vol": "volatility", "dollarvolume": "volume"}
+
+    def dollar_volume(self, s: str) -> float | None:
+        v, c = self.volume(s), self.raw_price(s)
+        return None if v is None or c is None else v * c
+
+    def rank(self, metric: str | Callable[[str], float | None], n: int = 0, ascending: bool = False, window: int = 20) -> list[str]:
+        """Symbols by a metric, a name (unknown ones are momentum) or a function of the symbol; without a finite value a symbol isn't ranked."""
+        if isinstance(metric, str):
+            name = metric.strip().lower()
+            of = self.METRICS.get(self.ALIASES.get(name, name), self.METRICS["momentum"])
+            metric = lambda s: of(self, s, window)
+        scored = [(x, s) for s in self.symbols() if (x := metric(s)) is not None and math.isfinite(x)]
         scored.sort(key=lambda p: (p[0] if ascending else -p[0], p[1]))
         return [s for _, s in scored][: n or None]
 
@@ -194,25 +435,78 @@ class Context:
         p, x = self.book.get(s), self.price(s)
         return None if p is None or x is None or not p.price else (x / p.price - 1) * (1 if p.shares > 0 else -1)
 
+    def exposure(self) -> float:
+        e = self.equity()
+        return self.gross() / e if e else 0.0
+
+    def weight(self, s: str) -> float:
+        e, x = self.equity(), self.price(s)
+        return self.book[s].shares * x / e if s in self.book and e and x is not None else 0.0
+
+    def entry_price(self, s: str) -> float | None:
+        return self.book[s].price if s in self.book else None
+
+    def days_held(self, s: str) -> int:
+        """Calendar days since the position was opened."""
+        return int(self.market.days[self.t] - self.market.days[self.book[s].opened]) if s in self.book else 0
+
+    def position(self, s: str) -> dict | None:
+        p = self.book.get(s)
+        if p is None:
+            return None
+        x = self.price(s) or p.price
+        return {
+            "symbol": s, "shares": p.shares, "price": x, "entry_price": p.price, "value": p.shares * x, "weight": self.weight(s), "unrealised": (x - p.price) * p.shares, "gain": self.gain(s), "days_held": self.days_held(s), "short": p.shares < 0,
+            "opened": dt.date(1970, 1, 1) + dt.timedelta(int(self.market.days[p.opened])),
+        }
+
+    def positions(self) -> dict[str, dict]:
+        return {s: self.position(s) for s in sorted(self.book)}
+
+    def held(self) -> list[str]:
+        return sorted(self.book)
+
     # -- orders --
 
     def order(self, symbol: str, **kw) -> None:
         self.pending.append(Order(symbol, **kw))
 
+    SIZES = {"notional": "notional", "amount": "notional", "dollars": "notional", "usd": "notional", "shares": "shares", "weight": "weight", "target_weight": "weight", "pct_cash": "cash", "percent_of_cash": "cash", "pct_equity": "equity", "percent_of_equity": "equity"}
+
+    def sized(self, sign: int, notional: float | None, kw: dict) -> dict | None:
+        """The size of an order in any of its spellings (a weight is the target); None without any."""
+        named = {self.SIZES[k]: kw.pop(k) for k in list(kw) if k in self.SIZES}
+        if notional is not None:
+            named.setdefault("notional", notional)
+        of = {"cash": self.cash, "equity": self.equity()} if named.keys() & {"cash", "equity"} else {}
+        for kind in ("shares", "notional", "weight", "cash", "equity"):
+            if named.get(kind) is not None:
+                x = sign * abs(float(named[kind]))
+                return {"weight": x, "target": True} if kind == "weight" else {"notional": x * of[kind]} if kind in of else {kind: x}
+        return None
+
     def buy(self, s: str, notional: float | None = None, **kw) -> None:
-        self.order(s, notional=self.cash if notional is None and not {"shares", "weight"} & kw.keys() else notional, **kw)
+        """Without a size: all cash."""
+        size = self.sized(1, notional, kw)
+        self.order(s, **(size or {"notional": self.cash}), **kw)
 
     def sell(self, s: str, notional: float | None = None, **kw) -> None:
-        if notional is None and not {"shares", "weight"} & kw.keys():
+        """Without a size: the whole position."""
+        size = self.sized(-1, notional, kw)
+        if size is None:
             self.close(s, **kw)
         else:
-            self.order(s, notional=-notional if notional is not None else None, **{k: -v if k in ("shares", "weight") else v for k, v in kw.items()})
+            self.order(s, **size, **kw)
 
     def short(self, s: str, notional: float | None = None, **kw) -> None:
-        self.order(s, notional=-(self.equity() if notional is None else notional), **kw)
+        """Without a size: as much as the equity."""
+        size = self.sized(-1, notional, kw)
+        self.order(s, **(size or {"notional": -self.equity()}), **kw)
 
-    def cover(self, s: str, **kw) -> None:
-        self.order(s, shares=max(0.0, -self.shares(s)), no_flip=True, **kw)
+    def cover(self, s: str, notional: float | None = None, **kw) -> None:
+        """Buys back what is short, never more."""
+        size = self.sized(1, notional, kw)
+        self.order(s, **(size or {"shares": max(0.0, -self.shares(s))}), no_flip=True, **kw)
 
     def close(self, s: str, **kw) -> None:
         self.stops.pop(s, None)
@@ -236,6 +530,9 @@ class Context:
         for s in sorted(self.book):
             self.close(s, **kw)
 
+    def clear_stops(self, s: str) -> None:
+        self.stops.pop(s, None)
+
     def stop(self, s: str, **levels: float) -> None:
         """loss, profit, trailing: shares of the price."""
         self.stops.setdefault(s, {}).update(levels)
@@ -299,7 +596,7 @@ class Context:
         if not self.spec.allow_short and held + q < 0:
             q = -max(held, 0.0)
         if held + q < min(held, 0.0) and self.spec.borrow.get(s, 0.0) is None:  # no shares to borrow
-            self.refused.append(s)
+            self.refused.append((s, -(held + q) + min(held, 0.0)))
             q = -max(held, 0.0)
         q = self.affordable(s, q, price, equity)
         if not self.spec.fractional:
@@ -374,6 +671,9 @@ class Context:
                 fee = -p.shares * (self.price(s) or p.price) * (c.borrow_pct if rate is None else rate) / 100 / periods
                 self.cash -= fee
                 self.paid["borrow"] += fee
+                own = self.borrowed.setdefault(s, [0.0, 0.0])
+                own[0] += fee
+                own[1] += 1
         if self.cash > 0 and c.cash_pct:
             self.cash += self.cash * c.cash_pct / 100 / periods
 
@@ -384,11 +684,10 @@ class Context:
                 p.peak, p.trough = max(p.peak, x), min(p.trough, x)
 
 
-def rsi_series(c: np.ndarray, n: int) -> np.ndarray:
-    """RSI with its look-back of 4n + 5 bars at each bar."""
-    from barloom.operators.recursive import rolled, rsi
-
-    return rolled([c], 4 * n + 5, rsi(n), ["value"])["value"] if len(c) else np.empty(0)
+def symbol_list(names) -> list[str]:
+    """Symbols of a list or a text with commas or blanks, trimmed, upper case, once each in order."""
+    parts = names.replace(",", " ").split() if isinstance(names, str) else [str(n) for n in names]
+    return list(dict.fromkeys(p.strip().upper() for p in parts if p.strip()))
 
 
 class Strategy:
@@ -407,12 +706,21 @@ class Strategy:
     def on_stop(self, ctx: Context, symbol: str, kind: str) -> None: ...
 
 
-def simulate(bars: pd.DataFrame, strategy: Strategy, spec: Spec, params: dict, start=None, end=None) -> dict:
-    """One run. ``bars``: symbol, bar_date, o, h, l, c, v, close. The simulation begins at ``start`` and after spec.warmup bars; bars before
-    serve the look-backs only."""
-    market = Market(bars)
-    ctx = Context(market, spec, params)
+def declared(strategy: Strategy, params: dict | None = None) -> tuple[dict[str, dict], int]:
+    """What a strategy's setup declares, without any data: parameters with default, grid and description, and the warm-up."""
+    none = pd.DataFrame({k: pd.Series(dtype=t) for k, t in (("day", "int64"), ("symbol", "object"), *((f, "float64") for f in ("o", "h", "l", "c", "v", "close")))})
+    ctx = Context(Market(none), Spec(), params or {})
     strategy.setup(ctx)
+    return ctx.declared, ctx.spec.warmup
+
+
+def simulate(bars: pd.DataFrame | Market, strategy: Strategy, spec: Spec, params: dict, start=None, end=None, macro: Macro | None = None) -> dict:
+    """One run. ``bars``: symbol, bar_date, o, h, l, c, v, close, perhaps shares (known on the day) and member (0 or 1), or a :class:`Market` of them that
+    runs share. The simulation begins at ``start`` and after the warm-up's bars; bars before serve the look-backs only."""
+    market = bars if isinstance(bars, Market) else Market(bars)
+    ctx = Context(market, spec, params, macro)
+    strategy.setup(ctx)
+    spec = ctx.spec
     number = lambda d: np.datetime64(d, "D").astype(np.int64)
     first = int(np.searchsorted(market.days, number(start))) if start is not None else 0
     last = int(np.searchsorted(market.days, number(end), side="right")) if end is not None else len(market.days)
@@ -453,37 +761,65 @@ def simulate(bars: pd.DataFrame, strategy: Strategy, spec: Spec, params: dict, s
         else:
             curve.append((t, ctx.cash, ctx.cash, 0.0))
     path = np.array(curve).reshape(-1, 4)
-    return {"days": market.days[path[:, 0].astype(int)], "value": path[:, 1], "cash": path[:, 2], "exposure": path[:, 3], "fills": [(int(market.days[f[0]]), *f[1:]) for f in ctx.fills], "errors": errors, "logs": ctx.logs, **ctx.paid, "refused": len(ctx.refused)}
+    return {"days": market.days[path[:, 0].astype(int)], "value": path[:, 1], "cash": path[:, 2], "exposure": path[:, 3], "fills": [(int(market.days[f[0]]), *f[1:]) for f in ctx.fills], "errors": errors, "logs": ctx.logs, **ctx.paid, "refused": len(ctx.refused), "borrowed": [(s, *ctx.borrowed[s]) for s in sorted(ctx.borrowed)], "refusals": ctx.refused}
 
 
 RUN = (
     "run_id string, days array<int>, value array<double>, cash array<double>, exposure array<double>, "
     "fills array<struct<day:int,symbol:string,side:string,shares:double,price:double,commission:double,slippage:double,realised:double,reason:string>>, "
-    "errors long, borrow double, commission double, slippage double, refused long, logs array<string>"
+    "errors long, borrow double, commission double, slippage double, refused long, logs array<string>, "
+    "borrowed array<struct<symbol:string,fee:double,days:double>>, refusals array<struct<symbol:string,shares:double>>, error string"
 )
+RUNS_A_TASK = 64  # runs that share one copy of their universe's bars
+MOST_MACRO = 1_000_000
+
 
+def macros_of(macro: DataFrame | None) -> Macro:
+    """Economic series by name: days on which values became known, and the values. They are sent to every task, so there may be MOST_MACRO rows at most."""
+    if macro is None:
+        return {}
+    known = macro.select(F.upper(F.trim("series")).alias("series"), (F.unix_date("day") + F.coalesce(F.col("lag_days"), F.lit(30))).alias("known"), F.col("value").cast("double").alias("value"))
+    rows = known.where("series is not null and known is not null and value is not null").limit(MOST_MACRO + 1).toPandas()
+    if len(rows) > MOST_MACRO:
+        raise ValueError(f"over {MOST_MACRO} rows of economic series")
+    return {k: (g["known"].to_numpy(np.int64), g["value"].to_numpy(float)) for k, g in rows.sort_values("known", kind="stable").groupby("series")}
 
-def backtests(bars: DataFrame, runs: DataFrame) -> DataFrame:
+
+def backtests(bars: DataFrame, runs: DataFrame, macro: DataFrame | None = None, strategies: dict[str, type[Strategy]] | None = None, per_task: int = RUNS_A_TASK) -> DataFrame:
     """Simulate all ``runs``: one row per run with its curve and fills.
 
-    ``runs``: run_id, strategy (a name of :mod:`barloom.plans.strategies`), symbols (array), params (JSON), options (JSON of
-    :class:`Spec`), start, end (dates or null). ``bars``: adjusted, with raw close. Each run gets the bars of its symbols by an equi-join;
-    runs are spread over the cluster by run_id, and a task holds one run's universe at a time. A run without bars has an empty curve.
+    ``runs``: run_id, strategy (a name of :mod:`barloom.plans.strategies`, or of ``strategies``), symbols (array), params (JSON), options (JSON of
+    :class:`Spec`), start, end (dates or null). ``bars``: adjusted, with raw close, perhaps shares and member. ``macro``: series, day, value,
+    lag_days (30 where null). A run without bars has an empty curve; one that fails has an error and an empty curve.
+
+    Runs over one universe share its bars: a task gets one copy of them and up to ``per_task`` runs, which share matrices and indicators. So R runs over
+    U universes shuffle U copies of bars and one more for each ``per_task`` runs, not R. A task holds one universe at a time.
     """
     from barloom.plans.strategies import STRATEGIES
 
-    wanted = runs.select(F.col("run_id").alias("of_run"), F.explode(F.array_distinct("symbols")).alias("symbol"))
-    fed = wanted.join(bars.select("symbol", F.unix_date("bar_date").alias("day"), *"ohlcv", "close"), "symbol")
-    names = [c.split()[0] for c in ("run_id", "days", "value", "cash", "exposure", "fills", "errors", "borrow", "commission", "slippage", "refused", "logs")]
-
-    def one(run: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
-        h = run.iloc[0]
-        params, options = json.loads(h["params"] or "{}"), json.loads(h["options"] or "{}")
+    known, series_of = {**STRATEGIES, **(strategies or {})}, macros_of(macro)
+    r = runs.withColumn("symbols", F.array_sort(F.array_distinct("symbols"))).withColumn("universe", F.concat_ws(",", "symbols"))
+    sizes = r.groupBy("universe").agg(F.ceil(F.count("*") / per_task).alias("chunks"))
+    r = r.join(sizes, "universe").withColumn("task", F.concat_ws("#", F.sha2("universe", 256), F.pmod(F.xxhash64("run_id"), F.col("chunks")).cast("string"))).drop("universe", "chunks")
+    extra = [c for c in ("shares", "member") if c in bars.columns]
+    wanted = r.groupBy("task").agg(F.first("symbols").alias("symbols")).select(F.col("task").alias("of_task"), F.explode("symbols").alias("symbol"))
+    fed = wanted.join(bars.select("symbol", F.unix_date("bar_date").alias("day"), *"ohlcv", "close", *(F.col(c).cast("double").alias(c) for c in extra)), "symbol")
+    names = [c.split()[0] for c in ("run_id", "days", "value", "cash", "exposure", "fills", "errors", "borrow", "commission", "slippage", "refused", "logs", "borrowed", "refusals")]
+    nothing = {k: [] for k in ("days", "value", "cash", "exposure", "fills", "logs", "borrowed", "refusals")}
+
+    def some(group: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
+        market, out = Market(pdf), []
         day = lambda x: None if x is None or pd.isna(x) else x
-        r = simulate(pdf, STRATEGIES[h["strategy"]](), Spec.of(options), params, day(h["start"]), day(h["end"]))
-        return pd.DataFrame([{"run_id": h["run_id"], **{k: r[k] for k in names[1:]}}])[names]
-
-    return runs.groupBy("run_id").cogroup(fed.groupBy("of_run")).applyInPandas(one, RUN)
+        for h in group.to_dict("records"):
+            try:
+                params, options = json.loads(h["params"] or "{}"), json.loads(h["options"] or "{}")
+                r = simulate(market, known[h["strategy"]](), Spec.of(options), params, day(h["start"]), day(h["end"]), series_of)
+                out.append({"run_id": h["run_id"], **{k: r[k] for k in names[1:]}, "error": None})
+            except Exception as e:  # a run that fails is a row of the result, the others go on
+                out.append({"run_id": h["run_id"], **nothing, "errors": 1, "borrow": 0.0, "commission": 0.0, "slippage": 0.0, "refused": 0, "error": f"{type(e).__name__}: {e}"[:300]})
+        return pd.DataFrame(out, columns=[*names, "error"])
+
+    return r.groupBy("task").cogroup(fed.groupBy("of_task")).applyInPandas(some, RUN)
 
 
 def curves(results: DataFrame) -> DataFrame:
