@@ -64,7 +64,7 @@ def ema(x: pd.Series, n: int) -> pd.Series:
     return pd.Series(R.rolled([x.to_numpy(float)], 3 * n + 5, averaged(n), ["value"])["value"] if len(x) else [], x.index, float)
 
 
-def atr(b: pd.DataFrame, n: int, lookback: int | None = None) -> pd.Series:
+def atr(b: pd.DataFrame, n: int = 14, lookback: int | None = None) -> pd.Series:
     tr = true_range(b).to_numpy(float)[1:]
     own = R.rolled([tr], (lookback or 4 * n + 5) - 1, averaged(n, 1 / n), ["value"])["value"] if len(tr) else np.empty(0)
     return pd.Series(np.r_[[np.nan] * min(1, len(b)), own], b.index)

@@ -92,4 +92,52 @@ class BuyAndHold(Strategy):
             ctx.equal_weight(ctx.symbols(), reason="hold")
 
 
-STRATEGIES: dict[str, type[Strategy]] = {"golden-cross": GoldenCross, "mean-reversion": MeanReversion, "momentum-rotation": MomentumRotation, "sixty-forty": SixtyForty, "daily-reversal": DailyReversal, "pairs-trade": PairsTrade, "buy-and-hold": BuyAndHold}
+class BiggestCompany(Strategy):
+    """All in the largest company by market value, looked up each month."""
+
+    def on_month(self, ctx: Context) -> None:
+        top = ctx.biggest_company()
+        if top is not None and ctx.held() != [top]:
+            ctx.rebalance({top: 1.0}, reason="largest")
+
+
+class DeclaredCross(Strategy):
+    """The average crossing with declared parameters, so that it can be searched."""
+
+    def setup(self, ctx: Context) -> None:
+        self.fast = int(ctx.param("fast", 5, grid=[5, 10, 15], description="bars of the fast average"))
+        self.slow = int(ctx.param("slow", 20, grid=[20, 30, 40], description="bars of the slow average"))
+        ctx.warmup(self.slow)
+
+    def on_day(self, ctx: Context) -> None:
+        for s in ctx.symbols():
+            fast, slow = ctx.sma(s, self.fast), ctx.sma(s, self.slow)
+            if fast is None or slow is None:
+                continue
+            if fast > slow and not ctx.shares(s):
+                ctx.set_weight(s, 1 / len(ctx.market.symbols), reason="fast above slow")
+            elif fast < slow and ctx.shares(s):
+                ctx.close(s, reason="fast below slow")
+
+
+class MinimumVariance(Strategy):
+    """Each month the weights of least variance of all that can be traded."""
+
+    def on_month(self, ctx: Context) -> None:
+        w = ctx.optimize(ctx.symbols(), ctx.params.get("objective", "min_variance"), int(ctx.params.get("lookback", 40)), most=0.5)
+        if w:
+            ctx.rebalance(w, reason="weights")
+
+
+class RateTiming(Strategy):
+    """In while an economic series falls over half a year, out while it rises; its values count from their publication on."""
+
+    def on_week(self, ctx: Context) -> None:
+        change = ctx.macro_change(ctx.params.get("series", "RATE"), 182)
+        if change is not None and change < 0 and not ctx.book:
+            ctx.equal_weight(ctx.symbols(), reason="falling")
+        elif change is not None and change > 0 and ctx.book:
+            ctx.liquidate(reason="rising")
+
+
+STRATEGIES: dict[str, type[Strategy]] = {"golden-cross": GoldenCross, "mean-reversion": MeanReversion, "momentum-rotation": MomentumRotation, "sixty-forty": SixtyForty, "daily-reversal": DailyReversal, "pairs-trade": PairsTrade, "buy-and-hold": BuyAndHold, "biggest-company": BiggestCompany, "declared-cross": DeclaredCross, "minimum-variance": MinimumVariance, "rate-timing": RateTiming}

@@ -17,7 +17,7 @@ from barloom.common import day_of, table
 from barloom.queries.market import BARS, CALENDAR, ENDS, calendar_of, month_ends
 from barloom.queries.runs import CURVE, curve, shown
 from barloom.plans import search as S
-from barloom.queries.search import TRIALS, measured, prices, simulated, trials
+from barloom.queries.search import TRIALS, measured, prices, run_bars, simulated, trials, universes
 from barloom.sources import web
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,7 +91,7 @@ select run_id, regime, round(exp(sum(ln(1 + r))) - 1, 5) + 0 as compounded, coun
 
 def reasons(s: SparkSession, d: str) -> DataFrame:
     """Results of the mean-reversion runs by the reasons of entry and exit, costs of both legs taken off."""
-    f = E.fills(simulated(s, d, "mean-reversion", True)).withColumn("cost", F.col("commission") + F.col("slippage"))
+    f = E.fills(simulated(s, d, "mean-reversion", "each")).withColumn("cost", F.col("commission") + F.col("slippage"))
     t = T.enriched(T.round_trips(f, ("reason",)), prices(s, d))
     return shown(T.both_reasons(t), 4)
 
@@ -112,31 +112,21 @@ def month_returns(s: SparkSession, d: str) -> DataFrame:
 add("construct_covariance", lambda s, d: shown(R.covariances(month_returns(s, d), "month", "symbol", "bar_date", "r"), 8), f"{BARS}, p as (select symbol, bar_date, r, strftime(bar_date, '%Y-%m') as month from y where pc is not null), sd as (select month, symbol, round(stddev_samp(r), 9) as sd from p group by month, symbol having count(*) >= 15), t as (select month, symbol from (select *, row_number() over (partition by month order by sd, symbol) as k from sd) where k <= 5), q as (select p.* from p join t on p.month = t.month and p.symbol = t.symbol) select i.month, i.symbol as a, j.symbol as b, round(covar_samp(i.r, j.r), 8) + 0 as covariance, count(*) as days from q i join q j on i.month = j.month and i.bar_date = j.bar_date and i.symbol <= j.symbol group by i.month, i.symbol, j.symbol")
 
 
-def union_of(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
-
-
 def capacity(s: SparkSession, d: str) -> DataFrame:
-    """The rotation at six sizes of capital with impact on prices: where size eats the result."""
-    rungs = [simulated(s, d, "momentum-rotation", False, cash=10.0**k, impact=1.0).withColumn("run_id", F.concat(F.col("run_id"), F.lit(f"@1e{k}"))) for k in (5, 6, 7, 8, 9)]
-    return measured(union_of(rungs))
+    """The rotation at five sizes of capital with impact on prices: where size eats the result, and how much of it was put to work."""
+    rungs = {f"1e{k}": {"cash": 10.0**k, "impact": 1.0} for k in (5, 6, 7, 8, 9)}
+    return shown(S.capacity_rungs(simulated(s, d, "momentum-rotation", "groups", rungs)))
 
 
 add("run_capacity", capacity)
+add("run_capacity_ends", lambda s, d: shown(S.capacity_ends(capacity(s, d))))
 
 
 def windows(s: SparkSession, d: str) -> DataFrame:
-    """The rotation replayed in each calendar year alone, with the bars before it as its look-back."""
-    import json
-
-    b = prices(s, d).join(B.counting_bars(s, d).select("symbol", "bar_date", "close"), ["symbol", "bar_date"])
-    group = F.concat_ws("@", F.pmod(F.crc32("symbol"), F.lit(16)).cast("string"), F.col("year").cast("string"))
-    runs = b.select("symbol", F.year("bar_date").alias("year")).distinct().groupBy(group.alias("run_id"), "year").agg(F.sort_array(F.collect_set("symbol")).alias("symbols"))
-    runs = runs.select("run_id", F.lit("momentum-rotation").alias("strategy"), "symbols", F.lit("{}").alias("params"), F.lit(json.dumps({})).alias("options"), F.make_date("year", F.lit(1), F.lit(1)).alias("start"), F.make_date("year", F.lit(12), F.lit(31)).alias("end"))
-    return measured(E.backtests(b, runs))
+    """The rotation replayed in each calendar year alone, with the bars before it as its look-back; years before a universe's bars are left out."""
+    b = run_bars(s, d)
+    spans = b.groupBy(F.year("bar_date").alias("year")).agg(F.min("bar_date").alias("from_day")).select(F.col("year").cast("string").alias("window"), F.make_date("year", F.lit(1), F.lit(1)).alias("start"), F.make_date("year", F.lit(12), F.lit(31)).alias("end"))
+    return measured(E.backtests(b, S.replayed(universes(s, d, "groups"), spans, "momentum-rotation")))
 
 
 add("run_windows", windows)

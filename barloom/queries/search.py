@@ -85,7 +85,7 @@ add("infer_bootstrap", lambda s, d: shown(N.bootstrap_bands(returns(s, d))))
 
 def nulls(s: SparkSession, d: str) -> DataFrame:
     """The crossing's spells in each symbol against the same spells at other times."""
-    c = E.curves(simulated(s, d, "golden-cross", True)).withColumn("no", F.row_number().over(W.partitionBy("run_id").orderBy("bar_date")))
+    c = E.curves(simulated(s, d, "golden-cross", "each")).withColumn("no", F.row_number().over(W.partitionBy("run_id").orderBy("bar_date")))
     own = I.with_inputs(prices(s, d)).select(F.col("symbol").alias("run_id"), "bar_date", F.col("r").alias("rb"))
     return N.null_exposure(c.join(own, ["run_id", "bar_date"]), draws=300)
 
@@ -132,22 +132,28 @@ def month_weights(s: SparkSession, d: str) -> DataFrame:
 add("construct_weights", lambda s, d: shown(month_weights(s, d)))
 
 
-def simulated(s: SparkSession, d: str, strategy: str, per_symbol: bool, paired: bool = False, **options) -> DataFrame:
-    """Runs of a strategy over each symbol alone, each pair of neighbours in the sorted list of symbols, or sixteen groups of symbols."""
-    b = prices(s, d).join(B.counting_bars(s, d).select("symbol", "bar_date", "close"), ["symbol", "bar_date"])
-    symbols = b.select("symbol").distinct()
-    import json
+def run_bars(s: SparkSession, d: str) -> DataFrame:
+    """Adjusted bars with the raw close, in one pass."""
+    b = B.counting_bars(s, d)
+    sf = B.split_factor()
+    return b.select("symbol", "bar_date", (F.col("open") * sf).alias("o"), (F.col("high") * sf).alias("h"), (F.col("low") * sf).alias("l"), F.col("adj_close").alias("c"), (F.col("volume") / sf).alias("v"), "close")
 
-    if per_symbol:
-        runs = symbols.select(F.col("symbol").alias("run_id"), F.array("symbol").alias("symbols"))
-    elif paired:  # for strategies that trade two symbols; the window's one partition holds a row a symbol
+
+def universes(s: SparkSession, d: str, kind: str) -> DataFrame:
+    """study and symbols: ``each`` symbol, each ``pair`` of neighbours in the sorted list of symbols, or sixteen ``groups`` of symbols."""
+    symbols = B.counting_bars(s, d).select("symbol").distinct()
+    if kind == "each":
+        return symbols.select(F.col("symbol").alias("study"), F.array("symbol").alias("symbols"))
+    if kind == "pair":  # for strategies that trade two symbols; the window's one partition holds a row a symbol
         both = symbols.select("symbol", F.lead("symbol").over(W.orderBy("symbol")).alias("next")).where("next is not null")
-        runs = both.select(F.concat_ws("/", "symbol", "next").alias("run_id"), F.array("symbol", "next").alias("symbols"))
-    else:  # one run for each of sixteen groups of symbols
-        runs = symbols.groupBy(F.pmod(F.crc32("symbol"), F.lit(16)).cast("string").alias("run_id")).agg(F.sort_array(F.collect_set("symbol")).alias("symbols"))
-    null = F.lit(None).cast("date")
-    runs = runs.select("run_id", F.lit(strategy).alias("strategy"), "symbols", F.lit("{}").alias("params"), F.lit(json.dumps(options)).alias("options"), null.alias("start"), null.alias("end"))
-    return E.backtests(b, runs)
+        return both.select(F.concat_ws("/", "symbol", "next").alias("study"), F.array("symbol", "next").alias("symbols"))
+    return symbols.groupBy(F.pmod(F.crc32("symbol"), F.lit(16)).cast("string").alias("study")).agg(F.sort_array(F.collect_set("symbol")).alias("symbols"))
+
+
+def simulated(s: SparkSession, d: str, strategy: str, kind: str, variants: dict[str, dict] | None = None, bars: DataFrame | None = None, macro: DataFrame | None = None, **options) -> DataFrame:
+    """Runs of a strategy over each universe; with ``variants`` (name to options) one for each, named universe@name, all over the same bars."""
+    runs = S.runs_over(universes(s, d, kind), strategy, options={k: {**options, **v} for k, v in (variants or {"": {}}).items()})
+    return E.backtests(run_bars(s, d) if bars is None else bars, runs, macro)
 
 
 def measured(r: DataFrame) -> DataFrame:
@@ -155,18 +161,13 @@ def measured(r: DataFrame) -> DataFrame:
     return shown(P.headline(E.curves(r).select("run_id", "bar_date", "value")).select("run_id", "bars", "total_return", "sharpe", "max_drawdown").join(costs, "run_id"))
 
 
-for name, alone, options in (("golden-cross", True, {}), ("mean-reversion", True, {}), ("momentum-rotation", False, {}), ("sixty-forty", False, {"paired": True}), ("daily-reversal", False, {}), ("pairs-trade", False, {"paired": True, "allow_short": True, "leverage": 2.0}), ("buy-and-hold", False, {"slippage_bps": 0.0})):
-    add(f"run_{name.replace('-', '_')}", lambda s, d, n=name, a=alone, o=options: measured(simulated(s, d, n, a, **o)))
+for name, kind, options in (("golden-cross", "each", {}), ("mean-reversion", "each", {}), ("momentum-rotation", "groups", {}), ("sixty-forty", "pair", {}), ("daily-reversal", "groups", {}), ("pairs-trade", "pair", {"allow_short": True, "leverage": 2.0}), ("buy-and-hold", "groups", {"slippage_bps": 0.0}), ("minimum-variance", "groups", {})):
+    add(f"run_{name.replace('-', '_')}", lambda s, d, n=name, k=kind, o=options: measured(simulated(s, d, n, k, **o)))
 
 
 def cost_scan(s: SparkSession, d: str) -> DataFrame:
-    """Every symbol's crossing at four slippages, in one DataFrame of runs."""
-    levels = [simulated(s, d, "golden-cross", True, slippage_bps=x).withColumn("level", F.lit(x)) for x in (0.0, 5.0, 20.0, 50.0)]
-    out = levels[0]
-    for x in levels[1:]:
-        out = out.unionByName(x)
-    named = out.withColumn("run_id", F.concat_ws("@", "run_id", F.format_string("%02d", F.col("level").cast("int"))))
-    return measured(named)
+    """Every symbol's crossing at four slippages: one DataFrame of runs, which share their symbol's bars."""
+    return measured(simulated(s, d, "golden-cross", "each", {f"{x:02d}": {"slippage_bps": float(x)} for x in (0, 5, 20, 50)}))
 
 
 add("run_cost_scan", cost_scan)

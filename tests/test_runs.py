@@ -293,5 +293,129 @@ def test_every_symbol_has_its_pairs(spark, sf, name):
 
 
 def test_pairs_trade_both_symbols(spark, sf):
-    traded = E.fills(search.simulated(spark, sf, "sixty-forty", False, paired=True)).groupBy("run_id").agg(F.collect_set("symbol").alias("s")).collect()
+    traded = E.fills(search.simulated(spark, sf, "sixty-forty", "pair")).groupBy("run_id").agg(F.collect_set("symbol").alias("s")).collect()
     assert len({x for r in traded for x in r.s}) > 2 and all(set(r.s) <= set(r.run_id.split("/")) for r in traded)
+
+
+# -- strategies' view ---------------------------------------------------------------------------------------------------------
+
+
+def noisy(n, symbol="A", seed=1, gaps=True):
+    rng = np.random.default_rng(seed)
+    c = 100 * np.exp(np.cumsum(0.02 * rng.standard_normal(n)))
+    o, spread = c * (1 + 0.005 * rng.standard_normal(n)), 1 + np.abs(0.01 * rng.standard_normal(n))
+    p = bars(c, symbol, o=o, h=np.maximum(o, c) * spread, l=np.minimum(o, c) / spread, v=rng.integers(1e5, 1e6, n).astype(float))
+    return p[rng.random(n) < 0.9] if gaps else p
+
+
+def test_strategies_see_the_indicators_of_the_columns(spark):
+    """Every indicator a strategy can ask for has the value that the column of the same name has on that day."""
+    from barloom.operators import indicators as I
+    from barloom.operators import recursive as R
+    from barloom.plans import series
+
+    p = noisy(260)
+    market = E.Market(p)
+    df = I.with_inputs(spark.createDataFrame(p).withColumn("bar_date", F.to_date("bar_date"))).withColumns({"hma_input": I.hma_input(20), "k": I.stochastic_k(14)})
+    one = {"sma": I.sma(20), "stdev": I.stdev(20), "highest": I.highest(20), "lowest": I.lowest(20), "momentum": I.momentum(20), "roc": I.momentum(10), "zscore": I.zscore(20), "drawdown": I.drawdown(252), "wma": I.wma(20), "hma": I.hma(20), "ema": I.ema(20), "atr": I.atr(14), "williams_r": I.williams_r(14), "cci": I.cci(20), "obv": I.obv(60), "mfi": I.mfi(14), "vwap": I.vwap(20), "cmf": I.cmf(20), "choppiness": I.choppiness(14)}
+    many = {"bollinger": I.bollinger(20, 2.0), "keltner": I.keltner(20, 2.0), "donchian": I.donchian(20), "aroon": I.aroon(25), "ichimoku": I.ichimoku(), "linreg": I.linreg(20), "stochastic": {"k": F.col("k"), "d": I.sma(3, "k")}}
+    columns = {n: {"": c} for n, c in one.items()} | many
+    want = df.select("bar_date", *(c.alias(f"{n}.{k}") for n, cs in columns.items() for k, c in cs.items())).orderBy("bar_date").toPandas()
+    for kind in R.KINDS:
+        got = R.recursive(df, kind).orderBy("bar_date").toPandas()
+        for name in R.KINDS[kind][3]:
+            want[f"{kind}.{name if len(R.KINDS[kind][3]) > 1 else ''}"] = got[name].to_numpy()
+    assert {c.split(".")[0] for c in want.columns[1:]} == set(series.INDICATORS)
+    for c in want.columns[1:]:
+        name, part = c.split(".")
+        values = market.indicator("A", name, ())
+        own = pd.Series(values[part] if part else values, dtype=float)
+        expected = pd.Series(want[c].to_numpy(float))
+        assert (own.isna() == expected.isna()).all(), c
+        assert np.allclose(own.dropna(), expected.dropna(), rtol=1e-6, atol=1e-6), c
+
+
+def test_what_strategies_see_and_declare():
+    two = pd.concat([noisy(80), bars(np.linspace(10, 20, 80), "B")]).assign(shares=lambda x: np.where(x["symbol"] == "A", 5.0, 1000.0), member=1.0)
+    two.loc[(two["symbol"] == "B") & (two["bar_date"] < "2020-02-01"), "member"] = 0.0
+    seen = []
+
+    class Look(E.Strategy):
+        def setup(self, ctx):
+            assert ctx.param("n", 3, low=1, high=3, step=1) == 7 and ctx.param("m", 5) == 5 and ctx.param("n", 99) == 7
+            assert ctx.universe("b, a") == ["B", "A"]
+            ctx.warmup(10)
+            ctx.warmup(2)
+
+        def on_day(self, ctx):
+            seen.append((ctx.date, tuple(ctx.symbols()), ctx.biggest_company(), ctx.market_cap_rank("A"), ctx.bar("B")["close"], ctx.history("B", 3)[0]["close"], ctx.resample("B", "1mo", 2)[-1], ctx.macro("cpi"), ctx.macro("cpi", 40)))
+            if ctx.day_index == 0:
+                ctx.buy("B", pct_equity=0.5)
+            if ctx.day_index == 2:
+                seen.append(ctx.position("B"))
+                assert ctx.every_n_days(2) and ctx.weekday == ctx.date.isoweekday() % 7 and ctx.macro("none") is None and ctx.raw_price("B") == ctx.price("B")
+
+    macro = {"CPI": (np.array([np.datetime64("2020-02-10", "D").astype(int), np.datetime64("2020-03-10", "D").astype(int)]), np.array([1.5, 2.5]))}
+    r = E.simulate(two, Look(), E.Spec.of({"slippage_bps": 0.0}), {"n": 7}, macro=macro)
+    assert r["errors"] == 0 and len(r["value"]) == 70
+    days = [x for x in seen if isinstance(x, tuple)]
+    assert all(("B" in x[1]) == (x[0] >= D(2020, 2, 1)) for x in days) and {x[2] for x in days} == {"B"} and {x[3] for x in days} == {2}
+    b = bars(np.linspace(10, 20, 80), "B").assign(day=lambda x: x["bar_date"].dt.date)
+    for day, _, _, _, close, third, month, now, before in days:
+        past = b[b["day"] <= day]
+        assert close == past["c"].iloc[-1] and third == past["c"].iloc[-3]
+        this = past[past["bar_date"].dt.month == day.month]
+        assert (month["open"], month["close"], month["high"]) == (this["o"].iloc[0], this["c"].iloc[-1], this["h"].max())
+        assert now == (None if day < D(2020, 2, 10) else 1.5 if day < D(2020, 3, 10) else 2.5) and (before is None) == (day < D(2020, 2, 10) + dt.timedelta(40))
+    held = next(x for x in seen if isinstance(x, dict))
+    assert held["weight"] == pytest.approx(0.5, abs=0.01) and held["days_held"] >= 1 and not held["short"]
+    names, warm = E.declared(STRATEGIES["declared-cross"]())
+    assert warm == 20 and names["fast"]["grid"] == [5, 10, 15]
+
+
+def test_draws_are_the_same_everywhere():
+    g = E.Draws(42)
+    first = (42 * 6364136223846793005 + 1442695040888963407) % 2**64 >> 11
+    assert g.next() == first and 0 <= g.below(10) < 10 and 0 <= g.unit() < 1 and E.Draws(0).state == 1
+
+
+def test_runs_over_one_universe_share_its_bars(spark):
+    p = spark.createDataFrame(pd.concat([noisy(150), noisy(150, "B", 2)])).withColumn("bar_date", F.to_date("bar_date"))
+    u = spark.createDataFrame([("x", ["A"]), ("y", ["B", "A"])], "study string, symbols array<string>")
+    configs = {f"{f}-{s}": {"fast": f, "slow": s} for f in (3, 5, 8) for s in (15, 20)} | {"bad": {"fast": "none", "slow": 20}}
+    runs = S.runs_over(u, "declared-cross", configs)
+    alone = {r.run_id: [round(v, 6) for v in r.value] for r in E.backtests(p, runs, per_task=1).collect()}
+    assert alone == {r.run_id: [round(v, 6) for v in r.value] for r in E.backtests(p, runs, per_task=4).collect()} and len(alone) == 14
+    rows = S.scored(E.backtests(p, runs), runs, score="total_return").orderBy("study", "place").collect()
+    assert [r.config for r in rows if r.error] == ["bad", "bad"] and [r.place for r in rows] == [*range(1, 8)] * 2
+    for study in ("x", "y"):
+        scores = [r.score for r in rows if r.study == study and r.score is not None]
+        assert scores == sorted(scores, reverse=True) and len(scores) == 6
+    assert S.best_of(S.scored(E.backtests(p, runs), runs)).count() == 2
+    with pytest.raises(ValueError):
+        S.scored(E.backtests(p, runs), runs, score="luck")
+
+
+def test_simulated_walk_forward_and_groups(spark):
+    p = spark.createDataFrame(noisy(200, gaps=False)).withColumn("bar_date", F.to_date("bar_date"))
+    u = spark.createDataFrame([("x", ["A"])], "study string, symbols array<string>")
+    configs = {"a": {"fast": 3, "slow": 10}, "b": {"fast": 5, "slow": 20}}
+    rows = S.simulated_walk_forward(p, u, "declared-cross", configs, 80, 30, embargo=-1).orderBy("fold").collect()
+    assert [(r.fold, (r.test_from - D(2020, 1, 1)).days > 0) for r in rows] == [(0, True), (1, True), (2, True), (3, True)]
+    grown = 1.0
+    for r in rows:
+        grown *= 1 + (r.test_return or 0.0)
+        assert r.equity == pytest.approx(grown) and r.train_to < r.test_from
+    s = S.walk_forward_summary(S.simulated_walk_forward(p, u, "declared-cross", configs, 80, 30, embargo=-1)).first()
+    assert s.folds == 4 and s.equity == pytest.approx(grown)
+    t = S.simulated_groups(p, u, "declared-cross", configs, 4)
+    assert t.count() == 400
+    chosen = S.combinatorial(t, 4, 2, study="study", config=("config",))
+    assert chosen.count() == 6
+    whole = S.paths(t, chosen, 4, 2, study="study", config=("config",))
+    assert whole.count() == 3 and S.path_spread(whole, "study").first().paths == 3
+
+
+def test_ranks_by_parts(spark):
+    df = spark.range(1000).select((F.col("id") * 37 % 1000).alias("v"))
+    assert [r["rank"] for r in S.ranked(df.repartition(7), [F.desc("v")]).orderBy(F.desc("v")).collect()] == list(range(1, 1001))
