@@ -34,10 +34,9 @@ def aligned(returns: DataFrame, study: list[str], trial: str) -> DataFrame:
     return returns.join(keep, [*study, trial], "left_semi")
 
 
-def splits(spark: SparkSession, blocks: int = BLOCKS) -> DataFrame:
-    """All ways to take half of the blocks: split, block, inside. A fixed number of rows (70 x 8 for eight blocks)."""
-    rows = [(i, b, b in half) for i, half in enumerate(map(set, itertools.combinations(range(blocks), blocks // 2))) for b in range(blocks)]
-    return spark.createDataFrame(rows, "split int, block int, inside boolean")
+def halves(blocks: int = BLOCKS) -> list[tuple[int, ...]]:
+    """All ways to take half of the blocks: a fixed number (70 for eight blocks)."""
+    return list(itertools.combinations(range(blocks), blocks // 2))
 
 
 def overfitting(returns: DataFrame, study: list[str], trial: str, no: str, r: str, blocks: int = BLOCKS) -> DataFrame:
@@ -50,10 +49,19 @@ def overfitting(returns: DataFrame, study: list[str], trial: str, no: str, r: st
     length = returns.groupBy(*study).agg((F.max(no) + 1).alias("_t"))
     block = F.floor(F.col(no) * blocks / F.col("_t")).cast("int")
     moments = returns.join(length, study).groupBy(*study, trial, block.alias("block")).agg(F.count(r).alias("n"), F.sum(r).alias("s"), F.sum(F.col(r) * F.col(r)).alias("q"))
-    side = moments.join(F.broadcast(splits(returns.sparkSession, blocks)), "block").groupBy(*study, "split", trial, "inside").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
-    variance = (F.col("q") - F.col("s") * F.col("s") / F.col("n")) / nz(F.col("n") - 1)
-    score = F.round(F.when(variance > 1e-18, F.col("s") / F.col("n") / F.sqrt(variance)).otherwise(-1e9), 9)
-    both = side.withColumn("score", score).groupBy(*study, "split", trial).agg(F.max(F.when(F.col("inside"), F.col("score"))).alias("a"), F.max(F.when(~F.col("inside"), F.col("score"))).alias("b"))
+    # a row per trial with its blocks' moments in order; the splits are sums of array elements, so no row is repeated for split and block
+    zero = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("q"))
+    found = F.map_from_entries(F.collect_list(F.struct("block", F.struct("n", "s", "q"))))
+    per_trial = moments.groupBy(*study, trial).agg(found.alias("_m")).withColumn("_b", F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda b: F.coalesce(F.element_at("_m", b), zero)))
+
+    def score_of(half: Column) -> Column:
+        total = F.aggregate(half, zero, lambda acc, b: F.struct((acc["n"] + F.col("_b")[b]["n"]).alias("n"), (acc["s"] + F.col("_b")[b]["s"]).alias("s"), (acc["q"] + F.col("_b")[b]["q"]).alias("q")))
+        return F.aggregate(F.array(total), F.lit(-1e9), lambda _, x: F.round(F.when((x["q"] - x["s"] * x["s"] / nz(x["n"])) / nz(x["n"] - 1) > 1e-18, x["s"] / nz(x["n"]) / F.sqrt((x["q"] - x["s"] * x["s"] / nz(x["n"])) / nz(x["n"] - 1))).otherwise(-1e9), 9))
+
+    every = halves(blocks)
+    numbers = F.array(*(F.struct(F.lit(i).alias("split"), F.array(*map(F.lit, h)).alias("inside"), F.array(*(F.lit(b) for b in range(blocks) if b not in h)).alias("outside")) for i, h in enumerate(every)))
+    sides = F.transform(numbers, lambda x: F.struct(x["split"].alias("split"), score_of(x["inside"]).alias("a"), score_of(x["outside"]).alias("b")))
+    both = per_trial.select(*study, trial, F.inline(sides))
     w = W.partitionBy(*study, "split")
     ranked = both.withColumns({"pick": F.row_number().over(w.orderBy(F.desc("a"), trial)), "below": F.rank().over(w.orderBy("b")) - 1, "trials": F.count("*").over(w)})
     chosen = ranked.where("pick = 1").withColumn("lost", (F.col("below") < (F.col("trials") - 1) / 2).cast("int"))
@@ -137,10 +145,10 @@ def bootstrap_bands(curves: DataFrame, draws: int = 1000, length: int = 21, seed
     return curves.select("run_id", "no", "r").where("r is not null").groupBy("run_id").applyInPandas(run, "run_id string, p05 double, p50 double, p95 double, dd05 double, dd50 double, loss double")
 
 
-def reality_check(returns: DataFrame, study: str, trial: str, no: str, r: str, draws: int = 1000, mean: int = 21, seed: int = 7) -> DataFrame:
+def reality_check(returns: DataFrame, study: str, trial: str, no: str, r: str, draws: int = 1000, mean: int = 21, seed: int = 7, most: int = 32 * 2**20) -> DataFrame:
     """Per study (200 bars or more): p values that the best trial is luck (reality check) and that allow for poor trials (superior ability).
 
-    All trials are redrawn with the same indices. The test of superior ability studentises by the redrawn spread and recentres
+    All trials are redrawn with the same indices, so a study is one task's matrix of bars and trials; one of over ``most`` cells is refused. The test of superior ability studentises by the redrawn spread and recentres
     trials at zero that are worse than -sqrt(2 ln ln T) standard errors.
     """
 
@@ -163,6 +171,9 @@ def reality_check(returns: DataFrame, study: str, trial: str, no: str, r: str, d
         spa = np.maximum(((centred + np.where(poor, np.sqrt(t) * means, 0)) / omega).max(axis=1), 0)
         return pd.DataFrame([(pdf[study].iloc[0], k, float((centred.max(axis=1) >= best).mean()), float((spa >= stud).mean()))], columns=[study, "trials", "reality_p", "spa_p"])
 
+    size = returns.groupBy(study).agg(F.count("*").alias("_cells"))
+    ok = F.when(F.col("_cells") > most, F.raise_error(F.concat(F.lit(f"over {most} returns in study "), F.col(study))).cast("boolean")).otherwise(True)
+    returns = returns.join(size, study).where(ok)
     return returns.select(study, trial, no, r).where(f"{r} is not null").groupBy(study).applyInPandas(run, f"{study} string, trials long, reality_p double, spa_p double")
 
 
@@ -257,3 +268,39 @@ def paired(pairs: DataFrame, curves: DataFrame) -> DataFrame:
     out = mean.join(v, ["a", "b"]).join(counts, ["a", "b"])
     robust = F.when(F.col("v") > 0, F.col("m") * F.col("n") / F.sqrt("v"))
     return out.select("a", "b", F.col("n").alias("days"), "only_a", "only_b", F.col("m").alias("mean_gap"), (F.col("m") / nz(F.col("s")) * F.sqrt("n")).alias("naive_t"), robust.alias("robust_t"), "win_share", "correlation")
+
+
+def sharpe_gap(pairs: DataFrame, curves: DataFrame, draws: int = 1000, mean: int = 21, least: int = 60, periods: float = 252, seed: int = 7) -> DataFrame:
+    """Per pair of runs (a, b): the gap of their Sharpe ratios on their common days, with its 5 % and 95 % by a bootstrap that redraws both with the same
+    blocks, and the share of draws in which a is ahead. Pairs of under ``least`` common days have none. ``curves``: run_id, bar_date, r.
+
+    A pair is one task's two columns of days, so it is bounded by the days of a run.
+    """
+    x = pairs.join(curves.withColumnsRenamed({"run_id": "a", "r": "ra"}), "a")
+    j = x.join(curves.withColumnsRenamed({"run_id": "b", "r": "rb"}), ["b", "bar_date"]).where("ra is not null and rb is not null")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("bar_date")
+        a, b, n = pdf["a"].iloc[0], pdf["b"].iloc[0], len(pdf)
+        columns = ["a", "b", "days", "gap", "p05", "p95", "ahead"]
+        if n < least:
+            return pd.DataFrame([(a, b, n, None, None, None, None)], columns=columns)
+        both = pdf[["ra", "rb"]].to_numpy(float)
+
+        def ratio(v: np.ndarray) -> np.ndarray:
+            sd = v.std(axis=-2, ddof=1)
+            return np.where(sd > 1e-12, v.mean(axis=-2) / np.maximum(sd, 1e-12), 0.0) * math.sqrt(periods)
+
+        rng = np.random.default_rng(seed_of(seed, f"{a}|{b}"))
+        gaps = np.concatenate([(s := ratio(both[stationary_indices(rng, n, min(BLOCK, draws - low), mean)]))[:, 0] - s[:, 1] for low in range(0, draws, BLOCK)])
+        own = ratio(both)
+        return pd.DataFrame([(a, b, n, float(own[0] - own[1]), *np.percentile(gaps, [5, 95]), float((gaps > 0).mean()))], columns=columns)
+
+    return j.select("a", "b", "bar_date", "ra", "rb").groupBy("a", "b").applyInPandas(run, "a string, b string, days long, gap double, p05 double, p95 double, ahead double")
+
+
+def mismatches(pairs: DataFrame, setups: DataFrame, fields: list[str]) -> DataFrame:
+    """Which of the set-up's fields differ between the runs of a pair: a pair with any isn't to be compared. ``setups``: run_id and the fields."""
+    x = pairs.join(setups.select(F.col("run_id").alias("a"), F.struct(*fields).alias("_x")), "a", "left").join(setups.select(F.col("run_id").alias("b"), F.struct(*fields).alias("_y")), "b", "left")
+    differ = F.array_compact(F.array(*(F.when(~F.col("_x")[f].eqNullSafe(F.col("_y")[f]), f) for f in fields)))
+    return x.select("a", "b", differ.alias("differ"), (F.size(differ) == 0).alias("comparable"))

@@ -88,16 +88,21 @@ def rolling(curve: DataFrame, window: int = 63, periods: float = PERIODS) -> Dat
     return c.select("run_id", "bar_date", (F.col("m") / nz(F.col("s")) * math.sqrt(periods)).alias("sharpe"), (F.col("s") * math.sqrt(periods)).alias("volatility"))
 
 
-def slices(curve: DataFrame, label: Column) -> DataFrame:
-    """Per run and period: return from the last value before the period (the first period: from its own first value), drawdown, bars."""
-    c = with_returns(curve).withColumn("period", label)
-    ends = c.groupBy("run_id", "period").agg(F.min("bar_date").alias("first_day"), F.min_by("value", "bar_date").alias("own_first"), F.max_by("value", "bar_date").alias("last_value"), F.count("*").alias("bars"))
-    base = F.coalesce(F.lag("last_value").over(W.partitionBy("run_id").orderBy("first_day")), F.col("own_first"))
-    ends = ends.withColumn("base", base)
-    inside = c.join(ends.select("run_id", "period", "base"), ["run_id", "period"])
-    peak = F.greatest(F.col("base"), F.max("value").over(W.partitionBy("run_id", "period").orderBy("bar_date").rowsBetween(W.unboundedPreceding, 0)))
-    deep = inside.withColumn("d", F.col("value") / nz(peak) - 1).groupBy("run_id", "period").agg(F.min("d").alias("max_drawdown"))
-    return ends.join(deep, ["run_id", "period"]).select("run_id", "period", "bars", (F.col("last_value") / nz(F.col("base")) - 1).alias("total_return"), "max_drawdown")
+def slices(curve: DataFrame, label: Column, periods: float = PERIODS) -> DataFrame:
+    """Per run and period: return from the last value before the period (the first period: from its own first value), drawdown, bars, volatility and
+    Sharpe ratio of its bars' returns (the run's first bar has 0), mean exposure (where the curve tells it).
+
+    One shuffle by run: what a period begins with is known from the bar before it.
+    """
+    w = by_run()
+    first = F.lag("value").over(w)
+    c = curve.withColumns({"period": label, "_before": F.coalesce(first, F.col("value"))})
+    inside = W.partitionBy("run_id", "period").orderBy("bar_date")
+    c = c.withColumns({"_r": F.when(F.col("_before") > 0, F.col("value") / F.col("_before") - 1), "_base": F.first("_before").over(inside)})
+    c = c.withColumn("_d", F.col("value") / nz(F.greatest(F.col("_base"), F.max("value").over(inside.rowsBetween(W.unboundedPreceding, 0)))) - 1)
+    held = F.avg("exposure") if "exposure" in curve.columns else F.lit(None).cast("double")
+    g = c.groupBy("run_id", "period").agg(F.count("*").alias("bars"), F.max_by("value", "bar_date").alias("_last"), F.first("_base").alias("_base"), F.least(F.min("_d"), F.lit(0.0)).alias("max_drawdown"), F.avg("_r").alias("_m"), F.stddev_samp("_r").alias("_s"), held.alias("exposure"))
+    return g.select("run_id", "period", "bars", (F.col("_last") / nz(F.col("_base")) - 1).alias("total_return"), "max_drawdown", (F.col("_s") * math.sqrt(periods)).alias("volatility"), (F.col("_m") / nz(F.col("_s")) * math.sqrt(periods)).alias("sharpe"), "exposure")
 
 
 def seasonal(curve: DataFrame) -> DataFrame:
@@ -121,8 +126,14 @@ def stress(curve: DataFrame, days: int = 5) -> DataFrame:
 
 
 def against(curve: DataFrame, benchmark: DataFrame, periods: float = PERIODS) -> DataFrame:
-    """Beta, correlation, tracking error, information ratio, alpha and capture against a benchmark (bar_date, rb), on common days; three pairs or more."""
-    j = with_returns(curve).where("r is not null").join(benchmark, "bar_date").where("rb is not null")
+    """Beta, correlation, tracking error, information ratio, alpha and capture against a benchmark (bar_date, level); three pairs of returns or more.
+
+    Both sides are first brought to their common days; returns lie between one common day and the next, so a gap on one side is a longer step on both.
+    """
+    w = by_run()
+    step = lambda c: F.when(F.lag(c).over(w) > 0, F.col(c) / F.lag(c).over(w) - 1)
+    common = curve.select("run_id", "bar_date", "value").join(benchmark.select("bar_date", "level").where("level > 0"), "bar_date").where("value > 0")
+    j = common.withColumns({"r": step("value"), "rb": step("level")}).where("r is not null and rb is not null")
     mean_if = lambda c, x: F.avg(F.when(c, F.col(x)))
     g = j.groupBy("run_id").agg(
         F.count("*").alias("pairs"), F.covar_samp("r", "rb").alias("cov"), F.var_samp("rb").alias("vb"), F.stddev_samp("r").alias("sr"), F.stddev_samp(F.col("r") - F.col("rb")).alias("te"), F.avg("r").alias("m"), F.avg("rb").alias("mb"),

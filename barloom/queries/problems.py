@@ -22,9 +22,13 @@ def valid_tenures(spark: SparkSession, sf: str) -> DataFrame:
     return rows.where("index_name is not null and symbol is not null and from_day is not null and not _unreadable and (to_day is null or to_day >= from_day)").drop("_unreadable")
 
 
+def counting_tenures(spark: SparkSession, sf: str) -> DataFrame:
+    """Of the tenures of one index, symbol and from_day the one recorded last."""
+    return latest_versions(valid_tenures(spark, sf).select("index_name", "symbol", "from_day", "to_day", "recorded_at", "tenure_id"), ["index_name", "symbol", "from_day"], ["recorded_at", "tenure_id"])
+
+
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    spells = latest_versions(valid_tenures(spark, sf).select("index_name", "symbol", "from_day", "to_day", "recorded_at", "tenure_id"), ["index_name", "symbol", "from_day"], ["recorded_at", "tenure_id"])
-    cases = continuous_periods(spells, ["index_name", "symbol"], "from_day", "to_day")
+    cases = continuous_periods(counting_tenures(spark, sf), ["index_name", "symbol"], "from_day", "to_day")
     return cases.select("index_name", "symbol", "kind", F.col("from_day").cast("string").alias("from_day"), F.coalesce(F.col("to_day").cast("string"), F.lit("")).alias("to_day"))
 
 

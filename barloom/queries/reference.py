@@ -46,9 +46,9 @@ add("rank_market_value", lambda s, d: shown(R.by_market_value(R.market_value(mon
 def change_log(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """The tenures of each index as a log of changes (symbols marked by index), and today's members."""
     from barloom.operators.intervals import continuous_periods
-    from barloom.queries.problems import valid_tenures
+    from barloom.queries.problems import counting_tenures
 
-    p = continuous_periods(valid_tenures(s, d), ["index_name", "symbol"], "from_day", "to_day").where("kind = 'period'").withColumn("name", F.concat_ws("@", "symbol", "index_name"))
+    p = continuous_periods(counting_tenures(s, d), ["index_name", "symbol"], "from_day", "to_day").where("kind = 'period'").withColumn("name", F.concat_ws("@", "symbol", "index_name"))
     log = p.select(F.col("from_day").alias("day"), F.col("name").alias("added"), F.lit(None).cast("string").alias("removed")).unionByName(p.where("to_day is not null").select(F.date_add("to_day", 1).alias("day"), F.lit("").alias("added"), F.col("name").alias("removed")))
     return p.where("to_day is null").select(F.col("name").alias("symbol")), log
 
@@ -58,8 +58,8 @@ def rebuilt(s: SparkSession, d: str) -> DataFrame:
     return R.tenures_of(now, log).select("symbol", F.coalesce(F.col("from_day").cast("string"), F.lit("")).alias("from_day"), F.coalesce(F.col("to_day").cast("string"), F.lit("")).alias("to_day"))
 
 
-add("source_membership", rebuilt, """with t as (select index_name, upper(trim(symbol)) as symbol, try_cast(left(trim(from_day), 10) as date) as a, coalesce(try_cast(left(nullif(trim(to_day), ''), 10) as date), date '9999-12-30') as b from tenures),
-v as (select * from t where a is not null and b >= a and index_name is not null and symbol is not null),
+add("source_membership", rebuilt, """with t as (select index_name, upper(trim(symbol)) as symbol, try_cast(left(trim(from_day), 10) as date) as a, coalesce(try_cast(left(nullif(trim(to_day), ''), 10) as date), date '9999-12-30') as b, recorded_at, tenure_id from tenures),
+v as (select * from (select *, row_number() over (partition by index_name, symbol, a order by recorded_at desc nulls last, tenure_id desc) as rn from t where a is not null and b >= a and index_name is not null and symbol is not null) where rn = 1),
 m as (select *, max(b) over (partition by index_name, symbol order by a, b rows between unbounded preceding and 1 preceding) as upto from v),
 g as (select *, sum(case when upto is null or a > upto + 1 then 1 else 0 end) over (partition by index_name, symbol order by a, b rows between unbounded preceding and current row) as no from m),
 p as (select index_name, symbol, min(a) as a, max(b) as b from g group by index_name, symbol, no)

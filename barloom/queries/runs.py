@@ -79,21 +79,23 @@ u as (select run_id, sqrt(avg(dd * dd)) as ulcer, regr_r2(ln(value), no) as lr f
 select g.run_id, {', '.join(f"round({e}, 5) + 0 as {n}" for n, e in (('omega', 'up / nullif(dn, 0)'), ('gain_to_pain', 'sr / nullif(dn, 0)'), ('var95', 'q05'), ('var99', 'q01'), ('cvar95', 'c95'), ('cvar99', 'c99'), ('tail_ratio', 'abs(q95) / nullif(abs(q05), 0)'), ('skew', 'm3 / nullif(pow(s, 3), 0)'), ('excess_kurtosis', 'm4 / nullif(pow(s, 4), 0) - 3'), ('kelly', 'm / nullif(s * s, 0)'), ('ulcer', 'ulcer'), ('log_r2', 'lr')))} from g join u on g.run_id = u.run_id""")
 add("perf_rolling", lambda s, d: shown(P.rolling(curve(s, d), 21)), f"{CURVE}, q as (select run_id, bar_date, count(r) over v as n, avg(r) over v as m, stddev_samp(r) over v as s from w window v as (partition by run_id order by bar_date rows between 20 preceding and current row)) select run_id, cast(bar_date as varchar) as bar_date, {rounds('sharpe=m / nullif(s, 0) * sqrt(252)', 'volatility=s * sqrt(252)')} from q where n = 21")
 for unit, fmt, sql_fmt in (("year", "yyyy", "%Y"), ("month", "yyyy-MM", "%Y-%m")):
-    add(f"perf_by_{unit}", lambda s, d, f=fmt: shown(P.slices(curve(s, d), F.date_format("bar_date", f))), f"""{CURVE}, p as (select *, strftime(bar_date, '{sql_fmt}') as period from w), e as (select run_id, period, min(bar_date) as a, arg_min(value, bar_date) as f, arg_max(value, bar_date) as l, count(*) as bars from p group by run_id, period),
-x as (select *, coalesce(lag(l) over (partition by run_id order by a), f) as base from e), y as (select p.run_id, p.period, value / greatest(base, max(value) over (partition by p.run_id, p.period order by bar_date rows between unbounded preceding and current row)) - 1 as dd from p join x on p.run_id = x.run_id and p.period = x.period), z as (select run_id, period, min(dd) as mdd from y group by run_id, period)
-select x.run_id, x.period, bars, {rounds('total_return=l / base - 1', 'max_drawdown=mdd')} from x join z on x.run_id = z.run_id and x.period = z.period""")
+    add(f"perf_by_{unit}", lambda s, d, f=fmt: shown(P.slices(curve(s, d), F.date_format("bar_date", f)).withColumn("exposure", F.col("exposure") + 1e-9), 5), f"""{CURVE}, p as (select *, strftime(bar_date, '{sql_fmt}') as period, value / coalesce(before, value) - 1 as r0, coalesce(before, value) as b0 from w),
+x as (select run_id, period, arg_min(b0, bar_date) as base from p group by run_id, period), y as (select p.*, base, value / greatest(base, max(value) over (partition by p.run_id, p.period order by bar_date)) - 1 as dd0 from p join x on p.run_id = x.run_id and p.period = x.period)
+select run_id, period, count(*) as bars, {", ".join(f"round({e}, 5) + 0 as {n}" for n, e in (("total_return", "arg_max(value, bar_date) / any_value(base) - 1"), ("max_drawdown", "least(0, min(dd0))"), ("volatility", "stddev_samp(r0) * sqrt(252)"), ("sharpe", "avg(r0) / nullif(stddev_samp(r0), 0) * sqrt(252)"), ("exposure", "avg(exposure) + 1e-9")))} from y group by run_id, period""")
 add("perf_seasonal", lambda s, d: shown(P.seasonal(curve(s, d)).withColumn("bars", F.coalesce("bars", F.lit(0)))), f"{CURVE}, f as (select run_id, month(bar_date) as month, exp(sum(ln(1 + r))) - 1 as x, count(*) as bars from w where r is not null group by run_id, month(bar_date)), e as (select run_id, unnest(range(1, 13)) as month from (select distinct run_id from c)) select e.run_id, e.month, round(x, 6) + 0 as compounded, coalesce(bars, 0) as bars from e left join f on e.run_id = f.run_id and e.month = f.month")
 add("perf_stress", lambda s, d: shown(P.stress(curve(s, d)), 5), f"{CURVE}, g as (select run_id, bar_date, r, ln(1 + r) as g from w where r is not null), t as (select run_id, sum(g) as g from g group by run_id), b as (select run_id, sum(g) as d from (select *, row_number() over (partition by run_id order by r desc, bar_date) as k from g) where k <= 5 group by run_id), m as (select run_id, max(m) as m from (select run_id, date_trunc('month', bar_date) as mm, sum(g) as m from g group by run_id, date_trunc('month', bar_date)) group by run_id), j as (select t.run_id, exp(g) - 1 as total, exp(g - d) - 1 as wd, exp(g - m) - 1 as wm from t join b on t.run_id = b.run_id join m on t.run_id = m.run_id) select run_id, round(total, 5) + 0 as total, round(wd, 5) + 0 as without_days, round(wm, 5) + 0 as without_month, round((total - wd) / nullif(abs(total), 0), 5) + 0 as share_days, round((total - wm) / nullif(abs(total), 0), 5) + 0 as share_month from j")
 
 
 def market(s: SparkSession, d: str) -> DataFrame:
-    """The mean return of all runs on each day, as the benchmark."""
-    return P.with_returns(curve(s, d)).groupBy("bar_date").agg(F.avg("r").alias("rb"))
+    """The mean return of all runs on each day, compounded, as the benchmark: a row a day."""
+    m = P.with_returns(curve(s, d)).groupBy("bar_date").agg(F.avg("r").alias("m")).where("m is not null")
+    return m.select("bar_date", F.round(F.exp(F.sum(F.log1p("m")).over(W.orderBy("bar_date"))), 9).alias("level"))
 
 
-add("perf_benchmark", lambda s, d: shown(P.against(curve(s, d), market(s, d)), 5), f"""{CURVE}, m as (select bar_date, avg(r) as rb from w group by bar_date), j as (select w.run_id, r, rb from w join m on w.bar_date = m.bar_date where r is not null and rb is not null),
+add("perf_benchmark", lambda s, d: shown(P.against(curve(s, d), market(s, d)), 4), f"""{CURVE}, m as (select bar_date, round(exp(sum(ln(1 + avg(r))) over (order by bar_date)), 9) as level from w where r is not null group by bar_date), q as (select c.run_id, c.bar_date, value, level, lag(value) over v as pv, lag(level) over v as pl from c join m on c.bar_date = m.bar_date window v as (partition by c.run_id order by c.bar_date)),
+j as (select run_id, value / pv - 1 as r, level / pl - 1 as rb from q where pv is not null),
 g as (select run_id, count(*) as pairs, covar_samp(r, rb) as cov, var_samp(rb) as vb, stddev_samp(r) as sr, stddev_samp(r - rb) as te, avg(r) as m, avg(rb) as mb, avg(case when rb > 0 then r end) as ur, avg(case when rb > 0 then rb end) as ub, avg(case when rb < 0 then r end) as lr, avg(case when rb < 0 then rb end) as lb from j group by run_id having count(*) >= 3)
-select run_id, pairs, {', '.join(f"round({e}, 5) + 0 as {n}" for n, e in (('beta', 'cov / nullif(vb, 0)'), ('correlation', 'cov / nullif(sr * sqrt(vb), 0)'), ('tracking_error', 'te * sqrt(252)'), ('information_ratio', '(m - mb) / nullif(te, 0) * sqrt(252)'), ('alpha', '(m - cov / nullif(vb, 0) * mb) * 252'), ('up_capture', 'ur / nullif(ub, 0)'), ('down_capture', 'lr / nullif(lb, 0)')))} from g""")
+select run_id, pairs, {', '.join(f"round({e}, 4) + 0 as {n}" for n, e in (('beta', 'cov / nullif(vb, 0)'), ('correlation', 'cov / nullif(sr * sqrt(vb), 0)'), ('tracking_error', 'te * sqrt(252)'), ('information_ratio', '(m - mb) / nullif(te, 0) * sqrt(252)'), ('alpha', '(m - cov / nullif(vb, 0) * mb) * 252'), ('up_capture', 'ur / nullif(ub, 0)'), ('down_capture', 'lr / nullif(lb, 0)')))} from g""")
 add("perf_episodes", lambda s, d: shown(P.episodes(curve(s, d))), f"{CURVE}, o as (select *, exposure > 0 as on1 from c), p as (select *, case when on1 and not coalesce(lag(on1) over (partition by run_id order by bar_date), false) then 1 else 0 end as st from o), q as (select *, sum(st) over (partition by run_id order by bar_date) as episode from p) select run_id, cast(episode as bigint) as episode, cast(min(bar_date) as varchar) as first_day, cast(max(bar_date) as varchar) as last_day, count(*) as bars from q where on1 group by run_id, episode")
 
 # -- trades ------------------------------------------------------------------------------------------------------------------

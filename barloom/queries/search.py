@@ -16,7 +16,8 @@ from barloom.operators import performance as P
 from barloom.plans import engine as E
 from barloom.plans import search as S
 from barloom.queries.market import BARS
-from barloom.queries.runs import CURVE, curve, shown
+from barloom.queries.runs import CURVE, FILLS, curve, shown
+from barloom.queries.runs import books as T_books
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -108,6 +109,17 @@ def run_pairs(s: SparkSession, d: str) -> DataFrame:
     return ids.select(F.col("run_id").alias("a"), F.lead("run_id").over(w).alias("b")).where("b is not null")
 
 
+def run_setups(s: SparkSession, d: str) -> DataFrame:
+    """How each run was set up, as far as its records tell: its first equity and whether it ever was short."""
+    c = curve(s, d).groupBy("run_id").agg(F.round(F.min_by("value", "bar_date"), -3).alias("cash"), F.date_trunc("month", F.min("bar_date")).cast("date").alias("start"))
+    short = T_books(s, d).groupBy("run_id").agg(F.max((F.col("shares") < 0).cast("int")).alias("shorts"))
+    return c.join(short, "run_id", "left").fillna(0, ["shorts"])
+
+
+add("infer_sharpe_gap", lambda s, d: shown(N.sharpe_gap(run_pairs(s, d), returns(s, d), 500)))
+add("infer_comparable", lambda s, d: N.mismatches(run_pairs(s, d), run_setups(s, d), ["cash", "start", "shorts"]).select("a", "b", F.array_join("differ", ",").alias("differ"), "comparable"), f"""{FILLS}, fd as (select run_id, min(bar_date) as fd, round(arg_min(value, bar_date), -3) as cash, date_trunc('month', min(bar_date)) as start from c group by run_id), sh as (select run_id, max(case when shares < 0 then 1 else 0 end) as shorts from b group by run_id),
+st as (select fd.*, coalesce(shorts, 0) as shorts from fd left join sh on sh.run_id = fd.run_id), pr as (select * from (select run_id as a, lead(run_id) over (partition by date_trunc('quarter', fd) order by fd, run_id) as b from fd) where b is not null)
+select pr.a, pr.b, array_to_string(list_filter([case when x.cash <> y.cash then 'cash' end, case when x.start <> y.start then 'start' end, case when x.shorts <> y.shorts then 'shorts' end], lambda e: e is not null), ',') as differ, x.cash = y.cash and x.start = y.start and x.shorts = y.shorts as comparable from pr join st x on x.run_id = pr.a join st y on y.run_id = pr.b""")
 LAGS = " + ".join(f"case when {k} <= lg then 2 * (1 - {k} / (lg + 1.0)) * coalesce(u * lag(u, {k}) over (partition by a, b order by bar_date), 0) else 0 end" for k in range(1, 11))
 add("infer_paired", lambda s, d: shown(N.paired(run_pairs(s, d), returns(s, d)), 5), f"""{CURVE}, re as (select run_id, bar_date, r from w where r is not null), pr as (select * from (select run_id as a, lead(run_id) over (partition by date_trunc('quarter', fd) order by fd, run_id) as b from (select run_id, min(bar_date) as fd from c group by run_id)) where b is not null),
 xa as (select a, b, bar_date, r as ra from pr join re on re.run_id = a), xb as (select a, b, bar_date, r as rb from pr join re on re.run_id = b),
@@ -120,12 +132,13 @@ select me.a, me.b, n as days, only_a, only_b, round(m, 5) + 0 as mean_gap, round
 
 
 def month_weights(s: SparkSession, d: str) -> DataFrame:
-    """At each month end, weights of the ten steadiest symbols by their last 40 returns."""
-    p = I.with_inputs(prices(s, d)).select("symbol", "bar_date", "r", F.row_number().over(I.by_symbol()).alias("k"), I.stdev(40, "r").alias("sd"))
-    ends = p.groupBy(F.trunc("bar_date", "month").alias("m")).agg(F.max("bar_date").alias("day"))
-    at = p.join(ends, F.col("bar_date") == F.col("day")).where("sd is not null")
-    top = at.withColumn("place", F.row_number().over(W.partitionBy("day").orderBy("sd", "symbol"))).where("place <= 10").select("symbol", "day", F.col("k").alias("upto"))
-    look = p.join(top, "symbol").where("k > upto - 40 and k <= upto").select(F.col("day").cast("string").alias("day"), "symbol", (F.col("upto") - F.col("k")).alias("no"), "r")
+    """At each month end, weights of the ten steadiest symbols by their last 40 returns, which each month end carries along as an array."""
+    back = I.by_symbol().rowsBetween(-39, 0)
+    p = I.with_inputs(prices(s, d)).select("symbol", "bar_date", I.stdev(40, "r").alias("sd"), F.collect_list("r").over(back).alias("rs"))
+    ends = p.groupBy(F.trunc("bar_date", "month").alias("m")).agg(F.max("bar_date").alias("bar_date"))
+    at = p.join(ends, "bar_date").where("sd is not null")
+    top = at.withColumn("place", F.row_number().over(W.partitionBy("bar_date").orderBy("sd", "symbol"))).where("place <= 10")
+    look = top.select(F.col("bar_date").cast("string").alias("day"), "symbol", F.posexplode("rs").alias("k", "r")).select("day", "symbol", (39 - F.col("k")).alias("no"), "r")
     return C.constructed(look, "day", "symbol", "no", "r")
 
 
@@ -171,3 +184,36 @@ def cost_scan(s: SparkSession, d: str) -> DataFrame:
 
 
 add("run_cost_scan", cost_scan)
+
+
+# -- searches over simulated runs ---------------------------------------------------------------------------------------------
+
+CONFIGS = {f"{f:02d}-{w:02d}": {"fast": f, "slow": w} for f in FASTS for w in SLOWS}
+
+
+def searched(s: SparkSession, d: str) -> DataFrame:
+    """Every symbol's declared crossing at all nine settings, by simulation with costs."""
+    runs = S.runs_over(universes(s, d, "each"), "declared-cross", CONFIGS)
+    return S.scored(E.backtests(run_bars(s, d), runs), runs, score="sharpe")
+
+
+add("sweep_simulated", lambda s, d: shown(searched(s, d), 5))
+add("sweep_simulated_best", lambda s, d: shown(S.best_of(searched(s, d)).select("study", "config", "score", "total_return", "trades"), 5))
+
+
+def walked(s: SparkSession, d: str) -> DataFrame:
+    return S.simulated_walk_forward(run_bars(s, d), universes(s, d, "each"), "declared-cross", CONFIGS, 90, 30, embargo=5)
+
+
+add("search_simulated_walk_forward", lambda s, d: shown(walked(s, d), 5))
+add("search_walk_forward_summary", lambda s, d: shown(S.walk_forward_summary(walked(s, d)), 5))
+
+
+def simulated_paths(s: SparkSession, d: str) -> DataFrame:
+    """Whole histories of the sixteen groups' crossing, put together from stretches in which the choice wasn't made, and how they spread."""
+    t = S.simulated_groups(run_bars(s, d), universes(s, d, "groups"), "declared-cross", CONFIGS)
+    chosen = S.combinatorial(t, 6, 2, 5, study="study", config=("config",))
+    return S.path_spread(S.paths(t, chosen, 6, 2, study="study", config=("config",)), "study")
+
+
+add("search_simulated_paths", lambda s, d: shown(simulated_paths(s, d), 5))

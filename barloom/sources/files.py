@@ -117,6 +117,116 @@ def economic(lines: DataFrame) -> DataFrame:
     return lines.select("file", F.try_to_date(F.trim(F.try_element_at(cells, F.lit(1))), "yyyy-MM-dd").alias("day"), F.trim(F.try_element_at(cells, F.lit(2))).try_cast("double").alias("value")).dropna(subset=["day", "value"])
 
 
+def with_lags(series: DataFrame, lags: DataFrame | None = None, usual: int = 30) -> DataFrame:
+    """Economic series (series, day, value) with the days that each is published late and whether it is revised later. ``lags``: series, lag_days, revised (a
+    short table); series it doesn't name come ``usual`` days late and count as revised."""
+    named = series.withColumn("series", F.upper(F.trim("series")))
+    if lags is None:
+        return named.withColumns({"lag_days": F.lit(usual), "revised": F.lit(True)})
+    known = lags.select(F.upper(F.trim("series")).alias("series"), F.col("lag_days").cast("int").alias("_lag"), F.col("revised").alias("_revised")).dropDuplicates(["series"])
+    return named.join(known, "series", "left").withColumns({"lag_days": F.coalesce("_lag", F.lit(usual)), "revised": F.coalesce("_revised", F.lit(True))}).drop("_lag", "_revised")
+
+
+def share_lines(lines: DataFrame) -> DataFrame:
+    """Share counts of lines symbol,from_day,shares: headers, comments (#) and rows without a day or with counts of 0 or less are skipped; of rows of one symbol and day the largest counts."""
+    c = [F.trim(F.try_element_at(F.split("line", ","), F.lit(i))) for i in (1, 2, 3)]
+    rows = lines.where("not startswith(ltrim(line), '#')").select(F.upper(c[0]).alias("symbol"), F.try_to_date(c[1], "yyyy-MM-dd").alias("from_day"), c[2].try_cast("double").alias("shares"))
+    return rows.where("symbol != '' and from_day is not null and shares > 0").groupBy("symbol", "from_day").agg(F.max("shares").alias("shares"))
+
+
+def tenure_lines(lines: DataFrame) -> DataFrame:
+    """Membership of lines index,symbol,from,to: a blank from is the unknown beginning, a blank to is still a member; headers, comments and rows that end before they begin are skipped."""
+    c = [F.trim(F.coalesce(F.try_element_at(F.split("line", ","), F.lit(i)), F.lit(""))) for i in (1, 2, 3, 4)]
+    day = lambda x: F.try_to_date(x, "yyyy-MM-dd")
+    rows = lines.where("not startswith(ltrim(line), '#')").select(F.lower(c[0]).alias("index_name"), F.upper(c[1]).alias("symbol"), day(c[2]).alias("from_day"), day(c[3]).alias("to_day"), (c[2] != "").alias("_f"), (c[3] != "").alias("_t"))
+    ok = (F.col("from_day").isNotNull() | ~F.col("_f")) & (F.col("to_day").isNotNull() | ~F.col("_t")) & (F.col("to_day").isNull() | F.col("from_day").isNull() | (F.col("to_day") >= F.col("from_day")))
+    return rows.where(ok & (F.col("index_name") != "") & (F.col("symbol") != "")).drop("_f", "_t").distinct()
+
+
+def table_lines(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows as comma-separated lines: nulls are empty, doubles in their shortest exact form, texts with commas, quotes or line ends in quotes."""
+    kinds = dict(df.dtypes)
+
+    def cell(c: str) -> Column:
+        text = F.coalesce(F.col(c).cast("string"), F.lit(""))
+        return F.when(text.rlike('[,"\\n\\r]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text) if kinds[c] == "string" else text
+
+    return df.select(F.concat_ws(",", *map(cell, columns)).alias("line"))
+
+
+def write_lines(df: DataFrame, columns: list[str], folder: str) -> None:
+    """A folder of comma-separated files with a header each: sweep tables, folds, validation splits, share counts, tenures."""
+    df.select(*columns).write.mode("overwrite").option("header", True).csv(folder)
+
+
+# -- stores ---------------------------------------------------------------------------------------------------------------------
+
+
+def covered(asked: DataFrame, held: DataFrame) -> DataFrame:
+    """Which requests a store can answer: asked rows with ``hit``.
+
+    ``asked``: symbol, from_day, to_day; ``held``: symbol, requested_from (what was asked of the source before, so that a young symbol isn't fetched
+    again and again), last_day. A request is a hit where what was asked for reaches back as far and the bars reach its end.
+    """
+    h = held.groupBy("symbol").agg(F.min("requested_from").alias("_from"), F.max("last_day").alias("_last"))
+    j = asked.join(h, "symbol", "left")
+    return j.withColumn("hit", F.coalesce((F.col("_from") <= F.col("from_day")) & (F.col("_last") >= F.col("to_day")), F.lit(False))).drop("_from", "_last")
+
+
+def through_store(asked: DataFrame, store: DataFrame, held: DataFrame, source: DataFrame) -> DataFrame:
+    """Bars of the requests: from the store where it covers them, else from the source. Nothing is fetched for symbols that are covered."""
+    wanted = covered(asked, held)
+    pick = lambda bars, hit: bars.join(wanted.where(F.col("hit") == F.lit(hit)).select("symbol", "from_day", "to_day"), "symbol").where("bar_date >= from_day and bar_date <= to_day").drop("from_day", "to_day")
+    return pick(store, True).withColumn("stored", F.lit(True)).unionByName(pick(source, False).withColumn("stored", F.lit(False)))
+
+
+def scanned(asked: DataFrame, bars: DataFrame) -> DataFrame:
+    """One row per asked symbol, also of those that can't be had: bars, first and last day, error (``no data`` or ``no bars in range``)."""
+    every = bars.groupBy("symbol").agg(F.count("*").alias("_all"))
+    inside = asked.join(bars, "symbol").where("bar_date >= from_day and bar_date <= to_day").groupBy("symbol").agg(F.count("*").alias("bars"), F.min("bar_date").alias("first_day"), F.max("bar_date").alias("last_day"))
+    j = asked.select("symbol").distinct().join(every, "symbol", "left").join(inside, "symbol", "left")
+    return j.select("symbol", F.coalesce("bars", F.lit(0)).alias("bars"), "first_day", "last_day", F.when(F.col("_all").isNull(), "no data").when(F.col("bars").isNull(), "no bars in range").alias("error"))
+
+
+class Chain:
+    """Sources in order, each with the bar sizes it offers: a symbol's bars come from the first that offers the size and has any; others are passed by, not failures."""
+
+    def __init__(self, sources: dict[str, dict[str, DataFrame]]) -> None:
+        self.sources = sources
+
+    def sizes(self) -> list[str]:
+        """All sizes that any source offers."""
+        return sorted({size for s in self.sources.values() for size in s})
+
+    def supports(self, name: str, size: str) -> bool:
+        return size in self.sources[name]
+
+    def bars(self, size: str = "1d") -> DataFrame:
+        able = [s[size] for s in self.sources.values() if size in s]
+        if not able:
+            raise ValueError(f"no source has bars of {size}; there are {', '.join(self.sizes())}")
+        return chain(able)
+
+
+def found_symbols(names: DataFrame, text: str, most: int = 20) -> DataFrame:
+    """Symbols whose symbol or name holds the text, exact and leading matches first: a list for a search box, so ``most`` rows."""
+    t = F.lit(text.strip().upper())
+    hit = names.where(F.contains(F.upper("symbol"), t) | F.contains(F.upper(F.coalesce("name", F.lit(""))), t))
+    return hit.orderBy(F.upper("symbol") != t, ~F.startswith(F.upper("symbol"), t), "symbol").limit(most)
+
+
+def overlay(bars: DataFrame, symbols: list[str], most: int = 20) -> DataFrame:
+    """Closes of several symbols on the union of their days, each carried forward and indexed to 100 at its first: a chart of at most ``most`` symbols."""
+    names = list(dict.fromkeys(s.strip().upper() for s in symbols))
+    if len(names) > most:
+        raise ValueError(f"{len(names)} symbols; the limit is {most}")
+    own = bars.where(F.col("symbol").isin(names)).select("symbol", "bar_date", "close")
+    days = own.select("bar_date").distinct().select("bar_date", F.explode(F.array(*map(F.lit, names))).alias("symbol"))
+    w = W.partitionBy("symbol").orderBy("bar_date")
+    filled = days.join(own, ["symbol", "bar_date"], "left").withColumns({"close": F.last("close", ignorenulls=True).over(w), "_first": F.first("close", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))})
+    return filled.where("close is not null").select("symbol", "bar_date", "close", (100 * F.col("close") / F.when(F.col("_first") != 0, F.col("_first"))).alias("indexed"))
+
+
 def borrow_rates(lines: DataFrame) -> DataFrame:
     """symbol, annual_pct, available of (symbol, rate, available) lines; rates in per cent; * is the general rate."""
     cells = F.split("line", ",")
