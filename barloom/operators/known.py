@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from barloom.common import cut
+
 LEVELS = 22  # 2**22 versions of one entity: over 11,000 years of daily changes
 
 
@@ -26,7 +28,7 @@ def numbered(changes: DataFrame, events: DataFrame, entity: str, at: str) -> tup
         .agg(F.max("_c").alias("_c"), F.max("_e").alias("_e"))
     )
     w = W.partitionBy(entity).orderBy(at).rowsBetween(W.unboundedPreceding, W.currentRow)
-    counted = points.withColumn("version", F.sum("_c").over(w).cast("bigint"))
+    counted = cut(points.withColumn("version", F.sum("_c").over(w).cast("bigint")))  # read four times: where spans begin and end, the last one, events
     return counted.where("_c = 1").select(entity, at, "version"), counted.where("_e = 1").select(entity, at, "version")
 
 
@@ -70,6 +72,8 @@ def known_at(events: DataFrame, facts: DataFrame, entity: str, per: list[str], a
     spans' ends are an entity's change points; a cumulative count over narrow (entity, day) rows gives the version
     number of each event; wide attributes are then equi-joined on entity and version. Columns of events that clash with
     attributes keep the event's value under ``event_<name>``.
+
+    Runs two jobs: the spans and the narrow version rows are each made once and cut off with a checkpoint.
     """
     keys = [entity, *per]
     rank = F.struct(*order).alias("_rank")
@@ -82,7 +86,7 @@ def known_at(events: DataFrame, facts: DataFrame, entity: str, per: list[str], a
     rows = rows.withColumn("_until", F.date_sub(replaced, 1))
     begin = F.greatest("from_day", "known_day")
     end = F.least("to_day", "_until")  # null only if both are
-    spans = rows.withColumns({"_b": begin, "_e": end}).where("_e is null or _e >= _b")
+    spans = cut(rows.withColumns({"_b": begin, "_e": end}).where("_e is null or _e >= _b"))  # read twice: for the change points and to be placed on versions
     changes = spans.select(entity, F.explode(F.array_compact(F.array("_b", F.date_add("_e", 1)))).alias("day"))
     narrow = events.select(entity, "day").where(F.col(entity).isNotNull() & F.col("day").isNotNull()).distinct()
     points, at_events = numbered(changes, narrow, entity, "day")
