@@ -82,9 +82,9 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p2_grid(spark: SparkSession, sf: str) -> DataFrame:
-    """The whole grid: volume per slot, spread where readings are close together, and the marks."""
+    """The whole grid: volume per slot (halves are rounded up, whatever the order of sums), spread where readings are close together, and the marks."""
     g = intraday_grid(spark, sf)
-    return g.select(F.col("entity").alias("symbol"), (F.col("step") / 60).cast("int").alias("step_min"), stamp("slot").alias("slot"), F.round("value", 3).alias("value"), F.col("covered_s").cast("long").alias("covered_s"), F.col("n_readings").cast("long").alias("n_readings"), "mark")
+    return g.select(F.col("entity").alias("symbol"), (F.col("step") / 60).cast("int").alias("step_min"), stamp("slot").alias("slot"), F.round(F.col("value") + 1e-7, 3).alias("value"), F.col("covered_s").cast("long").alias("covered_s"), F.col("n_readings").cast("long").alias("n_readings"), "mark")
 
 
 P2 = r"""
