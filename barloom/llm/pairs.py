@@ -17,32 +17,39 @@ FENCE = re.compile(r"```[\w+-]*")
 TAG = re.compile(r"</?[a-zA-Z][^<>\n]{0,80}>|<!--.*?-->", re.S)
 NOTHING = {"null", "none", "n/a", "na", "nil", "nan", "undefined", "nothing", "no response", "no answer", "empty", "(empty)", "keine", "nichts", "keine antwort", "leer", "aucun", "aucune", "rien", "vide", "pas de réponse"}
 
-# What answers say that decline, in lower case with straight apostrophes.
+# How answers decline, in lower case with straight apostrophes. A rule is a list of beginnings and one of endings, each of which may
+# follow each; phrases that stand for themselves come after.
+DECLINES = {
+    "en": ("i can't|i cannot|i can not|i could not|i'm unable to|i am unable to|i'm not able to|i am not able to|i won't|i will not|i'm not allowed to|i am not allowed to|i'm not permitted to|i am not permitted to|i'm not in a position to|i am not in a position to|i must decline to|i have to decline to|i decline to|i refuse to",
+           "help with|help you|assist|answer|respond to|discuss|comment|speculate|provide|give|offer|share|recommend|fulfil|fulfill|comply|advise|engage|make that call|express an opinion"),
+    "de": ("kann ich|kann ich leider|kann ich ihnen|kann ich dir|kann ich ihnen leider|darf ich|darf ich leider|möchte ich|möchte ich lieber|will ich",
+           "nicht helfen|nicht weiterhelfen|nicht behilflich sein|nicht beantworten|nicht beurteilen|nicht kommentieren|nicht nachkommen|nichts sagen|keine auskunft|keine empfehlung|keine anlageberatung|keine einschätzung|keine antwort|mich nicht äußern"),
+    "fr": ("je ne peux pas|je ne peux malheureusement pas|je ne puis|je ne suis pas en mesure de|je ne suis pas autorisé à|je ne suis pas habilité à|je ne souhaite pas|je préfère ne pas|je refuse de|il m'est impossible de|il ne m'est pas possible de",
+           "répondre|vous répondre|vous aider|t'aider|aider|fournir|vous fournir|donner|vous donner|me prononcer|commenter|conseiller|vous conseiller|discuter|accéder à"),
+    "es": ("no puedo|no me es posible|no estoy en condiciones de|no estoy autorizado a|no estoy autorizado para|prefiero no|debo negarme a", "ayudar|ayudarle|ayudarte|responder|contestar|proporcionar|ofrecer|dar consejos|dar una recomendación|comentar|opinar"),
+    "it": ("non posso|non sono in grado di|non mi è possibile|non sono autorizzato a|preferisco non|devo rifiutare di", "aiutar|rispondere|fornire|dare consigli|dare una raccomandazione|commentare|esprimer"),
+    "nl": ("kan ik|kan ik helaas|mag ik|wil ik", "niet helpen|niet mee helpen|niet beantwoorden|niet op ingaan|geen antwoord|geen advies|geen aanbeveling"),
+    "pt": ("não posso|não consigo|não me é possível|não estou autorizado a|prefiro não", "ajudar|responder|fornecer|dar conselhos|dar uma recomendação|comentar|opinar"),
+}
 REFUSALS = """
-as a language model|as an ai language model|as an ai,|as an ai assistant|i'm just an ai|i am just an ai
-i can't help with|i cannot help with|i can't assist|i cannot assist|i'm unable to assist|i am unable to assist|i'm not able to help|i am not able to help|what i can assist with|can't help with that
-i can't answer|i cannot answer|i'm unable to answer|i am unable to answer|i won't answer|i will not answer|i'm not able to answer|i am not able to answer
-i cannot discuss|i can't discuss|i'm unable to discuss|i cannot comment|i can't comment|i won't comment|i won't speculate|i will not speculate|i'd rather not
-i can't provide|i cannot provide|i'm unable to provide|i am unable to provide|unable to provide investment|i'm not able to provide|i am not able to provide|i'm not able to give|i am not able to give|i'm unable to give|i am unable to give|i cannot give|i can't give|i can't offer|i cannot offer|i can't share|i cannot share|i can't recommend|i cannot recommend
-i must decline|i have to decline|i decline to|i respectfully decline|i have to pass on|i'll have to pass|i must refuse
-not be appropriate for me|not appropriate for me|isn't appropriate for me|my guidelines don't allow|my guidelines do not allow|against my guidelines|not permitted to answer|i'm not allowed to|i am not allowed to|can be given here
+as a language model|as an ai language model|as an ai,|as an ai assistant|i'm just an ai|i am just an ai|what i can assist with|can't help with that|unable to provide investment|i'd rather not
+i must decline|i have to decline|i respectfully decline|i have to pass on|i'll have to pass|i must refuse|can be given here
+not be appropriate for me|not appropriate for me|isn't appropriate for me|my guidelines don't allow|my guidelines do not allow|against my guidelines|not permitted to answer|i'm not allowed to|i am not allowed to
 i do not have the ability|i don't have the ability|i'm not qualified|i am not qualified|i'm not comfortable|i am not comfortable
-kann ich nicht helfen|kann ich leider nicht helfen|nicht behilflich sein|kann ich keine auskunft|darf ich nicht beantworten|kann ich nicht beantworten|möchte ich nicht beantworten|ist mir nicht möglich|ist mir leider nicht möglich|kann ich nicht beurteilen|kann ich keine empfehlung|darf ich keine empfehlung|darf ich keine auskunft|kann ich keine anlageberatung|bin ich nicht in der lage|als sprachmodell|als ki-modell|muss ich ablehnen|steht mir nicht zu|kann ich mich nicht äußern|darf ich mich nicht äußern|ich kann dazu nichts sagen
-je ne peux pas répondre|je ne peux pas vous aider|je ne peux pas t'aider|je ne peux pas aider|je ne peux pas fournir|je ne peux pas donner|je ne peux pas me prononcer|je ne peux pas commenter|je ne suis pas en mesure|il m'est impossible de|je dois refuser|je dois décliner|je préfère ne pas répondre|je ne suis pas autorisé|en tant que modèle de langage|en tant qu'ia|ne me permettent pas de
-lo siento, pero no puedo|no puedo ayudar con|no puedo responder|no puedo proporcionar|como modelo de lenguaje
-mi dispiace, ma non posso|non posso aiutar|non posso rispondere|come modello linguistico
-ik kan hier niet mee helpen|kan ik niet beantwoorden|als taalmodel
+nicht behilflich sein|ist mir nicht möglich|ist mir leider nicht möglich|bin ich nicht in der lage|als sprachmodell|als ki-modell|muss ich ablehnen|steht mir nicht zu|kann ich mich nicht äußern|darf ich mich nicht äußern|ich kann dazu nichts sagen
+je ne suis pas en mesure|il m'est impossible de|je dois refuser|je dois décliner|je ne suis pas autorisé|en tant que modèle de langage|en tant qu'ia|ne me permettent pas de
+lo siento, pero no puedo|como modelo de lenguaje|mi dispiace, ma non posso|come modello linguistico|ik kan hier niet mee helpen|als taalmodel|como modelo de linguagem|lamento, mas não posso
 """
 
-# Function words by which texts of these languages are told apart.
+# Function words (articles, pronouns, prepositions, conjunctions, auxiliaries, particles) by which texts of these languages are told apart.
 STOPWORDS = {
-    "en": "the a an of to and in is it that for on with was as are this by be at from or have has had not but which should would could will what does do how why over since after given through its there would most around still than into been were list main",
-    "de": "der die das und ist ein eine einen einem einer den dem des zu im in nicht mit für auf von es sich auch als bei nach wie am aus um hat sind wird wurde würde welche was oder aber sobald weil unter über dürfte ich sie wir ihr noch nur zum zur dass kaum während gegenüber eines bleibt fasse zwei licht vom beim",
-    "fr": "le la les un une des du de et est que qui dans pour sur en pas au aux par avec ce cette il elle ne se son sa ses sont plus ou mais si nous vous je quand sous alors à l d s'est serait devrait quels quelle quel après compte tenu car reste",
-    "es": "el la los las un una unos unas de del y es que en no por con para se su sus lo al como más pero si ya o este esta cuando sin sobre porque sería ha han hay un muy entre frente mientras apenas sigue cambiaría esta",
-    "it": "il lo la i gli le un una uno di del della dei delle e è che in non per con si su sono al alla come più ma se o questo questa quando dal anche ha sarebbe perché resta rispetto mentre quasi sotto un nel hanno sui cambierebbe",
-    "nl": "de het een en is van in op te dat niet met voor zijn er aan om als ook naar bij door maar dan nog wel was wordt zou ik omdat groot blijft terwijl onder over kan nauwelijks ten opzichte dit die deze meer zodra zouden heeft",
-    "pt": "o a os as um uma de do da dos das e é que em não por com para se no na ao mais mas como foi são seu sua ou quando porque muito já também pelo pela até isso está",
+    "en": "the a an this that these those i you he she it we they them his her its our their who which what where when why how and or but nor if than because while although though since until unless of to in on at by for from with without into over under after before between through against about most more some any all no not is are was were be been being am has have had do does did will would shall should can could may might must there still around given than",
+    "de": "der die das des dem den ein eine einen einem einer eines dieser diese dieses diesem jener ich du er sie es wir ihr mich mir dich ihm ihn ihnen uns euch sich mein sein seine ihre unser wer was welche welcher welches wie wo wann warum und oder aber denn weil dass wenn ob als während obwohl sobald solange bevor nachdem in im an am auf aus bei beim mit nach von vom zu zum zur über unter vor zwischen für durch gegen gegenüber ohne um nicht kein keine auch nur noch schon sehr kaum ist sind war waren wird werden wurde würde hat haben hatte kann können muss soll dürfte bleibt",
+    "fr": "le la les l un une des du de d ce cet cette ces je tu il elle on nous vous ils elles me te se s leur leurs lui son sa ses mon ma mes notre votre qui que qu dont où quand comment pourquoi quel quelle quels quelles et ou mais donc car ni si comme lorsque puisque tandis alors après avant dans sur sous en par pour avec sans vers chez entre contre depuis au aux à y ne n pas plus moins très aussi encore est sont était étaient sera serait être a ont avait avoir fait peut devrait tenu reste",
+    "es": "el la los las lo un una unos unas del de al este esta estos estas ese esa eso yo tú él ella nosotros ellos ellas me te se le les nos su sus mi tu que quien cuál cuando donde cómo por porque para con sin sobre entre hasta desde hacia según tras y e o u ni pero si como aunque mientras no más menos muy ya también apenas es son era fue será sería está están estaba ha han había hay sigue puede debe en a ser frente",
+    "it": "il lo la i gli le un uno una del dello della dei degli delle di al allo alla ai alle dal dalla nel nella nei sul sulla sui con per tra fra in da su a questo questa questi queste quello io tu lui lei noi voi loro mi ti si ci vi ne che chi cui quando dove come perché se e ed o ma non anche più meno molto ancora mentre quasi sotto rispetto è sono era erano sarà sarebbe essere ha hanno aveva può deve resta",
+    "nl": "de het een dit dat deze die ik jij je hij zij ze wij we jullie hun hem haar ons mijn zijn wie wat welke waar wanneer waarom hoe en of maar want omdat als toen terwijl hoewel zodra dan in op aan bij met naar van voor door over onder tegen tussen uit om te ten tot na sinds niet geen ook nog al maar wel zeer nauwelijks is was waren wordt worden werd zou zouden heeft hebben had kan kunnen moet blijft er meer opzichte",
+    "pt": "o a os as um uma uns umas do da dos das no na nos nas ao aos à pelo pela de em por para com sem sobre entre até desde este esta isso esse essa eu tu ele ela nós eles elas me te se lhe seu sua meu que quem qual quando onde como porque e ou mas nem se embora enquanto não mais menos muito já também ainda é são era foi será seria está estão ser tem têm tinha há pode deve fica",
 }
 LANGUAGE_NAMES = {
     "en": "english|englisch|anglais|inglés|inglese", "de": "german|deutsch|allemand|alemán|tedesco", "fr": "french|französisch|français|francés|francese",
@@ -66,8 +73,9 @@ def automaton_of_refusals():
     import ahocorasick
 
     a = ahocorasick.Automaton()
-    for phrase in {p for line in REFUSALS.strip().splitlines() for p in line.split("|")}:
-        a.add_word(phrase, len(phrase))
+    ruled = {f"{head} {tail}" for heads, tails in DECLINES.values() for head in heads.split("|") for tail in tails.split("|")}
+    for phrase in ruled | {p for line in REFUSALS.strip().splitlines() for p in line.split("|")}:
+        a.add_word(straight(phrase), len(phrase))
     a.make_automaton()
     return a
 
@@ -239,10 +247,14 @@ def is_truncated(prompt: str, response: str) -> bool:
     return True
 
 
-def votes(text: str) -> dict[str, int]:
-    words = re.findall(r"[^\W\d_]+(?:'[^\W\d_]+)?", straight(text))
+#: A word that several languages have is a part of a vote for each, the smaller the more have it.
+share_of = {w: 1 / sum(w in s for s in stopwords.values()) ** 2 for w in frozenset().union(*stopwords.values())}
+
+
+def votes(text: str) -> dict[str, float]:
+    words = re.findall(r"(?<!\w)[^\W\d_]+(?:'[^\W\d_]+)?(?!\w)", straight(text))  # letters of a code with digits are no word
     parts = [p for w in words for p in (w.split("'") if "'" in w else [w])]
-    return {k: sum(p in s for p in parts) for k, s in stopwords.items()}
+    return {k: sum(share_of[p] for p in parts if p in s) for k, s in stopwords.items()}
 
 
 def language(text: str, least: int) -> str | None:
@@ -256,7 +268,7 @@ def is_other_language(prompt: str, response: str) -> bool:
     wanted = {k for m in asked_for.finditer(prompt) for k, x in m.groupdict().items() if x}
     v = votes(asked_for.sub(" ", prompt))
     top = max(v.values())
-    if top < 1:
+    if top <= 0:
         return False
     expected = wanted | {k for k in v if v[k] == top}
     text = said(response)
@@ -265,7 +277,7 @@ def is_other_language(prompt: str, response: str) -> bool:
             text = " ".join(x for x in leaves(json.loads(text)) if " " in x)
         except (ValueError, RecursionError):
             text = " ".join(x for x in re.findall(r'"((?:[^"\\]|\\.)*)', text) if " " in x)
-    got = language(text, 3)
+    got = language(text, 2)
     if got is None or got in expected:
         return False
     mine = votes(text)

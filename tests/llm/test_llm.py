@@ -38,6 +38,20 @@ def test_pairs(spark):
     assert P.broken_pairs(df.limit(0)).count() == 0
 
 
+UNSEEN = [  # texts of other makers: rules, not the phrases and words of the test tables
+    ("How do I bake rye bread?", "I am not in a position to advise on recipes.", "refusal"), ("How do I bake rye bread?", "Unfortunately I won't discuss food.", "refusal"), ("¿Cómo se hace el pan?", "No estoy autorizado para opinar sobre recetas.", "refusal"),
+    ("Comment faire du pain ?", "Je ne souhaite pas vous conseiller sur ce point.", "refusal"), ("Wie backt man Brot?", "Dazu möchte ich mich nicht äußern.", "refusal"), ("Hoe bak je brood?", "Daar kan ik helaas geen advies over geven.", "refusal"),
+    ("How do I bake rye bread?", "I can't say it too often: give the dough twelve hours.", None), ("How do I bake rye bread?", "Mix the flour with water, and leave it for a day.", None),
+    ("How do I bake rye bread with X3DES?", "Mischen Sie das Mehl mit Wasser und lassen Sie es einen Tag lang an einem warmen Ort stehen.", "language"), ("Wie backt man Brot?", "O padeiro mistura a farinha com água, mas não põe sal até ao dia seguinte.", "language"),
+    ("Comment faire du pain ?", "Meng het meel met water en laat het een dag lang op een warme plek staan.", "language"), ("How do I bake bread in D4DES?", "Mix it with the water of the day before, then wait until it has risen.", None),
+]
+
+
+def test_pairs_of_other_texts():
+    refusals = P.automaton_of_refusals()
+    assert [(p, r, d, got) for p, r, d in UNSEEN if (got := P.defect_of(p, r, refusals, 0.8, 0.5)) != d] == []
+
+
 def test_suffix_automaton_against_brute_force():
     rng = random.Random(1)
     for _ in range(200):
