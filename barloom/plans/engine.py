@@ -10,6 +10,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 import math
+from collections import deque
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, fields, replace
 
@@ -764,13 +765,67 @@ def simulate(bars: pd.DataFrame | Market, strategy: Strategy, spec: Spec, params
     return {"days": market.days[path[:, 0].astype(int)], "value": path[:, 1], "cash": path[:, 2], "exposure": path[:, 3], "fills": [(int(market.days[f[0]]), *f[1:]) for f in ctx.fills], "errors": errors, "logs": ctx.logs, **ctx.paid, "refused": len(ctx.refused), "borrowed": [(s, *ctx.borrowed[s]) for s in sorted(ctx.borrowed)], "refusals": ctx.refused}
 
 
+MEASURES = ("bars", "total_return", "cagr", "volatility", "sharpe", "sortino", "calmar", "max_drawdown", "ulcer", "trades", "expectancy", "trade_win_rate", "profit_factor")
+
+
+def round_trip_results(fills: list[tuple]) -> list[float]:
+    """Net results of the closed round trips of a run's fills, first in, first out, with the costs of both sides by shares."""
+    lots: dict[str, deque] = {}
+    out = []
+    for _, symbol, _, q, price, fee, slip, *_ in fills:
+        own, unit = lots.setdefault(symbol, deque()), (fee + slip) / abs(q) if q else 0.0
+        while abs(q) > 1e-9:
+            if not own or own[0][0] * q > 0:
+                own.append([q, price, unit])
+                break
+            lot = own[0]
+            sign, n = (1 if lot[0] > 0 else -1), min(abs(q), abs(lot[0]))
+            out.append(sign * (price - lot[1]) * n - n * (lot[2] + unit))
+            lot[0] -= sign * n
+            q += sign * n
+            if abs(lot[0]) <= 1e-9:
+                own.popleft()
+    return out
+
+
+def measures(run: dict, periods: float) -> dict:
+    """MEASURES of one run, as :mod:`barloom.operators.performance` defines them; None where undefined."""
+    v, n = run["value"], len(run["value"])
+    out: dict = dict.fromkeys(MEASURES)
+    results = np.array(round_trip_results(run["fills"]))
+    out.update(bars=n, trades=len(results))
+    if len(results):
+        won, lost = results[results > 0].sum(), -results[results <= 0].sum()
+        out.update(expectancy=float(results.mean()), trade_win_rate=float((results > 0).mean()), profit_factor=float(won / lost) if lost > 0 else math.inf if won > 0 else None)
+    if not n:
+        return out
+    peak = np.maximum.accumulate(v)
+    dd = np.where(peak != 0, v / np.where(peak != 0, peak, 1) - 1, 0.0)
+    before = v[:-1]
+    r = np.where(before > 0, v[1:] / np.where(before > 0, before, 1) - 1, 0.0)
+    years = (run["days"][-1] - run["days"][0]) / 365.25
+    out.update(max_drawdown=float(dd.min()), ulcer=float(np.sqrt((dd * dd).mean())), total_return=float(v[-1] / v[0] - 1) if v[0] else None)
+    if v[0] > 0 and v[-1] > 0 and years > 0:
+        out["cagr"] = float((v[-1] / v[0]) ** (1 / years) - 1)
+        out["calmar"] = out["cagr"] / abs(out["max_drawdown"]) if out["max_drawdown"] else None
+    if len(r) > 1:
+        sd, down = float(r.std(ddof=1)), r[r < 0]
+        out["volatility"] = sd * math.sqrt(periods)
+        out["sharpe"] = float(r.mean()) / sd * math.sqrt(periods) if sd else None
+    else:
+        down = r[r < 0]
+    if len(down):
+        out["sortino"] = float(r.mean() / math.sqrt((down * down).mean()) * math.sqrt(periods))
+    return out
+
+
 RUN = (
     "run_id string, days array<int>, value array<double>, cash array<double>, exposure array<double>, "
     "fills array<struct<day:int,symbol:string,side:string,shares:double,price:double,commission:double,slippage:double,realised:double,reason:string>>, "
     "errors long, borrow double, commission double, slippage double, refused long, logs array<string>, "
     "borrowed array<struct<symbol:string,fee:double,days:double>>, refusals array<struct<symbol:string,shares:double>>, error string"
 )
-RUNS_A_TASK = 64  # runs that share one copy of their universe's bars
+RUNS_A_TASK = 32  # runs that share one copy of their universe's bars
 MOST_MACRO = 1_000_000
 
 
@@ -785,7 +840,12 @@ def macros_of(macro: DataFrame | None) -> Macro:
     return {k: (g["known"].to_numpy(np.int64), g["value"].to_numpy(float)) for k, g in rows.sort_values("known", kind="stable").groupby("series")}
 
 
-def backtests(bars: DataFrame, runs: DataFrame, macro: DataFrame | None = None, strategies: dict[str, type[Strategy]] | None = None, per_task: int = RUNS_A_TASK) -> DataFrame:
+def measured_runs(bars: DataFrame, runs: DataFrame, macro: DataFrame | None = None, strategies: dict[str, type[Strategy]] | None = None, per_task: int = RUNS_A_TASK) -> DataFrame:
+    """Like :func:`backtests`, but with MEASURES of each run in place of its curve and fills, which never leave the task: for searches."""
+    return backtests(bars, runs, macro, strategies, per_task, curves_too=False)
+
+
+def backtests(bars: DataFrame, runs: DataFrame, macro: DataFrame | None = None, strategies: dict[str, type[Strategy]] | None = None, per_task: int = RUNS_A_TASK, curves_too: bool = True) -> DataFrame:
     """Simulate all ``runs``: one row per run with its curve and fills.
 
     ``runs``: run_id, strategy (a name of :mod:`barloom.plans.strategies`, or of ``strategies``), symbols (array), params (JSON), options (JSON of
@@ -813,13 +873,21 @@ def backtests(bars: DataFrame, runs: DataFrame, macro: DataFrame | None = None,
         for h in group.to_dict("records"):
             try:
                 params, options = json.loads(h["params"] or "{}"), json.loads(h["options"] or "{}")
-                r = simulate(market, known[h["strategy"]](), Spec.of(options), params, day(h["start"]), day(h["end"]), series_of)
-                out.append({"run_id": h["run_id"], **{k: r[k] for k in names[1:]}, "error": None})
+                spec = Spec.of(options)
+                r = simulate(market, known[h["strategy"]](), spec, params, day(h["start"]), day(h["end"]), series_of)
+                out.append({"run_id": h["run_id"], **({k: r[k] for k in names[1:]} if curves_too else measures(r, spec.periods)), "error": None})
             except Exception as e:  # a run that fails is a row of the result, the others go on
-                out.append({"run_id": h["run_id"], **nothing, "errors": 1, "borrow": 0.0, "commission": 0.0, "slippage": 0.0, "refused": 0, "error": f"{type(e).__name__}: {e}"[:300]})
-        return pd.DataFrame(out, columns=[*names, "error"])
-
-    return r.groupBy("task").cogroup(fed.groupBy("of_task")).applyInPandas(some, RUN)
+                out.append({"run_id": h["run_id"], **dict.fromkeys(MEASURES), "error": f"{type(e).__name__}: {e}"[:300]} if not curves_too else {"run_id": h["run_id"], **nothing, "errors": 1, "borrow": 0.0, "commission": 0.0, "slippage": 0.0, "refused": 0, "error": f"{type(e).__name__}: {e}"[:300]})
+        if curves_too:
+            return pd.DataFrame(out, columns=[*names, "error"])
+        rows = pd.DataFrame(out, columns=["run_id", *MEASURES, "error"])
+        return rows.astype({k: "Int64" if k in ("bars", "trades") else "Float64" for k in MEASURES})
+
+    schema = RUN if curves_too else "run_id string, " + ", ".join(f"{k} {'long' if k in ('bars', 'trades') else 'double'}" for k in MEASURES) + ", error string"
+    # simulation costs time, not bytes: the number of parts is given, else a plan that adapts to bytes would put all runs into one task
+    spark = runs.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return r.repartition(parts, "task").groupBy("task").cogroup(fed.repartition(parts, "of_task").groupBy("of_task")).applyInPandas(some, schema)
 
 
 def curves(results: DataFrame) -> DataFrame:

@@ -12,8 +12,7 @@ from pyspark.sql import functions as F
 
 from barloom.common import cut
 from barloom.operators import performance as P
-from barloom.operators import trades as T
-from barloom.plans.engine import backtests, curves, fills
+from barloom.plans.engine import backtests, curves, measured_runs
 
 
 def grid(axes: dict[str, list], limit: int = 5000, **fixed) -> list[dict]:
@@ -95,26 +94,16 @@ def robustness(rows: DataFrame, study: list[str], score: str) -> DataFrame:
 OBJECTIVES = ("sharpe", "sortino", "calmar", "cagr", "total_return", "profit_factor", "expectancy", "max_drawdown", "ulcer")
 
 
-def scored(results: DataFrame, runs: DataFrame, bars: DataFrame | None = None, score: str = "sharpe", periods: float = P.PERIODS) -> DataFrame:
+def scored(measured: DataFrame, runs: DataFrame, score: str = "sharpe") -> DataFrame:
     """A row per run with its measures, score and place in its study, best first, undefined scores and failed runs last.
 
-    ``results``: of :func:`barloom.plans.engine.backtests`; ``runs``: run_id, study, config. Trades are counted with costs; ``bars`` aren't needed.
-    Places are given inside a study, so studies are spread over the cluster; a study has as many rows as configurations.
+    ``measured``: of :func:`barloom.plans.engine.measured_runs`; ``runs``: run_id, study, config. Places are given inside a study, so studies
+    are spread over the cluster; a study has as many rows as configurations.
     """
     if score not in OBJECTIVES:
         raise ValueError(f"unknown objective {score}; there are {', '.join(OBJECTIVES)}")
-    f = fills(results).withColumn("cost", F.col("commission") + F.col("slippage"))
-    t = T.round_trips(f).where("not open").groupBy("run_id").agg(
-        F.count("*").alias("trades"), F.avg("net_pnl").alias("expectancy"), F.avg((F.col("net_pnl") > 0).cast("double")).alias("trade_win_rate"),
-        F.sum(F.when(F.col("net_pnl") > 0, F.col("net_pnl")).otherwise(0.0)).alias("_won"), F.sum(F.when(F.col("net_pnl") <= 0, -F.col("net_pnl")).otherwise(0.0)).alias("_lost"),
-    )
-    t = t.withColumn("profit_factor", F.when(F.col("_lost") > 0, F.col("_won") / F.col("_lost")).when(F.col("_won") > 0, F.lit(float("inf")))).drop("_won", "_lost")
-    c = curves(results).select("run_id", "bar_date", "value")
-    whole = P.headline(c, periods).select("run_id", "bars", "total_return", "cagr", "volatility", "sharpe", "sortino", "calmar", "max_drawdown")
-    deep = P.with_returns(c).groupBy("run_id").agg(F.sqrt(F.avg(F.col("dd") * F.col("dd"))).alias("ulcer"))
-    r = runs.select("run_id", "study", "config").join(results.select("run_id", "error"), "run_id").join(whole, "run_id", "left").join(deep, "run_id", "left").join(t, "run_id", "left").fillna(0, ["trades"])
     value = -F.abs(F.col(score)) if score in ("max_drawdown", "ulcer") else F.col(score)
-    r = r.withColumn("score", F.round(F.when(F.col("error").isNull(), value), 9))
+    r = runs.select("run_id", "study", "config").join(measured, "run_id").withColumn("score", F.round(F.when(F.col("error").isNull(), value), 9))
     return r.withColumn("place", F.row_number().over(W.partitionBy("study").orderBy(F.desc_nulls_last("score"), "config")).cast("long"))
 
 
@@ -161,10 +150,10 @@ def simulated_walk_forward(bars: DataFrame, universes: DataFrame, strategy: str,
     edges = edges.join(days.withColumn("no", F.col("no").cast("long")), ["study", "no"]).groupBy("study", "fold").pivot("edge", list(at)).agg(F.first("bar_date"))
     placed = universes.join(edges, "study").withColumn("of", F.concat_ws("#", "study", "fold"))
     inside = runs_over(placed.select(F.col("of").alias("study"), "symbols", "train_from", "train_to"), strategy, configs, {"": options or {}}, F.col("train_from"), F.col("train_to"))
-    chosen = cut(best_of(scored(backtests(bars, inside, macro), inside, score=score)).select(F.col("study").alias("of"), "config", F.col("score").alias("train_score"), F.col("total_return").alias("train_return")))
+    chosen = cut(best_of(scored(measured_runs(bars, inside, macro), inside, score)).select(F.col("study").alias("of"), "config", F.col("score").alias("train_score"), F.col("total_return").alias("train_return")))
     params = F.create_map(*(F.lit(x) for k, v in configs.items() for x in (k, json.dumps(v))))
     outside = placed.join(chosen, "of").select(F.col("of").alias("run_id"), F.lit(strategy).alias("strategy"), "symbols", params[F.col("config")].alias("params"), F.lit(json.dumps(options or {})).alias("options"), F.col("test_from").alias("start"), F.col("test_to").alias("end"), F.col("of").alias("study"), "config")
-    tested = scored(backtests(bars, outside, macro), outside, score=score).select(F.col("study").alias("of"), F.col("score").alias("test_score"), F.col("total_return").alias("test_return"))
+    tested = scored(measured_runs(bars, outside, macro), outside, score).select(F.col("study").alias("of"), F.col("score").alias("test_score"), F.col("total_return").alias("test_return"))
     rows = placed.select("of", "study", "fold", *at).join(chosen, "of").join(tested, "of", "left").drop("of")
     w = W.partitionBy("study").orderBy("fold")
     grown = F.exp(F.sum(F.log1p(F.greatest(F.coalesce("test_return", F.lit(0.0)), F.lit(-0.999999)))).over(w))

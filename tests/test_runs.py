@@ -386,14 +386,14 @@ def test_runs_over_one_universe_share_its_bars(spark):
     runs = S.runs_over(u, "declared-cross", configs)
     alone = {r.run_id: [round(v, 6) for v in r.value] for r in E.backtests(p, runs, per_task=1).collect()}
     assert alone == {r.run_id: [round(v, 6) for v in r.value] for r in E.backtests(p, runs, per_task=4).collect()} and len(alone) == 14
-    rows = S.scored(E.backtests(p, runs), runs, score="total_return").orderBy("study", "place").collect()
+    rows = S.scored(E.measured_runs(p, runs), runs, score="total_return").orderBy("study", "place").collect()
     assert [r.config for r in rows if r.error] == ["bad", "bad"] and [r.place for r in rows] == [*range(1, 8)] * 2
     for study in ("x", "y"):
         scores = [r.score for r in rows if r.study == study and r.score is not None]
         assert scores == sorted(scores, reverse=True) and len(scores) == 6
-    assert S.best_of(S.scored(E.backtests(p, runs), runs)).count() == 2
+    assert S.best_of(S.scored(E.measured_runs(p, runs), runs)).count() == 2
     with pytest.raises(ValueError):
-        S.scored(E.backtests(p, runs), runs, score="luck")
+        S.scored(E.measured_runs(p, runs), runs, score="luck")
 
 
 def test_simulated_walk_forward_and_groups(spark):
@@ -419,3 +419,24 @@ def test_simulated_walk_forward_and_groups(spark):
 def test_ranks_by_parts(spark):
     df = spark.range(1000).select((F.col("id") * 37 % 1000).alias("v"))
     assert [r["rank"] for r in S.ranked(df.repartition(7), [F.desc("v")]).orderBy(F.desc("v")).collect()] == list(range(1, 1001))
+
+
+def test_measures_in_the_task_are_those_of_the_columns(spark):
+    p = spark.createDataFrame(pd.concat([noisy(200), noisy(200, "B", 2)])).withColumn("bar_date", F.to_date("bar_date"))
+    u = spark.createDataFrame([("x", ["A", "B"]), ("y", ["B"]), ("none", ["Z"])], "study string, symbols array<string>")
+    runs = S.runs_over(u, "pairs-trade", {"n": {"n": 20, "enter": 1.0}}, {"": {"allow_short": True, "leverage": 2.0, "commission_pct": 0.1}}).unionByName(S.runs_over(u, "golden-cross", {"g": {"fast": 3, "slow": 12}}))
+    got = {r.run_id: r for r in E.measured_runs(p, runs).collect()}
+    results = E.backtests(p, runs).cache()
+    curve = E.curves(results).select("run_id", "bar_date", "value")
+    head = {r.run_id: r for r in P.headline(curve).collect()}
+    t = T.round_trips(E.fills(results).withColumn("cost", F.col("commission") + F.col("slippage")))
+    flat = spark.createDataFrame([(s, D(2020, 1, 1), 1.0, 1.0) for s in "AB"], "symbol string, bar_date date, h double, l double")
+    stats = {r.run_id: r for r in T.trade_stats(T.enriched(t, flat)).collect()}
+    assert len(got) == 6 and got["none@g"].bars == 0 and got["none@g"].error is None and {"x@n", "x@g"} <= stats.keys()
+    for k, r in got.items():
+        if k in head:
+            for m in ("bars", "total_return", "cagr", "volatility", "sharpe", "sortino", "calmar", "max_drawdown"):
+                assert (r[m] is None) == (head[k][m] is None) and (r[m] is None or r[m] == pytest.approx(head[k][m])), (k, m)
+        if k in stats and stats[k].closed:
+            s = stats[k]
+            assert (r.trades, r.expectancy, r.trade_win_rate, r.profit_factor) == (s.closed, pytest.approx(s.expectancy), pytest.approx(s.win_rate), pytest.approx(s.profit_factor))
