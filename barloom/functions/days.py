@@ -61,6 +61,54 @@ def holiday_table(spark: SparkSession, first: int, last: int) -> DataFrame:
     return spark.createDataFrame([(d,) for y in range(first, last + 1) for d in sorted(holidays(y))], "day date")
 
 
+#: Other spellings of bar sizes.
+SIZE_NAMES = {
+    "1m": "1min minute m1", "5m": "5min m5", "15m": "15min m15", "30m": "30min m30", "1h": "60m hour hourly h1", "1d": "d day daily 1day", "1wk": "w 1w week weekly", "1mo": "mo 1month month monthly",
+}
+
+
+def bar_size(text: str) -> str:
+    """A bar size by any of its spellings; a day where there is none."""
+    name = text.strip().lower() or "1d"
+    for size, others in SIZE_NAMES.items():
+        if name == size or name in others.split():
+            return size
+    raise ValueError(f"unknown bar size {text!r}; there are {', '.join(SIZE_NAMES)}")
+
+
+def coarser(a: str, b: str) -> bool:
+    """Whether bars of size ``a`` are longer than those of ``b``."""
+    return INTERVALS[bar_size(a)] > INTERVALS[bar_size(b)]
+
+
+#: How many days back a vendor gives bars of a size.
+REACH = {"1m": 30, "5m": 60, "15m": 60, "30m": 60, "1h": 730}
+
+
+def within_reach(size: str, first: dt.date, today: dt.date) -> dt.date:
+    """The first day that can be asked for: not before what a vendor keeps of that size."""
+    days = REACH.get(bar_size(size))
+    return first if days is None else max(first, today - dt.timedelta(days))
+
+
+def end_of_day(day: Column) -> Column:
+    """The last minute of a day or stamp string: an upper bound that includes the day's own bars."""
+    text = F.trim(day)
+    return F.when(F.length(text) == 10, F.concat(text, F.lit("T23:59"))).otherwise(text)
+
+
+def moved(stamp: Column, days: Column | int) -> Column:
+    """A day or stamp string so many calendar days later; its time of day stays."""
+    text = F.trim(stamp)
+    n = F.lit(days) if isinstance(days, int) else days
+    return F.concat(F.date_add(text.substr(1, 10).try_cast("date"), n).cast("string"), F.substring(text, 11, 100))
+
+
+def days_between(a: Column, b: Column) -> Column:
+    """Whole days from one day to another, never under 0; null where either is no day."""
+    return F.greatest(F.lit(0), F.datediff(b, a))
+
+
 CALENDAR_FROM = "1981-01-01"  # holidays are known from then on
 
 

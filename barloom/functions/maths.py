@@ -33,3 +33,13 @@ def bandwidth(n: Column) -> Column:
 def p_label(p: Column, draws: int) -> Column:
     """A redrawn p value, never under one in so many draws."""
     return F.when(p < 1 / draws, F.lit(f"<{1 / draws:g}")).otherwise(F.format_string("%.3f", p))
+
+
+def coin_flips(n: Column, z: float = 1.96) -> tuple[Column, Column]:
+    """Between what hit rates ``n`` decisions by the toss of a coin lie, by the normal approximation."""
+    half = z * F.sqrt(F.lit(0.25) / F.when(n > 0, n))
+    return F.greatest(F.lit(0.0), 0.5 - half), F.least(F.lit(1.0), 0.5 + half)
+
+
+def significant(t: Column) -> Column:
+    return F.abs(t) >= 2

@@ -91,3 +91,36 @@ def flexible_day(c: Column) -> Column:
     number = text.try_cast("bigint")
     tried = [F.try_to_date(text, f) for f in ("yyyy-MM-dd", "yyyy/MM/dd", "MM/dd/yyyy", "dd/MM/yyyy")]
     return F.when(text.rlike(r"^\d{9,11}$"), F.date_from_unix_date((number / 86400).cast("int"))).when(text.rlike(r"^\d{8}$"), F.try_to_date(text, "yyyyMMdd")).otherwise(F.coalesce(*tried))
+
+
+def fnv32(c: Column) -> Column:
+    """FNV-1a hash of 32 bits of a text's UTF-8 bytes. The basis and the prime are the published ones."""
+    pairs = F.hex(F.encode(c, "UTF-8"))
+    at = F.transform(F.sequence(F.lit(1), F.greatest(F.length(pairs) - 1, F.lit(1)), F.lit(2)), lambda i: F.conv(F.substring(pairs, i, F.lit(2)), 16, 10).cast("bigint"))
+    step = lambda h, b: F.pmod(h.bitwiseXOR(b) * F.lit(16777619).cast("bigint"), F.lit(2**32).cast("bigint"))
+    return F.when(c.isNull(), None).when(F.length(c) == 0, F.lit(2166136261).cast("bigint")).otherwise(F.aggregate(at, F.lit(2166136261).cast("bigint"), step))
+
+
+def cache_key(parts: list[Column]) -> Column:
+    """Hash of several texts: each with its length before it, so that no two lists of parts are written alike."""
+    joined = F.concat(*(F.concat(F.octet_length(F.coalesce(p, F.lit(""))).cast("string"), F.lit(":"), F.coalesce(p, F.lit(""))) for p in parts))
+    return F.sha2(joined, 256)
+
+
+def rates_fingerprint(symbol: str = "symbol", rate: str = "annual_pct", available: str = "available") -> Column:
+    """One hash of a schedule of borrow rates, whatever its order: an aggregate."""
+    line = F.concat_ws("=", F.col(symbol), F.when(F.col(available), F.col(rate).cast("string")).otherwise("none"))
+    return F.sha2(F.array_join(F.sort_array(F.collect_set(line)), ";"), 256)
+
+
+def vendor_symbol(c: Column) -> Column:
+    """A symbol as a vendor of plain files names it: an index by its own name, pairs without the dash, shares with .us; lower case."""
+    s = F.lower(F.trim(c))
+    index = F.when(s == "^gspc", "^spx").when(s.startswith("^"), s)
+    return F.coalesce(index, F.when(s.rlike("-(usd|eur|gbp)$"), F.replace(s, F.lit("-"), F.lit(""))).when(F.contains(s, F.lit(".")), s).otherwise(F.concat(s, F.lit(".us"))))
+
+
+def same_params(a: Column, b: Column, tolerance: float = 1e-9) -> Column:
+    """Whether two maps of numbers have the same names and, within the tolerance, the same values."""
+    names = F.array_sort(F.map_keys(a)) == F.array_sort(F.map_keys(b))
+    return names & F.forall(F.map_entries(a), lambda e: F.abs(e["value"] - F.element_at(b, e["key"])) <= tolerance)

@@ -30,6 +30,22 @@ def adjusted(bars: DataFrame) -> DataFrame:
     return bars.select("symbol", "bar_date", (F.col("open") * sf).alias("o"), (F.col("high") * sf).alias("h"), (F.col("low") * sf).alias("l"), F.col("adj_close").alias("c"), (F.col("volume") / sf).alias("v"))
 
 
+def on_day(bars: DataFrame, day: Column) -> DataFrame:
+    """The bars of exactly that day."""
+    return bars.where(F.col("bar_date") == day)
+
+
+def between(bars: DataFrame, first: Column, last: Column) -> DataFrame:
+    """The bars from first to last, both included: reaches the scan where bar_date is a column of it."""
+    return bars.where((F.col("bar_date") >= first) & (F.col("bar_date") <= last))
+
+
+def bars_later(wanted: DataFrame, bars: DataFrame, n: int) -> DataFrame:
+    """For each wanted symbol and bar_date on which there is a bar: the day of the n-th bar after it (before it for n below 0), null beyond the ends."""
+    w = W.partitionBy("symbol").orderBy("bar_date")
+    return wanted.join(bars.select("symbol", "bar_date", F.lead("bar_date", n).over(w).alias("later")), ["symbol", "bar_date"])
+
+
 def history(bars: DataFrame, n: int) -> DataFrame:
     """The latest n bars of each symbol."""
     w = W.partitionBy("symbol").orderBy(F.desc("bar_date"))

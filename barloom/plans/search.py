@@ -35,6 +35,19 @@ def expand(low: float, high: float, step: float, limit: int = 10_000) -> list[fl
     return [round(low + i * step, places) for i in range(size)]
 
 
+def merge_grids(declared: dict[str, dict], given: dict[str, list]) -> dict[str, list]:
+    """The values that a search tries: what the caller gives before what the strategy declared; names that weren't declared come last, sorted."""
+    out = {n: list(given.get(n, d["grid"] or [d["default"]])) for n, d in declared.items()}
+    return out | {n: list(given[n]) for n in sorted(given.keys() - declared.keys())}
+
+
+def universe_of(text: str, named: dict[str, list[str]]) -> list[str]:
+    """Symbols of a universe's name, or of a text with commas, trimmed, in upper case, once each in order."""
+    from barloom.plans.engine import symbol_list
+
+    return symbol_list(named[text.strip().lower()] if text.strip().lower() in named else text)
+
+
 def label(params: dict) -> str:
     show = lambda v: str(int(v)) if isinstance(v, float) and v == int(v) else str(v)
     return " ".join(f"{k}={show(v)}" for k, v in sorted(params.items()))

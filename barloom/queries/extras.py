@@ -99,3 +99,58 @@ def streamed(s: SparkSession, d: str, name: str) -> DataFrame:
 
 add("stream_resample", lambda s, d: stream.run_available(stream.resampled(streamed(s, d, "intraday_bars"))), HOURS)
 add("stream_sessions", lambda s, d: shown(stream.run_available(stream.sessions(streamed(s, d, "events"))), 4), "with e as (select user_id, epoch(ts) as t, value, ts from events), n as (select *, case when t - lag(t) over (partition by user_id order by t) < 1800 then 0 else 1 end as new from e), i as (select *, sum(new) over (partition by user_id order by t) as no from n), g as (select user_id, no, min(t) as a, max(t) + 1800 as z, count(*) as events, sum(value) as value from i group by user_id, no), m as (select max(t) - 3600 as mark from e) select user_id, cast(floor(a) as bigint) as from_s, cast(floor(z) as bigint) as to_s, events, round(value, 4) as value from g, m where z <= mark")
+
+# -- more functions and records --------------------------------------------------------------------------------------------------
+
+add("fn_cache_key", lambda s, d: table(s, d, "ai_calls").select("call_id", text.cache_key([F.col("provider"), F.col("model"), F.col("prompt")]).alias("value")), "select call_id, sha256(concat(strlen(coalesce(provider, '')), ':', coalesce(provider, ''), strlen(coalesce(model, '')), ':', coalesce(model, ''), strlen(coalesce(prompt, '')), ':', coalesce(prompt, ''))) as value from ai_calls")
+add("fn_vendor_symbol", lambda s, d: table(s, d, "series").select("symbol", text.vendor_symbol(F.col("symbol")).alias("value")), "select symbol, case when lower(trim(symbol)) = '^gspc' then '^spx' when lower(trim(symbol)) like '^%' then lower(trim(symbol)) when regexp_matches(lower(trim(symbol)), '-(usd|eur|gbp)$') then replace(lower(trim(symbol)), '-', '') when contains(symbol, '.') then lower(trim(symbol)) else lower(trim(symbol)) || '.us' end as value from series")
+add("fn_fnv32", lambda s, d: table(s, d, "series").select("symbol", text.fnv32(F.upper("symbol")).alias("value")))
+add("fn_end_of_day", lambda s, d: table(s, d, "day_records").select("record_id", days.end_of_day(F.col("day_stamp")).alias("until"), days.moved(F.col("day_stamp"), 30).alias("later")), "select record_id, case when length(trim(day_stamp)) = 10 then trim(day_stamp) || 'T23:59' else trim(day_stamp) end as until, cast(try_cast(left(trim(day_stamp), 10) as date) + 30 as varchar) || substr(trim(day_stamp), 11) as later from day_records")
+add("fn_coin_flips", lambda s, d: shown(table(s, d, "ai_calls").where("kind is not null").groupBy("kind").agg(F.count("*").alias("n")).select("kind", "n", maths.coin_flips(F.col("n"))[0].alias("low"), maths.coin_flips(F.col("n"))[1].alias("high"))), "select kind, count(*) as n, round(greatest(0, 0.5 - 1.96 * sqrt(0.25 / count(*))), 6) as low, round(least(1, 0.5 + 1.96 * sqrt(0.25 / count(*))), 6) as high from ai_calls where kind is not null group by kind")
+add("ledger_spread", lambda s, d: shown(ledger.spread(entries(s, d)), 4), "select run_id as dataset, round(case when count(millis) > 1 then stddev_samp(millis) end, 4) as spread from ai_calls where run_id is not null group by run_id")
+
+
+def used_up(s: SparkSession, d: str) -> DataFrame:
+    """Each dataset's next search of three trials, and whether others have used its data up."""
+    e = entries(s, d)
+    return ledger.warned(e, e.select("dataset", F.lit(3).cast("long").alias("trials")).distinct()).select("dataset", "entries", "before", "warned")
+
+
+add("ledger_warned", used_up, "select run_id as dataset, count(*) as entries, count(*) as before, count(*) >= 5 and count(*) >= 6 as warned from ai_calls where run_id is not null group by run_id")
+
+
+def run_again(s: SparkSession, d: str) -> DataFrame:
+    """Each curve against itself with its exposure changed from the tenth day on and its last day lost."""
+    from pyspark.sql import Window as W
+
+    was = curve(s, d)
+    w = W.partitionBy("run_id").orderBy("bar_date")
+    now = was.withColumns({"no": F.row_number().over(w), "left": F.lead("bar_date").over(w)}).where("left is not null").withColumn("exposure", F.when(F.col("no") >= 10, F.col("exposure") + 1).otherwise(F.col("exposure")))
+    return dated(ledger.first_divergence(was, now.select("run_id", "bar_date", "value", "exposure"), ["run_id"], "bar_date", ["value", "exposure"]), "first")
+
+
+add("bundle_first_divergence", run_again, f"{CURVE}, n as (select run_id, bar_date, row_number() over (partition by run_id order by bar_date) as no, lead(bar_date) over (partition by run_id order by bar_date) as nx from c), x as (select *, case when nx is null then 'missing' when no >= 10 then 'exposure' end as what from n) select run_id, cast(min(case when what is not null then bar_date end) as varchar) as first, count(what) as rows, arg_min(what, case when what is not null then bar_date end) as what from x group by run_id")
+add("bars_exact", lambda s, d: dated(B.on_day(B.counting_bars(s, d), F.lit("2020-03-16").cast("date")).select("symbol", "bar_date", "close"), "bar_date"), f"{BARS} select symbol, cast(bar_date as varchar) as bar_date, close from b where bar_date = date '2020-03-16'")
+add("bars_range", lambda s, d: dated(B.between(B.counting_bars(s, d), F.lit("2020-01-01").cast("date"), F.lit("2020-06-30").cast("date")).select("symbol", "bar_date", "close"), "bar_date"), f"{BARS} select symbol, cast(bar_date as varchar) as bar_date, close from b where bar_date between date '2020-01-01' and date '2020-06-30'")
+
+
+def five_later(s: SparkSession, d: str) -> DataFrame:
+    b = B.counting_bars(s, d).select("symbol", "bar_date")
+    return dated(B.bars_later(b.where("dayofmonth(bar_date) <= 3"), b, 5), "bar_date", "later")
+
+
+add("bars_later", five_later, f"{BARS}, q as (select symbol, bar_date, lead(bar_date, 5) over (partition by symbol order by bar_date) as later from b) select symbol, cast(bar_date as varchar) as bar_date, cast(later as varchar) as later from q where day(bar_date) <= 3")
+
+
+def group_calendars(s: SparkSession, d: str) -> DataFrame:
+    """The calendar of each first letter's symbols: the widest of theirs, and all that there are."""
+    from barloom.queries.market import calendar_of
+
+    g = calendar_of(s, d).groupBy(F.substring("symbol", 1, 1).alias("letter")).agg(F.sort_array(F.collect_set("calendar")).alias("all"))
+    return g.select("letter", days.widest(F.col("all")).alias("calendar"), F.array_join("all", ",").alias("distinct_calendars"))
+
+
+from barloom.queries.market import CALENDAR  # noqa: E402
+
+add("calendar_of_universe", group_calendars, f"{BARS}, k as (select symbol, {CALENDAR} as calendar from b group by symbol) select left(symbol, 1) as letter, case when list_contains(list(calendar), 'continuous') then 'continuous' when list_contains(list(calendar), 'fx') then 'fx' else 'session' end as calendar, array_to_string(list_sort(list(distinct calendar)), ',') as distinct_calendars from k group by left(symbol, 1)")
+add("records_rollup", lambda s, d: shown(table(s, d, "day_records").where("run_id is not null").rollup(F.substring("day_stamp", 1, 4).alias("year"), F.substring("day_stamp", 6, 2).alias("month")).agg(F.count("*").alias("records"), F.sum("ret").alias("ret"), F.grouping_id().cast("long").alias("level")), 4), "select substr(day_stamp, 1, 4) as year, substr(day_stamp, 6, 2) as month, count(*) as records, round(sum(ret), 4) + 0 as ret, cast(grouping(substr(day_stamp, 1, 4), substr(day_stamp, 6, 2)) as bigint) as level from day_records where run_id is not null group by rollup(substr(day_stamp, 1, 4), substr(day_stamp, 6, 2))")

@@ -66,6 +66,7 @@ CLOSED = ", ".join(f"(date '{h}')" for y in range(2019, 2024) for h in sorted(da
 SQL["calendar_trading_days"] = f"with h as (select * from (values {CLOSED}) v(day)), d as (select cast(g as date) as day from generate_series(timestamp '2019-01-01', timestamp '2023-12-31', interval 1 day) t(g)) select cast(day as varchar) as day, row_number() over (order by day) - 1 as no from d where isodow(day) < 6 and day not in (select day from h)"
 SQL["fn_ticker"] = r"select call_id, nullif(regexp_extract(prompt, '(?:^|[^A-Za-z0-9.$])\$?([A-Z][A-Z0-9]{1,4}(?:[.-][A-Z])?)(?:[^A-Za-z0-9]|$)', 1), '') as ticker from ai_calls"
 SQL["fn_normal_cdf"] = "with x as (select event_id, (value - 50) / 20 as x from events), t as (select *, 1 / (1 + 0.2316419 * abs(x)) as t from x), p as (select *, exp(-x * x / 2) / sqrt(2 * pi()) * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429)))) as tail from t) select event_id, round(case when x >= 0 then 1 - tail else tail end, 5) as p from p"
+SQL["fn_fnv32"] = "select symbol, cast(list_reduce(list_prepend(2166136261::hugeint, list_transform(string_split(upper(symbol), ''), lambda x: ascii(x)::hugeint)), lambda h, b: (xor(h, b) * 16777619) % 4294967296) as bigint) as value from series"
 # keeps what moved over 5 % from the last one kept, by a fold over the sorted list; the last one stays too
 SQL["source_compressed"] = f"""{BARS}, xs as (select symbol, list(struct_pack(d := bar_date, v := close) order by bar_date) as xs from b group by symbol),
 k as (select symbol, xs[-1] as z, list_reduce(list_transform(xs[2:], lambda x: [x]), lambda a, e: case when a[-1].v = 0 or abs(e[1].v / a[-1].v - 1) > 0.05 then list_append(a, e[1]) else a end, [xs[1]]) as ks from xs), o as (select symbol, unnest(case when ks[-1].d = z.d then ks else list_append(ks, z) end) as x from k)

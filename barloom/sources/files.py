@@ -49,6 +49,21 @@ def parsed_bars(lines: DataFrame) -> DataFrame:
     return p.withColumns({k: kept(k) for k in ("open", "high", "low", "adj_close")}).withColumn("volume", F.coalesce("volume", F.lit(0.0)))
 
 
+STRICT = "date,open,high,low,close,adj_close,volume"
+
+
+def strict_bars(lines: DataFrame) -> DataFrame:
+    """Bars of files that this library wrote: the header must be STRICT and every cell a finite number, else the read fails and names the file."""
+    heads = lines.groupBy("file").agg(F.min_by("line", "at").alias("_head"), F.min("at").alias("_first"))
+    rows = lines.join(heads, "file").where("at > _first")
+    bad = lambda text: F.raise_error(F.concat(F.lit(text), F.col("file")))
+    rows = rows.withColumn("_c", F.when(F.col("_head") == STRICT, F.split("line", ",")).otherwise(bad("another header in ").cast("array<string>")))
+    number = lambda i: F.try_element_at("_c", F.lit(i)).try_cast("double")
+    finite = lambda x: F.when(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")), x).otherwise(bad("a value that is no number in ").cast("double"))
+    day = F.try_to_date(F.col("_c")[0], "yyyy-MM-dd")
+    return rows.select("file", F.coalesce(day, bad("a day that is none in ").cast("date")).alias("bar_date"), *(finite(number(i)).alias(k) for i, k in enumerate(("open", "high", "low", "close", "adj_close", "volume"), 2)))
+
+
 def read_bars(spark: SparkSession, folder: str) -> DataFrame:
     """Bars of a folder of SYMBOL.csv files; of rows of one day the last in the file counts."""
     p = parsed_bars(lines_of(spark, folder)).withColumn("symbol", F.upper(F.regexp_replace(F.regexp_extract("file", r"([^/]+)\.csv$", 1), "_", "-")))
@@ -208,6 +223,14 @@ class Chain:
         return chain(able)
 
 
+def first_found(answers: list[DataFrame]) -> DataFrame:
+    """Of several sources' answers to one search the first that isn't empty (a job for each that is looked at)."""
+    for a in answers[:-1]:
+        if not a.isEmpty():
+            return a
+    return answers[-1]
+
+
 def found_symbols(names: DataFrame, text: str, most: int = 20) -> DataFrame:
     """Symbols whose symbol or name holds the text, exact and leading matches first: a list for a search box, so ``most`` rows."""
     t = F.lit(text.strip().upper())

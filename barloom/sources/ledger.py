@@ -31,6 +31,47 @@ def summary(entries: DataFrame) -> DataFrame:
     )
 
 
+def datasets(entries: DataFrame) -> DataFrame:
+    """Datasets with how many trials they have seen, the most first."""
+    g = entries.groupBy("dataset").agg(F.sum("trials").alias("trials"), F.max("at").alias("last_at"))
+    return g.orderBy(F.desc("trials"), "dataset")
+
+
+def spread(entries: DataFrame) -> DataFrame:
+    """Per dataset the deviation of scores, each weighted by its trials; of datasets with one entry none."""
+    w = F.when(F.col("score").isNotNull(), F.col("trials"))
+    g = entries.groupBy("dataset").agg(F.sum(w).alias("_n"), F.sum(w * F.col("score")).alias("_s"), F.sum(w * F.col("score") * F.col("score")).alias("_q"), F.count("score").alias("_k"))
+    var = (F.col("_q") - F.col("_s") * F.col("_s") / F.nullif(F.col("_n"), F.lit(0))) / F.nullif(F.col("_n") - 1, F.lit(0))
+    return g.select("dataset", F.when(F.col("_k") > 1, F.sqrt(F.greatest(var, F.lit(0.0)))).alias("spread"))
+
+
+def warned(entries: DataFrame, now: DataFrame, least: int = 5, times: float = 2.0) -> DataFrame:
+    """Searches (dataset, trials) on data that other searches have used up before: at least ``least`` entries and ``times`` as many trials as now."""
+    before = entries.groupBy("dataset").agg(F.count("*").alias("entries"), F.sum("trials").alias("before"))
+    return now.join(before, "dataset", "left").withColumn("warned", F.coalesce((F.col("entries") >= least) & (F.col("before") >= times * F.col("trials")), F.lit(False)))
+
+
+def reset(entries: DataFrame, dataset: str) -> DataFrame:
+    """The ledger without one dataset; it is to be written to a new place and then put in the old one's."""
+    return entries.where(~F.col("dataset").eqNullSafe(F.lit(dataset)))
+
+
+def kept_runs(runs: DataFrame, n: int, at: str = "at") -> DataFrame:
+    """The latest n stored runs; older ones are given up. The n are few (a list to choose from), so this is a limit by its nature."""
+    return runs.orderBy(F.desc(at), "run_id").limit(n)
+
+
+def first_divergence(was: DataFrame, now: DataFrame, keys: list[str], order: str, values: list[str]) -> DataFrame:
+    """Compare a run again with what was stored of it: per key the first ``order`` at which a value differs or a row is missing (null: the same), how many rows
+    differ, and what differs first. Values are compared exactly."""
+    j = was.withColumn("_w", F.lit(True)).withColumnsRenamed({v: f"_w_{v}" for v in values}).join(now.withColumn("_n", F.lit(True)).withColumnsRenamed({v: f"_n_{v}" for v in values}), [*keys, order], "full")
+    what = F.when(F.col("_n").isNull(), "missing").when(F.col("_w").isNull(), "new")
+    for v in values:
+        what = what.when(~F.col(f"_w_{v}").eqNullSafe(F.col(f"_n_{v}")), v)
+    j = j.withColumn("_what", what)
+    return j.groupBy(*keys).agg(F.min(F.when(F.col("_what").isNotNull(), F.col(order))).alias("first"), F.count("_what").alias("rows"), F.min_by("_what", F.when(F.col("_what").isNotNull(), F.col(order))).alias("what"))
+
+
 def sealed(entries: DataFrame, chain: str, order: str, content: list[str]) -> DataFrame:
     """Adds body (JSON of ``content``), prev and hash: each entry's hash covers its body and the hash before it.
 
