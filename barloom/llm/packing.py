@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import copy
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -66,17 +67,27 @@ class Shard:
         n = len(terms)
         lengths = np.array([len(t) for t in terms], np.int64)
         size = np.array([c.sum() if len(c) else 0 for c in counts], float)
-        self.own = terms
+        self.own, self.n = terms, n
         flat = np.concatenate(terms).astype(np.int64) if lengths.sum() else np.empty(0, np.int64)
         tf = np.concatenate(counts).astype(float) if lengths.sum() else np.empty(0)
-        item = np.repeat(np.arange(n), lengths)
-        idf = np.log1p((docs - held[flat] + 0.5) / (held[flat] + 0.5))
-        weight = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[item] / max(mean, 1.0)))
-        order = np.argsort(flat, kind="stable")
-        self.item, self.weight = item[order], weight[order]
-        self.term, self.start = np.unique(flat[order], return_index=True)
-        self.end = np.append(self.start[1:], len(flat))
-        self.n = n
+        # postings by term and item: one sort of numbers that hold the term and the place
+        keys = np.sort((flat << 32) | np.arange(len(flat)))
+        order, sorted_ = keys & 0xFFFFFFFF, keys >> 32
+        first = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]]) if len(keys) else np.empty(0, np.int64)
+        self.term, self.start, self.end = sorted_[first], first, np.r_[first[1:], len(keys)][: len(first)]
+        self.item = np.repeat(np.arange(n), lengths)[order]
+        idf = np.repeat(np.log1p((docs - held[self.term] + 0.5) / (held[self.term] + 0.5)), self.end - self.start)
+        norm = K1 * (1 - B + B * size / max(mean, 1.0))
+        tf = tf[order]
+        self.weight = idf * tf * (K1 + 1) / (tf + norm[self.item])
+
+    def narrowed(self, free: np.ndarray) -> Shard:
+        """The index of the free items only: what is looked up gets less as a shard is filled."""
+        out = copy.copy(self)
+        keep = free[self.item]
+        upto = np.r_[0, np.cumsum(keep)]
+        out.item, out.weight, out.start, out.end = self.item[keep], self.weight[keep], upto[self.start], upto[self.end]
+        return out
 
     def scores(self, seed: int) -> np.ndarray:
         """BM25 of every item for the seed's terms."""
@@ -116,9 +127,13 @@ def fill(index: Shard, size: np.ndarray, capacity: int, wanted: np.ndarray | Non
     at = np.empty(n, np.int64)
     at[order] = np.arange(n)
     number, room = 0, close * capacity
+    indexed = n
     for place in range(n):
         if not free[place]:
             continue
+        left_over = int(np.count_nonzero(free))
+        if left_over < 0.7 * indexed and left_over > 32:
+            index, indexed = index.narrowed(bins == -1), left_over
         seed = order[place]
         free[place], bins[seed] = False, number
         left = capacity - size[seed]
