@@ -9,6 +9,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -47,15 +48,24 @@ def sizes(path: str, capacities: list[int]):
     """Token count of each text, its distinct tokens (the terms of the index) and how often each occurs; of a text that exceeds a capacity also those
     of what is left over when it is split (rest, in order of capacities)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def lists(arrays: list[np.ndarray]) -> pa.ListArray:
+        ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays) if len(arrays) else np.empty(0, np.int32)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokenizer(path).encode_ordinary
+        part = pa.list_(pa.struct([("terms", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))]))
         for batch in batches:
-            rows = []
-            for row, doc, text in zip(batch["row_no"], batch["doc_id"], batch["text"]):
-                ids = np.array(encode(text) if isinstance(text, str) else [], np.int32)
-                rest = [dict(zip(("terms", "counts"), terms_of(ids[len(ids) // c * c :]))) if len(ids) > c else None for c in capacities]
-                rows.append((row, doc, len(ids), *terms_of(ids), rest))
-            yield pd.DataFrame(rows, columns=["row_no", "doc_id", "tokens", "terms", "counts", "rest"]).astype({"doc_id": "Int64"})
+            size, terms, counts, rests = [], [], [], []
+            for text in batch.column("text").to_pylist():
+                ids = np.array(encode(text) if text is not None else [], np.int32)
+                t, c = terms_of(ids)
+                size.append(len(ids))
+                terms.append(t)
+                counts.append(c)
+                rests.append([dict(zip(("terms", "counts"), terms_of(ids[len(ids) // k * k :]))) if len(ids) > k else None for k in capacities])
+            columns = [batch.column("row_no"), batch.column("doc_id"), pa.array(size, pa.int64()), lists(terms), lists(counts), pa.array(rests, part)]
+            yield pa.RecordBatch.from_arrays(columns, ["row_no", "doc_id", "tokens", "terms", "counts", "rest"])
 
     return run
 
@@ -242,7 +252,7 @@ def packed(documents: DataFrame, capacities: DataFrame, vocabulary: str = VOCABU
         return spark.createDataFrame([], "container string, bin string, doc_id long, part long, start_token long, tokens long, bin_tokens long")
     doc = F.col("doc_id").cast("bigint")
     numbered = documents.select(F.xxhash64(doc, "text").alias("row_no"), doc.alias("doc_id"), "text")  # the same however the table is read
-    sized = cut(numbered.mapInPandas(sizes(vocabulary, [n for _, n in sorted(kinds)]), f"row_no long, doc_id long, tokens long, {TERMS}, rest array<struct<{TERMS.replace(' ', ':', 1).replace(', counts ', ',counts:')}>>"))
+    sized = cut(numbered.mapInArrow(sizes(vocabulary, [n for _, n in sorted(kinds)]), f"row_no long, doc_id long, tokens long, {TERMS}, rest array<struct<{TERMS.replace(' ', ':', 1).replace(', counts ', ',counts:')}>>"))
     docs, total = sized.agg(F.count("*"), F.sum(F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, x: a + x))).first()
     counted = sized.select(F.explode("terms").alias("t")).groupBy("t").count().collect()  # at most a row per token of the vocabulary
     held = np.zeros(max((r["t"] for r in counted), default=0) + 1, np.int64)
