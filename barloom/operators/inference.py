@@ -44,28 +44,39 @@ def overfitting(returns: DataFrame, study: list[str], trial: str, no: str, r: st
 
     ``returns``: study, trial, ``no`` (0, 1, … without gaps, the same for all trials), ``r``. In each split the trial with the best Sharpe
     ratio inside is looked at outside; the share of splits in which it is below the median there is the result. Trials are summed up
-    per block first (count, sum, sum of squares), so no return meets a split.
+    per block first (count, sum, sum of squares), so no return meets a split, and a study is one task's eight rows a trial.
     """
     length = returns.groupBy(*study).agg((F.max(no) + 1).alias("_t"))
     block = F.floor(F.col(no) * blocks / F.col("_t")).cast("int")
     moments = returns.join(length, study).groupBy(*study, trial, block.alias("block")).agg(F.count(r).alias("n"), F.sum(r).alias("s"), F.sum(F.col(r) * F.col(r)).alias("q"))
-    # a row per trial with its blocks' moments in order; the splits are sums of array elements, so no row is repeated for split and block
-    zero = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("q"))
-    found = F.map_from_entries(F.collect_list(F.struct("block", F.struct("n", "s", "q"))))
-    per_trial = moments.groupBy(*study, trial).agg(found.alias("_m")).withColumn("_b", F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda b: F.coalesce(F.element_at("_m", b), zero)))
-
-    def score_of(half: Column) -> Column:
-        total = F.aggregate(half, zero, lambda acc, b: F.struct((acc["n"] + F.col("_b")[b]["n"]).alias("n"), (acc["s"] + F.col("_b")[b]["s"]).alias("s"), (acc["q"] + F.col("_b")[b]["q"]).alias("q")))
-        return F.aggregate(F.array(total), F.lit(-1e9), lambda _, x: F.round(F.when((x["q"] - x["s"] * x["s"] / nz(x["n"])) / nz(x["n"] - 1) > 1e-18, x["s"] / nz(x["n"]) / F.sqrt((x["q"] - x["s"] * x["s"] / nz(x["n"])) / nz(x["n"] - 1))).otherwise(-1e9), 9))
-
-    every = halves(blocks)
-    numbers = F.array(*(F.struct(F.lit(i).alias("split"), F.array(*map(F.lit, h)).alias("inside"), F.array(*(F.lit(b) for b in range(blocks) if b not in h)).alias("outside")) for i, h in enumerate(every)))
-    sides = F.transform(numbers, lambda x: F.struct(x["split"].alias("split"), score_of(x["inside"]).alias("a"), score_of(x["outside"]).alias("b")))
-    both = per_trial.select(*study, trial, F.inline(sides))
-    w = W.partitionBy(*study, "split")
-    ranked = both.withColumns({"pick": F.row_number().over(w.orderBy(F.desc("a"), trial)), "below": F.rank().over(w.orderBy("b")) - 1, "trials": F.count("*").over(w)})
-    chosen = ranked.where("pick = 1").withColumn("lost", (F.col("below") < (F.col("trials") - 1) / 2).cast("int"))
-    return chosen.groupBy(*study).agg(F.avg("lost").alias("pbo"), F.count("*").alias("splits"), F.max("trials").alias("trials"))
+    sides = np.zeros((len(halves(blocks)), blocks))
+    for i, half in enumerate(halves(blocks)):
+        sides[i, list(half)] = 1
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """A study's splits as products of its moments (trials x blocks) with the splits (splits x blocks)."""
+        trials, row = np.unique(pdf[trial].to_numpy(), return_inverse=True)
+        at = (row, pdf["block"].to_numpy(int))
+
+        def scores(inside: np.ndarray) -> np.ndarray:
+            n, s_, q = (m @ inside.T for m in moment)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                var = (q - s_ * s_ / n) / (n - 1)
+                return np.where(var > 1e-18, np.round(s_ / n / np.sqrt(var), 9), -1e9)
+
+        moment = []
+        for c in "nsq":
+            m = np.zeros((len(trials), blocks))
+            m[at] = pdf[c].to_numpy(float)
+            moment.append(m)
+        a, b = scores(sides), scores(1 - sides)
+        pick = a.argmax(axis=0)  # of equal ones the first by name
+        below = (b < b[pick, np.arange(len(sides))]).sum(axis=0)
+        return pdf[study].head(1).assign(pbo=float((below < (len(trials) - 1) / 2).mean()), splits=len(sides), trials=len(trials))
+
+    kinds = dict(returns.dtypes)
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in study), "pbo double", "splits long", "trials long"])
+    return moments.groupBy(*study).applyInPandas(run, schema)
 
 
 def expected_max(sd: float, n: int) -> float:

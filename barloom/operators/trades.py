@@ -175,36 +175,42 @@ def decay_summary(points: DataFrame, floor: float = 0.01) -> DataFrame:
 def trade_stats(trades: DataFrame) -> DataFrame:
     """Per run over its closed trades (open ones are only counted): wins and losses (a trade that gains nothing is a loss), means in shares of the
     capital and in money, payoff, expectancy, profit factor (infinite without losses), best and worst, holding times (the upper median),
-    excursions, edge ratio, give-back of losers that had been 1 % in front (each at most 2), and the longest winning and losing streak.
+    excursions, edge ratio, give-back of losers that had been 1 % in front (each at most 2), and the longest winning and losing streak. One pass
+    over the trades.
 
     ``trades``: of :func:`enriched`.
     """
-    t = trades.where("not open")
-    won, lost = F.col("net_pnl") > 0, F.col("net_pnl") <= 0
-    rank = W.partitionBy("run_id").orderBy("bars_held", *TRADE[1:])
-    t = t.withColumns({"k": F.row_number().over(rank), "n": F.count("*").over(W.partitionBy("run_id"))})
+    won, lost = ~F.col("open") & (F.col("net_pnl") > 0), ~F.col("open") & (F.col("net_pnl") <= 0)
+    side = W.partitionBy("run_id", "open")
+    t = trades.withColumns({"k": F.row_number().over(side.orderBy("bars_held", *TRADE[1:])), "n": F.count("*").over(side), "_won": won.cast("int"), "_no": F.row_number().over(side.orderBy(*EXITS))})
+    t = t.withColumn("_island", F.col("_no") - F.row_number().over(W.partitionBy("run_id", "open", "_won").orderBy("_no")))
+    t = t.withColumn("_streak", F.count("*").over(W.partitionBy("run_id", "open", "_won", "_island")))
+    closed = ~F.col("open")
     if_ = lambda c, x: F.when(c, x if isinstance(x, Column) else F.col(x))
+    of = lambda x: if_(closed, x)
     up, down = F.sum(if_(won, "net_pnl")), F.sum(if_(lost, -F.col("net_pnl")))
     gave = lost & (F.col("mfe_pct") >= 0.01)
-    mae = F.avg("mae_pct")
+    mae, count = F.avg(of("mae_pct")), F.count(of("net_pnl"))
+    longest = lambda c: F.coalesce(F.max(if_(c, "_streak")), F.lit(0)).cast("long")
     g = t.groupBy("run_id").agg(
-        F.count("*").alias("closed"), F.count(if_(won, "net_pnl")).alias("wins"), F.count(if_(lost, "net_pnl")).alias("losses"), (F.count(if_(won, "net_pnl")) / F.count("*")).alias("win_rate"),
+        F.count(F.when(F.col("open"), 1)).alias("open"), count.alias("closed"), F.count(if_(won, "net_pnl")).alias("wins"), F.count(if_(lost, "net_pnl")).alias("losses"), (F.count(if_(won, "net_pnl")) / nz(count)).alias("win_rate"),
         F.avg(if_(won, "ret")).alias("mean_win_pct"), F.avg(if_(lost, "ret")).alias("mean_loss_pct"), F.avg(if_(won, "net_pnl")).alias("mean_win"), F.avg(if_(lost, -F.col("net_pnl"))).alias("mean_loss"),
-        F.avg("net_pnl").alias("expectancy"), F.avg("ret").alias("expectancy_pct"), F.when(down > 0, F.coalesce(up, F.lit(0.0)) / down).when(up > 0, F.lit(float("inf"))).alias("profit_factor"),
-        F.max("ret").alias("best"), F.min("ret").alias("worst"), F.max(if_(won, "net_pnl")).alias("largest_win"), F.min(if_(lost, "net_pnl")).alias("largest_loss"),
-        F.avg("bars_held").alias("mean_bars"), F.max(F.when(F.col("k") == F.floor(F.col("n") / 2) + 1, F.col("bars_held"))).alias("median_bars"), F.max("bars_held").alias("most_bars"), F.avg("days_held").alias("mean_days"),
-        mae.alias("mean_mae"), F.avg("mfe_pct").alias("mean_mfe"), (F.avg("mfe_pct") / nz(F.abs(mae))).alias("edge_ratio"), F.avg(if_(won, "mae_pct")).alias("winner_mae"),
-        F.avg(if_(gave, F.least(F.lit(2.0), (F.col("mfe_pct") - F.col("ret")) / nz(F.col("mfe_pct"))))).alias("give_back"), F.count(if_(gave, "ret")).alias("give_back_trades"), F.sum("net_pnl").alias("net_pnl"), F.sum("costs").alias("costs"),
+        F.avg(of("net_pnl")).alias("expectancy"), F.avg(of("ret")).alias("expectancy_pct"), F.when(down > 0, F.coalesce(up, F.lit(0.0)) / nz(down)).when(up > 0, F.lit(float("inf"))).alias("profit_factor"),
+        F.max(of("ret")).alias("best"), F.min(of("ret")).alias("worst"), F.max(if_(won, "net_pnl")).alias("largest_win"), F.min(if_(lost, "net_pnl")).alias("largest_loss"),
+        F.avg(of("bars_held")).alias("mean_bars"), F.max(if_(closed & (F.col("k") == F.floor(F.col("n") / 2) + 1), "bars_held")).alias("median_bars"), F.max(of("bars_held")).alias("most_bars"), F.avg(of("days_held")).alias("mean_days"),
+        mae.alias("mean_mae"), F.avg(of("mfe_pct")).alias("mean_mfe"), (F.avg(of("mfe_pct")) / nz(F.abs(mae))).alias("edge_ratio"), F.avg(if_(won, "mae_pct")).alias("winner_mae"),
+        F.avg(if_(gave, F.least(F.lit(2.0), (F.col("mfe_pct") - F.col("ret")) / nz(F.col("mfe_pct"))))).alias("give_back"), F.count(if_(gave, F.lit(1))).alias("give_back_trades"), F.sum(of("net_pnl")).alias("net_pnl"), F.sum(of("costs")).alias("costs"),
+        longest(won).alias("longest_wins"), longest(lost).alias("longest_losses"),
     )
-    still = trades.groupBy("run_id").agg(F.count(F.when(F.col("open"), 1)).alias("open"))
-    g = g.withColumn("payoff", F.when(F.col("mean_loss") > 0, F.coalesce("mean_win", F.lit(0.0)) / F.col("mean_loss")))
-    return still.join(g, "run_id", "left").join(streaks(trades), "run_id", "left")
+    return g.withColumn("payoff", F.when(F.col("mean_loss") > 0, F.coalesce("mean_win", F.lit(0.0)) / nz(F.col("mean_loss"))))
+
+
+EXITS = ["entry_day", "symbol", "exit_seq", "entry_seq", "direction"]  # the order in which trades follow each other
 
 
 def streaks(trades: DataFrame) -> DataFrame:
     """Longest runs of winning and of losing closed trades, in order of entry day, symbol and exit."""
-    order = ["entry_day", "symbol", "exit_seq", "entry_seq", "direction"]
-    t = trades.where("not open").withColumn("won", (F.col("net_pnl") > 0).cast("int")).withColumn("no", F.row_number().over(W.partitionBy("run_id").orderBy(*order)))
+    t = trades.where("not open").withColumn("won", (F.col("net_pnl") > 0).cast("int")).withColumn("no", F.row_number().over(W.partitionBy("run_id").orderBy(*EXITS)))
     same = W.partitionBy("run_id", "won").orderBy("no")
     runs = t.withColumn("island", F.col("no") - F.row_number().over(same)).groupBy("run_id", "won", "island").count()
     longest = lambda v: F.coalesce(F.max(F.when(F.col("won") == v, F.col("count"))), F.lit(0)).cast("long")
