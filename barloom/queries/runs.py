@@ -157,8 +157,8 @@ def enriched(s: SparkSession, d: str) -> DataFrame:
     return T.enriched(trips(s, d), day_bars(s, d))
 
 
-def r4(**columns: str) -> str:
-    return ", ".join(f"round({e}, 4) + 0 as {n}" for n, e in columns.items())
+def r4(digits: int = 4, **columns: str) -> str:
+    return ", ".join(f"round({e}, {digits}) + 0 as {n}" for n, e in columns.items())
 
 
 KEYS = ("run_id", "symbol", "direction", "entry_seq", "exit_seq")
@@ -168,12 +168,12 @@ add("trades_excursions", lambda s, d: shown(enriched(s, d).select(*KEYS, "bars_h
 STREAKS = """q as (select run_id, net_pnl > 0 as won, row_number() over (partition by run_id order by entry_day, symbol, exit_seq, entry_seq, direction) as no from t where not open), i as (select *, no - row_number() over (partition by run_id, won order by no) as island from q), g2 as (select run_id, won, island, count(*) as n from i group by run_id, won, island), sk as (select run_id, coalesce(max(case when won then n end), 0) as longest_wins, coalesce(max(case when not won then n end), 0) as longest_losses from g2 group by run_id)"""
 WON, LOST, GAVE = "case when net_pnl > 0 then {} end", "case when net_pnl <= 0 then {} end", "case when net_pnl <= 0 and mfe_pct >= 0.01 then {} end"
 STATS = r4(
-    win_rate="count(case when net_pnl > 0 then 1 end) * 1.0 / count(*)", mean_win_pct=f"avg({WON.format('ret')})", mean_loss_pct=f"avg({LOST.format('ret')})", mean_win=f"avg({WON.format('net_pnl')})", mean_loss=f"avg({LOST.format('-net_pnl')})",
+    7, win_rate="count(case when net_pnl > 0 then 1 end) * 1.0 / count(*)", mean_win_pct=f"avg({WON.format('ret')})", mean_loss_pct=f"avg({LOST.format('ret')})", mean_win=f"avg({WON.format('net_pnl')})", mean_loss=f"avg({LOST.format('-net_pnl')})",
     expectancy="avg(net_pnl)", expectancy_pct="avg(ret)", profit_factor=f"case when sum({LOST.format('-net_pnl')}) > 0 then coalesce(sum({WON.format('net_pnl')}), 0) / sum({LOST.format('-net_pnl')}) when sum({WON.format('net_pnl')}) > 0 then cast('inf' as double) end",
     best="max(ret)", worst="min(ret)", largest_win=f"max({WON.format('net_pnl')})", largest_loss=f"min({LOST.format('net_pnl')})", mean_bars="avg(bars_held)", mean_days="avg(days_held)", mean_mae="avg(mae_pct)", mean_mfe="avg(mfe_pct)", edge_ratio="avg(mfe_pct) / nullif(abs(avg(mae_pct)), 0)",
     winner_mae=f"avg({WON.format('mae_pct')})", give_back=f"avg({GAVE.format('least(2, (mfe_pct - ret) / mfe_pct)')})", net_pnl="sum(net_pnl)", payoff=f"case when avg({LOST.format('-net_pnl')}) > 0 then coalesce(avg({WON.format('net_pnl')}), 0) / avg({LOST.format('-net_pnl')}) end",
 )
-add("trades_stats", lambda s, d: shown(T.trade_stats(enriched(s, d)).drop("costs").fillna(0, ["closed", "wins", "losses", "give_back_trades", "median_bars", "most_bars", "longest_wins", "longest_losses"]), 4), f"""{TRIPS}, {STREAKS}, n as (select *, row_number() over (partition by run_id order by bars_held, symbol, direction, entry_seq, exit_seq) as k, count(*) over (partition by run_id) as n from e where not open),
+add("trades_stats", lambda s, d: shown(T.trade_stats(enriched(s, d)).drop("costs").fillna(0, ["closed", "wins", "losses", "give_back_trades", "median_bars", "most_bars", "longest_wins", "longest_losses"]), 7), f"""{TRIPS}, {STREAKS}, n as (select *, row_number() over (partition by run_id order by bars_held, symbol, direction, entry_seq, exit_seq) as k, count(*) over (partition by run_id) as n from e where not open),
 st as (select run_id, count(*) as closed, count(case when net_pnl > 0 then 1 end) as wins, count(case when net_pnl <= 0 then 1 end) as losses, {STATS}, max(case when k = n // 2 + 1 then bars_held end) as median_bars, max(bars_held) as most_bars, count({GAVE.format('1')}) as give_back_trades from n group by run_id),
 al as (select run_id, count(case when open then 1 end) as open from t group by run_id)
 select al.run_id, al.open, st.* exclude (run_id, closed, wins, losses, median_bars, most_bars, give_back_trades), {', '.join(f'coalesce({c}, 0) as {c}' for c in ('closed', 'wins', 'losses', 'median_bars', 'most_bars', 'give_back_trades', 'longest_wins', 'longest_losses'))} from al left join st on st.run_id = al.run_id left join sk on sk.run_id = al.run_id""")
