@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from barloom.common import cut
+
 DAY = 86400
 
 
@@ -43,7 +45,7 @@ def increments(readings: DataFrame, daily: bool = False) -> DataFrame:
     their last readings, so a hot entity is spread over its days.
     """
     day = F.floor(F.col("ts") / DAY)
-    rows = readings.select("entity", "ts", "counter", day.alias("_day"))
+    rows = cut(readings.select("entity", "ts", "counter", day.alias("_day")))  # read twice: inside days and at their ends
     w = W.partitionBy("entity", "_day").orderBy("ts")
     inside = rows.withColumns({"_pt": F.lag("ts").over(w), "_pc": F.lag("counter").over(w)})
     ends = rows.groupBy("entity", "_day").agg(F.max_by(F.struct(F.col("ts").alias("t"), F.col("counter").alias("c")), "ts").alias("_end"))
