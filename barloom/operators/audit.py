@@ -123,3 +123,12 @@ def critical(findings: DataFrame, most: int = 10) -> DataFrame:
     """What disqualifies a symbol's data before a run: the critical findings of bars alone, the ``most`` first by symbol and kind."""
     own = findings.where("severity = 'critical' and kind in ('duplicate', 'impossible', 'split', 'stale')")
     return own.orderBy("symbol", "kind").limit(most).drop("rank")
+
+
+def of_runs(findings: DataFrame, runs: DataFrame, most: int = 10) -> DataFrame:
+    """The critical findings of each run's symbols (run_id, symbols): for its record, so the first ``most`` by symbol and kind, with how many there are in all."""
+    own = findings.where("severity = 'critical' and kind in ('duplicate', 'impossible', 'split', 'stale')")
+    j = runs.select("run_id", F.explode(F.array_distinct("symbols")).alias("symbol")).join(own, "symbol")
+    w = W.partitionBy("run_id")
+    j = j.withColumns({"place": F.row_number().over(w.orderBy("symbol", "kind")).cast("long"), "findings": F.count("*").over(w)})
+    return j.where(F.col("place") <= most).select("run_id", "place", "symbol", "kind", "count", "first_day", "findings")

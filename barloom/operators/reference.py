@@ -45,6 +45,12 @@ def tenures_of(current: DataFrame, changes: DataFrame) -> DataFrame:
     return spells.unionByName(unknown).unionByName(always)
 
 
+def intended(books: DataFrame) -> DataFrame:
+    """The book that each run means to hold next: the weights of its last record. ``books``: run_id, at (order of records), symbol, weight (null symbols: an empty book)."""
+    last = books.groupBy("run_id").agg(F.max("at").alias("at"))
+    return books.join(last, ["run_id", "at"]).where("symbol is not null").groupBy("run_id", "at", "symbol").agg(F.sum("weight").alias("weight"))
+
+
 def forward_scores(decisions: DataFrame, bars: DataFrame, horizon: int) -> DataFrame:
     """Score decisions (id, symbol, bar_date, weight): bought at the next session's open, sold at the close ``horizon`` sessions after the
     day of decision. state is ``scored``, ``pending`` (too few sessions yet) or ``unknown`` (no bar of the symbol at or before the day)."""

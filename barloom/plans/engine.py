@@ -17,6 +17,7 @@ from dataclasses import dataclass, field, fields, replace
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from barloom.plans import series
@@ -899,3 +900,36 @@ def fills(results: DataFrame) -> DataFrame:
     """With seq, the order of execution inside a run."""
     rows = results.select("run_id", F.posexplode("fills").alias("seq", "f")).select("run_id", "seq", "f.*")
     return rows.withColumn("bar_date", F.date_from_unix_date("day")).drop("day")
+
+
+def positions(results: DataFrame, bars: DataFrame) -> DataFrame:
+    """The book at the close of each day of each run: run_id, bar_date, symbol, shares, price, value, weight. ``bars``: symbol, bar_date, c.
+
+    Put together from fills: a run's days are laid out for the symbols it traded, and shares and prices carried along by as-of joins.
+    """
+    from barloom.operators.bars import asof
+
+    f = fills(results)
+    w = W.partitionBy("run_id", "symbol").orderBy("seq")
+    after = f.select("run_id", "symbol", "bar_date", F.round(F.sum("shares").over(w), 6).alias("shares"), "seq")
+    last = after.groupBy("run_id", "symbol", "bar_date").agg(F.max_by("shares", "seq").alias("shares"))
+    days = curves(results).select("run_id", "bar_date", F.col("value").alias("equity"))
+    grid = days.join(last.select("run_id", "symbol").distinct(), "run_id")
+    held = asof(grid, last, ["run_id", "symbol"], "bar_date", ["shares"]).where("shares != 0")
+    priced = asof(held, bars.select("symbol", "bar_date", F.col("c").alias("price")), ["symbol"], "bar_date", ["price"])
+    value = F.col("shares") * F.col("price")
+    return priced.select("run_id", "bar_date", "symbol", "shares", "price", value.alias("value"), (value / F.when(F.col("equity") != 0, F.col("equity"))).alias("weight"))
+
+
+def faults_of(strategy: type) -> list[str]:
+    """What keeps a class from being a strategy: no on_day or other hook of its own, or a setup that fails without data."""
+    out = []
+    if not (isinstance(strategy, type) and issubclass(strategy, Strategy)):
+        return ["it isn't a Strategy"]
+    if all(getattr(strategy, h) is getattr(Strategy, h) for h in ("on_day", "on_week", "on_month")):
+        out.append("it does nothing on any day")
+    try:
+        declared(strategy())
+    except Exception as e:  # whatever it is, it is the strategy's
+        out.append(f"setup fails: {type(e).__name__}: {e}")
+    return out

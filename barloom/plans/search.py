@@ -197,6 +197,21 @@ def path_spread(paths_: DataFrame, by: str, value: str = "total_return") -> Data
     return paths_.groupBy(by).agg(F.count("*").alias("paths"), F.avg(value).alias("mean"), pct(0.5).alias("median"), F.stddev_samp(value).alias("sd"), pct(0.05).alias("p05"), pct(0.95).alias("p95"), F.min(value).alias("worst"), F.max(value).alias("best"), F.avg((F.col(value) < 0).cast("double")).alias("below_zero"))
 
 
+def fixed_spread(trials: DataFrame, study: str, config: list[str], groups: int = 6) -> DataFrame:
+    """How the result of each fixed configuration spreads over the groups of a study's bars."""
+    length = trials.groupBy(study).agg((F.max("no") + 1).alias("_t"))
+    parts = trials.join(length, study).groupBy(study, *config, F.floor(F.col("no") * groups / F.col("_t")).alias("g")).agg((F.exp(F.sum(F.log1p("r"))) - 1).alias("total_return"))
+    name = F.concat_ws("-", *config)
+    spread = path_spread(parts.withColumn("_by", F.struct(study, name.alias("config"))), "_by")
+    return spread.select(f"_by.{study}", "_by.config", F.col("paths").alias("groups"), "mean", "median", "sd", "worst", "best", "below_zero")
+
+
+def placed_in(paths_: DataFrame, own: DataFrame, by: str, value: str) -> DataFrame:
+    """Where a result (``own``: by, value) stands among the paths of its study: the share of them that is lower, and their median."""
+    j = paths_.select(by, F.col("total_return").alias("_p")).join(own.select(by, value), by)
+    return j.groupBy(by, value).agg(F.avg((F.col("_p") < F.col(value)).cast("double")).alias("below"), F.percentile("_p", F.lit(0.5)).alias("median"), F.count("*").alias("paths"))
+
+
 def capacity_rungs(results: DataFrame) -> DataFrame:
     """Rungs of a ladder of capital (run_id study@rung): measures, mean exposure, costs as a share of the capital, whether it was put to work (mean exposure at least half
     of the smallest rung's) and whether size bites (a return under half of the smallest rung's)."""

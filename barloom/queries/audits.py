@@ -86,3 +86,13 @@ r as (select s.symbol, bars, 'duplicate' as kind, 'critical' as severity, duplic
 """
 add("audit_report", lambda s, d: dated(A.report(flagged(s, d)), "first_day"), f"{REPORT} select symbol, bars, kind, severity, cast(count as bigint) as count, cast(first_day as varchar) as first_day, cast(case severity when 'critical' then 0 when 'warning' then 1 else 2 end as bigint) as rank from r")
 add("audit_critical", lambda s, d: dated(A.critical(A.report(flagged(s, d))), "first_day"), f"{REPORT} select symbol, bars, kind, severity, cast(count as bigint) as count, cast(first_day as varchar) as first_day from r where severity = 'critical' and kind in ('duplicate', 'impossible', 'split', 'stale') order by symbol, kind limit 10")
+
+
+def of_groups(s: SparkSession, d: str) -> DataFrame:
+    """The critical findings that each of sixteen groups of symbols would carry in the record of its run."""
+    from barloom.queries.search import universes
+
+    return dated(A.of_runs(A.report(flagged(s, d)), universes(s, d, "groups").withColumnRenamed("study", "run_id")), "first_day")
+
+
+add("audit_of_runs", of_groups)

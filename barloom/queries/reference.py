@@ -175,3 +175,26 @@ def filings(s: SparkSession, d: str) -> DataFrame:
 
 
 add("source_filings", filings, f"{BARS} select symbol, cast(min(bar_date) as varchar) as from_day, round(arg_min(volume, bar_date), 4) as shares from b group by symbol, date_trunc('quarter', bar_date) having arg_min(volume, bar_date) > 0")
+
+
+def intents(s: SparkSession, d: str) -> DataFrame:
+    """The book each run means to hold after its last record."""
+    from barloom.common import symbol_of
+    from barloom.queries.runs import records
+
+    r = records(s, d).select("run_id", F.col("bar_date").alias("at"), F.explode_outer("positions").alias("p"))
+    return shown(R.intended(r.select("run_id", "at", F.when(F.col("p.weight").isNotNull(), symbol_of(F.col("p.symbol"))).alias("symbol"), F.col("p.weight").alias("weight"))).withColumnRenamed("at", "as_of"), 5)
+
+
+add("forward_intended", intents, f"{CURVE}, la as (select run_id, max(bar_date) as as_of from c group by run_id), p as (select c.run_id, as_of, unnest(positions) as p from c join la on la.run_id = c.run_id and la.as_of = c.bar_date) select run_id, cast(as_of as varchar) as as_of, upper(trim(p.symbol)) as symbol, round(sum(p.weight), 5) + 0 as weight from p where p.weight is not null and trim(p.symbol) <> '' group by run_id, as_of, upper(trim(p.symbol))")
+add("search_fixed_spread", lambda s, d: shown(S.fixed_spread(trials(s, d), "symbol", ["fast", "slow"]), 5), f"{TRIALS}, ln as (select symbol, max(no) + 1 as t from tr group by symbol), pa as (select tr.symbol, fast || '-' || slow as config, floor(no * 6 / t) as g, exp(sum(ln(1 + r))) - 1 as x from tr join ln on ln.symbol = tr.symbol group by all) select symbol, config, count(*) as groups, round(avg(x), 5) + 0 as mean, round(quantile_cont(x, 0.5), 5) + 0 as median, round(stddev_samp(x), 5) + 0 as sd, round(min(x), 5) + 0 as worst, round(max(x), 5) + 0 as best, round(avg(case when x < 0 then 1.0 else 0.0 end), 5) as below_zero from pa group by symbol, config")
+
+
+def placements(s: SparkSession, d: str) -> DataFrame:
+    """Where each symbol's walk-forward result stands among the paths of its combinatorial validation."""
+    own = S.walk_forward(trials(s, d), 40, 20).groupBy("symbol").agg(F.round(F.exp(F.sum(F.log1p("test_return"))) - 1, 9).alias("walked"))
+    return shown(S.placed_in(S.paths(trials(s, d), S.combinatorial(trials(s, d), 6, 2, 5)).withColumn("total_return", F.round("total_return", 9)), own, "symbol", "walked"), 5)
+
+
+add("search_placement", placements)
+add("run_positions", lambda s, d: shown(E.positions(simulated(s, d, "momentum-rotation", "groups"), prices(s, d)), 4))

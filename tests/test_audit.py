@@ -80,3 +80,9 @@ def test_calendar_helpers(spark):
     assert (w.a, w.b) == ("fx", "session")
     t = Y.session_table(spark)
     assert t.where("day = '2023-07-04' and not session").count() == 1 and t.count() < 50_000
+
+
+def test_findings_of_runs(spark, found):
+    runs = spark.createDataFrame([("r", ["HALF", "TENX", "CLEAN", "HALF"]), ("s", ["CLEAN"])], "run_id string, symbols array<string>")
+    got = A.of_runs(A.report(found), runs, 1).collect()
+    assert [(r.run_id, r.symbol, r.kind, r.findings) for r in got] == [("r", "HALF", "split", 2)]

@@ -440,3 +440,28 @@ def test_measures_in_the_task_are_those_of_the_columns(spark):
         if k in stats and stats[k].closed:
             s = stats[k]
             assert (r.trades, r.expectancy, r.trade_win_rate, r.profit_factor) == (s.closed, pytest.approx(s.expectancy), pytest.approx(s.win_rate), pytest.approx(s.profit_factor))
+
+
+def test_positions_are_what_the_equity_is_made_of(spark):
+    p = spark.createDataFrame(pd.concat([noisy(120), noisy(120, "B", 2)])).withColumn("bar_date", F.to_date("bar_date"))
+    u = spark.createDataFrame([("x", ["A", "B"])], "study string, symbols array<string>")
+    results = E.backtests(p, S.runs_over(u, "pairs-trade", {"n": {"n": 20, "enter": 1.0}}, {"": {"allow_short": True, "leverage": 2.0}})).cache()
+    held = E.positions(results, p).groupBy("run_id", "bar_date").agg(F.sum("value").alias("held"))
+    j = E.curves(results).join(held, ["run_id", "bar_date"], "left").fillna(0.0, ["held"]).collect()
+    assert any(r.held != 0 for r in j) and all(r.value == pytest.approx(r.cash + r.held, abs=0.01) for r in j)
+
+
+def test_faults_of_strategies_and_placements(spark):
+    class Idle(E.Strategy):
+        pass
+
+    class Broken(E.Strategy):
+        def setup(self, ctx):
+            ctx.param("")
+
+        def on_day(self, ctx): ...
+
+    assert E.faults_of(STRATEGIES["declared-cross"]) == [] and E.faults_of(Idle) == ["it does nothing on any day"] and "setup fails" in E.faults_of(Broken)[0] and E.faults_of(int)
+    paths_ = spark.createDataFrame([("a", 0.1), ("a", 0.2), ("a", 0.3)], "symbol string, total_return double")
+    r = S.placed_in(paths_, spark.createDataFrame([("a", 0.25)], "symbol string, walked double"), "symbol", "walked").first()
+    assert (round(r.below, 4), r.median, r.paths) == (0.6667, 0.2, 3)
