@@ -62,7 +62,16 @@ def counter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"sh": pd.Series(list(seen.keys()), dtype="int64"), "n": pd.Series(list(seen.values()), dtype="int64")})
 
 
-FOUND = "doc_id long, words array<string>, tokens array<long>, sh long, n long"
+FOUND = "doc_id long, words array<string>, lead int, tokens array<long>, sh long, n long"
+PIECE = 64  # tokens of a stretch in a row, so that a long one isn't repeated whole for each of its tokens
+
+
+def pieces(doc: int, words: list[str], tokens: list[int], window: int) -> Iterator[tuple]:
+    """A stretch (its words and tokens) in rows of PIECE tokens, each with the words that windows about them can have; lead: words before the first token."""
+    before = window - SHINGLE
+    for low in range(0, len(tokens), PIECE):
+        start = max(0, low - before)
+        yield doc, words[start : low + PIECE + window - 1], low - start, tokens[low : low + PIECE], None, None
 
 
 def finder(wanted, window: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
@@ -85,14 +94,14 @@ def finder(wanted, window: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[p
                         held.add(s)
                         if p != at + len(tokens):
                             if len(tokens) >= least:
-                                rows.append((doc, words[at : at + len(tokens) + SHINGLE - 1], tokens, None, None))
+                                rows += pieces(doc, words[at : at + len(tokens) + SHINGLE - 1], tokens, window)
                             at, tokens = p, []
                         tokens.append(s)
                     if len(tokens) >= least:
-                        rows.append((doc, words[at : at + len(tokens) + SHINGLE - 1], tokens, None, None))
+                        rows += pieces(doc, words[at : at + len(tokens) + SHINGLE - 1], tokens, window)
                 seen.update(held)
-            rows += [(None, None, None, s, n) for s, n in seen.items()]
-            yield pd.DataFrame(rows, columns=["doc_id", "words", "tokens", "sh", "n"], dtype=object).astype({"doc_id": "Int64", "sh": "Int64", "n": "Int64"})
+            rows += [(None, None, None, None, s, n) for s, n in seen.items()]
+            yield pd.DataFrame(rows, columns=["doc_id", "words", "lead", "tokens", "sh", "n"], dtype=object).astype({"doc_id": "Int64", "lead": "Int32", "sh": "Int64", "n": "Int64"})
 
     return run
 
@@ -163,8 +172,8 @@ def leaks_small(docs: DataFrame, tests: DataFrame, windows: DataFrame, window: i
     words = tests.select("text").mapInPandas(vocabulary_of, "word string").distinct().toArrow().column("word").to_pylist()
     found = cut(docs.mapInPandas(finder(context.broadcast((frozenset(shs), frozenset(words))), window), FOUND))
     held = found.where("sh is not null").groupBy("sh").agg(F.sum("n").alias("n"))
-    stretches = found.where("doc_id is not null").select("doc_id", "words", F.posexplode("tokens").alias("at", "sh"))
-    hits = stretches.join(prefixes_of(windows, held), "sh").withColumn("from", F.col("at") - F.col("place"))
+    stretches = found.where("doc_id is not null").select("doc_id", "words", "lead", F.posexplode("tokens").alias("at", "sh"))
+    hits = stretches.join(prefixes_of(windows, held), "sh").withColumn("from", F.col("lead") + F.col("at") - F.col("place"))
     inside = hits.where((F.col("from") >= 0) & (F.col("from") + window <= F.size("words")))  # positional and length bounds
     same = F.array_join(F.slice("words", F.col("from") + 1, window), " ") == F.col("passage")
     return inside.where(same).select("doc_id", "item_id").distinct()

@@ -125,6 +125,16 @@ def test_words():
     assert readings_of("one [Applause (loud)] two") == [["one", "applause", "loud", "two"], ["one", "two"]]
 
 
+def test_leaks_in_a_long_stretch(spark):
+    """A text that is made of nothing but items, longer than a row of tokens many times over: each item is found, wherever it lies in it."""
+    rng = random.Random(6)
+    items = [(i, " ".join(rng.choice(["ka", "lo", "mi", "nu", "pe", "ra"]) + str(rng.randrange(40)) for _ in range(rng.randrange(12, 90)))) for i in range(60)]
+    docs = [(1, " ".join(t for _, t in items) * 3), (2, items[7][1]), (3, " ".join(items[8][1].split()[:11])), (4, items[9][1] + " x " + items[9][1])]
+    df, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {tuple(r) for r in L.leaks(df, it).collect()}
+    assert got == brute_leaks(docs, items, L.WINDOW) and {(1, i) for i in range(60)} | {(2, 7), (4, 9)} <= got
+
+
 def test_readings_in_one_pass_are_those_of_two():
     rng = random.Random(2)
     for _ in range(20_000):
