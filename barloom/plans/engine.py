@@ -859,9 +859,9 @@ def backtests(bars: DataFrame, runs: DataFrame, macro: DataFrame | None = None,
     from barloom.plans.strategies import STRATEGIES
 
     known, series_of = {**STRATEGIES, **(strategies or {})}, macros_of(macro)
-    r = runs.withColumn("symbols", F.array_sort(F.array_distinct("symbols"))).withColumn("universe", F.concat_ws(",", "symbols"))
+    r = runs.withColumn("symbols", F.array_sort(F.array_distinct("symbols"))).withColumn("universe", F.sha2(F.concat_ws(",", "symbols"), 256))
     sizes = r.groupBy("universe").agg(F.ceil(F.count("*") / per_task).alias("chunks"))
-    r = r.join(sizes, "universe").withColumn("task", F.concat_ws("#", F.sha2("universe", 256), F.pmod(F.xxhash64("run_id"), F.col("chunks")).cast("string"))).drop("universe", "chunks")
+    r = r.join(sizes, "universe").withColumn("task", F.concat_ws("#", "universe", F.pmod(F.xxhash64("run_id"), F.col("chunks")).cast("string"))).drop("universe", "chunks")
     extra = [c for c in ("shares", "member") if c in bars.columns]
     wanted = r.groupBy("task").agg(F.first("symbols").alias("symbols")).select(F.col("task").alias("of_task"), F.explode("symbols").alias("symbol"))
     fed = wanted.join(bars.select("symbol", F.unix_date("bar_date").alias("day"), *"ohlcv", "close", *(F.col(c).cast("double").alias(c) for c in extra)), "symbol")
