@@ -6,7 +6,8 @@ from barloom.functions import days
 from barloom.queries.market import BARS, ENDS, frame
 from barloom.queries.problems import P2
 from barloom.queries.reference import SQL as REFERENCE
-from barloom.queries.search import TRIALS
+from barloom.operators.inference import expected_max
+from barloom.queries.search import FASTS, SLOWS, TRIALS
 
 SQL: dict[str, str] = {}
 
@@ -41,11 +42,25 @@ known = lambda xs: f"list_filter({xs}, lambda x: x is not null)"
 SQL["ind_trix"] = f"""{BARS}, z as (select symbol, bar_date, list(c) over {frame(70)} as xs from y), q as (select symbol, bar_date, len(xs) as n, {known(running('xs', 15, '(2.0 / 16)'))} as a from z), l as (select symbol, bar_date, n, {known(running('a', 15, '(2.0 / 16)'))} as b from q), m as (select symbol, bar_date, n, {known(running('b', 15, '(2.0 / 16)'))} as d from l)
 select symbol, cast(bar_date as varchar) as bar_date, round(case when n >= 47 and d[-2] <> 0 then d[-1] / d[-2] - 1 end, 6) + 0 as value from m"""
 
+summed = lambda xs: f"case when len({xs}) >= 14 then list_reduce(list_transform({xs}[15:], lambda x: [x]), lambda a, e: list_append(a, a[-1] - a[-1] / 14 + e[1]), [list_sum({xs}[1:14])]) else [] end"
+moves = lambda x: f"list({x}) filter (where tr is not null) over {frame(65)}"
+SQL["ind_adx"] = f"""{BARS}, v as (select *, h - ph as ru, pl - l as rd from y), z as (select symbol, bar_date, {moves('tr')} as ts, {moves('case when ru > rd and ru > 0 then ru else 0 end')} as us, {moves('case when rd > ru and rd > 0 then rd else 0 end')} as ds from v),
+q as (select symbol, bar_date, len(ts) as n, {summed('ts')} as t, {summed('us')} as u, {summed('ds')} as d from z), w as (select symbol, bar_date, n, list_transform(list_zip(t, u), lambda x: case when x[1] > 0 then 100 * x[2] / x[1] else 0 end) as p, list_transform(list_zip(t, d), lambda x: case when x[1] > 0 then 100 * x[2] / x[1] else 0 end) as m from q),
+k as (select symbol, bar_date, n, p[-1] as p, m[-1] as m, list_transform(list_zip(p, m), lambda x: case when x[1] + x[2] > 0 then 100 * abs(x[1] - x[2]) / (x[1] + x[2]) else 0 end) as dx from w), o as (select symbol, bar_date, n, p, m, {wilder('dx', 14)} as adx from k)
+select symbol, cast(bar_date as varchar) as bar_date, round(case when n >= 28 then adx end, 6) + 0 as adx, round(case when n >= 28 then p end, 6) + 0 as plus_di, round(case when n >= 28 then m end, 6) + 0 as minus_di from o"""
+
 # -- search -----------------------------------------------------------------------------------------------------------------------------
 
 SCORED = f"{TRIALS}, ps as (select symbol, fast, slow, round(sharpe, 9) as sharpe from rw where sharpe is not null), rk as (select *, dense_rank() over (partition by symbol order by fast) as rf, dense_rank() over (partition by symbol order by slow) as rs from ps)"
 SQL["search_plateau"] = f"""{SCORED}, bs as (select symbol, arg_max(struct_pack(s := sharpe, f := rf, w := rs), struct_pack(s := sharpe, f := rf, w := rs)) as b from rk group by symbol), ne as (select rk.symbol, avg(sharpe) as near, count(*) as neighbours, max(b.s) as best from rk join bs on bs.symbol = rk.symbol where abs(rf - b.f) + abs(rs - b.w) = 1 group by rk.symbol)
 select symbol, round(best, 5) + 0 as best, round(near, 5) + 0 as near, neighbours, round(case when best > 0 then greatest(0, least(1, near / best)) end, 5) + 0 as ratio from ne"""
+LUCK = "case trials " + " ".join(f"when {k} then {expected_max(1.0, k)!r}" for k in range(2, len(FASTS) * len(SLOWS) + 1)) + " else 0 end"
+SQL["search_deflated_sharpe"] = f"""{TRIALS}, m0 as (select symbol, fast, slow, count(r) as n, avg(r) as m, stddev_samp(r) as s from tr group by all having count(r) >= 30 and stddev_samp(r) > 0), m1 as (select tr.symbol, tr.fast, tr.slow, any_value(n) as n, any_value(m / s) as sharpe, avg(pow(r - m, 2)) as v2, avg(pow(r - m, 3)) as v3, avg(pow(r - m, 4)) as v4 from tr join m0 on m0.symbol = tr.symbol and m0.fast = tr.fast and m0.slow = tr.slow group by tr.symbol, tr.fast, tr.slow),
+m2 as (select *, lpad(cast(fast as varchar), 3, '0') || '-' || lpad(cast(slow as varchar), 3, '0') as pair, v3 / pow(v2, 1.5) * pow((n - 1.0) / n, 1.5) as skew, v4 / (v2 * v2) * pow((n - 1.0) / n, 2) as kurt from m1),
+be as (select symbol, arg_max(struct_pack(pair := pair, n := n, x := sharpe, g3 := skew, g4 := kurt), struct_pack(a := sharpe, b := pair)) as b, coalesce(stddev_samp(sharpe), 0) as spread, count(*) as trials from m2 group by symbol),
+va as (select *, 1 - b.g3 * b.x + (b.g4 - 1) / 4 * b.x * b.x as var from be), zs as (select *, case when var > 0 then (b.x - spread * {LUCK}) * sqrt(b.n - 1) / sqrt(var) end as z from va),
+cd as (select *, case when z is null then null when abs(z) > 8 then case when z > 0 then 1.0 else 0.0 end else 0.5 + exp(-z * z / 2) / sqrt(2 * pi()) * (list_reduce(list_prepend([z, z], list_transform(range(1, 160), lambda k: [cast(k as double), 0.0])), lambda a, e: [a[1] * z * z / (2 * e[1] + 1), a[2] + a[1] * z * z / (2 * e[1] + 1)]))[2] end as p from zs)
+select symbol, b.pair as best, round(b.x, 6) + 0 as sharpe, round(spread, 6) + 0 as spread, trials, round(p, 6) + 0 as deflated from cd"""
 SPLIT6 = "sp as (select row_number() over (order by i, j) - 1 as split, i, j from range(6) a(i), range(6) b(j) where i < j)"
 CV = f"""{TRIALS}, {SPLIT6}, ln as (select symbol, max(no) + 1 as t from tr group by symbol), tg as (select tr.*, cast(floor(no * 6 / t) as bigint) as g, t from tr join ln on ln.symbol = tr.symbol),
 tn as (select *, no < ceil(g * t / 6.0) + 5 as nl, no >= ceil((g + 1) * t / 6.0) - 5 as nri from tg), su as (select symbol, fast, slow, g, nl, nri, count(*) as n, sum(r) as s, sum(r * r) as q from tn group by all),
